@@ -8,13 +8,24 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veritab.llm import bpe, jaccard_join, language_id, line_dedup, substring_dedup, token_counts
+from veritab.llm import _logistic, bpe, decontaminate, jaccard_join, language_id, line_dedup, quality, substring_dedup, token_counts, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held_out = table(spark, sf_dir, "documents"), toxicity.held_out("doc_id")
+    sample = _logistic.sampled(docs, table(spark, sf_dir, "labels"), "toxic", ~held_out, toxicity.FIT_ROWS)
+    made = toxicity.toxicity(docs, toxicity.learn(sample))
+    return made.select("doc_id", held_out.alias("held_out"), "score", "predicted", "n_exact", "n_fuzzy", "n_quoted")
+
+
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated_pairs(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = line_dedup.line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return made.select(F.col("row.doc_id").alias("doc_id"), "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
@@ -43,13 +54,22 @@ def op9_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.bpe_round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), outputs=False)
 
 
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    sample = _logistic.sampled(docs, table(spark, sf_dir, "labels"), "quality", F.lit(True), quality.FIT_ROWS)
+    return quality.quality(docs, quality.learn(sample))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxicity": op1_toxicity,
+    "op2_decontamination": op2_decontamination,
     "op3_line_dedup": op3_line_dedup,
     "op5_jaccard_join": op5_jaccard_join,
     "op6_substring_dedup": op6_substring_dedup,
     "op7_token_counts": op7_token_counts,
     "op8_language_id": op8_language_id,
     "op9_bpe_round_trip": op9_bpe_round_trip,
+    "op10_quality_rules": op10_quality_rules,
 }
 
 #: Line dedup is the one whose rows SQL can give at an acceptable cost on whole tables.
