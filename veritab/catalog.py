@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+from veritab.plans import ALL
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: f for part in ALL for name, f in part.QUERIES.items()}
+ORACLE_SQL: dict[str, str] = {name: sql for part in ALL for name, sql in part.ORACLE_SQL.items()}
 FLAGSHIP = "similarity_gate_verdicts"

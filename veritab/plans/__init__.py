@@ -1,0 +1,5 @@
+"""The registered queries, by subject."""
+
+from veritab.plans import similarity
+
+ALL = (similarity,)
