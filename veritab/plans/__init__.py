@@ -1,5 +1,5 @@
 """The registered queries, by subject."""
 
-from veritab.plans import similarity
+from veritab.plans import relational, similarity
 
-ALL = (similarity,)
+ALL = (similarity, relational)
