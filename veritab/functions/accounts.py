@@ -11,8 +11,6 @@ from pyspark.sql import functions as F
 
 MASS_FLOOR, TIE_TOLERANCE, TOP_K = 1e-12, 1e-8, 10
 
-ZERO = F.lit(0.0)
-
 
 def let(value: Column, body) -> Column:
     """body of a value that is computed once, however often the body uses it."""

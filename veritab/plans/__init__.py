@@ -1,5 +1,5 @@
 """The registered queries, by subject."""
 
-from veritab.plans import relational, similarity
+from veritab.plans import metrics, relational, similarity
 
-ALL = (similarity, relational)
+ALL = (similarity, relational, metrics)
