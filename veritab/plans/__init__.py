@@ -1,5 +1,5 @@
 """The registered queries, by subject."""
 
-from veritab.plans import metrics, relational, similarity
+from veritab.plans import explanations, metrics, relational, similarity
 
-ALL = (similarity, relational, metrics)
+ALL = (similarity, relational, metrics, explanations)
