@@ -83,3 +83,32 @@ def latency_summary(frame: DataFrame, seconds: str, repetition: str, *keys: str)
 def workload(frame: DataFrame, cost: Column, *keys: str) -> DataFrame:
     """Sums of a cost for each cell and in all, by rollup."""
     return frame.rollup(*keys).agg(F.sum(cost).alias("evaluations"), F.count("*").alias("n_units"), F.grouping_id().alias("level"))
+
+
+def class_row_matrix(frame: DataFrame, component: str, label: str, classes: list) -> DataFrame:
+    """Rows of each class in each component, as columns."""
+    return frame.groupBy(component).pivot(label, classes).count().na.fill(0)
+
+
+def residual_summary(frame: DataFrame, residual: str, tolerance: float, *keys: str) -> DataFrame:
+    """Records, median, 95th percentile, maximum and number above the tolerance."""
+    return frame.groupBy(*keys).agg(F.count("*").alias("records"), quantile(residual, 0.5).alias("median"), quantile(residual, 0.95).alias("p95"), F.max(residual).alias("maximum"), F.count_if(F.col(residual) > tolerance).alias("above_tolerance"))
+
+
+def effect_counts(summary: DataFrame, estimate: str, low: str, *keys: str) -> DataFrame:
+    """Conditions, those with a positive effect and a positive lower bound, mean effect and bounds."""
+    return summary.groupBy(*keys).agg(F.count("*").alias("n_conditions"), F.count_if(F.col(low) > 0).alias("n_positive"), F.avg(estimate).alias("mean_effect"), F.min(low).alias("min_ci_low"), F.avg(low).alias("mean_ci_low"), F.avg((F.col(low) > 0).cast("double")).alias("positive_fraction"))
+
+
+def convergence(frame: DataFrame, value: str, budget: str, *keys: str) -> DataFrame:
+    """Mean by budget and keys, and by budget over all keys."""
+    sets = [[F.col(budget), *map(F.col, keys)], [F.col(budget)]]
+    return frame.groupingSets(sets, budget, *keys).agg(F.avg(value).alias("mean"), F.count(value).alias("n"), F.grouping_id().alias("level"))
+
+
+def non_evaluable(detail: DataFrame, identified: str, left: str, right: str, gap: str, least: float, *keys: str) -> DataFrame:
+    """Why cells can't be judged: coverage, its shortfall, one- and two-sided failures, and boundary gaps."""
+    share = lambda c: F.avg(c.cast("double"))
+    finite_gap = F.when(F.abs(gap) != float("inf"), F.col(gap))
+    one_sided = F.col(left) != F.col(right)
+    return detail.groupBy(*keys).agg(share(F.col(identified)).alias("coverage"), F.greatest(least - share(F.col(identified)), F.lit(0.0)).alias("shortfall"), share(one_sided).alias("one_sided"), share(~F.col(left) & ~F.col(right)).alias("both_sided"), quantile(finite_gap, 0.5).alias("gap_median"), quantile(finite_gap, 0.05).alias("gap_p05"))
