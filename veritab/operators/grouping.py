@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from veritab.operators.prefix import value_ranks
+
 SPLITS = ("train", "validation", "test")
 
 
@@ -86,10 +88,11 @@ def split_violations(rows: DataFrame, split: str, group: str) -> DataFrame:
 
 
 def feature_distance(frame: DataFrame, features: list[str]) -> DataFrame:
-    """1 - |Spearman| of all feature pairs (G11). Average ranks by counting distinct values; one row for each pair."""
-    from veritab.operators.aggregates import average_rank
-
-    ranked = frame.select(*[average_rank(c).alias(c) for c in features])
+    """1 - |Spearman| of all feature pairs (G11). Ranks are those of distinct values, joined to the rows; one row for each pair."""
+    ranked = frame.select(*features)
+    for c in features:
+        ranked = ranked.join(value_ranks(frame, c).withColumnRenamed("average_rank", f"{c}~"), c)
+    ranked = ranked.select(*[F.col(f"{c}~").alias(c) for c in features])
     pairs = [(a, b) for i, a in enumerate(features) for b in features[i + 1 :]]
     one = ranked.agg(*[F.corr(a, b).alias(f"{a}~{b}") for a, b in pairs])
     return one.select(F.inline(F.array(*[F.struct(F.lit(a).alias("left_feature"), F.lit(b).alias("right_feature"), (1 - F.abs(F.col(f"{a}~{b}"))).alias("distance")) for a, b in pairs])))

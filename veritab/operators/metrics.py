@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from veritab.operators.prefix import running_totals
+
 
 def ratio(a: Column, b: Column, empty: float | None = 0.0) -> Column:
     return F.coalesce(F.try_divide(a.cast("double"), b.cast("double")), F.lit(empty).cast("double"))
@@ -37,15 +39,14 @@ def binary_metrics(frame: DataFrame, *keys: str, truth: str = "truth", decision:
 def roc_auc(frame: DataFrame, *keys: str, truth: str = "truth", score: str = "score") -> DataFrame:
     """Area under the ROC curve by rank sums; rows are first counted by score, so ties are one row."""
     counts = frame.groupBy(*keys, score).agg(F.sum(truth).alias("pos"), F.count("*").alias("n"))
-    below = F.sum(F.col("n") - F.col("pos")).over(Window.partitionBy(*keys).orderBy(score)) - (F.col("n") - F.col("pos"))
-    each = counts.select(*keys, "pos", (F.col("n") - F.col("pos")).alias("neg"), below.alias("below"))
+    counts = running_totals(counts.withColumn("neg", F.col("n") - F.col("pos")), score, ["neg"], *keys)
+    each = counts.select(*keys, "pos", "neg", (F.col("cum_neg") - F.col("neg")).alias("below"))
     return each.groupBy(*keys).agg(ratio(F.sum(F.col("pos") * (F.col("below") + F.col("neg") / 2)), F.sum("pos") * F.sum("neg"), None).alias("roc_auc"))
 
 
 def average_precision(frame: DataFrame, *keys: str, truth: str = "truth", score: str = "score") -> DataFrame:
     counts = frame.groupBy(*keys, score).agg(F.sum(truth).alias("pos"), F.count("*").alias("n"))
-    line = Window.partitionBy(*keys).orderBy(F.desc(score))
-    each = counts.withColumn("tp", F.sum("pos").over(line)).withColumn("seen", F.sum("n").over(line))
+    each = running_totals(counts, score, ["pos", "n"], *keys, descending=True).withColumnsRenamed({"cum_pos": "tp", "cum_n": "seen"})
     return each.groupBy(*keys).agg(ratio(F.sum(F.col("pos") * F.col("tp") / F.col("seen")), F.sum("pos"), None).alias("average_precision"))
 
 
@@ -87,12 +88,13 @@ def class_summary(per: DataFrame, *keys: str) -> DataFrame:
 def threshold_at_fpr(frame: DataFrame, most_fpr: float, *keys: str, truth: str = "truth", score: str = "score") -> DataFrame:
     """The score end with the largest recall, then F2, then threshold, among those under the cap.
 
-    Without one, a threshold above all scores. Rows are first counted by score, so windows see distinct scores.
+    Without one, a threshold above all scores. Rows are first counted by score, and ordered bucket by bucket.
     """
     counts = frame.groupBy(*keys, F.col(score).alias("threshold")).agg(F.sum(truth).alias("pos"), F.count("*").alias("n"))
-    line, every = Window.partitionBy(*keys).orderBy(F.desc("threshold")), Window.partitionBy(*keys)
-    ends = counts.withColumn("tp", F.sum("pos").over(line)).withColumn("fp", F.sum(F.col("n") - F.col("pos")).over(line))
-    ends = ends.withColumn("p", F.sum("pos").over(every)).withColumn("q", F.sum(F.col("n") - F.col("pos")).over(every))
+    counts = counts.withColumn("neg", F.col("n") - F.col("pos"))
+    ends = running_totals(counts, "threshold", ["pos", "neg"], *keys, descending=True).withColumnsRenamed({"cum_pos": "tp", "cum_neg": "fp"})
+    totals = counts.groupBy(*keys).agg(F.sum("pos").alias("p"), F.sum("neg").alias("q"))
+    ends = ends.join(totals, list(keys)) if keys else ends.crossJoin(F.broadcast(totals))
     recall, fpr, precision = F.col("tp") / F.col("p"), F.col("fp") / F.col("q"), F.col("tp") / F.greatest(F.col("tp") + F.col("fp"), F.lit(1))
     scored = ends.select(*keys, "threshold", recall.alias("recall"), fpr.alias("fpr"), precision.alias("precision"))
     scored = scored.withColumn("f2", 5.0 * F.col("precision") * F.col("recall") / F.greatest(4.0 * F.col("precision") + F.col("recall"), F.lit(2.220446049250313e-16)))

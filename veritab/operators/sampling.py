@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veritab.functions.hashing import unit
+from veritab.operators.prefix import running_totals
 
 
 def capped(frame: DataFrame, cap: int, priority: Column, *keys: str, ties: list[Column] = ()) -> DataFrame:
@@ -52,9 +53,12 @@ def quantile_bins(value: str, bins: int, labels: list[str], *keys: str) -> Colum
 
 def temporal_split(groups: DataFrame, order: str, size: str, cuts: tuple[float, float], *keys: str) -> DataFrame:
     """Whole groups in time order, cut at shares of all rows (W11). groups: one row each, far fewer than rows."""
-    line = Window.partitionBy(*keys).orderBy(order, *[c for c in groups.columns if c not in (order, size, *keys)])
-    share = F.sum(size).over(line.rowsBetween(Window.unboundedPreceding, 0)) / F.sum(size).over(Window.partitionBy(*keys))
-    return groups.withColumn("split", F.when(share <= cuts[0], "train").when(share <= cuts[1], "validation").otherwise("test"))
+    total = groups.groupBy(*keys).agg(F.sum(size).alias("_total"))
+    ties = tuple(c for c in groups.columns if c not in (order, size, *keys))
+    run = running_totals(groups, order, [size], *keys, ties=ties)
+    run = run.join(total, list(keys)) if keys else run.crossJoin(F.broadcast(total))
+    share = F.col(f"cum_{size}") / F.col("_total")
+    return run.withColumn("split", F.when(share <= cuts[0], "train").when(share <= cuts[1], "validation").otherwise("test")).select(*groups.columns, "split")
 
 
 def tie_order(features: DataFrame, policy: str, key: list[str], value: str = "value", feature: str = "feature", salt: str = "ties") -> DataFrame:
