@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text hashed in one go; a longer document is still hashed whole.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 #: Rows of an Arrow batch.
 BATCH_ROWS = 512
 
@@ -115,14 +115,14 @@ def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     """base ** i and base ** -i modulo 2 ** 64, for i < n."""
     kept = _powers.get(base)
     if kept is None or len(kept[0]) < n:
-        size = max(n, SLICE_BYTES + 1)
+        size = max(1 << 16, 1 << (n - 1).bit_length())
         both = []
         for b in (base, pow(base, -1, 1 << 64)):
             row = np.full(size, b, np.uint64)
             row[0] = 1
             both.append(np.multiply.accumulate(row))
         kept = (both[0], both[1])
-        if size <= 4 * SLICE_BYTES:
+        if size <= 2 * SLICE_BYTES:
             _powers[base] = kept
     return kept
 

@@ -24,7 +24,7 @@ CELLS, SHARDS, KEYS_A_ROUND = 1 << 26, 64, 1 << 25
 #: Cells that each key sets.
 PROBES = 2
 #: Keys that a task holds before it emits their cells.
-HELD_KEYS = 1 << 21
+HELD_KEYS = 1 << 20
 
 
 def cells_of(hashes: np.ndarray) -> list[np.ndarray]:
@@ -65,6 +65,13 @@ def _seen(batches: Iterator[pa.RecordBatch], rounds: int) -> Iterator[pa.RecordB
         yield _emit(np.concatenate(held), rounds)
 
 
+def _merge_once(parts: pd.DataFrame) -> pd.DataFrame:
+    once = np.zeros(CELLS // SHARDS, bool)
+    for a in parts["once"]:
+        once[np.frombuffer(a, np.uint32)] = True
+    return pd.DataFrame({"r": parts["r"].iloc[:1], "shard": parts["shard"].iloc[:1], "bits": [np.packbits(once).tobytes()]})
+
+
 def _merge(parts: pd.DataFrame) -> pd.DataFrame:
     """One shard of one round: at most keys_a_round / SHARDS cells, whatever the input."""
     width = CELLS // SHARDS
@@ -77,14 +84,14 @@ def _merge(parts: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"r": parts["r"].iloc[:1], "shard": parts["shard"].iloc[:1], "bits": [np.packbits(twice).tobytes()]})
 
 
-class TwiceSeen:
-    """The filter of one round. keys of a task are given as lists of longs in a column ``h``."""
+class Seen:
+    """The bits of one round's filter."""
 
     def __init__(self, bits: np.ndarray, r: int, rounds: int):
         self.bits, self.r, self.rounds = bits, r, rounds
 
     def suspects(self, hashes: np.ndarray) -> np.ndarray:
-        """Which hashes of this round's class may have been seen twice."""
+        """Which hashes of this round's class the filter can't rule out."""
         keep = hashes.view(np.uint64) % np.uint64(self.rounds) == self.r if self.rounds > 1 else np.ones(len(hashes), bool)
         for probe, at in enumerate(cells_of(hashes)):
             keep &= (self.bits[probe, at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)
@@ -92,17 +99,29 @@ class TwiceSeen:
 
 
 def twice_seen(hashed: DataFrame, total: int, keys_a_round: int = KEYS_A_ROUND) -> Iterator:
-    """Broadcast filters, one for each round, over the longs in the array column ``h`` of ``hashed``."""
-    spark = hashed.sparkSession
+    """Broadcast filters, one for each round, of what occurs twice in the array column ``h`` of longs."""
     rounds = max(1, -(-total // keys_a_round))
-    cells = hashed.select("h").mapInArrow(lambda b: _seen(b, rounds), "r int, shard int, once binary, twice binary")
-    merged = cells.groupBy("r", "shard").applyInPandas(_merge, "r int, shard int, bits binary")
+    merged = _merged(hashed, rounds, _merge)
     if rounds > 1:
         merged = staged(merged, "filters")
-    width = CELLS // SHARDS // 8
     for r in range(rounds):
-        bits = np.zeros((PROBES, CELLS // 8), np.uint8)
-        for row in merged.filter(F.col("r") == r).collect():  # PROBES * SHARDS rows of a fixed size
-            probe, shard = divmod(row["shard"], SHARDS)
-            bits[probe, shard * width : (shard + 1) * width] = np.frombuffer(row["bits"], np.uint8)
-        yield spark.sparkContext.broadcast(TwiceSeen(bits, r, rounds))
+        yield _broadcast(merged, r, rounds)
+
+
+def once_seen(hashed: DataFrame):
+    """A broadcast filter of what occurs in the array column ``h`` of longs; its error rate grows with the input, its size doesn't."""
+    return _broadcast(_merged(hashed, 1, _merge_once), 0, 1)
+
+
+def _merged(hashed: DataFrame, rounds: int, merge) -> DataFrame:
+    cells = hashed.select("h").mapInArrow(lambda b: _seen(b, rounds), "r int, shard int, once binary, twice binary")
+    return cells.groupBy("r", "shard").applyInPandas(merge, "r int, shard int, bits binary")
+
+
+def _broadcast(merged: DataFrame, r: int, rounds: int):
+    width = CELLS // SHARDS // 8
+    bits = np.zeros((PROBES, CELLS // 8), np.uint8)
+    for row in merged.filter(F.col("r") == r).collect():  # PROBES * SHARDS rows of a fixed size
+        probe, shard = divmod(row["shard"], SHARDS)
+        bits[probe, shard * width : (shard + 1) * width] = np.frombuffer(row["bits"], np.uint8)
+    return merged.sparkSession.sparkContext.broadcast(Seen(bits, r, rounds))

@@ -15,8 +15,9 @@ component_id, the smallest id reachable by links.
 4. Each n-gram's entries are first compared with one of them only, the pivot, round after round with another
    pivot. So a large group of near copies becomes one component after a number of comparisons that grows with
    its size, not with its square.
-5. What is left are entries of one n-gram that lie in different components. All their pairs with enough shared
-   prefix entries and compatible sizes are compared, so no link between different components is missed.
+5. What is left are entries of one n-gram that lie in different components. All their pairs of compatible
+   sizes that share as many prefix entries as linked sets must are compared, so no link between different
+   components is missed. Only the texts of documents in such pairs are read again.
 
 Comparisons count common hashes of 64 bits; a false one would need colliding n-grams. Rows with the same id are
 rows of their own. Null ids compare as the smallest id. Empty tables give empty results.
@@ -28,18 +29,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veritab.llm._components import components
 from veritab.llm._core import buffer_of, lowered, mixed, signed, slices, small_batches, span_hashes, staged, window_hashes, word_hashes, words
-from veritab.llm._filters import flat_longs, twice_seen
+from veritab.llm._filters import flat_longs, once_seen, twice_seen
 
 SHINGLE, PERCENT, MOST_MATCHES = 5, 80, 4
 #: Counters of the sketch (4 bytes each in every worker).
 COUNTERS = 1 << 22
 #: Rounds with a single pivot before the rest is compared pair by pair.
-PIVOT_ROUNDS = 3
+PIVOT_ROUNDS = 2
 
 
 def shingle_sets(raw: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -198,24 +199,38 @@ def _sets(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBat
             yield pa.RecordBatch.from_arrays([pa.array(signed(set_hashes(grams, begin))), pa.ListArray.from_arrays(pa.array(begin, pa.int32()), pa.array(signed(grams)))], names=["e", "tokens"])
 
 
-def _named(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        raw, offsets = buffer_of(batch.column(0))
-        e = [signed(set_hashes(*shingle_sets(part, own, size))) for _, _, part, own in slices(raw, offsets)]
-        if e:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(e)), batch.column(0)], names=["e", "text"])
+def _linked(pairs: DataFrame, rows: DataFrame, nodes: DataFrame, size: int, percent: int) -> DataFrame:
+    """The pairs (a, b) of set hashes that link.
 
+    Their texts are found by a filter on id hashes, of a fixed size, so that no other text is shuffled.
+    """
+    needed = staged(pairs.select(F.col("a").alias("e")).unionByName(pairs.select(F.col("b").alias("e"))).distinct().join(nodes.select("e", "id"), "e"), "needed")
+    seen = once_seen(needed.select(F.array(F.xxhash64("id")).alias("h")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = seen.value.suspects(np.ascontiguousarray(batch.column(0).to_numpy(zero_copy_only=False), np.int64))
+            yield from _sets([pa.RecordBatch.from_arrays([batch.column(1).filter(pa.array(keep))], names=["text"])], size)
 
-def _linked(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of set hashes that link. texts: one row (e, text) for each set hash."""
-    needed = pairs.select(F.col("a").alias("e")).unionByName(pairs.select(F.col("b").alias("e"))).distinct()
-    wanted = texts.join(needed, "e", "left_semi").select("text")
-    sets = staged(wanted.mapInArrow(lambda x: _sets(x, size), "e long, tokens array<long>"), "sets")
+    found = rows.select(F.xxhash64("id").alias("h"), "text").mapInArrow(run, "e long, tokens array<long>")
+    sets = staged(found.join(needed.select("e"), "e", "left_semi").dropDuplicates(["e"]), "sets")
     both = pairs.join(sets.select(F.col("e").alias("a"), F.col("tokens").alias("x")), "a").join(sets.select(F.col("e").alias("b"), F.col("tokens").alias("y")), "b")
     counted = both.select("a", "b", F.size("x").alias("i"), F.size("y").alias("j"), F.size(F.array_intersect("x", "y")).alias("c"))
     return counted.filter(F.col("c") * 100 >= percent * (F.col("i") + F.col("j") - F.col("c"))).select("a", "b")
 
 
+def _demanded(an: str, am: str, bn: str, bm: str, percent: int) -> Column:
+    """Prefix entries that two linked sets share at least.
+
+    Of the two prefixes, take the one whose last entry comes first: what the sets share up to there lies in both
+    prefixes, and what they share beyond is no more than that set has beyond its prefix. A prefix of m matches
+    leaves T - m entries of its set, and an intersection is at least percent / (100 + percent) of both sizes.
+    """
+    beyond = lambda n, m: F.ceil(F.col(n) * percent / 100) - F.col(m)
+    needed = F.ceil((F.col(an) + F.col(bn)) * percent / (100 + percent) - 1e-9)
+    return F.greatest(F.least(am, bm).cast("long"), needed - F.greatest(beyond(an, am), beyond(bn, bm)))
+
+
 def _fits(n: str, other: str, percent: int):
     return F.least(n, other) * 100 >= percent * F.greatest(n, other)
 
@@ -235,37 +250,39 @@ def jaccard_components(frame: DataFrame, id_column: str = "doc_id", text_column:
     prefixes = staged(rows.select("text").mapInArrow(lambda b: _prefixes(b, shingle, percent, most_matches, counts.value), "e long, n long, m int, h array<long>"), "prefixes")
     total = prefixes.agg(F.coalesce(F.sum(F.size("h").cast("long")), F.lit(0)).alias("n")).first()["n"]
     entries = staged(_entries(prefixes, total).distinct(), "entries")
-    several = entries.groupBy("t").agg(F.count("*").alias("c")).filter("c > 1").select("t")
+    several = entries.groupBy("t").agg(F.count("*").alias("c")).filter("c > 1")
     entries = staged(entries.join(several, "t"), "entries")
-
-    # one row of text for each set that still has a candidate
-    live = staged(entries.select("e").distinct().join(nodes.select("e", "id"), "e"), "live")
-    firsts = rows.join(live.select("id"), rows["id"].eqNullSafe(live["id"]), "left_semi").select("text")
-    named_texts = firsts.mapInArrow(lambda b: _named(b, shingle), "e long, text string")
-    texts = staged(named_texts.join(live.select("e"), "e", "left_semi").dropDuplicates(["e"]), "candidate-texts")
+    # the original of a group of near copies holds the entries that most others hold: the best pivot
+    weights = staged(entries.groupBy("e").agg(F.sum("c").alias("w")), "weights")
+    entries = staged(entries.join(weights, "e").select("t", "e", "n", "m", "w"), "entries")
 
     links, roots = None, None
     for step in range(PIVOT_ROUNDS + 1):
         if roots is None:
             placed = entries.withColumn("root", F.col("e"))
         else:
-            placed = entries.join(roots, entries["e"] == roots["node"], "left").select("t", "e", "n", "m", F.coalesce("root", "e").alias("root"))
-        mixed_lists = placed.groupBy("t").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min(F.struct(F.xxhash64("e", F.lit(step)), "e", "n", "root")).alias("pivot")).filter("lo < hi")
-        placed = staged(placed, "placed")
-        mixed_lists = staged(mixed_lists.select("t", "pivot"), "lists")
+            placed = entries.join(roots, entries["e"] == roots["node"], "left").select("t", "e", "n", "m", "w", F.coalesce("root", "e").alias("root"))
+        order = -F.col("w") if step % 2 == 0 else F.xxhash64("e", F.lit(step))
+        pivot = F.min(F.struct(order, "e", "n", "m", "root"))
+        lists = placed.groupBy("t").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), pivot.alias("p")).filter("lo < hi")
+        placed = staged(placed, "placed") if roots is not None else placed
+        lists = staged(lists.select("t", F.col("p.e").alias("b"), F.col("p.n").alias("bn"), F.col("p.m").alias("bm"), F.col("p.root").alias("br")), "lists")
+        left = placed.select("t", F.col("e").alias("a"), F.col("n").alias("an"), F.col("m").alias("am"), F.col("root").alias("ar"))
         if step < PIVOT_ROUNDS:
-            one = placed.join(mixed_lists, "t").filter((F.col("root") != F.col("pivot.root")) & _fits("n", "pivot.n", percent))
-            pairs = one.select(F.least("e", "pivot.e").alias("a"), F.greatest("e", "pivot.e").alias("b")).distinct()
+            each, share = left.join(lists, "t"), 0.5  # pairs with a pivot come early, not instead of others
         else:
-            rest = placed.join(mixed_lists.select("t"), "t")
-            left = rest.select("t", F.col("e").alias("a"), F.col("n").alias("an"), F.col("m").alias("am"), F.col("root").alias("ar"))
-            right = rest.select("t", F.col("e").alias("b"), F.col("n").alias("bn"), F.col("m").alias("bm"), F.col("root").alias("br"))
-            each = left.join(right, "t").filter((F.col("a") < F.col("b")) & (F.col("ar") != F.col("br")) & _fits("an", "bn", percent))
-            pairs = each.groupBy("a", "b").agg(F.count("*").alias("c"), F.first(F.least("am", "bm")).alias("m")).filter("c >= m").select("a", "b")
+            rest = left.join(lists.select("t"), "t")
+            each, share = rest.join(rest.select("t", *[F.col(f"a{c}").alias(f"b{c}") for c in ("n", "m", "r")], F.col("a").alias("b")), "t").filter("a < b"), 1.0
+        each = each.filter((F.col("ar") != F.col("br")) & _fits("an", "bn", percent))
+        counted = each.groupBy("a", "b").agg(F.count("*").alias("c"), *[F.first(x).alias(x) for x in ("an", "am", "bn", "bm")])
+        pairs = counted.filter(F.col("c") >= share * _demanded("an", "am", "bn", "bm", percent))
+        if step < PIVOT_ROUNDS:  # of all pivots that a set meets, the one that shares most with it
+            pairs = pairs.groupBy("a").agg(F.max(F.struct("c", "b")).alias("best")).select("a", F.col("best.b").alias("b"))
+        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         pairs = staged(pairs, "pairs")
         if pairs.isEmpty():
             continue
-        new = staged(_linked(pairs, texts, shingle, percent), "links")
+        new = staged(_linked(pairs, rows, nodes, shingle, percent), "links")
         if new.isEmpty():
             continue
         links = new if links is None else links.unionByName(new)
