@@ -7,14 +7,13 @@ too, is removed; windows are judged on the input.
 1. A pass names each document's whole word sequence by a hash, so equal documents are one source from here on,
    and picks minimizers: in each window the ``k``-word gram with the smallest hash. Equal windows pick equal
    grams, so a window can only recur if a twice-seen filter knows its minimizer; most text ends here.
-2. The suspected windows are the edges of a de Bruijn graph (they join their first and last window - 1 words).
-   Edges are counted by their 64 + 32 hash bits, with their first source coordinate (source, position) and
-   sums of hashed coordinates. Only edges with two different coordinates are repeats.
-3. Repeated edges whose first coordinates follow each other are one nonbranching path where all coordinates of
-   the one, shifted by a word, are all coordinates of the other; the sums verify this. Each path is compacted
-   into its head and length.
-4. Heads are joined with the edges for all their coordinates, which gives each source's repeated spans, and
-   the spans with the texts.
+2. The suspected windows are the edges of a de Bruijn graph (they join their first and last window - 1 words),
+   each with its source coordinate: source and position. A task settles the edges that recur among its own
+   and sends one witness of each, so an edge that a third of all documents hold is no large group anywhere.
+   The others are dealt out by their hash; an edge at two different coordinates is repeated.
+3. Repeated edges that follow each other in a source, with nothing else between them, are a nonbranching path
+   and are compacted into one span; a source keeps few spans.
+4. Spans are joined with the texts by source, and applied to the words at their coordinates.
 
 Null and empty texts have no words and keep the empty text. Documents of fewer words than a window lose
 nothing. Repeated rows, with equal ids or not, are occurrences of their own and so repeats of each other.
@@ -27,13 +26,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veritab.llm._core import buffer_of, signed, slices, small_batches, span_hashes, staged, word_hashes, words
-from veritab.llm._filters import twice_seen
+from veritab.llm._filters import once_seen, twice_seen
 
 WINDOW, K = 35, 12
+#: Edges that a task compares with each other before it passes them on.
+HELD_EDGES = 1 << 19
 CHECK_BASE = 0x9FB21C651E98DF25
 
 
@@ -105,9 +106,25 @@ def _profiles(batches: Iterator[pa.RecordBatch], window: int, k: int) -> Iterato
                 yield pa.RecordBatch.from_arrays([pa.array(e, pa.int64()), pa.ListArray.from_arrays(pa.array(places, pa.int32()), pa.array(np.concatenate(lists)))], names=["source", "h"])
 
 
+def _flushed(h: np.ndarray, source: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
+    """Edges that a task holds. What recurs among them needs no shuffle, but for one witness for the other tasks.
+
+    kind: 0 unknown, 1 repeated and the witness of its edge, 2 repeated.
+    """
+    order = np.lexsort((at, source, h))
+    h, source, at = h[order], source[order], at[order]
+    same = np.zeros(len(h) + 1, bool)
+    same[1:-1] = h[1:] == h[:-1]
+    repeated, witness = same[:-1] | same[1:], ~same[:-1]
+    kind = np.where(repeated, np.where(witness, 1, 2), 0).astype(np.int32)
+    return pa.RecordBatch.from_arrays([pa.array(signed(h)), pa.array(source), pa.array(at), pa.array(kind)], names=["h", "source", "at", "kind"])
+
+
 def _edges(batches: Iterator[pa.RecordBatch], window: int, k: int, filters) -> Iterator[pa.RecordBatch]:
-    """Rows (h, g, source, at) of the windows that may recur; a task tells a source once."""
+    """Rows (h, source, at, kind) of the windows that may recur; a task tells a source once."""
     told: set[int] = set()
+    held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    n = 0
     for batch in batches:
         raw, offsets = buffer_of(batch.column(0))
         for _, _, part, own in slices(raw, offsets):
@@ -115,24 +132,76 @@ def _edges(batches: Iterator[pa.RecordBatch], window: int, k: int, filters) -> I
             hashes = word_hashes(part, start, end)
             names = sources(hashes, first)
             begin, least, _, bounds = minimizers(hashes, first, window, k)
-            suspect = np.zeros(len(least), bool)
+            if not len(begin):
+                continue
             new = np.ones(len(least), bool)
             new[1:] = least[1:] != least[:-1]
-            runs = np.cumsum(new) - 1
-            if len(least):
-                suspect = filters.value.suspects(signed(least[new]))[runs]
+            suspect = filters.value.suspects(signed(least[new]))[np.cumsum(new) - 1]
             row = np.repeat(np.arange(len(names)), np.diff(bounds))
             fresh = np.zeros(len(names), bool)
             for i in np.unique(row[suspect]):
                 if (name := int(names[i])) not in told:
                     told.add(name)
                     fresh[i] = True
-            chosen = np.flatnonzero(suspect & fresh[row]) if len(row) else np.zeros(0, np.int64)
+            chosen = np.flatnonzero(suspect & fresh[row])
             if len(chosen):
                 at = begin[chosen]
-                h = span_hashes(hashes, at, at + window, 0xD6E8FEB86659FD93)
-                g = span_hashes(hashes, at, at + window, CHECK_BASE)
-                yield pa.RecordBatch.from_arrays([pa.array(signed(h)), pa.array((g >> np.uint64(33)).astype(np.int32)), pa.array(names[row[chosen]]), pa.array((at - first[row[chosen]]).astype(np.int32))], names=["h", "g", "source", "at"])
+                held.append((span_hashes(hashes, at, at + window, 0xD6E8FEB86659FD93), names[row[chosen]], (at - first[row[chosen]]).astype(np.int32)))
+                n += len(chosen)
+        if n >= HELD_EDGES:
+            yield _flushed(*[np.concatenate(x) for x in zip(*held, strict=True)])
+            held, n = [], 0
+    if n:
+        yield _flushed(*[np.concatenate(x) for x in zip(*held, strict=True)])
+
+
+def _resolved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (source, at) of the unknown edges that lie at two coordinates. Comes sorted by h, source, at.
+
+    Only an edge's first coordinate is held, so an edge may have any number of rows.
+    """
+    edge, first, several, waiting = None, None, False, False
+    for batch in batches:
+        h, source, at, kind = (np.asarray(batch.column(i).to_numpy(zero_copy_only=False)) for i in range(4))
+        if not len(h):
+            continue
+        begins = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+        ends = np.append(begins[1:], len(h))
+        continued = edge is not None and h[0] == edge
+        extra: list[tuple[int, int]] = []
+        # rows of an edge are sorted, so two coordinates show in its first and last row
+        multi = (source[begins] != source[ends - 1]) | (at[begins] != at[ends - 1])
+        if continued:
+            multi[0] |= several or (source[0], at[0]) != first
+            if multi[0] and waiting:
+                extra.append(first)
+                waiting = False
+        out = np.repeat(multi, ends - begins) & (kind == 0)
+        a = begins[-1]
+        if not (continued and len(begins) == 1):
+            edge, first, several, waiting = h[-1], (source[a], at[a]), False, False
+        several = bool(multi[-1])
+        if not several:
+            waiting = waiting or bool((kind[a:] == 0).any())
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.array([x[0] for x in extra], np.int64), source[out]])), pa.array(np.concatenate([np.array([x[1] for x in extra], np.int32), at[out]]))], names=["source", "at"])
+
+
+def _paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (source, spans): neighbouring repeated edges of a source compacted to (at, length)."""
+    kind = pa.struct([("at", pa.int32()), ("length", pa.int32())])
+    for batch in batches:
+        sizes = np.asarray(batch.column(1).value_lengths())
+        at = np.asarray(batch.column(1).flatten().to_numpy(zero_copy_only=False))
+        row = np.repeat(np.arange(len(sizes)), sizes)
+        order = np.lexsort((at, row))
+        at, row = at[order], row[order]
+        head = np.ones(len(at), bool)
+        head[1:] = (row[1:] != row[:-1]) | (at[1:] != at[:-1] + 1)
+        begins = np.flatnonzero(head)
+        lengths = np.diff(np.append(begins, len(at))).astype(np.int32)
+        places = np.searchsorted(row[begins], np.arange(len(sizes) + 1)).astype(np.int32)
+        spans = pa.StructArray.from_arrays([pa.array(at[begins], pa.int32()), pa.array(lengths, pa.int32())], fields=list(kind))
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(places), spans)], names=["source", "spans"])
 
 
 def repeated_spans(texts: DataFrame, window: int, k: int) -> DataFrame:
@@ -141,31 +210,35 @@ def repeated_spans(texts: DataFrame, window: int, k: int) -> DataFrame:
     total = profiles.agg(F.coalesce(F.sum(F.size("h").cast("long")), F.lit(0)).alias("n")).first()["n"]
     edges = None
     for filters in twice_seen(profiles, total):
-        part = texts.mapInArrow(lambda b, filters=filters: _edges(b, window, k, filters), "h long, g int, source long, at int")
+        part = texts.mapInArrow(lambda b, filters=filters: _edges(b, window, k, filters), "h long, source long, at int, kind int")
         edges = part if edges is None else edges.unionByName(part)
     edges = staged(edges, "windows")
-    mark = lambda shift: F.try_sum(F.shiftrightunsigned(F.xxhash64("source", F.col("at") + shift), 24))
-    repeats = edges.groupBy("h", "g").agg(F.count("*").alias("n"), F.min(F.struct("source", "at")).alias("lo"), F.max(F.struct("source", "at")).alias("hi"), mark(0).alias("here"), mark(1).alias("next")).filter("lo != hi")
-    line = Window.partitionBy("lo.source").orderBy("lo.at", "h", "g")
-    before = {c: F.lag(c).over(line) for c in ("n", "next")} | {"at": F.lag("lo.at").over(line)}
-    follows = (before["at"] + 1 == F.col("lo.at")) & (before["n"] == F.col("n")) & (before["next"] == F.col("here"))
-    numbered = repeats.withColumn("head", (~F.coalesce(follows, F.lit(False))).cast("int"))
-    numbered = numbered.withColumn("path", F.sum("head").over(line.rowsBetween(Window.unboundedPreceding, 0)))
-    paths = numbered.groupBy(F.col("lo.source").alias("origin"), "path").agg(F.min(F.struct("lo.at", "h", "g")).alias("first"), F.count("*").alias("length"))
-    heads = staged(paths.select("first.h", "first.g", "length"), "paths")
-    spans = edges.join(heads, ["h", "g"]).groupBy("source").agg(F.collect_set(F.struct("at", "length")).alias("spans"))
-    return staged(spans, "spans")
-
-
-def _named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    dealt = edges.filter("kind < 2").repartition("h").sortWithinPartitions("h", "source", "at")
+    repeated = dealt.mapInArrow(_resolved, "source long, at int").unionByName(edges.filter("kind > 0").select("source", "at"))
+    grouped = repeated.groupBy("source").agg(F.collect_set("at").alias("ats"))
+    return staged(grouped.mapInArrow(_paths, "source long, spans array<struct<at: int, length: int>>"), "spans")
+
+
+def _named(batches: Iterator[pa.RecordBatch], seen=None) -> Iterator[pa.RecordBatch]:
+    """Rows (row, text, source); with a filter, only those of sources that it can't rule out."""
     for batch in batches:
         raw, offsets = buffer_of(batch.column(1))
-        names = []
+        names = [np.zeros(0, np.int64)]
         for _, _, part, own in slices(raw, offsets):
             start, end, first = words(part, own)
             names.append(sources(word_hashes(part, start, end), first))
-        if names:
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(names))], names=["row", "text", "source"])
+        source = np.concatenate(names)
+        made = pa.RecordBatch.from_arrays([*batch.columns, pa.array(source)], names=["row", "text", "source"])
+        yield made if seen is None else made.filter(pa.array(seen.value.suspects(source)))
+
+
+def _untouched(batches: Iterator[pa.RecordBatch], seen, with_text: bool) -> Iterator[pa.RecordBatch]:
+    """Results of the other rows, which keep all their words."""
+    for batch in _named(batches):
+        rest = batch.filter(pa.array(~seen.value.suspects(np.asarray(batch.column(2)))))
+        nulls = [pa.nulls(rest.num_rows, pa.list_(pa.struct([("at", pa.int32()), ("length", pa.int32())]))), pa.nulls(rest.num_rows, pa.int64())]
+        plain = pa.RecordBatch.from_arrays([rest.column(0), rest.column(1), *nulls], names=["row", "text", "spans", "copies"])
+        yield from _applied(iter([plain]), 1, with_text)
 
 
 def _applied(batches: Iterator[pa.RecordBatch], window: int, with_text: bool) -> Iterator[pa.RecordBatch]:
@@ -200,9 +273,11 @@ def substring_dedup(frame: DataFrame, id_column: str = "doc_id", text_column: st
     rows = frame.select(F.struct(F.col(id_column).alias("id")).alias("row"), F.col(text_column).cast("string").alias("text"))
     kind = rows.schema["row"].dataType.simpleString()
     spans = repeated_spans(rows.select("text"), window, k)
-    named = rows.mapInArrow(_named, f"row {kind}, text string, source long")
-    copies = staged(named.groupBy("source").agg(F.count("*").alias("copies")).filter("copies > 1"), "copies")
-    known = staged(spans.join(copies, "source", "full"), "known")
-    applied = named.join(known, "source", "left").select("row", "text", "spans", "copies")
-    out = applied.mapInArrow(lambda b: _applied(b, window, with_text), f"row {kind}, n_words long, n_removed long, kept_sha256 string" + ", kept string" * with_text)
+    copies = rows.mapInArrow(_named, f"row {kind}, text string, source long").groupBy("source").agg(F.count("*").alias("copies")).filter("copies > 1")
+    known = staged(spans.join(staged(copies, "copies"), "source", "full"), "known")
+    # only texts that lose words are shuffled; a filter of a fixed size tells them from the others
+    seen = once_seen(known.select(F.array("source").alias("h")))
+    schema = f"row {kind}, n_words long, n_removed long, kept_sha256 string" + ", kept string" * with_text
+    touched = rows.mapInArrow(lambda b: _named(b, seen), f"row {kind}, text string, source long").join(known.hint("merge"), "source", "left").select("row", "text", "spans", "copies")
+    out = touched.mapInArrow(lambda b: _applied(b, window, with_text), schema).unionByName(rows.mapInArrow(lambda b: _untouched(b, seen, with_text), schema))
     return out.select(F.col("row.id").alias(id_column), "n_words", "n_removed", "kept_sha256", *["kept"] * with_text)
