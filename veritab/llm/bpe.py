@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from veritab.llm._core import small_batches
 
 #: Words, runs between white space, and pairs of tokens that a worker remembers before it starts anew.
-KEPT_WORDS, KEPT_RUNS, KEPT_PAIRS = 250_000, 250_000, 500_000
+KEPT_WORDS, KEPT_RUNS, KEPT_PAIRS = 400_000, 400_000, 1_000_000
 #: Control characters that Python's split() takes for white space and the vocabulary doesn't.
 CONTROLS = "\x1c\x1d\x1e\x1f"
 WORD_END = "</w>"
@@ -218,6 +218,18 @@ def unpack(ids: bytes) -> array:
     return packed
 
 
+_kept: dict[bytes, WordBpe] = {}
+
+
+def kept_model(vocabulary: bytes) -> WordBpe:
+    """The model that this process has already built, with the words it remembers, or a new one."""
+    key = hashlib.sha256(vocabulary).digest()
+    if key not in _kept:
+        _kept.clear()
+        _kept[key] = WordBpe(vocabulary)
+    return _kept[key]
+
+
 def bpe_round_trip(frame: DataFrame, vocabulary: str, id_column: str = "doc_id", text_column: str = "text", outputs: bool = True) -> DataFrame:
     """Per row: the id, ids (binary, 4 bytes each), decoded text, n_tokens, and SHA-256 of ids and of decoded text.
 
@@ -229,7 +241,7 @@ def bpe_round_trip(frame: DataFrame, vocabulary: str, id_column: str = "doc_id",
         model = spark.sparkContext.broadcast(f.read())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = WordBpe(model.value)
+        bpe = kept_model(model.value)
         for batch in batches:
             n, a, b, ids, shown = [], [], [], [], []
             for packed, text in bpe.encode_batch(batch.column(1).to_pylist()):
