@@ -313,3 +313,12 @@ def test_pipeline_stages(spark):
         before = after
     assert len(components(list(before.items()))) == len(before)
     assert {r["doc_id"] for r in corpus_pipeline.STAGES[-1][1](spark, docs, "").collect()} == set(before)
+
+
+def test_parity_bits_bound_the_difference():
+    rng = np.random.default_rng(4)
+    for _ in range(100):
+        a, b = (np.unique(rng.integers(0, 60, int(rng.integers(1, 50))).astype(np.uint64)) for _ in range(2))
+        bits = jaccard_join.parity_bits(np.concatenate([a, b]), np.array([0, len(a), len(a) + len(b)]))
+        assert sum(int(x).bit_count() for x in bits[0] ^ bits[1]) <= len(set(a.tolist()) ^ set(b.tolist()))
+    assert (jaccard_join.parity_bits(np.zeros(0, np.uint64), np.array([0, 0])) == 0).all()

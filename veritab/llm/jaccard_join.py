@@ -16,7 +16,8 @@ component_id, the smallest id reachable by links.
    pivot. So a large group of near copies becomes one component after a number of comparisons that grows with
    its size, not with its square.
 5. What is left are entries of one n-gram that lie in different components. All their pairs of compatible
-   sizes that share as many prefix entries as linked sets must are compared, so no link between different
+   sizes whose parity bits differ in no more places than linked sets can, and that share as many prefix entries
+   as linked sets must, are compared, so no link between different
    components is missed. Only the texts of documents in such pairs are read again.
 
 Comparisons count common hashes of 64 bits; a false one would need colliding n-grams. Rows with the same id are
@@ -37,6 +38,8 @@ from veritab.llm._core import buffer_of, lowered, mixed, signed, slices, small_b
 from veritab.llm._filters import flat_longs, once_seen, twice_seen
 
 SHINGLE, PERCENT, MOST_MATCHES = 5, 80, 4
+#: Longs of a set's parity bits.
+WORDS = 8
 #: Counters of the sketch (4 bytes each in every worker).
 COUNTERS = 1 << 22
 #: Rounds with a single pivot before the rest is compared pair by pair.
@@ -68,6 +71,18 @@ def set_hashes(grams: np.ndarray, begin: np.ndarray) -> np.ndarray:
     return span_hashes(mixed(grams), begin[:-1], begin[1:], 0xA0761D6478BD642F)
 
 
+def parity_bits(grams: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    """Rows of WORDS longs: each n-gram flips one bit. Two rows differ in no more bits than their sets in n-grams."""
+    out = np.zeros((len(begin) - 1, WORDS), np.uint64)
+    filled = np.flatnonzero(np.diff(begin))
+    if len(filled):
+        x = mixed(grams + np.uint64(1))
+        place, bit = (x >> np.uint64(6)) & np.uint64(WORDS - 1), np.uint64(1) << (x & np.uint64(63))
+        for k in range(WORDS):
+            out[filled, k] = np.bitwise_xor.reduceat(np.where(place == k, bit, np.uint64(0)), begin[filled])
+    return out
+
+
 def counter_of(grams: np.ndarray) -> np.ndarray:
     return (mixed(grams) & np.uint64(COUNTERS - 1)).astype(np.int64)
 
@@ -148,13 +163,14 @@ def choose_prefix(ordered: np.ndarray, cost: np.ndarray, n: int, percent: int, m
 
 
 def _prefixes(batches: Iterator[pa.RecordBatch], size: int, percent: int, most_matches: int, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Rows (e, n, m, h): each document's prefix in the common order and the matches it demands."""
+    """Rows (e, n, m, h, bits): each document's prefix in the common order, the matches it demands, and parity bits."""
     usual = 2 * float(counts.mean()) + 8  # what a counter holds of rare n-grams only
     for batch in batches:
         raw, offsets = buffer_of(batch.column(0))
-        e, n, m, lists = [], [], [], []
+        e, n, m, lists, bits = [], [], [], [], []
         for _, _, part, own in slices(raw, offsets):
             grams, begin = shingle_sets(part, own, size)
+            bits.append(parity_bits(grams, begin)[np.diff(begin) > 0])
             seen = counts[counter_of(grams)].astype(np.float64)
             level = np.where(seen > usual, seen, 0.0)
             own_hashes = signed(set_hashes(grams, begin))
@@ -171,7 +187,7 @@ def _prefixes(batches: Iterator[pa.RecordBatch], size: int, percent: int, most_m
         if e:
             flat = pa.array(np.concatenate(lists), pa.int64())
             places = pa.array(np.concatenate([[0], np.cumsum([len(x) for x in lists])]), pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.array(e, pa.int64()), pa.array(n, pa.int64()), pa.array(m, pa.int32()), pa.ListArray.from_arrays(places, flat)], names=["e", "n", "m", "h"])
+            yield pa.RecordBatch.from_arrays([pa.array(e, pa.int64()), pa.array(n, pa.int64()), pa.array(m, pa.int32()), pa.ListArray.from_arrays(places, flat), pa.ListArray.from_arrays(pa.array(range(0, WORDS * len(e) + 1, WORDS), pa.int32()), pa.array(signed(np.concatenate(bits).reshape(-1))))], names=["e", "n", "m", "h", "bits"])
 
 
 def _entries(prefixes: DataFrame, total: int) -> DataFrame:
@@ -247,7 +263,7 @@ def jaccard_components(frame: DataFrame, id_column: str = "doc_id", text_column:
     nodes = profiles.filter("n > 0").groupBy("e").agg(F.min(F.struct(F.col("id"))).alias("least"), F.first("n").alias("n"))
     nodes = staged(nodes.select("e", "n", F.col("least.id").alias("id")), "nodes")
 
-    prefixes = staged(rows.select("text").mapInArrow(lambda b: _prefixes(b, shingle, percent, most_matches, counts.value), "e long, n long, m int, h array<long>"), "prefixes")
+    prefixes = staged(rows.select("text").mapInArrow(lambda b: _prefixes(b, shingle, percent, most_matches, counts.value), "e long, n long, m int, h array<long>, bits array<long>"), "prefixes")
     total = prefixes.agg(F.coalesce(F.sum(F.size("h").cast("long")), F.lit(0)).alias("n")).first()["n"]
     entries = staged(_entries(prefixes, total).distinct(), "entries")
     several = entries.groupBy("t").agg(F.count("*").alias("c")).filter("c > 1")
@@ -272,7 +288,12 @@ def jaccard_components(frame: DataFrame, id_column: str = "doc_id", text_column:
             each, share = left.join(lists, "t"), 0.5  # pairs with a pivot come early, not instead of others
         else:
             rest = left.join(lists.select("t"), "t")
-            each, share = rest.join(rest.select("t", *[F.col(f"a{c}").alias(f"b{c}") for c in ("n", "m", "r")], F.col("a").alias("b")), "t").filter("a < b"), 1.0
+            bits = prefixes.join(rest.select(F.col("a").alias("e")).distinct(), "e", "left_semi").groupBy("e").agg(*[F.first(F.get("bits", F.lit(k))).alias(f"ab{k}") for k in range(WORDS)])
+            rest = staged(rest.join(bits, rest["a"] == bits["e"]).drop("e"), "rest")
+            other = rest.select("t", *[F.col(c).alias("b" + c[1:]) for c in rest.columns if c != "t"])
+            apart = sum([F.bit_count(F.col(f"ab{k}").bitwiseXOR(F.col(f"bb{k}"))) for k in range(1, WORDS)], F.bit_count(F.col("ab0").bitwiseXOR(F.col("bb0"))))
+            allowed = F.col("an") + F.col("bn") - 2 * F.ceil((F.col("an") + F.col("bn")) * percent / (100 + percent) - 1e-9)
+            each, share = rest.join(other, "t").filter((F.col("a") < F.col("b")) & (apart <= allowed)), 1.0
         each = each.filter((F.col("ar") != F.col("br")) & _fits("an", "bn", percent))
         counted = each.groupBy("a", "b").agg(F.count("*").alias("c"), *[F.first(x).alias(x) for x in ("an", "am", "bn", "bm")])
         pairs = counted.filter(F.col("c") >= share * _demanded("an", "am", "bn", "bm", percent))
