@@ -1,12 +1,13 @@
 """License scans: sparse TF-IDF cosine of text to notice templates, then inheritance from the nearest directory.
 
-1. The words of the templates are the vocabulary. One pass counts in how many files each occurs; words of more
-   than ``common`` of all files carry no weight. The counts, one for each vocabulary word, are summed in
-   executors.
+1. The words of the templates are the vocabulary. One pass counts in how many files each occurs; the smoothed idf
+   of a word is at least 1, even if all files have it. A caller may give ``common``: words of more than that share
+   of all files then carry no weight. The counts, one for each vocabulary word, are summed in executors.
 2. Every line with two different weighted words is compared with the templates by the cosine of TF-IDF vectors.
-   Words outside the vocabulary weigh as much as a word of no file. Of lines much longer than a template, the
-   stretches that begin at a weighted word are compared. A file's licence is its best match of at least
-   ``least_cosine``; the match is a header if it lies in the first ``header_lines`` lines.
+   Words outside the vocabulary weigh as much as a word of no file. The whole line is compared, and of lines much
+   longer than a template each stretch of its length. A match has two different words of its template. A file's
+   licence is its best match of at least ``least_cosine``; the match is a header if it lies in the first
+   ``header_lines`` lines.
 3. A licence file stands for its directory: one named like LICENSE or COPYING, or one of which notices make up
    at least half of the words. Each directory without one takes that of its nearest ancestor, by joins of
    directories with their ancestors; each file without a licence of its own takes its directory's.
@@ -19,7 +20,6 @@ whole. Repeated rows are told each on its own. A null path has no directory and
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from veritab.llm._core import buffer_of, lowered, slices, small_batches, staged, word_hashes
 
-LEAST_COSINE, COMMON, HEADER_LINES, FILE_SHARE = 0.6, 0.1, 20, 0.5
+LEAST_COSINE, HEADER_LINES, FILE_SHARE = 0.6, 20, 0.5
 #: Directories are broadcast if they are no more than these.
 BROADCAST_DIRECTORIES = 1 << 17
 LICENSE_FILE = r"(?i)^(licen[cs]e|copying|notice|unlicense)([.-].*)?$"
@@ -96,13 +96,17 @@ class Vocabulary:
 
 
 class Weights:
-    """idf of the vocabulary (0: without weight) and of other words, and unit vectors of the templates."""
+    """idf of the vocabulary (above 0; 0 by the stop rule only) and of other words, and unit vectors of the templates."""
 
-    def __init__(self, vocabulary: Vocabulary, files: int, counts: np.ndarray, common: float = COMMON):
+    def __init__(self, vocabulary: Vocabulary, files: int, counts: np.ndarray, common: float | None = None):
         self.vocabulary = vocabulary
-        self.idf = np.where(counts > common * max(files, 1), 0.0, np.log((1 + files) / (1 + counts)) + 1)
+        self.idf = np.log((1 + files) / (1 + np.minimum(counts, files))) + 1
+        if common is not None:
+            self.idf[counts > common * max(files, 1)] = 0.0
         self.other = float(np.log(1.0 + files) + 1)
         self.place = {w: i for i, w in enumerate(vocabulary.words)}
+        #: Squared weights by index; the last, at index -1, is that of other words.
+        self.squares = np.append(self.idf**2, self.other**2)
         self.units = []
         for name, parts in vocabulary.templates:
             vector = np.zeros(len(self.idf))
@@ -110,24 +114,66 @@ class Weights:
                 vector[self.place[w]] += self.idf[self.place[w]]
             norm = np.sqrt((vector * vector).sum())
             if norm:
-                self.units.append((name, len(parts), vector / norm))
-
-    def best(self, found: np.ndarray) -> tuple[float, str, int]:
-        """Cosine, template and words of the best stretch of a line. found: its words' indexes, -1 for others."""
-        best = (0.0, "", 0)
-        weighted = np.flatnonzero((found >= 0) & (self.idf[np.maximum(found, 0)] > 0))
-        for name, length, unit in self.units:
-            # a whole line, or stretches of a template's length from each weighted word on
-            starts = [0] if len(found) <= 2 * length else sorted({max(0, int(i)) for i in weighted} | {max(0, int(i) - length // 2) for i in weighted})
-            for start in starts:
-                stretch = found[start : start + (len(found) if len(found) <= 2 * length else length)]
-                counts = Counter(stretch[stretch >= 0].tolist())
-                dot = sum(unit[i] * n * self.idf[i] for i, n in counts.items())
-                norm = np.sqrt(sum((n * self.idf[i]) ** 2 for i, n in counts.items()) + int((stretch < 0).sum()) * self.other**2)
-                cosine = float(dot / norm) if norm else 0.0
-                if cosine > best[0] + 1e-12:
-                    best = (cosine, name, len(stretch))
-        return best
+                # the share of each word in the dot product
+                self.units.append((name, len(parts), np.append(vector / norm * self.idf, 0.0)))
+
+    def _exact(self, stretches: np.ndarray, pull: np.ndarray) -> np.ndarray:
+        """Cosine of each row of words' indexes, 0 if fewer than two different words of the template are in it."""
+        out = np.zeros(len(stretches))
+        step = max(1, (1 << 21) // stretches.shape[1] ** 2)
+        for a in range(0, len(stretches), step):
+            w = stretches[a : a + step]
+            same = w[:, :, None] == w[:, None, :]
+            times = np.where(w >= 0, same.sum(2), 1)
+            different = ((pull[w] > 0) / times).sum(1)
+            norm = np.sqrt((self.squares[w] * times).sum(1))
+            out[a : a + step] = np.where(different > 1.5, pull[w].sum(1) / np.where(norm > 0, norm, 1.0), 0.0)
+        return out
+
+    def best(self, found: np.ndarray, bounds: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Lines of which a stretch reaches ``least``: line, cosine, template and words of the best stretch.
+
+        found: the words' indexes of all lines, -1 for others. bounds: where the lines begin, and the end. Whole
+        lines are scored by their word counts. Of a stretch, the dot product and the norm as if no word repeated
+        are differences of running sums; as repeats only add to the norm, that bounds the cosine, and what may
+        reach ``least`` is scored again exactly.
+        """
+        sizes, v = np.diff(bounds), len(self.idf)
+        line = np.repeat(np.arange(len(sizes)), sizes)
+        known = found >= 0
+        pairs, times = np.unique(line[known] * v + found[known], return_counts=True)
+        kept = np.bincount(pairs[self.idf[pairs % v] > 0] // v, minlength=len(sizes)) >= 2
+        names = np.flatnonzero(kept)
+        if not len(names):
+            return names, np.zeros(0), names, names
+        ours = kept[pairs // v]
+        pairs, times = pairs[ours], times[ours]
+        line_of, word_of = (np.cumsum(kept) - 1)[pairs // v], pairs % v
+        found, sizes = found[kept[line]], sizes[kept]
+        line, ends = np.repeat(np.arange(len(sizes)), sizes), np.cumsum(sizes)
+        starts = ends - sizes
+        norms = np.bincount(line_of, (times * self.idf[word_of]) ** 2, len(sizes)) + np.bincount(line[found < 0], minlength=len(sizes)) * self.other**2
+        norms = np.sqrt(np.maximum(norms, 1e-300))
+        squares = np.append(0.0, np.cumsum(self.squares[found]))
+        parts = []
+        for t, (_, length, pull) in enumerate(self.units):
+            mine = pull[word_of] > 0
+            cosine = np.bincount(line_of, times * pull[word_of], len(sizes)) / norms
+            hit = np.flatnonzero((cosine >= least) & (np.bincount(line_of[mine], minlength=len(sizes)) >= 2))
+            parts.append((hit, cosine[hit], np.full(len(hit), t), starts[hit], sizes[hit]))
+            if len(found) < length:
+                continue
+            sums = np.append(0.0, np.cumsum(pull[found]))
+            dot = sums[length:] - sums[:-length]
+            at = np.flatnonzero((dot * dot >= (least * least - 1e-6) * (squares[length:] - squares[:-length])) & (dot > 0) & (line[: len(dot)] == line[length - 1 :]))
+            at = at[sizes[line[at]] > 2 * length]
+            cosine = self._exact(found[at[:, None] + np.arange(length)], pull)
+            at, cosine = at[cosine >= least], cosine[cosine >= least]
+            parts.append((line[at], cosine, np.full(len(at), t), at, np.full(len(at), length)))
+        where, cosine, template, start, words = (np.concatenate(x) for x in zip(*parts, strict=True))
+        order = np.lexsort((start, template, -np.round(cosine, 12), where))
+        order = order[np.unique(where[order], return_index=True)[1]]
+        return names[where[order]], cosine[order], template[order], words[order]
 
 
 def _counts(batches: Iterator[pa.RecordBatch], vocabulary: Vocabulary) -> Iterator[pa.RecordBatch]:
@@ -154,27 +200,24 @@ def _scanned(batches: Iterator[pa.RecordBatch], weights: Weights, least_cosine:
             low = lowered(part)
             start, end = parts_of(low, own)
             found = weights.vocabulary.lookup(word_hashes(low, start, end)) if len(start) else np.zeros(0, np.int64)
-            heavy = (found >= 0) & (weights.idf[np.maximum(found, 0)] > 0)
             first = np.searchsorted(start, own)
             breaks = np.flatnonzero(low == 10)
-            for i in range(high_row - low_row):
-                a, b = first[i], first[i + 1]
-                best, covered = (0.0, "", -1), 0
-                if heavy[a:b].sum() >= 2:
-                    line = np.searchsorted(breaks, start[a:b])
-                    for number in np.unique(line[heavy[a:b]]):
-                        p, q = a + np.searchsorted(line, [number, number + 1])
-                        if len(np.unique(found[p:q][heavy[p:q]])) < 2:
-                            continue
-                        cosine, name, length = weights.best(found[p:q])
-                        if cosine >= least_cosine:
-                            covered += length
-                            if cosine > best[0] + 1e-12:
-                                best = (cosine, name, int(number - np.searchsorted(breaks, own[i])))
-                names.append(best[1] or None)
-                scores.append(best[0])
-                lines_at.append(best[2])
-                shares.append(covered / max(1, b - a))
+            rows = high_row - low_row
+            best, covered = [(0.0, "", -1)] * rows, np.zeros(rows)
+            if len(start):
+                # a line is told by its row and the line breaks before it
+                row, broken = np.repeat(np.arange(rows), np.diff(first)), np.searchsorted(breaks, start)
+                begins = np.flatnonzero(np.append(True, (np.diff(row) > 0) | (np.diff(broken) > 0)))
+                for number, cosine, template, length in zip(*(x.tolist() for x in weights.best(found, np.append(begins, len(start)), least_cosine)), strict=True):
+                    i = int(row[begins[number]])
+                    covered[i] += length
+                    if cosine > best[i][0] + 1e-12:
+                        best[i] = (cosine, weights.units[template][0], int(broken[begins[number]] - np.searchsorted(breaks, own[i])))
+            for (score, name, at), part_of, size in zip(best, covered, np.diff(first), strict=True):
+                names.append(name or None)
+                scores.append(score)
+                lines_at.append(at)
+                shares.append(part_of / max(1, size))
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array([0 <= x < header_lines for x in lines_at], pa.bool_()), pa.array(shares, pa.float64())], names=["row", "license", "score", "in_header", "share"])
 
 
@@ -183,7 +226,7 @@ def directory_of(path: Column) -> Column:
     return F.regexp_replace(path, r"/?[^/]*$", "")
 
 
-def license_scan(frame: DataFrame, path: Column, id_column: str = "doc_id", text_column: str = "text", templates: dict[str, str] = TEMPLATES, least_cosine: float = LEAST_COSINE, common: float = COMMON, header_lines: int = HEADER_LINES) -> DataFrame:
+def license_scan(frame: DataFrame, path: Column, id_column: str = "doc_id", text_column: str = "text", templates: dict[str, str] = TEMPLATES, least_cosine: float = LEAST_COSINE, common: float | None = None, header_lines: int = HEADER_LINES) -> DataFrame:
     """Per row: the id, path, license, score, in_header, origin (own, inherited or none) and license_path."""
     spark = frame.sparkSession
     small_batches(spark)
