@@ -26,7 +26,7 @@ def test_a_notice_in_a_third_of_the_files_is_found(spark):
 def brute(weights, words, least):
     best = 0.0
     for _, length, pull in weights.units:
-        for a, b in [(0, len(words)), *((s, s + length) for s in range(len(words) - length + 1) if WINDOWS(len(words), length))]:
+        for a, b in [(0, len(words)), *((s, s + length) for s in range(len(words) - length + 1))]:
             n = Counter(words[a:b])
             norm = sum((c * weights.idf[w]) ** 2 for w, c in n.items() if w >= 0) + n.get(-1, 0) * weights.other**2
             if sum(w >= 0 and pull[w] > 0 for w in n) >= 2:
@@ -34,9 +34,6 @@ def brute(weights, words, least):
     return best if best >= least else 0.0
 
 
-WINDOWS = lambda size, length: size > 2 * length
-
-
 def test_best_stretches_match_brute_force():
     rng, vocabulary = np.random.default_rng(2), licenses.Vocabulary()
     v = len(vocabulary.words)
@@ -52,3 +49,14 @@ def test_best_stretches_match_brute_force():
         number, cosine, _, _ = weights.best(np.concatenate(lines).astype(np.int64), bounds, 0.6)
         got[number] = cosine
         assert np.allclose(got, [brute(weights, x, 0.6) for x in lines]) and (got > 0).any()
+
+
+def test_foreign_words_on_the_line_do_not_lose_the_notice():
+    vocabulary = licenses.Vocabulary()
+    for files in (100, 10_000, 10_000_000):
+        weights = licenses.Weights(vocabulary, files, np.full(len(vocabulary.words), files / 100))
+        words = [weights.place[w] for w in licenses.PART.findall(NOTICE.lower())]
+        # before the notice, and one amid it
+        for line, least in (([-1, -1, *words], 0.999), ([*words[:2], -1, *words[2:]], 0.75)):
+            _, cosine, template, _ = weights.best(np.array(line), np.array([0, len(line)]), 0.6)
+            assert len(cosine) == 1 and cosine[0] > least and weights.units[template[0]][0] == "MIT"

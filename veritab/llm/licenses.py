@@ -4,10 +4,10 @@
    of a word is at least 1, even if all files have it. A caller may give ``common``: words of more than that share
    of all files then carry no weight. The counts, one for each vocabulary word, are summed in executors.
 2. Every line with two different weighted words is compared with the templates by the cosine of TF-IDF vectors.
-   Words outside the vocabulary weigh as much as a word of no file. The whole line is compared, and of lines much
-   longer than a template each stretch of its length. A match has two different words of its template. A file's
-   licence is its best match of at least ``least_cosine``; the match is a header if it lies in the first
-   ``header_lines`` lines.
+   Words outside the vocabulary weigh as much as a word of no file, but no word weighs more than ``MOST_WEIGHT``,
+   so the score of a line does not fall as the files grow in number. The whole line is compared, and each of its
+   stretches of a template's length. A match has two different words of its template. A file's licence is its
+   best match of at least ``least_cosine``; the match is a header if it lies in the first ``header_lines`` lines.
 3. A licence file stands for its directory: one named like LICENSE or COPYING, or one of which notices make up
    at least half of the words. Each directory without one takes that of its nearest ancestor, by joins of
    directories with their ancestors; each file without a licence of its own takes its directory's.
@@ -30,6 +30,8 @@ from pyspark.sql import functions as F
 from veritab.llm._core import buffer_of, lowered, slices, small_batches, staged, word_hashes
 
 LEAST_COSINE, HEADER_LINES, FILE_SHARE = 0.6, 20, 0.5
+#: No word weighs more than one that none of a hundred files has, however many files there are.
+MOST_WEIGHT = float(np.log(101) + 1)
 #: Directories are broadcast if they are no more than these.
 BROADCAST_DIRECTORIES = 1 << 17
 LICENSE_FILE = r"(?i)^(licen[cs]e|copying|notice|unlicense)([.-].*)?$"
@@ -100,10 +102,10 @@ class Weights:
 
     def __init__(self, vocabulary: Vocabulary, files: int, counts: np.ndarray, common: float | None = None):
         self.vocabulary = vocabulary
-        self.idf = np.log((1 + files) / (1 + np.minimum(counts, files))) + 1
+        self.idf = np.minimum(np.log((1 + files) / (1 + np.minimum(counts, files))) + 1, MOST_WEIGHT)
         if common is not None:
             self.idf[counts > common * max(files, 1)] = 0.0
-        self.other = float(np.log(1.0 + files) + 1)
+        self.other = float(min(np.log(1.0 + files) + 1, MOST_WEIGHT))
         self.place = {w: i for i, w in enumerate(vocabulary.words)}
         #: Squared weights by index; the last, at index -1, is that of other words.
         self.squares = np.append(self.idf**2, self.other**2)
@@ -166,7 +168,6 @@ class Weights:
             sums = np.append(0.0, np.cumsum(pull[found]))
             dot = sums[length:] - sums[:-length]
             at = np.flatnonzero((dot * dot >= (least * least - 1e-6) * (squares[length:] - squares[:-length])) & (dot > 0) & (line[: len(dot)] == line[length - 1 :]))
-            at = at[sizes[line[at]] > 2 * length]
             cosine = self._exact(found[at[:, None] + np.arange(length)], pull)
             at, cosine = at[cosine >= least], cosine[cosine >= least]
             parts.append((line[at], cosine, np.full(len(at), t), at, np.full(len(at), length)))
