@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from veritab.functions import accounts as A
@@ -219,8 +218,7 @@ def run_pair_u_statistic(spark, sf_dir):
 @query()
 def caliper_matching(spark, sf_dir):
     p = predictions(spark, sf_dir).withColumn("correct", (F.col("truth") == F.col("d1")).cast("int"))
-    n = F.row_number().over(Window.partitionBy("seed", "correct").orderBy("flow"))
-    return resampling.caliper_matching(p.withColumn("n", n).filter("n <= 60"), "correct", 1, 0, ["p1", "value"], "flow", "seed")
+    return resampling.caliper_matching(p, "correct", 1, 0, ["p1", "value"], "flow", "seed")
 
 
 @query()
