@@ -50,3 +50,10 @@ def test_groups_beyond_the_full_matrix_are_matched(spark):
     f = spark.createDataFrame([(i, 1, i % 2, float(i // 2), 0.0) for i in range(1000)], "k long, g int, arm int, x double, y double")
     got = resampling.caliper_matching(f, "arm", 1, 0, ["x", "y"], "k", "g").collect()
     assert len(got) == 500 and all(r["left"] == r["right"] + 1 and r["distance"] == 0 for r in got)
+
+
+@tables
+@pytest.mark.parametrize("name", ["lime_ridge", "kernel_shap_logit"])
+def test_every_account_is_explained(spark, name):
+    got = catalog.QUERIES[name](spark, SF_DIR)
+    assert sorted(r["flow"] for r in got.collect()) == sorted(r["vec_id"] for r in read(spark, "embeddings").collect())

@@ -109,14 +109,16 @@ def kernel_shap(frame: DataFrame, key: str, x: str, model: Logit, reference: lis
         masks = np.zeros((coalitions, d))
         for i, s in enumerate(chosen):
             masks[i, rng.choice(d, s, replace=False)] = 1
+        # the design is that of all rows, so one pseudo-inverse solves each of them
+        m = masks[:, :-1] - masks[:, -1:]
+        solve = np.linalg.pinv(m, rcond=max(m.shape) * np.finfo(float).eps)
         for batch in batches:
             rows = []
             for k, v in zip(batch[key], batch[x], strict=True):
                 v = np.asarray(v, float)
                 full, base = v @ w + b, r @ w + b
-                y = np.where(masks == 1, v, r) @ w + b - base - masks[:, -1] * (full - base)
-                m = masks[:, :-1] - masks[:, -1:]
-                coef = np.linalg.lstsq(m, y, rcond=None)[0]
+                y = masks @ ((v - r) * w) - masks[:, -1] * (full - base)
+                coef = solve @ y
                 rows.append((k, [*coef.tolist(), float(full - base - coef.sum())]))
             yield pd.DataFrame(rows, columns=[key, "values"])
 

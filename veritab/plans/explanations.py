@@ -234,12 +234,12 @@ def conditional_gaussian(spark, sf_dir):
 
 @query()
 def lime_ridge(spark, sf_dir):
-    return explain.lime(accounts(spark, sf_dir).filter("flow % 25 = 0").withColumnRenamed("a", "x"), "flow", "x", MODEL)
+    return explain.lime(accounts(spark, sf_dir).withColumnRenamed("a", "x"), "flow", "x", MODEL)
 
 
 @query()
 def kernel_shap_logit(spark, sf_dir):
-    return explain.kernel_shap(accounts(spark, sf_dir).filter("flow % 25 = 0").withColumnRenamed("a", "x"), "flow", "x", MODEL, [0.0] * 64)
+    return explain.kernel_shap(accounts(spark, sf_dir).withColumnRenamed("a", "x"), "flow", "x", MODEL, [0.0] * 64)
 
 
 @query("WITH" + PREDICTIONS + " SELECT seed, round(sum(p1), 4) AS total, count(*)::BIGINT AS n FROM pred GROUP BY seed")
