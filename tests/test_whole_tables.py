@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from veritab import catalog
-from veritab.operators import resampling
+from veritab.operators import joins, resampling
 
 SF_DIR = "/root/testdata/sf0.001"
 tables = pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="no test tables")
@@ -57,3 +57,29 @@ def test_groups_beyond_the_full_matrix_are_matched(spark):
 def test_every_account_is_explained(spark, name):
     got = catalog.QUERIES[name](spark, SF_DIR)
     assert sorted(r["flow"] for r in got.collect()) == sorted(r["vec_id"] for r in read(spark, "embeddings").collect())
+
+
+def test_donor_pools_of_any_size(spark):
+    rng = np.random.default_rng(8)
+    x = np.round(rng.normal(size=(6_100, 2)), 2)
+    f = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "k long, v array<double>")
+    flows, donors = f.filter("k < 100").withColumnRenamed("v", "x"), f.filter("k >= 50").toDF("donor", "d")
+    for block in (4_096, 700):
+        got = {r["k"]: (r["donor"], r["distance"]) for r in joins.nearest_donor(flows, donors, "k", "donor", "x", "d", block).collect()}
+        for i in range(100):
+            d = ((x[50:] - x[i]) ** 2).cumsum(1)[:, -1]
+            if i >= 50:
+                d[i - 50] = np.inf
+            assert got[i] == (50 + int(np.argmin(d)), d.min())
+
+
+@tables
+def test_every_vector_has_a_donor(spark):
+    rows = read(spark, "embeddings").orderBy("vec_id").collect()
+    x, ids = np.array([r["embedding"] for r in rows], float), [r["vec_id"] for r in rows]
+    got = {r["vec_id"]: (r["donor"], r["distance"]) for r in catalog.QUERIES["nearest_donor_all"](spark, SF_DIR).collect()}
+    assert sorted(got) == ids
+    for i, k in enumerate(ids):
+        d = ((x - x[i]) ** 2).sum(1)
+        d[i] = np.inf
+        assert got[k][0] == ids[int(np.argmin(d))] and np.isclose(got[k][1], d.min(), atol=1e-5)

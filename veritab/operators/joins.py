@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
@@ -57,17 +59,44 @@ def replace_matching_rows(frame: DataFrame, new: DataFrame, match: dict[str, obj
     return frame.filter(~same).unionByName(new)
 
 
-def nearest_donor(flows: DataFrame, donors: DataFrame, key: str, donor_key: str, distance: Column, most_donors: int = 5_000) -> DataFrame:
-    """The nearest row of a donor pool for each flow, the smaller donor key among equals.
+def nearest_donor(flows: DataFrame, donors: DataFrame, key: str, donor_key: str, x: str, d: str, block: int = 4_096) -> DataFrame:
+    """The nearest row of a donor pool for each flow by squared distance of arrays x and d, the smaller donor key among equals.
 
-    The pool is a sample of at most ``most_donors`` rows by contract, which is checked; it is broadcast against
-    the flows, and each flow's minimum is combined before any shuffle.
+    Rows without a vector are left out, and no flow is its own donor. Pools have any size: flows and donors are
+    dealt into blocks of about ``block`` rows, each pair of blocks is a group, and a flow's minima over the blocks
+    are combined. Within a pair of blocks, distances from a matrix product name the candidates and are then
+    taken again by differences.
     """
-    n = donors.limit(most_donors + 1).count()
-    if n > most_donors:
-        raise ValueError(f"the donor pool has more than {most_donors} rows")
-    scored = flows.join(F.broadcast(donors), F.lit(True)).withColumn("_d", distance)
-    return scored.groupBy(key).agg(F.min(F.struct("_d", donor_key)).alias("b")).select(key, F.col(f"b.{donor_key}").alias(donor_key), F.col("b._d").alias("distance"))
+    flows, donors = flows.select(F.col(key).alias("f"), F.col(x).alias("v")).dropna(), donors.select(F.col(donor_key).alias("f"), F.col(d).alias("v")).dropna()
+    nf, nd = (max(1, -(-t.count() // block)) for t in (flows, donors))
+    pieces = lambda t, own, n, other, m: t.withColumn(own, F.pmod(F.xxhash64("f"), F.lit(n))).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(m - 1)).cast("array<long>")))
+    left, right = pieces(flows, "fb", nf, "db", nd), pieces(donors, "db", nd, "fb", nf)
+    kinds = [t.schema["f"].dataType.simpleString() for t in (flows, donors)]
+
+    def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        names = ["f", "donor", "distance"]
+        if not len(a) or not len(b):
+            return pd.DataFrame({n: [] for n in names})
+        b = b.sort_values("f", kind="stable")
+        fk, dk = a["f"].to_numpy(), b["f"].to_numpy()
+        va, vb = (np.stack(t["v"].to_numpy()).astype(float) for t in (a, b))
+        sa, sb = (va * va).sum(1), (vb * vb).sum(1)
+        rows = []
+        for at in range(0, len(va), 512):
+            part = va[at : at + 512]
+            rough = sa[at : at + 512, None] + sb[None] - 2 * part @ vb.T
+            rough[fk[at : at + 512, None] == dk[None]] = np.inf
+            least = rough.min(1)
+            slack = 1e-9 * (sa[at : at + 512] + sb.max()) + 1e-300
+            for i in np.flatnonzero(np.isfinite(least)):
+                near = np.flatnonzero(rough[i] <= least[i] + slack[i])
+                exact = ((vb[near] - part[i]) ** 2).cumsum(1)[:, -1]
+                k = int(np.argmin(exact))
+                rows.append((fk[at + i], dk[near[k]], float(exact[k])))
+        return pd.DataFrame(rows, columns=names)
+
+    each = left.groupBy("fb", "db").cogroup(right.groupBy("fb", "db")).applyInPandas(run, f"f {kinds[0]}, donor {kinds[1]}, distance double")
+    return each.groupBy("f").agg(F.min(F.struct("distance", "donor")).alias("b")).select(F.col("f").alias(key), F.col("b.donor").alias(donor_key), F.col("b.distance").alias("distance"))
 
 
 def set_sizes(frame: DataFrame, split: str, member: str) -> DataFrame:

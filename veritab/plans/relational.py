@@ -184,13 +184,20 @@ def shared_members_between_splits(spark, sf_dir):
 s AS (SELECT vec_id, donor, list_sum(list_transform(range(1, 65), lambda i: (embedding[i]::DOUBLE - e[i]::DOUBLE) * (embedding[i]::DOUBLE - e[i]::DOUBLE))) AS dist FROM f, d)
 SELECT vec_id, donor, round(dist, 5) AS distance FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY dist, donor) AS n FROM s) t WHERE n = 1""")
 def nearest_donor(spark, sf_dir):
-    from veritab.functions import accounts as A
+    e = table(spark, sf_dir, "embeddings")
+    vector = F.transform("embedding", lambda x: x.cast("double"))
+    flows = e.filter("vec_id % 10 = 0").select("vec_id", vector.alias("x"))
+    donors = e.filter("vec_id % 10 <> 0").select(F.col("vec_id").alias("donor"), vector.alias("d"))
+    return joins.nearest_donor(flows, donors, "vec_id", "donor", "x", "d").select("vec_id", "donor", F.round("distance", 5).alias("distance"))
+
 
+@query()
+def nearest_donor_all(spark, sf_dir):
+    """Each vector with the nearest of all others."""
     e = table(spark, sf_dir, "embeddings")
-    flows = e.filter("vec_id % 10 = 0").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("x"))
-    donors = e.filter("vec_id % 10 <> 0").select(F.col("vec_id").alias("donor"), F.transform("embedding", lambda x: x.cast("double")).alias("d"))
-    distance = A.total(F.zip_with("x", "d", lambda a, b: (a - b) * (a - b)))
-    return joins.nearest_donor(flows, donors, "vec_id", "donor", distance).select("vec_id", "donor", F.round("distance", 5).alias("distance"))
+    vector = F.transform("embedding", lambda x: x.cast("double"))
+    flows, donors = e.select("vec_id", vector.alias("x")), e.select(F.col("vec_id").alias("donor"), vector.alias("d"))
+    return joins.nearest_donor(flows, donors, "vec_id", "donor", "x", "d").select("vec_id", "donor", F.round("distance", 5).alias("distance"))
 
 
 @query("""SELECT p_partkey, regexp_replace(trim(regexp_replace(replace(p_name, '�', ' '), '\\s+', ' ', 'g')), ' ', '_', 'g') AS family0,
