@@ -83,3 +83,16 @@ def test_every_vector_has_a_donor(spark):
         d = ((x - x[i]) ** 2).sum(1)
         d[i] = np.inf
         assert got[k][0] == ids[int(np.argmin(d))] and np.isclose(got[k][1], d.min(), atol=1e-5)
+
+
+@tables
+def test_queries_of_whole_tables_leave_nothing_out(spark):
+    run = lambda name: catalog.QUERIES[name](spark, SF_DIR).collect()
+    orders, customers, suppliers = (read(spark, t).collect() for t in ("orders", "customer", "supplier"))
+    nodes = {2 * o["o_custkey"] for o in orders} | {2 * o["o_orderkey"] + 1 for o in orders}
+    assert {r["node"] for r in run("connected_components_all")} == nodes
+    keys = {c["c_nationkey"] for c in customers} | {s["s_nationkey"] for s in suppliers}
+    assert {r["k"] for r in run("full_outer_match_status_all")} == keys
+    assert sum(r["n_rows"] for r in run("inventory_completeness_all")) == len(customers)
+    known = {c["c_custkey"] for c in customers}
+    assert sum(r["n_matched"] for r in run("left_enrichment_all")) == sum(o["o_custkey"] in known for o in orders)

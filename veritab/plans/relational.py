@@ -154,6 +154,13 @@ def full_outer_match_status(spark, sf_dir):
     return joins.match_status(a, b, ["k"])
 
 
+@query("""SELECT coalesce(x.k, y.k) AS k, CASE WHEN x.k IS NULL THEN 'right_only' WHEN y.k IS NULL THEN 'left_only' ELSE 'both' END AS status
+FROM (SELECT DISTINCT c_nationkey AS k FROM customer) x FULL JOIN (SELECT DISTINCT s_nationkey AS k FROM supplier) y ON x.k = y.k""")
+def full_outer_match_status_all(spark, sf_dir):
+    """Of all customers and suppliers."""
+    return joins.match_status(table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("k")), table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("k")), ["k"])
+
+
 @query("""SELECT o_custkey % 7 AS bucket, count(*)::BIGINT AS n, count(*) FILTER (WHERE c_custkey IS NOT NULL)::BIGINT AS n_matched, round(sum(c_acctbal), 2) AS balance
 FROM orders LEFT JOIN (SELECT * FROM customer WHERE c_custkey % 3 <> 0) c ON o_custkey = c_custkey GROUP BY ALL""")
 def left_enrichment(spark, sf_dir):
@@ -162,6 +169,14 @@ def left_enrichment(spark, sf_dir):
     return e.groupBy((F.col("o_custkey") % 7).alias("bucket")).agg(F.count("*").alias("n"), F.count_if("matched").alias("n_matched"), F.round(F.sum("c_acctbal"), 2).alias("balance"))
 
 
+@query("""SELECT o_custkey % 7 AS bucket, count(*)::BIGINT AS n, count(*) FILTER (WHERE c_custkey IS NOT NULL)::BIGINT AS n_matched, round(sum(c_acctbal), 2) AS balance
+FROM orders LEFT JOIN customer ON o_custkey = c_custkey GROUP BY ALL""")
+def left_enrichment_all(spark, sf_dir):
+    """With all customers."""
+    e = joins.enrich(table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_acctbal"), ["o_custkey"])
+    return e.groupBy((F.col("o_custkey") % 7).alias("bucket")).agg(F.count("*").alias("n"), F.count_if("matched").alias("n_matched"), F.round(F.sum("c_acctbal"), 2).alias("balance"))
+
+
 @query("""WITH kept AS (SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders WHERE NOT (o_orderstatus = 'F' AND o_orderpriority = '1-URGENT')),
 fresh AS (SELECT o_orderkey, o_orderstatus, o_totalprice * 2 AS o_totalprice FROM orders WHERE o_orderstatus = 'F' AND o_orderpriority = '1-URGENT' AND o_orderkey % 2 = 0)
 SELECT o_orderstatus, count(*)::BIGINT AS n, round(sum(o_totalprice), 2) AS total FROM (SELECT * FROM kept UNION ALL SELECT * FROM fresh) t GROUP BY o_orderstatus""")

@@ -234,3 +234,17 @@ def inventory_completeness(spark, sf_dir):
     seen = customer.filter("c_custkey < 40").join(F.broadcast(nation.filter("n_nationkey < 4")), F.col("c_nationkey") == F.col("n_nationkey"))
     observed = seen.select(F.col("n_name").alias("nation"), F.when(F.col("c_custkey") % 2 == 0, "a").otherwise("c").alias("metric"))
     return gates.inventory(expected, observed, ["nation", "metric"])
+
+
+@query("""WITH e AS (SELECT n_name AS nation, m.metric FROM nation, (SELECT unnest(['a', 'b']) AS metric) m),
+o AS (SELECT n_name AS nation, CASE WHEN c_custkey % 2 = 0 THEN 'a' ELSE 'c' END AS metric, count(*)::BIGINT AS n FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY ALL)
+SELECT coalesce(e.nation, o.nation) AS nation, coalesce(e.metric, o.metric) AS metric, coalesce(n, 0)::BIGINT AS n_rows,
+       CASE WHEN n IS NULL THEN 'missing' WHEN e.nation IS NULL THEN 'unexpected' WHEN n > 1 THEN 'duplicate' ELSE 'complete' END AS status
+FROM e FULL JOIN o ON e.nation = o.nation AND e.metric = o.metric""")
+def inventory_completeness_all(spark, sf_dir):
+    """Of all nations and customers."""
+    nation, customer = table(spark, sf_dir, "nation"), table(spark, sf_dir, "customer")
+    expected = gates.expected_cells(nation.select(F.col("n_name").alias("nation")), spark.createDataFrame([("a",), ("b",)], "metric string"))
+    seen = customer.join(F.broadcast(nation), F.col("c_nationkey") == F.col("n_nationkey"))
+    observed = seen.select(F.col("n_name").alias("nation"), F.when(F.col("c_custkey") % 2 == 0, "a").otherwise("c").alias("metric"))
+    return gates.inventory(expected, observed, ["nation", "metric"])
