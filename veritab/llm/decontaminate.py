@@ -8,20 +8,23 @@
 4. Matches of one document and item on one diagonal (document position less item position) are one alignment.
    It is consistent if its slots map one to one: each item value to one document value, and the other way.
    Copies keep all values; a re-parameterised question replaces them consistently.
-5. A pair is contaminated if its consistent alignments cover ``coverage`` of the item's windows.
+5. A pair is contaminated if its consistent alignments cover ``coverage`` of the item's windows, or of these and
+   the windows of mostly slots, which count where they are verbatim.
+6. Whatever slots and share there are, a pair is also contaminated by a verbatim run: ``run`` tokens in a row, or
+   the whole of a shorter item, compared as lower-cased tokens without types.
 
-Null and empty texts match nothing, nor do items of fewer than ``shortest`` tokens. Rows of documents with the
+Null and empty texts match nothing. Items of fewer than ``shortest`` tokens are found by verbatim copies. Rows of documents with the
 same id are taken as one document, items with the same id as one item. Each document and item is told once.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veritab.llm._core import staged
 
-WINDOW, SHORTEST, COVERAGE = 8, 5, 0.3
+WINDOW, SHORTEST, COVERAGE, RUN = 8, 5, 0.3, 20
 #: The items' windows are broadcast if they are no more than these, else both sides are dealt out.
 BROADCAST_WINDOWS = 1 << 20
 UNITS = "mm|cm|dm|m|km|mg|g|kg|t|ml|cl|l|s|ms|min|h|hours?|minutes?|seconds?|days?|weeks?|months?|years?|miles?|feet|inches|pounds?|euros?|dollars?|percent"
@@ -48,21 +51,35 @@ def template_of(tokens: Column) -> Column:
     return F.transform(tokens, lambda x: F.when(is_slot(x), F.substring(x, 1, 2)).otherwise(x))
 
 
-def windows_of(template: Column, size: int) -> Column:
-    """Hashes of all windows of ``size`` tokens, in order."""
-    starts = F.when(F.size(template) >= size, F.sequence(F.lit(1), F.size(template) - (size - 1))).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.xxhash64(F.slice(template, i, size)))
+def raw_of(tokens: Column) -> Column:
+    """Lower-cased tokens without types."""
+    return F.transform(tokens, lambda x: F.when(is_slot(x), F.substring(x, 3, 1 << 30)).otherwise(x))
 
 
-def item_windows(items: DataFrame, id_column: str, text_column: str, window: int, shortest: int) -> DataFrame:
-    """Rows (item, size, at, h, slots, values, total): the windows of each item that tell something."""
+def hashes_of(tokens: Column) -> Column:
+    return F.transform(tokens, lambda x: F.xxhash64(x))
+
+
+def windows_of(hashes: Column, size: int, raw: bool) -> Column:
+    """(place, h, size, raw) of all windows of ``size`` tokens, in order."""
+    starts = F.when(F.size(hashes) >= size, F.sequence(F.lit(1), F.size(hashes) - (size - 1))).otherwise(F.array().cast("array<int>"))
+    return F.transform(starts, lambda i: F.struct((i - 1).alias("place"), F.xxhash64(F.slice(hashes, i, size)).alias("h"), F.lit(size).alias("size"), F.lit(raw).alias("raw")))
+
+
+def item_windows(items: DataFrame, id_column: str, text_column: str, window: int, shortest: int, run: int) -> DataFrame:
+    """Rows (item, size, at, h, values, raw, need, slots): the windows of each item, by template and raw.
+
+    Those by template are the ones that tell something. need: how many raw windows in a row are a verbatim run.
+    """
     tokens = items.select(F.col(id_column).alias("item"), tokens_of(F.col(text_column).cast("string")).alias("tokens"))
-    tokens = tokens.filter(F.size("tokens") >= shortest).withColumn("size", F.least(F.size("tokens"), F.lit(window)))
+    tokens = tokens.filter(F.size("tokens") > 0).withColumn("size", F.least(F.size("tokens"), F.lit(window)))
+    tokens = tokens.withColumn("need", F.least(F.size("tokens"), F.lit(run)) - F.col("size") + 1).withColumn("raw", F.explode(F.array(F.lit(False), F.lit(True))))
+    hashes = hashes_of(F.when(F.col("raw"), raw_of(F.col("tokens"))).otherwise(template_of(F.col("tokens"))))
     starts = F.sequence(F.lit(1), F.size("tokens") - F.col("size") + 1)
-    at = tokens.select("item", "size", template_of(F.col("tokens")).alias("template"), "tokens", F.explode(starts).alias("at"))
-    cut = at.select("item", "size", F.col("at") - 1, F.xxhash64(F.slice("template", F.col("at"), F.col("size"))).alias("h"), F.slice("tokens", F.col("at"), F.col("size")).alias("values"))
-    cut = cut.toDF("item", "size", "at", "h", "values").withColumn("slots", F.size(F.filter("values", is_slot)))
-    return cut.filter(F.col("slots") * 2 <= F.col("size")).distinct()
+    at = tokens.select("item", "size", hashes.alias("hashes"), "tokens", "raw", "need", F.explode(starts).alias("at"))
+    cut = at.select("item", "size", F.col("at") - 1, F.xxhash64(F.slice("hashes", F.col("at"), F.col("size"))).alias("h"), F.slice("tokens", F.col("at"), F.col("size")).alias("values"), "raw", "need")
+    cut = cut.toDF("item", "size", "at", "h", "values", "raw", "need").withColumn("slots", F.size(F.filter("values", is_slot)))
+    return cut.filter(F.col("raw") | ((F.col("slots") * 2 <= F.col("size")) & (F.col("size") >= shortest))).distinct()
 
 
 def _one_to_one(pairs: Column) -> Column:
@@ -71,24 +88,28 @@ def _one_to_one(pairs: Column) -> Column:
     return (F.size(distinct) == F.size(F.array_distinct(F.transform(distinct, lambda p: p["i"])))) & (F.size(distinct) == F.size(F.array_distinct(F.transform(distinct, lambda p: p["d"]))))
 
 
-def contaminated_pairs(docs: DataFrame, items: DataFrame, id_column: str = "doc_id", text_column: str = "text", item_column: str = "item_id", item_text_column: str = "text", window: int = WINDOW, shortest: int = SHORTEST, coverage: float = COVERAGE) -> DataFrame:
+def contaminated_pairs(docs: DataFrame, items: DataFrame, id_column: str = "doc_id", text_column: str = "text", item_column: str = "item_id", item_text_column: str = "text", window: int = WINDOW, shortest: int = SHORTEST, coverage: float = COVERAGE, run: int = RUN) -> DataFrame:
     """Rows (id, item id, n_windows, n_matched, coverage, n_slots): the contaminated pairs."""
-    benchmark = staged(item_windows(items, item_column, item_text_column, window, shortest), "items")
-    totals = benchmark.groupBy("item").agg(F.countDistinct("at").alias("n_windows"))
-    sizes = sorted(r["size"] for r in benchmark.select("size").distinct().collect())  # at most window - shortest + 1
+    benchmark = staged(item_windows(items, item_column, item_text_column, window, shortest, run), "items")
+    heavy = F.col("raw") & (F.col("slots") * 2 > F.col("size"))
+    totals = benchmark.groupBy("item").agg(F.countDistinct(F.when(~F.col("raw"), F.col("at"))).alias("n_windows"), F.countDistinct(F.when(heavy, F.col("at"))).alias("n_heavy"))
+    # at most window of either kind
+    kinds = sorted((r["size"], r["raw"]) for r in benchmark.select("size", "raw").distinct().collect())
     small = benchmark.count() <= BROADCAST_WINDOWS
     hinted = (lambda x: F.broadcast(x)) if small else (lambda x: x)
 
     rows = docs.select(F.col(id_column).alias("doc"), F.col(text_column).cast("string").alias("text"))
-    templates = rows.select("doc", template_of(tokens_of(F.col("text"))).alias("template"))
-    known = benchmark.select("h", "size").distinct()
-    found = None
-    for size in sizes or [window]:
-        each = templates.select("doc", F.posexplode(windows_of(F.col("template"), size)).alias("place", "h"))
-        part = each.join(hinted(known.filter(F.col("size") == size)), "h").select("doc", "place", "h", "size")
-        found = part if found is None else found.unionByName(part)
-    found = staged(found, "matches")
-    matches = found.join(hinted(benchmark), ["h", "size"]).select("doc", "item", "place", "at", "slots", "values", "size")
+    tokens = rows.select("doc", tokens_of(F.col("text")).alias("tokens"))
+    hashed = tokens.select("doc", hashes_of(template_of(F.col("tokens"))).alias("typed"), hashes_of(raw_of(F.col("tokens"))).alias("untyped"))
+    known = benchmark.select("h", "size", "raw").distinct()
+    each = hashed.select("doc", F.inline(F.concat(*[windows_of(F.col("untyped" if raw else "typed"), size, raw) for size, raw in kinds or [(window, False)]])))
+    found = staged(each.join(hinted(known), ["h", "size", "raw"]).select("doc", "place", "h", "size", "raw"), "matches")
+    every = found.join(hinted(benchmark), ["h", "size", "raw"]).select("doc", "item", "place", "at", "slots", "values", "size", "raw", "need")
+    verbatim = every.filter("raw").select("doc", "item", (F.col("place") - F.col("at")).alias("diagonal"), "at", "need", "slots", "size").distinct()
+    rank = F.row_number().over(Window.partitionBy("doc", "item", "diagonal").orderBy("at"))
+    runs = verbatim.withColumn("island", F.col("at") - rank).groupBy("doc", "item", "diagonal", "island", "need").agg(F.count("*").alias("n"))
+    runs = runs.filter("n >= need").select("doc", "item").distinct().withColumn("whole", F.lit(True))
+    matches = every.filter("not raw").drop("raw", "need")
 
     plain = matches.filter("slots = 0").select("doc", "item", (F.col("place") - F.col("at")).alias("diagonal"), "at", F.lit(0).alias("slots"))
     slotted = staged(matches.filter("slots > 0"), "slotted")
@@ -103,9 +124,14 @@ def contaminated_pairs(docs: DataFrame, items: DataFrame, id_column: str = "doc_
         grouped = sided.groupBy("doc", "item", "diagonal").agg(F.collect_set("at").alias("ats"), F.flatten(F.collect_set("pairs")).alias("pairs"), F.max("slots").alias("slots"))
         consistent = grouped.filter(_one_to_one(F.col("pairs"))).select("doc", "item", "diagonal", F.explode("ats").alias("at"), "slots")
         plain = plain.unionByName(consistent)
-    covered = plain.groupBy("doc", "item").agg(F.countDistinct("at").alias("n_matched"), F.max("slots").alias("n_slots"))
-    scored = covered.join(hinted(totals), "item").withColumn("coverage", F.col("n_matched") / F.col("n_windows")).filter(F.col("coverage") >= coverage)
-    return scored.select(F.col("doc").alias(id_column), F.col("item").alias(item_column), "n_windows", "n_matched", "coverage", "n_slots")
+    parts = plain.select("doc", "item", "at", "slots", F.lit(False).alias("raw")).unionByName(verbatim.select("doc", "item", "at", "slots", F.lit(True).alias("raw"), "size").filter(F.col("slots") * 2 > F.col("size")).drop("size"))
+    covered = parts.groupBy("doc", "item").agg(F.countDistinct(F.when(~F.col("raw"), F.col("at"))).alias("n_typed"), F.countDistinct(F.when(F.col("raw"), F.col("at"))).alias("n_raw"), F.max("slots").alias("n_slots"))
+    scored = covered.join(runs, ["doc", "item"], "full_outer").join(hinted(totals), "item").fillna(0, ["n_typed", "n_raw", "n_slots"])
+    typed, both = F.try_divide("n_typed", "n_windows"), F.try_divide(F.col("n_typed") + F.col("n_raw"), F.col("n_windows") + F.col("n_heavy"))
+    more = F.coalesce(both > F.coalesce(typed, F.lit(0.0)), F.lit(False))
+    scored = scored.withColumn("coverage", F.coalesce(F.greatest(typed, both), F.lit(0.0))).filter((F.col("coverage") >= coverage) | F.coalesce("whole", F.lit(False)))
+    n_windows, n_matched = F.col("n_windows") + F.when(more, F.col("n_heavy")).otherwise(0), F.col("n_typed") + F.when(more, F.col("n_raw")).otherwise(0)
+    return scored.select(F.col("doc").alias(id_column), F.col("item").alias(item_column), n_windows.alias("n_windows"), n_matched.alias("n_matched"), "coverage", "n_slots")
 
 
 def decontaminated(docs: DataFrame, items: DataFrame, id_column: str = "doc_id", **options) -> DataFrame:
