@@ -96,3 +96,25 @@ def test_queries_of_whole_tables_leave_nothing_out(spark):
     assert sum(r["n_rows"] for r in run("inventory_completeness_all")) == len(customers)
     known = {c["c_custkey"] for c in customers}
     assert sum(r["n_matched"] for r in run("left_enrichment_all")) == sum(o["o_custkey"] in known for o in orders)
+
+
+@tables
+def test_conditional_gaussian_uses_all_coordinates(spark):
+    rows = read(spark, "embeddings").collect()
+    x = np.array([r["embedding"] for r in rows], float)
+    mean, sigma = x.mean(0), np.cov(x.T) + 1e-6 * np.eye(x.shape[1])
+    got = {r["flow"]: r["values"] for r in catalog.QUERIES["conditional_gaussian"](spark, SF_DIR).collect()}
+    assert len(got) == len(rows)
+    for r, v in list(zip(rows, x, strict=True))[:40]:
+        cols = np.sort(np.argsort(-np.abs(v), kind="stable")[:3])
+        rest = np.setdiff1d(np.arange(len(v)), cols)
+        assert np.allclose(got[r["vec_id"]], mean[cols] + sigma[np.ix_(cols, rest)] @ np.linalg.solve(sigma[np.ix_(rest, rest)], v[rest] - mean[rest]), atol=1e-7)
+
+
+@tables
+def test_bootstraps_draw_as_often_as_the_reference(spark, monkeypatch):
+    assert catalog.QUERIES["bootstrap_crossed_hash_all"](spark, SF_DIR).first()["n_replicates"] == 5_000
+    drawn = []
+    monkeypatch.setattr(resampling, "crossed_bootstrap", lambda *a, resamples=5_000, **b: drawn.append(resamples))
+    catalog.QUERIES["bootstrap_crossed_numpy"](spark, SF_DIR)
+    assert drawn == [5_000]

@@ -157,6 +157,26 @@ def area_with_error(frame: DataFrame, fraction: str, value: str, se: str, *keys:
     return out.withColumn("lower95", F.col("area") - 1.96 * F.col("area_se"))
 
 
+def moments(frame: DataFrame, x: str) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and sample covariance of an array column: one row of sums for each batch, merged about their means."""
+
+    def run(batches):
+        for batch in batches:
+            rows = np.stack(batch[x].to_numpy()).astype(float) if len(batch) else np.zeros((0, 0))
+            if len(rows):
+                mean = rows.mean(0)
+                yield pd.DataFrame({"n": [len(rows)], "mean": [mean.tolist()], "scatter": [((rows - mean).T @ (rows - mean)).ravel().tolist()]})
+
+    n, mean, scatter = 0, 0.0, 0.0
+    for r in frame.select(x).dropna().mapInPandas(run, "n long, mean array<double>, scatter array<double>").toLocalIterator():
+        m, d = np.array(r["mean"]), np.array(r["mean"]) - mean
+        scatter = scatter + np.array(r["scatter"]).reshape(len(m), len(m)) + np.outer(d, d) * n * r["n"] / (n + r["n"])
+        mean, n = mean + d * r["n"] / (n + r["n"]), n + r["n"]
+    if not n:
+        raise ValueError("no rows to take moments of")
+    return mean, scatter / max(n - 1, 1)
+
+
 def conditional_gaussian(frame: DataFrame, key: str, x: str, selected: str, mean: np.ndarray, covariance: np.ndarray, ridge: float = 1e-6) -> DataFrame:
     """E[x_S | x_rest] for each row's selected coordinates, in ascending coordinate order.
 

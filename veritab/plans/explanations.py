@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import functions as F
 
 from veritab.functions import accounts as A
@@ -197,7 +196,7 @@ def split_diagnostics(spark, sf_dir):
 
 @query()
 def bootstrap_crossed_numpy(spark, sf_dir):
-    return resampling.crossed_bootstrap(similar(spark, sf_dir), "spearman", "label", resamples=500)
+    return resampling.crossed_bootstrap(similar(spark, sf_dir), "spearman", "label")
 
 
 @query("WITH" + SIMILARITY + f""", c AS (SELECT seed, flow, avg(normalized_mass_l1) AS v FROM simil GROUP BY ALL), e AS (SELECT *, {unit_sql('boot', 'replicate', 'flow')} / 4294967296.0::DOUBLE AS u FROM c, (SELECT unnest(range(0, 50)) AS replicate) r),
@@ -208,6 +207,13 @@ def bootstrap_crossed_hash(spark, sf_dir):
     return i.select(r6("ci_low").alias("ci_low"), r6("ci_high").alias("ci_high"), "n_replicates")
 
 
+@query()
+def bootstrap_crossed_hash_all(spark, sf_dir):
+    """With the reference's 5,000 replicates, for which the SQL is too slow."""
+    i = resampling.hash_interval(similar(spark, sf_dir), "normalized_mass_l1", replicates=5_000)
+    return i.select(r6("ci_low").alias("ci_low"), r6("ci_high").alias("ci_high"), "n_replicates")
+
+
 @query("WITH" + ACCOUNTS + """, r AS (SELECT label, flow % 6 AS run, flow, m FROM acc), s AS (SELECT label, run, min(flow) AS flow FROM r GROUP BY ALL), q AS (SELECT s.label, s.run, a.m FROM s JOIN acc a ON s.flow = a.flow),
 p AS (SELECT a.label, a.run AS l, b.run AS r, list_sum(list_transform(range(1, 65), lambda i: abs(a.m[i] - b.m[i]))) / 64 AS v FROM q a JOIN q b ON a.label = b.label AND a.run < b.run),
 u AS (SELECT label, avg(v) AS u, count(*) AS np FROM p GROUP BY label), x AS (SELECT label, run, avg(v) AS p FROM (SELECT label, l AS run, v FROM p UNION ALL SELECT label, r, v FROM p) t GROUP BY ALL),
@@ -231,13 +237,8 @@ def caliper_matching(spark, sf_dir):
 
 @query()
 def conditional_gaussian(spark, sf_dir):
-    a = accounts(spark, sf_dir).select("flow", F.slice("a", 1, 8).alias("x"), F.slice(F.array_sort(A.top_k(F.slice("a", 1, 8), 3)), 1, 3).alias("selected"))
-    pairs = [(i, j) for i in range(8) for j in range(i, 8)]
-    one = a.agg(*[F.avg(F.get("x", F.lit(i))).alias(f"m{i}") for i in range(8)], *[F.covar_samp(F.get("x", F.lit(i)), F.get("x", F.lit(j))).alias(f"c{i}_{j}") for i, j in pairs]).first()
-    cov = np.zeros((8, 8))
-    for i, j in pairs:
-        cov[i, j] = cov[j, i] = one[f"c{i}_{j}"]
-    return explain.conditional_gaussian(a, "flow", "x", "selected", np.array([one[f"m{i}"] for i in range(8)]), cov)
+    a = accounts(spark, sf_dir).select("flow", F.col("a").alias("x"), F.slice(F.array_sort(A.top_k(F.col("a"), 3)), 1, 3).alias("selected"))
+    return explain.conditional_gaussian(a, "flow", "x", "selected", *explain.moments(a, "x"))
 
 
 @query()
