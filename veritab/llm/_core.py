@@ -18,15 +18,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text hashed in one go; a longer document is still hashed whole.
-SLICE_BYTES = 1 << 19
+SLICE_BYTES = 1 << 18
 #: Rows of an Arrow batch.
 BATCH_ROWS = 512
 
 SEPARATOR = np.zeros(256, bool)
 SEPARATOR[[9, 10, 11, 12, 13, 32]] = True
 
-BYTE_BASE, WORD_BASE = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95
-
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder of spark.checkpoint.dir, which driver and executors share; a temporary one where it is unset."""
@@ -108,38 +106,75 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x
 
 
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+#: A value for each byte at each of the first 256 places of a word.
+PLACES = 256
+_place_values = [mixed(np.arange(PLACES << 8, dtype=np.uint64) + np.uint64(seed)) for seed in (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)]
+STEP, JOIN = np.uint64(0x9FB21C651E98DF25), np.uint64(0xD6E8FEB86659FD93)
 
 
-def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """base ** i and base ** -i modulo 2 ** 64, for i < n."""
-    kept = _powers.get(base)
-    if kept is None or len(kept[0]) < n:
-        size = max(1 << 16, 1 << (n - 1).bit_length())
-        both = []
-        for b in (base, pow(base, -1, 1 << 64)):
-            row = np.full(size, b, np.uint64)
-            row[0] = 1
-            both.append(np.multiply.accumulate(row))
-        kept = (both[0], both[1])
-        if size <= 2 * SLICE_BYTES:
-            _powers[base] = kept
-    return kept
+def span_places(begin: np.ndarray, n: int) -> np.ndarray:
+    """For each of n values its place behind the last span that begins at or before it. begin: ascending, not empty."""
+    kind = np.int32 if n < 1 << 31 else np.int64
+    place = np.arange(n, dtype=kind)
+    place[begin[0] :] -= np.repeat(begin.astype(kind), np.diff(np.append(begin, n)))
+    return place
 
 
-def span_hashes(values: np.ndarray, start: np.ndarray, end: np.ndarray, base: int) -> np.ndarray:
-    """A 64-bit hash of values[start:end] for each pair: a polynomial of the values, mixed with the length."""
-    up, down = powers(base, len(values) + 1)
+def _summed(values: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     total = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum((values.astype(np.uint64) + np.uint64(1)) * up[: len(values)], out=total[1:])
-    return mixed((total[end] - total[start]) * down[start] + mixed((end - start).astype(np.uint64) * np.uint64(base)))
-
+    np.cumsum(values, out=total[1:])
+    return mixed(total[end] - total[start] + mixed((end - start).astype(np.uint64) + STEP))
 
-def word_hashes(raw: np.ndarray, start: np.ndarray, end: np.ndarray, base: int = BYTE_BASE) -> np.ndarray:
-    return span_hashes(raw, start, end, base)
 
+def word_hashes(raw: np.ndarray, start: np.ndarray, end: np.ndarray, second: bool = False) -> np.ndarray:
+    """A 64-bit hash of raw[start:end] for each span, none of which overlaps another; ``second``: an independent one.
 
-def window_hashes(hashes: np.ndarray, first: np.ndarray, size: int, base: int = WORD_BASE) -> tuple[np.ndarray, np.ndarray]:
+    The sum of one random value for each (place, byte), mixed with the length. A value depends on the place, so
+    no pattern of bytes cancels out as it would in a polynomial modulo 2 ** 64.
+    """
+    if not len(start):
+        return np.zeros(0, np.uint64)
+    place = span_places(start, len(raw))
+    values = _place_values[second].take(((place & (PLACES - 1)) << 8) | raw)
+    far = np.flatnonzero(place >= PLACES)
+    if len(far):
+        values[far] = mixed(values[far] + (place[far] >> 8).astype(np.uint64) * STEP)
+    return _summed(values, start, end)
+
+
+def sequence_hashes(hashes: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int = 0) -> np.ndarray:
+    """A 64-bit hash of the sequence hashes[start:end] for each span; spans are in order and don't overlap."""
+    out = np.full(len(start), np.uint64(seed))
+    filled = np.flatnonzero(end > start)
+    if len(filled):
+        place = span_places(start[filled], len(hashes)).astype(np.uint64)
+        out[filled] = _summed(mixed(hashes + place * STEP + np.uint64(seed)), start[filled], end[filled])
+    return out
+
+
+def joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """A hash of what a and then b are hashes of."""
+    return mixed(a * JOIN + b)
+
+
+def gram_hashes(hashes: np.ndarray, size: int, seed: int = 0) -> np.ndarray:
+    """Hashes of all runs of ``size`` consecutive hashes, put together from runs of powers of two."""
+    n = len(hashes) - size + 1
+    if n <= 0:
+        return np.zeros(0, np.uint64)
+    level, width, done, out = mixed(hashes + np.uint64(seed)), 1, 0, None
+    while True:
+        if size & width:
+            part = level[done : done + n]
+            out = part if out is None else joined(out, part)
+            done += width
+        width *= 2
+        if width > size:
+            return out
+        level = joined(level[: -(width // 2)], level[width // 2 :])
+
+
+def window_hashes(hashes: np.ndarray, first: np.ndarray, size: int, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all windows of ``size`` words inside one row, and the index of the word each starts at."""
     lengths = np.diff(first)
     counts = np.maximum(lengths - size + 1, 0)
@@ -147,7 +182,7 @@ def window_hashes(hashes: np.ndarray, first: np.ndarray, size: int, base: int =
     if not total:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     at = np.arange(total) - np.repeat(np.cumsum(counts) - counts, counts) + np.repeat(first[:-1], counts)
-    return span_hashes(hashes, at, at + size, base), at
+    return gram_hashes(hashes, size, seed)[at], at
 
 
 def signed(x: np.ndarray) -> np.ndarray:

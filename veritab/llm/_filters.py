@@ -1,10 +1,10 @@
-"""Two Bloom filters over hashes, once seen and twice seen, merged in executors and of fixed size.
+"""Two Bloom filters over hashes, once seen and twice seen, in shards that no driver ever holds.
 
-Each task turns its keys into cells of the filters and emits the cells as sorted integers, shard by shard.
-Executors merge the shards: a cell is seen twice if two emissions have set it, or one emission two times. Only
-the twice-seen filter is brought to the driver and broadcast: PROBES * CELLS / 8 bytes whatever the input.
-More than ``keys_a_round`` keys are worked off in rounds of hash classes, each with a filter of its own, so
-the rate of false suspects doesn't grow with the input.
+Tasks settle what recurs among the keys that they hold, so a hash that a third of all rows have becomes one witness
+a task. The other hashes, 8 bytes and what belongs to them, are dealt out once to shards of about ``SHARD_KEYS``
+rows. A shard sets the cells of each hash in its once-seen filter; where they were set before, in its twice-seen
+filter; then it lets pass the rows that the twice-seen filter can't rule out. The filters have a fixed size and
+live as long as their task: the number of shards follows the input, the error rate doesn't, and texts are read once.
 """
 
 from __future__ import annotations
@@ -12,116 +12,106 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veritab.llm._core import mixed, staged
+from veritab.llm._core import mixed, signed, staged
 
-#: Cells for each probe (one bit each: 8 MB), shards they are merged in, and keys for which a filter is made.
-CELLS, SHARDS, KEYS_A_ROUND = 1 << 26, 64, 1 << 25
-#: Cells that each key sets.
-PROBES = 2
-#: Keys that a task holds before it emits their cells.
-HELD_KEYS = 1 << 20
+#: Rows of a shard on average, cells of each of its filters, and cells that a hash sets.
+SHARD_KEYS, CELLS, PROBES = 1 << 19, 1 << 23, 2
+#: Keys that a task compares with each other before it passes them on.
+HELD_KEYS = 1 << 19
+#: A set of at most so many hashes (16 MB) is broadcast; a larger one is joined.
+BROADCAST_HASHES = 1 << 21
 
-
-def cells_of(hashes: np.ndarray) -> list[np.ndarray]:
-    """The cells of signed 64-bit hashes, one array for each probe."""
-    x = hashes.view(np.uint64)
-    shift = np.uint64(64 - (CELLS.bit_length() - 1))
-    return [(mixed(x + np.uint64(probe)) >> shift).astype(np.int64) for probe in range(PROBES)]
+UNKNOWN, WITNESS, REPEATED = 0, 1, 2
 
 
 def flat_longs(lists: pa.Array) -> np.ndarray:
     return np.ascontiguousarray(lists.flatten().to_numpy(zero_copy_only=False), np.int64)
 
 
-def _emit(hashes: np.ndarray, rounds: int) -> pa.RecordBatch:
-    width = CELLS // SHARDS
-    which = hashes.view(np.uint64) % np.uint64(rounds)
-    out: list[tuple[int, int, bytes, bytes]] = []
-    for r in range(rounds):
-        for probe, cells in enumerate(cells_of(hashes[which == r] if rounds > 1 else hashes)):
-            once, counts = np.unique(cells, return_counts=True)
-            edges = np.searchsorted(once, np.arange(SHARDS + 1) * width)
-            for shard, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
-                if a < b:
-                    part = (once[a:b] - shard * width).astype(np.uint32)
-                    out.append((r, probe * SHARDS + shard, part.tobytes(), part[counts[a:b] > 1].tobytes()))
-    kinds = (pa.int32(), pa.int32(), pa.binary(), pa.binary())
-    return pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], kind) for i, kind in enumerate(kinds)], names=["r", "shard", "once", "twice"])
-
-
-def _seen(batches: Iterator[pa.RecordBatch], rounds: int) -> Iterator[pa.RecordBatch]:
-    held: list[np.ndarray] = []
-    for batch in batches:
-        held.append(flat_longs(batch.column(0)))
-        if sum(map(len, held)) >= HELD_KEYS:
-            yield _emit(np.concatenate(held), rounds)
-            held = []
-    if sum(map(len, held)):
-        yield _emit(np.concatenate(held), rounds)
-
+def settled(h: np.ndarray, columns: dict[str, pa.Array]) -> pa.RecordBatch:
+    """Keys that a task holds, with their columns and a kind: 0 unknown, 1 repeated and the witness of its hash, 2 repeated."""
+    order = np.argsort(h, kind="stable")
+    h = h[order]
+    same = np.zeros(len(h) + 1, bool)
+    same[1:-1] = h[1:] == h[:-1]
+    kind = np.where(same[:-1] | same[1:], np.where(same[:-1], REPEATED, WITNESS), UNKNOWN).astype(np.int32)
+    chosen = pa.array(order)
+    return pa.RecordBatch.from_arrays([pa.array(signed(h)), pa.array(kind), *[x.take(chosen) for x in columns.values()]], names=["h", "kind", *columns])
 
-def _merge_once(parts: pd.DataFrame) -> pd.DataFrame:
-    once = np.zeros(CELLS // SHARDS, bool)
-    for a in parts["once"]:
-        once[np.frombuffer(a, np.uint32)] = True
-    return pd.DataFrame({"r": parts["r"].iloc[:1], "shard": parts["shard"].iloc[:1], "bits": [np.packbits(once).tobytes()]})
 
+def cells_of(hashes: np.ndarray) -> list[np.ndarray]:
+    """The cells of 64-bit hashes, one array for each probe."""
+    x = hashes.view(np.uint64)
+    shift = np.uint64(64 - (CELLS.bit_length() - 1))
+    return [(mixed(x + np.uint64(probe + 1)) >> shift).astype(np.int64) for probe in range(PROBES)]
 
-def _merge(parts: pd.DataFrame) -> pd.DataFrame:
-    """One shard of one round: at most keys_a_round / SHARDS cells, whatever the input."""
-    width = CELLS // SHARDS
-    once, twice = np.zeros(width, bool), np.zeros(width, bool)
-    for a, b in zip(parts["once"], parts["twice"], strict=True):
-        cells = np.frombuffer(a, np.uint32)
-        twice[cells[once[cells]]] = True
-        once[cells] = True
-        twice[np.frombuffer(b, np.uint32)] = True
-    return pd.DataFrame({"r": parts["r"].iloc[:1], "shard": parts["shard"].iloc[:1], "bits": [np.packbits(twice).tobytes()]})
 
+class Filters:
+    """The once-seen and the twice-seen filter of a shard."""
 
-class Seen:
-    """The bits of one round's filter."""
+    def __init__(self) -> None:
+        self.once, self.twice = np.zeros(CELLS, bool), np.zeros(CELLS, bool)
 
-    def __init__(self, bits: np.ndarray, r: int, rounds: int):
-        self.bits, self.r, self.rounds = bits, r, rounds
+    def add(self, hashes: np.ndarray, repeated: np.ndarray) -> None:
+        cells = cells_of(hashes)
+        seen = repeated | np.logical_and.reduce([self.once[c] for c in cells])
+        order = np.argsort(hashes, kind="stable")
+        again = np.flatnonzero(hashes[order][1:] == hashes[order][:-1])
+        seen[order[again]] = True
+        for c in cells:
+            self.twice[c[seen]] = True
+            self.once[c] = True
 
     def suspects(self, hashes: np.ndarray) -> np.ndarray:
-        """Which hashes of this round's class the filter can't rule out."""
-        keep = hashes.view(np.uint64) % np.uint64(self.rounds) == self.r if self.rounds > 1 else np.ones(len(hashes), bool)
-        for probe, at in enumerate(cells_of(hashes)):
-            keep &= (self.bits[probe, at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)
-        return keep
-
-
-def twice_seen(hashed: DataFrame, total: int, keys_a_round: int = KEYS_A_ROUND) -> Iterator:
-    """Broadcast filters, one for each round, of what occurs twice in the array column ``h`` of longs."""
-    rounds = max(1, -(-total // keys_a_round))
-    merged = _merged(hashed, rounds, _merge)
-    if rounds > 1:
-        merged = staged(merged, "filters")
-    for r in range(rounds):
-        yield _broadcast(merged, r, rounds)
-
+        return np.logical_and.reduce([self.twice[c] for c in cells_of(hashes)])
 
-def once_seen(hashed: DataFrame):
-    """A broadcast filter of what occurs in the array column ``h`` of longs; its error rate grows with the input, its size doesn't."""
-    return _broadcast(_merged(hashed, 1, _merge_once), 0, 1)
 
-
-def _merged(hashed: DataFrame, rounds: int, merge) -> DataFrame:
-    cells = hashed.select("h").mapInArrow(lambda b: _seen(b, rounds), "r int, shard int, once binary, twice binary")
-    return cells.groupBy("r", "shard").applyInPandas(merge, "r int, shard int, bits binary")
-
-
-def _broadcast(merged: DataFrame, r: int, rounds: int):
-    width = CELLS // SHARDS // 8
-    bits = np.zeros((PROBES, CELLS // 8), np.uint8)
-    for row in merged.filter(F.col("r") == r).collect():  # PROBES * SHARDS rows of a fixed size
-        probe, shard = divmod(row["shard"], SHARDS)
-        bits[probe, shard * width : (shard + 1) * width] = np.frombuffer(row["bits"], np.uint8)
-    return merged.sparkSession.sparkContext.broadcast(Seen(bits, r, rounds))
+def _passed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One shard: the rows of unknown kind whose hash may have been seen twice. Columns: h, kind, and others."""
+    held, filters = [], None
+    for batch in batches:
+        if batch.num_rows:
+            filters = filters or Filters()
+            h, kind = (np.asarray(batch.column(i).to_numpy(zero_copy_only=False)) for i in range(2))
+            filters.add(h, kind == WITNESS)
+            held.append(batch.filter(pa.array(kind == UNKNOWN)))
+    for batch in held:
+        keep = pa.array(filters.suspects(np.asarray(batch.column(0).to_numpy(zero_copy_only=False))))
+        yield batch.drop_columns(["kind"]).filter(keep)
+
+
+def twice_seen(keys: DataFrame) -> DataFrame:
+    """keys: a staged table (h long, kind int, other columns) as ``settled`` makes it. Its rows without the kind
+    whose hash occurs twice, and few others."""
+    dealt = keys.filter(F.col("kind") < REPEATED)
+    shards = max(1, -(-dealt.count() // SHARD_KEYS))
+    rest = keys.drop("kind")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rest.schema)
+    return dealt.repartition(shards, "h").mapInArrow(_passed, schema).unionByName(keys.filter(F.col("kind") > UNKNOWN).drop("kind"))
+
+
+class Chosen:
+    """A set of 64-bit hashes."""
+
+    def __init__(self, hashes: np.ndarray):
+        self.hashes = np.sort(hashes)
+
+    def has(self, hashes: np.ndarray) -> np.ndarray:
+        if not len(self.hashes):
+            return np.zeros(len(hashes), bool)
+        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+        return self.hashes[at] == hashes
+
+
+def small_set(hashes: DataFrame, most: int | None = None) -> Broadcast | None:
+    """A broadcast Chosen of the distinct values of the one column of longs; None if they are more than ``most``."""
+    distinct = staged(hashes.distinct(), "hashes")
+    if distinct.count() > (BROADCAST_HASHES if most is None else most):
+        return None
+    held = [np.asarray(x.to_numpy(zero_copy_only=False), np.int64) for x in distinct.toArrow().column(0).chunks]
+    return hashes.sparkSession.sparkContext.broadcast(Chosen(np.concatenate([np.zeros(0, np.int64), *held])))

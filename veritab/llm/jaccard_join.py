@@ -11,7 +11,7 @@ component_id, the smallest id reachable by links.
    the larger size) n-grams, so they share at least m of them within the first size - T + m of each. Each
    document chooses its m from 1 to ``most_matches``: where the prefix holds n-grams with many candidates, a
    longer prefix that demands m matches is cheaper. A pair must share the smaller m of its two documents.
-3. Twice-seen filters drop the prefix entries that no second document has; only the others are shuffled.
+3. Prefix entries are dealt out by n-gram to shards, whose twice-seen filters drop those that no second document has.
 4. Each n-gram's entries are first compared with one of them only, the pivot, round after round with another
    pivot. So a large group of near copies becomes one component after a number of comparisons that grows with
    its size, not with its square.
@@ -34,10 +34,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veritab.llm._components import components
-from veritab.llm._core import buffer_of, lowered, mixed, signed, slices, small_batches, span_hashes, staged, window_hashes, word_hashes, words
-from veritab.llm._filters import flat_longs, once_seen, twice_seen
+from veritab.llm._core import buffer_of, lowered, mixed, signed, slices, sequence_hashes, small_batches, staged, window_hashes, word_hashes, words
+from veritab.llm._filters import HELD_KEYS, flat_longs, settled, small_set, twice_seen
 
 SHINGLE, PERCENT, MOST_MATCHES = 5, 80, 4
+SHORT_SEED = 1
 #: Longs of a set's parity bits.
 WORDS = 8
 #: Counters of the sketch (4 bytes each in every worker).
@@ -56,7 +57,7 @@ def shingle_sets(raw: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.nd
     counts = np.diff(first)
     few = np.flatnonzero((counts > 0) & (counts < size))
     if len(few):
-        grams = np.concatenate([grams, span_hashes(hashes, first[few], first[few + 1], 0x8CB92BA72F3D8DD7)])
+        grams = np.concatenate([grams, sequence_hashes(hashes, first[few], first[few + 1], SHORT_SEED)])
         row = np.concatenate([row, few])
     order = np.lexsort((grams, row))
     grams, row = grams[order], row[order]
@@ -68,7 +69,7 @@ def shingle_sets(raw: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.nd
 
 def set_hashes(grams: np.ndarray, begin: np.ndarray) -> np.ndarray:
     """A hash of each row's set; rows without n-grams have none that matters."""
-    return span_hashes(mixed(grams), begin[:-1], begin[1:], 0xA0761D6478BD642F)
+    return sequence_hashes(grams, begin[:-1], begin[1:])
 
 
 def parity_bits(grams: np.ndarray, begin: np.ndarray) -> np.ndarray:
@@ -190,21 +191,37 @@ def _prefixes(batches: Iterator[pa.RecordBatch], size: int, percent: int, most_m
             yield pa.RecordBatch.from_arrays([pa.array(e, pa.int64()), pa.array(n, pa.int64()), pa.array(m, pa.int32()), pa.ListArray.from_arrays(places, flat), pa.ListArray.from_arrays(pa.array(range(0, WORDS * len(e) + 1, WORDS), pa.int32()), pa.array(signed(np.concatenate(bits).reshape(-1))))], names=["e", "n", "m", "h", "bits"])
 
 
-def _entries(prefixes: DataFrame, total: int) -> DataFrame:
+def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (h, kind, e, n, m): prefix entries; a task tells a set once. Columns: e, n, m, h."""
+    told: set[int] = set()
+    held: list[tuple[np.ndarray, pa.RecordBatch]] = []
+    n = 0
+
+    def flushed() -> pa.RecordBatch:
+        columns = pa.Table.from_batches([x for _, x in held]).combine_chunks().to_batches()[0]
+        return settled(np.concatenate([x for x, _ in held]), dict(zip(columns.schema.names, columns.columns, strict=True)))
+
+    for batch in batches:
+        new = [e not in told and not told.add(e) for e in batch.column(0).to_pylist()]
+        batch = batch.filter(pa.array(new, pa.bool_()))
+        h = flat_longs(batch.column(3))
+        rows = pa.array(np.repeat(np.arange(batch.num_rows), np.asarray(batch.column(3).value_lengths())))
+        if len(h):
+            held.append((h, batch.select(["e", "n", "m"]).take(rows)))
+            n += len(h)
+        if n >= HELD_KEYS:
+            yield flushed()
+            held, n = [], 0
+            if len(told) > HELD_KEYS:  # only here: no set may come twice among the entries of one flush
+                told.clear()
+    if held:
+        yield flushed()
+
+
+def _entries(prefixes: DataFrame) -> DataFrame:
     """Rows (t, e, n, m): prefix entries that a second document may have."""
-    found = None
-    for filters in twice_seen(prefixes, total):
-
-        def run(batches: Iterator[pa.RecordBatch], filters=filters) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                h = flat_longs(batch.column(3))
-                chosen = np.flatnonzero(filters.value.suspects(h))
-                rows = pa.array(np.repeat(np.arange(batch.num_rows), np.asarray(batch.column(3).value_lengths()))[chosen])
-                yield pa.RecordBatch.from_arrays([pa.array(h[chosen]), *[batch.column(i).take(rows) for i in range(3)]], names=["t", "e", "n", "m"])
-
-        part = prefixes.select("e", "n", "m", "h").mapInArrow(run, "t long, e long, n long, m int")
-        found = part if found is None else found.unionByName(part)
-    return found
+    keys = staged(prefixes.select("e", "n", "m", "h").mapInArrow(_keys, "h long, kind int, e long, n long, m int"), "keys")
+    return twice_seen(keys).withColumnRenamed("h", "t")
 
 
 def _sets(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
@@ -218,18 +235,25 @@ def _sets(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBat
 def _linked(pairs: DataFrame, rows: DataFrame, nodes: DataFrame, size: int, percent: int) -> DataFrame:
     """The pairs (a, b) of set hashes that link.
 
-    Their texts are found by a filter on id hashes, of a fixed size, so that no other text is shuffled.
+    Their texts are found by the hashes of their ids: broadcast if they are few, else joined.
     """
     needed = staged(pairs.select(F.col("a").alias("e")).unionByName(pairs.select(F.col("b").alias("e"))).distinct().join(nodes.select("e", "id"), "e"), "needed")
-    seen = once_seen(needed.select(F.array(F.xxhash64("id")).alias("h")))
+    seen = small_set(needed.select(F.xxhash64("id").alias("h")))
+    hashed = rows.select(F.xxhash64("id").alias("h"), "text")
+    if seen is None:
+        hashed = hashed.join(needed.select(F.xxhash64("id").alias("h")).distinct(), "h", "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = seen.value.suspects(np.ascontiguousarray(batch.column(0).to_numpy(zero_copy_only=False), np.int64))
-            yield from _sets([pa.RecordBatch.from_arrays([batch.column(1).filter(pa.array(keep))], names=["text"])], size)
+            texts = batch.column(1)
+            if seen is not None:
+                texts = texts.filter(pa.array(seen.value.has(np.asarray(batch.column(0).to_numpy(zero_copy_only=False)))))
+            yield from _sets([pa.RecordBatch.from_arrays([texts], names=["text"])], size)
 
-    found = rows.select(F.xxhash64("id").alias("h"), "text").mapInArrow(run, "e long, tokens array<long>")
+    found = hashed.mapInArrow(run, "e long, tokens array<long>")
     sets = staged(found.join(needed.select("e"), "e", "left_semi").dropDuplicates(["e"]), "sets")
+    if seen is not None:
+        seen.destroy()
     both = pairs.join(sets.select(F.col("e").alias("a"), F.col("tokens").alias("x")), "a").join(sets.select(F.col("e").alias("b"), F.col("tokens").alias("y")), "b")
     counted = both.select("a", "b", F.size("x").alias("i"), F.size("y").alias("j"), F.size(F.array_intersect("x", "y")).alias("c"))
     return counted.filter(F.col("c") * 100 >= percent * (F.col("i") + F.col("j") - F.col("c"))).select("a", "b")
@@ -264,8 +288,8 @@ def jaccard_components(frame: DataFrame, id_column: str = "doc_id", text_column:
     nodes = staged(nodes.select("e", "n", F.col("least.id").alias("id")), "nodes")
 
     prefixes = staged(rows.select("text").mapInArrow(lambda b: _prefixes(b, shingle, percent, most_matches, counts.value), "e long, n long, m int, h array<long>, bits array<long>"), "prefixes")
-    total = prefixes.agg(F.coalesce(F.sum(F.size("h").cast("long")), F.lit(0)).alias("n")).first()["n"]
-    entries = staged(_entries(prefixes, total).distinct(), "entries")
+    counts.destroy()
+    entries = staged(_entries(prefixes).distinct(), "entries")
     several = entries.groupBy("t").agg(F.count("*").alias("c")).filter("c > 1")
     entries = staged(entries.join(several, "t"), "entries")
     # the original of a group of near copies holds the entries that most others hold: the best pivot

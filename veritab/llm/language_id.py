@@ -122,12 +122,14 @@ def language_id(frame: DataFrame, dictionaries: dict[str, bytes], id_column: str
         for batch in batches:
             made = [compressors.predict(x) for x in batch.column(1).to_pylist()]
             columns = [pa.array([x[i] for x in made], kind) for i, kind in enumerate((pa.string(), pa.float64(), pa.float64()))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["row", "lang_pred", "score", "margin"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns, *[batch.column(1)] * with_text], names=["row", "lang_pred", "score", "margin", "text"][: 4 + with_text])
 
-    row = F.struct(F.col(id_column).alias("id"), *[F.col(c).alias(f"c{i}") for i, c in enumerate(carry)])
+    with_text = text_column in carry  # once, beside the others
+    row = F.struct(F.col(id_column).alias("id"), *[F.col(c).alias(f"c{i}") for i, c in enumerate(carry) if c != text_column])
     texts = frame.select(row.alias("row"), F.col(text_column).cast("string").alias("text"))
-    made = texts.mapInArrow(run, f"row {texts.schema['row'].dataType.simpleString()}, lang_pred string, score double, margin double")
-    return made.select(F.col("row.id").alias(id_column), "lang_pred", "score", "margin", *[F.col(f"row.c{i}").alias(c) for i, c in enumerate(carry)])
+    made = texts.mapInArrow(run, f"row {texts.schema['row'].dataType.simpleString()}, lang_pred string, score double, margin double" + ", text string" * with_text)
+    carried = [F.col("text" if c == text_column else f"row.c{i}").alias(c) for i, c in enumerate(carry)]
+    return made.select(F.col("row.id").alias(id_column), "lang_pred", "score", "margin", *carried)
 
 
 def rejected(pred: str = "lang_pred", margin: str = "margin", least_margin: float = LEAST_MARGIN) -> Column:

@@ -27,8 +27,8 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = line_dedup.line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return made.select(F.col("row.doc_id").alias("doc_id"), "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
+    made = line_dedup.line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), with_text=False)
+    return made.select(F.col("row.doc_id").alias("doc_id"), "n_lines", "n_dropped", "kept_sha256")
 
 
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

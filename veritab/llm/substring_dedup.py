@@ -8,7 +8,8 @@ too, is removed; windows are judged on the input.
    and picks minimizers: in each window the ``k``-word gram with the smallest hash. Equal windows pick equal
    grams, so a window can only recur if a twice-seen filter knows its minimizer; most text ends here.
 2. The suspected windows are the edges of a de Bruijn graph (they join their first and last window - 1 words),
-   each with its source coordinate: source and position. A task settles the edges that recur among its own
+   each with 128 bits of hashes and its source coordinate: source and position. Their minimizers are broadcast if
+   they are few, else joined to the texts by source. A task settles the edges that recur among its own
    and sends one witness of each, so an edge that a third of all documents hold is no large group anywhere.
    The others are dealt out by their hash; an edge at two different coordinates is repeated.
 3. Repeated edges that follow each other in a source, with nothing else between them, are a nonbranching path
@@ -16,12 +17,15 @@ too, is removed; windows are judged on the input.
 4. Spans are joined with the texts by source, and applied to the words at their coordinates.
 
 Null and empty texts have no words and keep the empty text. Documents of fewer words than a window lose
-nothing. Repeated rows, with equal ids or not, are occurrences of their own and so repeats of each other.
+nothing. Repeated rows, with equal ids or not, are occurrences of their own and so repeats of each other; there are no
+ties, as all occurrences of a window are treated alike. Very long texts are read whole. An empty table gives an empty
+one. Only the id and the text are read, so extra columns may have any name.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,18 +33,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veritab.llm._core import buffer_of, signed, slices, small_batches, span_hashes, staged, word_hashes, words
-from veritab.llm._filters import once_seen, twice_seen
+from veritab.llm._core import buffer_of, gram_hashes, sequence_hashes, signed, slices, small_batches, staged, word_hashes, words
+from veritab.llm._filters import HELD_KEYS, Chosen, flat_longs, settled, small_set, twice_seen
 
 WINDOW, K = 35, 12
 #: Edges that a task compares with each other before it passes them on.
 HELD_EDGES = 1 << 19
-CHECK_BASE = 0x9FB21C651E98DF25
+GRAM_SEED, SOURCE_SEED = 1, 2
 
 
 def sources(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
     """A hash of each row's whole word sequence."""
-    return signed(span_hashes(hashes, first[:-1], first[1:], 0xC2B2AE3D27D4EB4F))
+    return signed(sequence_hashes(hashes, first[:-1], first[1:], SOURCE_SEED))
 
 
 def minimizers(hashes: np.ndarray, first: np.ndarray, window: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -51,8 +55,8 @@ def minimizers(hashes: np.ndarray, first: np.ndarray, window: int, k: int) -> tu
     if not bounds[-1]:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64), bounds
     # grams are hashed across rows; windows that leave their row are not used
-    place = np.arange(len(hashes) - k + 1)
-    least = span_hashes(hashes, place, place + k, CHECK_BASE)
+    least = gram_hashes(hashes, k, GRAM_SEED)
+    place = np.arange(len(least))
     width = 1
     while width < span:
         step = min(width, span - width)
@@ -83,8 +87,25 @@ def joined_hashes(raw: np.ndarray, offsets: np.ndarray, start: np.ndarray, end:
 
 
 def _profiles(batches: Iterator[pa.RecordBatch], window: int, k: int) -> Iterator[pa.RecordBatch]:
-    """Rows (source, h): each document's source hash and its distinct minimizers; a task tells a source once."""
+    """Rows (h, kind, source) of the distinct minimizers of each source, and (source, docs): how many documents it has.
+
+    A task tells a source's minimizers once.
+    """
+    docs: Counter[int] = Counter()
     told: set[int] = set()
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    n = 0
+
+    def flushed() -> Iterator[pa.RecordBatch]:
+        if held:
+            made = settled(np.concatenate([x for x, _ in held]), {"source": pa.array(np.concatenate([x for _, x in held]))})
+            yield made.append_column("docs", pa.nulls(made.num_rows, pa.int64()))
+        if docs:
+            size = len(docs)
+            yield pa.RecordBatch.from_arrays([pa.nulls(size, pa.int64()), pa.nulls(size, pa.int32()), pa.array(list(docs), pa.int64()), pa.array(list(docs.values()), pa.int64())], names=["h", "kind", "source", "docs"])
+        held.clear()
+        docs.clear()
+
     for batch in batches:
         raw, offsets = buffer_of(batch.column(0))
         for _, _, part, own in slices(raw, offsets):
@@ -92,42 +113,60 @@ def _profiles(batches: Iterator[pa.RecordBatch], window: int, k: int) -> Iterato
             hashes = word_hashes(part, start, end)
             names = sources(hashes, first)
             _, least, place, bounds = minimizers(hashes, first, window, k)
-            e, lists = [], []
-            for i in np.flatnonzero(np.diff(bounds)):
-                if names[i] not in told:
-                    told.add(int(names[i]))
-                    own_place = place[bounds[i] : bounds[i + 1]]
-                    changes = np.ones(len(own_place), bool)
-                    changes[1:] = own_place[1:] != own_place[:-1]
-                    e.append(names[i])
-                    lists.append(signed(least[bounds[i] : bounds[i + 1]][changes]))
-            if e:
-                places = np.concatenate([[0], np.cumsum([len(x) for x in lists])])
-                yield pa.RecordBatch.from_arrays([pa.array(e, pa.int64()), pa.ListArray.from_arrays(pa.array(places, pa.int32()), pa.array(np.concatenate(lists)))], names=["source", "h"])
-
-
-def _flushed(h: np.ndarray, source: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
+            long = np.diff(bounds) > 0
+            docs.update(names[long].tolist())
+            fresh = np.zeros(len(names), bool)
+            for i in np.flatnonzero(long).tolist():
+                if (name := int(names[i])) not in told:
+                    told.add(name)
+                    fresh[i] = True
+            row = np.repeat(np.arange(len(names)), np.diff(bounds))
+            new = np.ones(len(place), bool)
+            new[1:] = (place[1:] != place[:-1]) | (row[1:] != row[:-1])
+            new &= fresh[row]
+            h, row = signed(least[new]), row[new]
+            order = np.lexsort((h, row))
+            h, row = h[order], row[order]
+            new = np.ones(len(h), bool)
+            new[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
+            second = ~new  # a source that has a minimizer twice is a suspect by itself
+            second[1:] &= new[:-1]
+            keep = new | second
+            held.append((h[keep], names[row[keep]]))
+            n += int(keep.sum())
+        if n >= HELD_KEYS:
+            yield from flushed()
+            n = 0
+            if len(told) > HELD_KEYS:
+                told.clear()
+    yield from flushed()
+
+
+def _flushed(h: np.ndarray, check: np.ndarray, source: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
     """Edges that a task holds. What recurs among them needs no shuffle, but for one witness for the other tasks.
 
     kind: 0 unknown, 1 repeated and the witness of its edge, 2 repeated.
     """
-    order = np.lexsort((at, source, h))
-    h, source, at = h[order], source[order], at[order]
+    order = np.lexsort((at, source, check, h))
+    h, check, source, at = h[order], check[order], source[order], at[order]
     same = np.zeros(len(h) + 1, bool)
-    same[1:-1] = h[1:] == h[:-1]
+    same[1:-1] = (h[1:] == h[:-1]) & (check[1:] == check[:-1])
     repeated, witness = same[:-1] | same[1:], ~same[:-1]
     kind = np.where(repeated, np.where(witness, 1, 2), 0).astype(np.int32)
-    return pa.RecordBatch.from_arrays([pa.array(signed(h)), pa.array(source), pa.array(at), pa.array(kind)], names=["h", "source", "at", "kind"])
+    return pa.RecordBatch.from_arrays([pa.array(signed(h)), pa.array(signed(check)), pa.array(source), pa.array(at), pa.array(kind)], names=["h", "check", "source", "at", "kind"])
+
 
+def _edges(batches: Iterator[pa.RecordBatch], window: int, k: int, chosen) -> Iterator[pa.RecordBatch]:
+    """Rows (h, check, source, at, kind) of the windows that may recur; a task tells a source once.
 
-def _edges(batches: Iterator[pa.RecordBatch], window: int, k: int, filters) -> Iterator[pa.RecordBatch]:
-    """Rows (h, source, at, kind) of the windows that may recur; a task tells a source once."""
+    chosen: the suspected minimizers; without them, each text comes with those of its source in a second column.
+    """
     told: set[int] = set()
-    held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    held: list[tuple[np.ndarray, ...]] = []
     n = 0
     for batch in batches:
         raw, offsets = buffer_of(batch.column(0))
-        for _, _, part, own in slices(raw, offsets):
+        for low_row, high_row, part, own in slices(raw, offsets):
             start, end, first = words(part, own)
             hashes = word_hashes(part, start, end)
             names = sources(hashes, first)
@@ -136,41 +175,45 @@ def _edges(batches: Iterator[pa.RecordBatch], window: int, k: int, filters) -> I
                 continue
             new = np.ones(len(least), bool)
             new[1:] = least[1:] != least[:-1]
-            suspect = filters.value.suspects(signed(least[new]))[np.cumsum(new) - 1]
+            known = chosen.value if chosen is not None else Chosen(flat_longs(batch.column(1).slice(low_row, high_row - low_row)))
+            suspect = known.has(signed(least[new]))[np.cumsum(new) - 1]
             row = np.repeat(np.arange(len(names)), np.diff(bounds))
             fresh = np.zeros(len(names), bool)
-            for i in np.unique(row[suspect]):
+            for i in np.unique(row[suspect]).tolist():
                 if (name := int(names[i])) not in told:
                     told.add(name)
                     fresh[i] = True
-            chosen = np.flatnonzero(suspect & fresh[row])
-            if len(chosen):
-                at = begin[chosen]
-                held.append((span_hashes(hashes, at, at + window, 0xD6E8FEB86659FD93), names[row[chosen]], (at - first[row[chosen]]).astype(np.int32)))
-                n += len(chosen)
+            at = begin[np.flatnonzero(suspect & fresh[row])]
+            if len(at):
+                row = np.searchsorted(first, at, "right") - 1
+                check = gram_hashes(word_hashes(part, start, end, second=True), window)[at]
+                held.append((gram_hashes(hashes, window)[at], check, names[row], (at - first[row]).astype(np.int32)))
+                n += len(at)
         if n >= HELD_EDGES:
             yield _flushed(*[np.concatenate(x) for x in zip(*held, strict=True)])
             held, n = [], 0
+            if len(told) > HELD_KEYS:  # only here: no coordinate may come twice among the edges of one flush
+                told.clear()
     if n:
         yield _flushed(*[np.concatenate(x) for x in zip(*held, strict=True)])
 
 
 def _resolved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (source, at) of the unknown edges that lie at two coordinates. Comes sorted by h, source, at.
+    """Rows (source, at) of the unknown edges that lie at two coordinates. Comes sorted by h, check, source, at.
 
     Only an edge's first coordinate is held, so an edge may have any number of rows.
     """
     edge, first, several, waiting = None, None, False, False
     for batch in batches:
-        h, source, at, kind = (np.asarray(batch.column(i).to_numpy(zero_copy_only=False)) for i in range(4))
+        h, check, source, at, kind = (np.asarray(batch.column(i).to_numpy(zero_copy_only=False)) for i in range(5))
         if not len(h):
             continue
-        begins = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+        begins = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (check[1:] != check[:-1])]))
         ends = np.append(begins[1:], len(h))
-        continued = edge is not None and h[0] == edge
+        continued = edge is not None and (h[0], check[0]) == edge
         extra: list[tuple[int, int]] = []
-        # rows of an edge are sorted, so two coordinates show in its first and last row
-        multi = (source[begins] != source[ends - 1]) | (at[begins] != at[ends - 1])
+        # rows of an edge are sorted, so two coordinates show in its first and last row; a witness stands for two
+        multi = (source[begins] != source[ends - 1]) | (at[begins] != at[ends - 1]) | np.logical_or.reduceat(kind == 1, begins)
         if continued:
             multi[0] |= several or (source[0], at[0]) != first
             if multi[0] and waiting:
@@ -179,7 +222,7 @@ def _resolved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = np.repeat(multi, ends - begins) & (kind == 0)
         a = begins[-1]
         if not (continued and len(begins) == 1):
-            edge, first, several, waiting = h[-1], (source[a], at[a]), False, False
+            edge, first, several, waiting = (h[-1], check[-1]), (source[a], at[a]), False, False
         several = bool(multi[-1])
         if not several:
             waiting = waiting or bool((kind[a:] == 0).any())
@@ -204,38 +247,42 @@ def _paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(places), spans)], names=["source", "spans"])
 
 
-def repeated_spans(texts: DataFrame, window: int, k: int) -> DataFrame:
-    """texts: a string column. Rows (source, spans): for each source its repeated spans of windows (at, length)."""
-    profiles = staged(texts.mapInArrow(lambda b: _profiles(b, window, k), "source long, h array<long>"), "minimizers").dropDuplicates(["source"])
-    total = profiles.agg(F.coalesce(F.sum(F.size("h").cast("long")), F.lit(0)).alias("n")).first()["n"]
-    edges = None
-    for filters in twice_seen(profiles, total):
-        part = texts.mapInArrow(lambda b, filters=filters: _edges(b, window, k, filters), "h long, source long, at int, kind int")
-        edges = part if edges is None else edges.unionByName(part)
-    edges = staged(edges, "windows")
-    dealt = edges.filter("kind < 2").repartition("h").sortWithinPartitions("h", "source", "at")
+def repeated_spans(texts: DataFrame, window: int, k: int, broadcast_hashes: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """texts: a string column. Rows (source, spans): for each source its repeated spans of windows (at, length); and
+    rows (source, copies) of the sources with several documents."""
+    profiles = staged(texts.mapInArrow(lambda b: _profiles(b, window, k), "h long, kind int, source long, docs long"), "minimizers")
+    copies = staged(profiles.filter("docs is not null").groupBy("source").agg(F.sum("docs").alias("copies")).filter("copies > 1"), "copies")
+    suspects = staged(twice_seen(profiles.filter("docs is null").drop("docs")), "suspects")
+    chosen = small_set(suspects.select("h"), broadcast_hashes)
+    if chosen is None:
+        each = texts.mapInArrow(lambda b: (x.select(["text", "source"]) for x in _named(b, at=0)), "text string, source long").dropDuplicates(["source"])
+        texts = each.join(suspects.groupBy("source").agg(F.collect_set("h").alias("hs")), "source").select("text", "hs")
+    edges = staged(texts.mapInArrow(lambda b: _edges(b, window, k, chosen), "h long, check long, source long, at int, kind int"), "windows")
+    if chosen is not None:
+        chosen.destroy()
+    dealt = edges.filter("kind < 2").repartition("h").sortWithinPartitions("h", "check", "source", "at")
     repeated = dealt.mapInArrow(_resolved, "source long, at int").unionByName(edges.filter("kind > 0").select("source", "at"))
     grouped = repeated.groupBy("source").agg(F.collect_set("at").alias("ats"))
-    return staged(grouped.mapInArrow(_paths, "source long, spans array<struct<at: int, length: int>>"), "spans")
+    return staged(grouped.mapInArrow(_paths, "source long, spans array<struct<at: int, length: int>>"), "spans"), copies
 
 
-def _named(batches: Iterator[pa.RecordBatch], seen=None) -> Iterator[pa.RecordBatch]:
-    """Rows (row, text, source); with a filter, only those of sources that it can't rule out."""
+def _named(batches: Iterator[pa.RecordBatch], seen=None, at: int = 1) -> Iterator[pa.RecordBatch]:
+    """The rows and their source; with a set of sources, only those in it. at: the column of the text."""
     for batch in batches:
-        raw, offsets = buffer_of(batch.column(1))
+        raw, offsets = buffer_of(batch.column(at))
         names = [np.zeros(0, np.int64)]
         for _, _, part, own in slices(raw, offsets):
             start, end, first = words(part, own)
             names.append(sources(word_hashes(part, start, end), first))
         source = np.concatenate(names)
-        made = pa.RecordBatch.from_arrays([*batch.columns, pa.array(source)], names=["row", "text", "source"])
-        yield made if seen is None else made.filter(pa.array(seen.value.suspects(source)))
+        made = batch.append_column("source", pa.array(source))
+        yield made if seen is None else made.filter(pa.array(seen.value.has(source)))
 
 
 def _untouched(batches: Iterator[pa.RecordBatch], seen, with_text: bool) -> Iterator[pa.RecordBatch]:
     """Results of the other rows, which keep all their words."""
     for batch in _named(batches):
-        rest = batch.filter(pa.array(~seen.value.suspects(np.asarray(batch.column(2)))))
+        rest = batch.filter(pa.array(~seen.value.has(np.asarray(batch.column(2)))))
         nulls = [pa.nulls(rest.num_rows, pa.list_(pa.struct([("at", pa.int32()), ("length", pa.int32())]))), pa.nulls(rest.num_rows, pa.int64())]
         plain = pa.RecordBatch.from_arrays([rest.column(0), rest.column(1), *nulls], names=["row", "text", "spans", "copies"])
         yield from _applied(iter([plain]), 1, with_text)
@@ -267,17 +314,18 @@ def _applied(batches: Iterator[pa.RecordBatch], window: int, with_text: bool) ->
             yield pa.RecordBatch.from_arrays([*columns, *([pa.array(texts)] if with_text else [])], names=["row", "n_words", "n_removed", "kept_sha256", "kept"][: 4 + with_text])
 
 
-def substring_dedup(frame: DataFrame, id_column: str = "doc_id", text_column: str = "text", window: int = WINDOW, k: int = K, with_text: bool = True) -> DataFrame:
+def substring_dedup(frame: DataFrame, id_column: str = "doc_id", text_column: str = "text", window: int = WINDOW, k: int = K, with_text: bool = True, broadcast_hashes: int | None = None) -> DataFrame:
     """Per row: the id, n_words, n_removed, kept_sha256 and, on request, the kept words joined by one space."""
     small_batches(frame.sparkSession)
     rows = frame.select(F.struct(F.col(id_column).alias("id")).alias("row"), F.col(text_column).cast("string").alias("text"))
     kind = rows.schema["row"].dataType.simpleString()
-    spans = repeated_spans(rows.select("text"), window, k)
-    copies = rows.mapInArrow(_named, f"row {kind}, text string, source long").groupBy("source").agg(F.count("*").alias("copies")).filter("copies > 1")
-    known = staged(spans.join(staged(copies, "copies"), "source", "full"), "known")
-    # only texts that lose words are shuffled; a filter of a fixed size tells them from the others
-    seen = once_seen(known.select(F.array("source").alias("h")))
+    spans, copies = repeated_spans(rows.select("text"), window, k, broadcast_hashes)
+    known = staged(spans.join(copies, "source", "full"), "known")
+    # only texts that lose words are shuffled, or all if the sources that lose some are too many to be broadcast
+    seen = small_set(known.select("source"), broadcast_hashes)
     schema = f"row {kind}, n_words long, n_removed long, kept_sha256 string" + ", kept string" * with_text
     touched = rows.mapInArrow(lambda b: _named(b, seen), f"row {kind}, text string, source long").join(known.hint("merge"), "source", "left").select("row", "text", "spans", "copies")
-    out = touched.mapInArrow(lambda b: _applied(b, window, with_text), schema).unionByName(rows.mapInArrow(lambda b: _untouched(b, seen, with_text), schema))
+    out = touched.mapInArrow(lambda b: _applied(b, window, with_text), schema)
+    if seen is not None:
+        out = out.unionByName(rows.mapInArrow(lambda b: _untouched(b, seen, with_text), schema))
     return out.select(F.col("row.id").alias(id_column), "n_words", "n_removed", "kept_sha256", *["kept"] * with_text)
