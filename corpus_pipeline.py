@@ -3,6 +3,10 @@
 Each stage is a function of (spark, docs, sf_dir); run() writes what a stage returns to the shared folder and
 reads it back for the next one, so a lost executor costs one stage at most. All stages but the last return the
 columns of documents; n_chars follows the text.
+
+Null ids are ids, and rows with one id are documents of their own but where a stage says otherwise. A null, empty or
+wordless text has no language, so the first stage drops it. Repeated rows are near copies of each other, of which one
+stays. Empty tables give empty ones. Columns that documents don't have by contract are left out, whatever their names.
 """
 
 from __future__ import annotations
@@ -31,16 +35,24 @@ def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def drop_shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document, without the lines it shares with many others."""
     made = line_dedup.line_dedup(docs.select(*COLUMNS))
-    same = [F.col(f"row.{c}").alias(c) for c in ("lang", "source")]
-    text = F.when(F.col("n_dropped") > 0, F.col("kept")).otherwise(F.col("row.text"))
     changed = F.when(F.col("n_dropped") > 0, F.char_length("kept").cast("long")).otherwise(F.col("row.n_chars"))
-    return made.select(F.col("row.doc_id").alias("doc_id"), text.alias("text"), *same, changed.alias("n_chars"))
+    return made.select(F.col("row.doc_id").alias("doc_id"), F.col("kept").alias("text"), *[F.col(f"row.{c}").alias(c) for c in ("lang", "source")], changed.alias("n_chars"))
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near copies."""
-    groups = staged(jaccard_join.jaccard_components(docs).filter(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct(), "copies")
-    return docs.select(*COLUMNS).join(groups, "doc_id", "left_anti")
+    """One row of each group of near copies: the one with the smallest id, and of these the smallest hash of its text."""
+    key = F.struct("doc_id", F.xxhash64("text").alias("h"))
+    keyed = docs.select(*COLUMNS, key.alias("key"))
+    made = staged(jaccard_join.jaccard_components(keyed, id_column="key"), "components")
+    first = F.col("key").eqNullSafe(F.col("component_id"))
+    gone = staged(made.filter(~first).select(F.col("key").alias("gone")).distinct(), "copies")
+    kept = keyed.join(gone, F.col("key").eqNullSafe(F.col("gone")), "left_anti")
+    # rows alike in id and text are copies too, and have one key
+    twins = staged(made.filter(first & (F.col("n_shingles") > 0)).groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("key").alias("twin")), "twins")
+    if not twins.isEmpty():
+        same = F.col("key").eqNullSafe(F.col("twin"))
+        kept = kept.join(twins, same, "left_anti").unionByName(kept.join(twins, same, "left_semi").dropDuplicates(["key"]))
+    return kept.select(*COLUMNS)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
