@@ -7,8 +7,14 @@ prefix and is compatible with the last token of what stands before it. Words tha
 work, and an encoding is read back along last tokens. Two tokens are compatible if merging their
 concatenation by rank gives just the two; this is read from the merges along the inner border.
 
-Null and empty texts encode to no ids and decode to an empty text. Any text is encoded whole; a very long word
-costs time in proportion to its length times the longest token. Repeated rows are encoded each on its own.
+The runs between white space of a slice of texts are found in its bytes, named by hashes and compared byte by
+byte with the first run of that name, so each distinct run is looked up once. Ids and decoded texts of all runs
+are then gathered in NumPy.
+
+Null and empty texts, and texts of white space, encode to no ids and decode to an empty text. Any text is encoded
+whole; a very long word costs time in proportion to its length times the longest token, and no trie. Repeated rows
+and rows with equal ids are encoded each on its own, and no tie can arise. An empty table gives an empty one. Extra
+columns are left out, whatever their names.
 """
 
 from __future__ import annotations
@@ -21,18 +27,22 @@ import unicodedata
 from array import array
 from collections.abc import Iterable, Iterator
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veritab.llm._core import small_batches
+from veritab.llm._core import buffer_of, slices, small_batches, word_hashes, words
 
-#: Words, runs between white space, and pairs of tokens that a worker remembers before it starts anew.
-KEPT_WORDS, KEPT_RUNS, KEPT_PAIRS = 400_000, 400_000, 1_000_000
-#: Control characters that Python's split() takes for white space and the vocabulary doesn't.
-CONTROLS = "\x1c\x1d\x1e\x1f"
+#: Words and runs, their bytes, and pairs of tokens that a worker remembers before it starts anew.
+KEPT_ENTRIES, KEPT_BYTES, KEPT_PAIRS = 1_500_000, 1 << 25, 1_000_000
+#: Bytes of text that are encoded in one go; words of more symbols are encoded without a trie.
+BATCH_BYTES, LONG_WORD = 1 << 20, 256
 WORD_END = "</w>"
+#: Symbols by which the longest token that may end a prefix is looked up.
+REACH = 4
 
 #: The vocabulary's splitting pattern.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"""
@@ -70,12 +80,22 @@ class WordBpe:
             self.rank[a << 32 | b], self.made[whole], self.halves[whole] = rank, rank, (a, b)
         self.width = {t: len(name.removesuffix(WORD_END)) if name != WORD_END else 1 for name, t in self.tokens.items()}
         self.longest = max(self.width.values())
+        #: The longest token that ends in these REACH symbols (and the word's end).
+        self.reach: dict[str, int] = {}
+        for name, t in self.tokens.items():
+            if (size := self.width[t]) >= REACH:
+                key = name[size - REACH :]
+                self.reach[key] = max(size, self.reach.get(key, 0))
         self.pairs: dict[int, bool] = {}
-        self.ids: dict[str, bytes] = {}
-        self.text: dict[str, str] = {}
-        #: The same for runs between white space, as they stand in texts.
-        self.run_ids: dict[str, bytes] = {}
-        self.run_text: dict[str, str] = {}
+        #: What is remembered: packed ids of words, and of runs between white space as they stand in texts.
+        self.of_word: dict[str, bytes] = {}
+        self.of_run: dict[bytes, bytes] = {}
+        self.held = 0
+        #: The text of each token and a space, one after the other, and where each id's begin.
+        shown = [f"{self.names.get(i, '')} ".encode() for i in range(max(self.names) + 1)]
+        self.shown, self.shown_at = np.frombuffer(b"".join(shown), np.uint8), np.append(0, np.cumsum([len(x) for x in shown]))
+        #: Whether what stands between white space can be split into words on its own: not if a special token has some.
+        self.plain = all(not any(c.isspace() for c in x) for x in self.special)
 
     def compatible(self, a: int, b: int) -> bool:
         key = a << 32 | b
@@ -113,34 +133,41 @@ class WordBpe:
         finally:
             gc.enable()
 
+    def _last_token(self, tail: str, ends: bool, depth: int, last: list[int]) -> int:
+        """The last token of a prefix of ``depth`` symbols. tail: its last symbols; last: those of the shorter prefixes."""
+        name, size = tail + WORD_END if ends else tail, len(tail)
+        tokens, most = self.tokens, size if size < REACH else min(size, self.reach.get(name[size - REACH :], REACH - 1))
+        for back in range(most, 0, -1):
+            token = tokens.get(name[size - back :])
+            if token is not None and (back == depth or self.compatible(last[depth - back - 1], token)):
+                return token
+        raise ValueError(f"the vocabulary can't end {tail!r}")
+
     def _walk(self, words: Iterable[str]) -> None:
         root: dict = {}
         for word in words:
+            chars = "".join([self.symbols[b] for b in word.encode()])
+            if len(chars) > LONG_WORD:
+                last: list[int] = []
+                for depth in range(1, len(chars) + 1):
+                    last.append(self._last_token(chars[max(0, depth - self.longest) : depth], depth == len(chars), depth, last))
+                self._read_back([word], last)
+                continue
             node = root
-            chars = "".join(self.symbols[b] for b in word.encode())
             for ch in chars[:-1]:
                 node = node.setdefault(ch, {})
             node.setdefault(chars[-1] + WORD_END, []).append(word)
-        last: list[int] = []
-        stack: list[tuple[object, int, str]] = [(root, 0, "")]
-        tokens, compatible, longest = self.tokens, self.compatible, self.longest
+        last, stack = [], [(root, 0, "")]
         while stack:
-            node, depth, prefix = stack.pop()
+            node, depth, tail = stack.pop()
             if depth:
                 del last[depth - 1 :]
-                name = prefix + WORD_END if isinstance(node, list) else prefix
-                for cut in range(max(0, depth - longest), depth):
-                    token = tokens.get(name[cut:])
-                    if token is not None and (not cut or compatible(last[cut - 1], token)):
-                        break
-                else:
-                    raise ValueError(f"the vocabulary can't end {prefix!r}")
-                last.append(token)
+                last.append(self._last_token(tail, isinstance(node, list), depth, last))
             if isinstance(node, list):
                 self._read_back(node, last)
                 continue
             for ch, child in node.items():
-                stack.append((child, depth + 1, prefix + (ch[: -len(WORD_END)] if isinstance(child, list) else ch)))
+                stack.append((child, depth + 1, (tail + ch[:1])[-self.longest :]))
 
     def _read_back(self, same: list[str], last: list[int]) -> None:
         found, at = [], len(last)
@@ -148,9 +175,9 @@ class WordBpe:
             found.append(last[at - 1])
             at -= self.width[last[at - 1]]
         found.reverse()
-        packed, shown = pack(found), " ".join([self.names[t] for t in found])
+        packed = pack(found)
         for word in same:
-            self.ids[word], self.text[word] = packed, shown
+            self.of_word[word] = packed
 
     def pieces(self, text: str) -> list[str]:
         """Words of a text as the vocabulary splits them; special tokens stand for themselves."""
@@ -159,50 +186,81 @@ class WordBpe:
         return [w for i, part in enumerate(self.split_special.split(text)) for w in ([part] if i % 2 else self._words(part))]
 
     def _words(self, text: str) -> list[str]:
+        if text.isascii():
+            return self.split.findall(text.lower())
         # lower() alone would treat a final sigma by its neighbours; the vocabulary lowers each character alone
         return self.split.findall(unicodedata.normalize("NFC", text).replace("Σ", "σ").lower())
 
-    def _runs(self, text: str) -> list[str]:
-        """Parts of a text that can be split into words each on its own: between white space nothing joins.
-
-        Not so where a special token may hold white space, or where Python takes control characters for it.
-        """
-        plain = all(" " not in x and "\n" not in x for x in self.special)
-        return text.split() if plain and not any(x in text for x in CONTROLS) else [text]
-
-    def encode_batch(self, texts: list[str | None]) -> Iterator[tuple[bytes, str]]:
+    def encode_batch(self, texts: pa.Array) -> Iterator[tuple[bytes, bytes]]:
         """Per text: its ids as little-endian unsigned 32-bit integers, and the decoded text (tokens joined by a space)."""
-        split = [self._runs(x) if x else [] for x in texts]
-        new: set[str] = set()
-        for x in split:
-            new.update(x)
-        if len(self.run_ids) + len(new) > KEPT_RUNS:
-            self.run_ids.clear()
-            self.run_text.clear()
-        new.difference_update(self.run_ids)
-        self._learn_runs(new)
-        ids, shown = self.run_ids, self.run_text
-        for x in split:
-            yield b"".join([ids[w] for w in x]), " ".join([y for w in x if (y := shown[w])])
-
-    def _learn_runs(self, runs: set[str]) -> None:
-        parts = {x: self.pieces(x) for x in runs}
-        new = {w for x in parts.values() for w in x}
-        if len(self.ids) + len(new) > KEPT_WORDS:
-            self.ids.clear()
-            self.text.clear()
+        raw, offsets = buffer_of(texts)
+        for _, _, part, own in slices(raw, offsets, BATCH_BYTES):
+            yield from self._encoded(part, own)
+            if len(self.of_word) + len(self.of_run) > KEPT_ENTRIES or self.held > KEPT_BYTES:
+                self.of_word.clear()
+                self.of_run.clear()
+                self.held = 0
+
+    def _encoded(self, raw: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[bytes, bytes]]:
+        if self.plain:
+            start, end, first = words(raw, offsets)
+        else:  # a text is one run
+            filled = np.flatnonzero(np.diff(offsets))
+            start, end, first = offsets[filled], offsets[filled + 1], np.append(0, np.cumsum(np.diff(offsets) > 0))
+        if not len(start):
+            yield from ((b"", b"") for _ in offsets[1:])
+            return
+        names, runs = distinct_runs(raw, start, end)
+        self._learn_runs([x for x in runs if x not in self.of_run])
+        known = [self.of_run[x] for x in runs]
+        bounds = np.append(0, np.cumsum([len(x) for x in known])) >> 2
+        ids, to_id = gathered(np.frombuffer(b"".join(known), "<u4"), bounds, names)
+        shown, to_byte = gathered(self.shown, self.shown_at, ids)
+        packed, flat, to_id = ids.tobytes(), shown.tobytes(), to_id[first]
+        to_byte, to_id = to_byte[to_id], to_id * 4
+        for a, b, c, d in zip(to_id[:-1].tolist(), to_id[1:].tolist(), to_byte[:-1].tolist(), to_byte[1:].tolist(), strict=True):
+            yield packed[a:b], flat[c : max(c, d - 1)]  # each token's text ends in a space
+
+    def _learn_runs(self, runs: list[bytes]) -> None:
+        parts = [self.pieces(x.decode()) for x in runs]
+        known = self.of_word
         for x in self.special:
-            self.ids[x], self.text[x] = pack([self.special[x]]), x
-        new.difference_update(self.ids)
-        self.learn(new)
-        for x, found in parts.items():
-            self.run_ids[x] = b"".join([self.ids[w] for w in found])
-            self.run_text[x] = " ".join([self.text[w] for w in found])
+            known[x] = pack([self.special[x]])
+        self.learn({w for x in parts for w in x if w not in known})
+        for run, found in zip(runs, parts, strict=True):
+            made = self.of_run[run] = known[found[0]] if len(found) == 1 else b"".join([known[w] for w in found])
+            self.held += len(run) + len(made)
 
     def decode(self, ids: bytes) -> str:
         return " ".join([self.names[t] for t in unpack(ids)])
 
 
+def distinct_runs(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
+    """For each span of bytes the number of its distinct contents, and these contents."""
+    flat, sizes = raw.tobytes(), end - start
+    names, found = pd.factorize(word_hashes(raw, start, end))
+    example = np.zeros(len(found), np.int64)
+    example[names[::-1]] = np.arange(len(names) - 1, -1, -1)
+    same = bool((sizes == sizes[example][names]).all())
+    if same:  # and byte by byte
+        at = np.repeat(np.cumsum(sizes) - sizes, sizes)
+        at = np.arange(len(at)) - at
+        same = bool((raw[at + np.repeat(start, sizes)] == raw[at + np.repeat(start[example][names], sizes)]).all())
+    if not same:  # hashes that meet
+        names, held = pd.factorize(np.array([flat[a:b] for a, b in zip(start.tolist(), end.tolist(), strict=True)], object))
+        return names, list(held)
+    return names, [flat[a:b] for a, b in zip(start[example].tolist(), end[example].tolist(), strict=True)]
+
+
+def gathered(flat: np.ndarray, begin: np.ndarray, names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """flat[begin[name] : begin[name + 1]] for all names, one after the other, and where each name's begin (len + 1)."""
+    names = names.astype(np.int64)
+    sizes = np.diff(begin)[names]
+    bounds = np.append(0, np.cumsum(sizes))
+    at = np.arange(bounds[-1]) + np.repeat(begin[names] - bounds[:-1], sizes)
+    return flat[at], bounds
+
+
 def pack(ids: list[int]) -> bytes:
     packed = array("I", ids)
     if sys.byteorder == "big":
@@ -244,17 +302,17 @@ def bpe_round_trip(frame: DataFrame, vocabulary: str, id_column: str = "doc_id",
         bpe = kept_model(model.value)
         for batch in batches:
             n, a, b, ids, shown = [], [], [], [], []
-            for packed, text in bpe.encode_batch(batch.column(1).to_pylist()):
+            for packed, text in bpe.encode_batch(batch.column(1)):
                 n.append(len(packed) // 4)
                 a.append(hashlib.sha256(packed).hexdigest())
-                b.append(hashlib.sha256(text.encode()).hexdigest())
+                b.append(hashlib.sha256(text).hexdigest())
                 if outputs:
                     ids.append(packed)
                     shown.append(text)
             columns = [batch.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())]
             names = ["id", "n_tokens", "ids_sha256", "decoded_sha256"]
             if outputs:
-                columns, names = [*columns, pa.array(ids, pa.binary()), pa.array(shown, pa.string())], [*names, "ids", "decoded"]
+                columns, names = [*columns, pa.array(ids, pa.binary()), pa.array([x.decode() for x in shown], pa.string())], [*names, "ids", "decoded"]
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
     kind = frame.schema[id_column].dataType.simpleString()
