@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import heapq
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+#: Characters that the texts of a sample have together at most, on the driver.
+MOST_CHARS = 1 << 26
+
+
 def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
@@ -44,16 +50,23 @@ def calibrate(margin: np.ndarray, y: np.ndarray, rounds: int = 50) -> tuple[floa
     return (float(a), float(c)) if a > 0 else (1.0, 0.0)
 
 
-def sampled(docs: DataFrame, labels: DataFrame, label: str, usable: Column, fit_rows: int, id_column: str = "doc_id", text_column: str = "text") -> list[tuple[str, str, int]]:
+def sampled(docs: DataFrame, labels: DataFrame, label: str, usable: Column, fit_rows: int, id_column: str = "doc_id", text_column: str = "text", most_chars: int = MOST_CHARS) -> list[tuple[str, str, int]]:
     """About ``fit_rows`` labelled documents (id, text, label), at most twice as many, by a hash of the id, in a fixed order.
 
-    Labels other than 0 and 1 are no labels; of several labels for one id the largest counts.
+    Labels other than 0 and 1 are no labels; of several labels for one id the largest counts. Texts come whole. Where
+    they have more than ``most_chars`` characters together, the documents of the largest hashes are left out.
     """
     unit = 1 << 20
     known = labels.filter(usable).select(F.col(id_column).alias("i"), F.col(label).cast("int").alias("y")).filter(F.col("y").isin(0, 1) & F.col("i").isNotNull())
     n = known.count()
     share = min(unit, unit * fit_rows // max(n, 1) + 1)
-    chosen = known.filter(F.pmod(F.xxhash64(F.col("i").cast("string")), F.lit(unit)) < share).groupBy("i").agg(F.max("y").alias("y")).limit(2 * fit_rows)
-    rows = docs.select(F.col(id_column).alias("i"), F.col(text_column).cast("string").alias("t")).join(F.broadcast(chosen), "i")
-    found = [(str(r["i"]), r["t"] or "", r["y"]) for r in rows.toLocalIterator()]
-    return sorted(found)[: 2 * fit_rows]
+    order = F.pmod(F.xxhash64(F.col("i").cast("string")), F.lit(unit))
+    chosen = known.filter(order < share).groupBy("i").agg(F.max("y").alias("y")).limit(2 * fit_rows)
+    rows = docs.select(F.col(id_column).alias("i"), F.col(text_column).cast("string").alias("t")).join(F.broadcast(chosen), "i").select(order.alias("o"), "i", "t", "y")
+    held, chars = [], 0
+    for r in rows.toLocalIterator():
+        heapq.heappush(held, (-r["o"], str(r["i"]), r["t"] or "", r["y"]))
+        chars += len(r["t"] or "")
+        while chars > most_chars and len(held) > 1:
+            chars -= len(heapq.heappop(held)[2])
+    return sorted(x[1:] for x in held)[: 2 * fit_rows]

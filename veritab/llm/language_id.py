@@ -5,13 +5,18 @@ documents. A text is lower-cased, all but its letters becomes single spaces, and
 ``block_chars`` characters: later blocks would otherwise be explained by the text's own start instead of by
 the dictionary. Every block of the whole text is compressed with every dictionary, and the sizes are summed.
 
+A prediction is rejected if there is no language or if the sizes of the best two are closer than ``least_margin``.
+
 Null texts, and texts without a letter, are ``und`` with score 0. Equal sizes go to the language with
-more labelled rows, then to the first in the alphabet. Very long texts are compressed block by block. Repeated rows are predicted each on its
-own. If no labelled row is left to learn from, every text is ``und``.
+more labelled rows, then to the first in the alphabet, and are rejected. Very long texts are compressed block by block.
+Repeated rows are predicted each on its own. If no labelled row is left to learn from, every text is ``und``; with one
+language, every text with a letter is of it. An empty table gives an empty one. Columns that are carried along keep
+their names, whatever these are; others are left out. Null ids are ids like any other, and not held out.
 """
 
 from __future__ import annotations
 
+import itertools
 import re
 from collections.abc import Iterator
 
@@ -22,8 +27,9 @@ from pyspark.sql import functions as F
 
 from veritab.llm._core import small_batches
 
-#: Bounds of the sample that dictionaries are made of: documents of each language, bytes of each document and dictionary.
-SAMPLE_DOCS, SAMPLE_BYTES, DICTIONARY_BYTES = 120, 2_048, 1 << 17
+#: Bounds of the sample that dictionaries are made of: documents of each language, pieces of each document and their
+#: characters, bytes of a dictionary.
+SAMPLE_DOCS, PIECES, PIECE_CHARS, DICTIONARY_BYTES = 120, 8, 256, 1 << 17
 BLOCK_CHARS, LEVEL = 2_048, 3
 #: A text is rejected below this relative gap between the smallest and the second smallest size.
 LEAST_MARGIN = 0.01
@@ -32,7 +38,15 @@ OTHER = re.compile(r"[\W\d_]+")
 
 
 def held_out(id_column: str, parts: int = 3, part: int = 1) -> Column:
-    return F.crc32(F.col(id_column).cast("string").cast("binary")) % parts == part
+    """Null ids are not held out."""
+    return F.coalesce(F.crc32(F.col(id_column).cast("string").cast("binary")) % parts == part, F.lit(False))
+
+
+def pieces_of(text: Column, pieces: int = PIECES, chars: int = PIECE_CHARS) -> Column:
+    """Pieces of a text, evenly spaced from its first to its last character; the whole of a shorter text."""
+    n = F.char_length(text)
+    cut = F.transform(F.sequence(F.lit(0), F.lit(pieces - 1)), lambda i: F.substring(text, F.floor(i * (n - chars) / (pieces - 1)).cast("int") + 1, F.lit(chars)))
+    return F.when(n <= pieces * chars, F.array(text)).otherwise(cut)
 
 
 def letters(text: str | None) -> str:
@@ -73,29 +87,34 @@ class Compressors:
         return self.by_language[best][0], 1 / (1 + (sizes[best] / second) ** 20), 1 - sizes[best] / second
 
 
-def build(samples: dict[str, list[str]], dictionary_bytes: int = DICTIONARY_BYTES, sample_bytes: int = SAMPLE_BYTES) -> dict[str, bytes]:
-    """A dictionary for each language. A second round leaves out samples that the first one gives to another language."""
+def build(samples: dict[str, list[list[str]]], dictionary_bytes: int = DICTIONARY_BYTES) -> dict[str, bytes]:
+    """A dictionary for each language from the pieces of its documents: the first of each, then the second of each, and
+    so on until it is full. A second round leaves out documents that the first one gives to another language."""
 
-    def filled(kept: dict[str, list[str]]) -> dict[str, bytes]:
+    def filled(kept: dict[str, list[list[str]]]) -> dict[str, bytes]:
         made = {}
-        for name, texts in kept.items():
-            parts = [letters(x).encode()[:sample_bytes] for x in texts]
-            if content := b" ".join(x for x in parts if x)[-dictionary_bytes:]:
-                made[name] = content
+        for name, docs in kept.items():
+            parts, left = [], dictionary_bytes
+            for pieces in itertools.zip_longest(*docs):
+                for x in map(letters, pieces):
+                    if x and len(part := x.encode() + b" ") <= left:
+                        parts.append(part)
+                        left -= len(part)
+            made[name] = b"".join(reversed(parts))  # what stands last is the cheapest to point to
         return {k: v for k, v in made.items() if len(v) >= 8}
 
     first = Compressors(filled(samples))
-    kept = {name: [x for x in texts if first.predict(x)[0] == name] or texts for name, texts in samples.items()}
+    kept = {name: [x for x in docs if first.predict(" ".join(x))[0] == name] or docs for name, docs in samples.items()}
     return filled(kept)
 
 
-def learn(frame: DataFrame, usable: Column, id_column: str = "doc_id", text_column: str = "text", label_column: str = "lang", sample_docs: int = SAMPLE_DOCS, sample_bytes: int = SAMPLE_BYTES) -> dict[str, bytes]:
+def learn(frame: DataFrame, usable: Column, id_column: str = "doc_id", text_column: str = "text", label_column: str = "lang", sample_docs: int = SAMPLE_DOCS) -> dict[str, bytes]:
     """Dictionaries from rows that are ``usable`` and have a label: about ``sample_docs`` of each label, by a hash of the id.
 
-    One pass counts the rows of each label; a second one reads the chosen rows and brings at most
-    2 * sample_docs texts a label, cut to what a dictionary can take, to the driver.
+    One pass counts the rows of each label; a second one reads the chosen rows and brings PIECES pieces each of at most
+    2 * sample_docs texts a label to the driver, from all over the text.
     """
-    rows = frame.select(F.col(id_column).cast("string").alias("i"), F.col(label_column).alias("l"), F.col(text_column).alias("t"), F.coalesce(usable, F.lit(False)).alias("u")).filter("u and l is not null")
+    rows = frame.select(F.col(id_column).cast("string").alias("i"), F.col(label_column).alias("l"), F.col(text_column).cast("string").alias("t"), F.coalesce(usable, F.lit(False)).alias("u")).filter("u and l is not null")
     counts = {r["l"]: r["n"] for r in rows.groupBy("l").agg(F.count("*").alias("n")).collect()}
     if not counts:
         return {}
@@ -103,13 +122,13 @@ def learn(frame: DataFrame, usable: Column, id_column: str = "doc_id", text_colu
     share = F.lit(unit)
     for name, n in counts.items():
         share = F.when(F.col("l") == name, F.lit(min(unit, unit * 3 * sample_docs // (2 * n) + 1))).otherwise(share)
-    chosen = rows.filter(F.pmod(F.xxhash64("i"), F.lit(unit)) < share).select("l", "i", F.substring("t", 1, 2 * sample_bytes).alias("t"))
-    samples: dict[str, list[str]] = {}
-    for r in sorted(chosen.filter("t is not null").toLocalIterator(), key=lambda r: (r["l"], len(r["i"]), r["i"], r["t"])):
+    chosen = rows.filter("t is not null").filter(F.pmod(F.xxhash64("i"), F.lit(unit)) < share).select("l", F.coalesce("i", F.lit("")).alias("i"), pieces_of(F.col("t")).alias("t"))
+    samples: dict[str, list[list[str]]] = {}
+    for r in sorted(chosen.toLocalIterator(), key=lambda r: (r["l"], len(r["i"]), r["i"], r["t"])):
         if len(held := samples.setdefault(r["l"], [])) < 2 * sample_docs:
             held.append(r["t"])
     ordered = sorted(samples, key=lambda name: (-counts[name], name))
-    return build({name: samples[name] for name in ordered}, sample_bytes=sample_bytes)
+    return build({name: samples[name] for name in ordered})
 
 
 def language_id(frame: DataFrame, dictionaries: dict[str, bytes], id_column: str = "doc_id", text_column: str = "text", carry: tuple[str, ...] = (), level: int = LEVEL, block_chars: int = BLOCK_CHARS) -> DataFrame:

@@ -1,12 +1,14 @@
 """Quality rules: counts that fail a text outright, and a calibrated classifier on hashed word and character n-grams.
 
 The classifier is a logistic regression on relative frequencies of hashed words (case kept, as repeated capitals
-are a signal) and of hashed runs of ``gram`` bytes. It is fitted on a bounded sample of labelled rows, of which a
+are a signal) and of hashed runs of GRAM characters. It is fitted on a bounded sample of labelled rows, of which a
 fifth is kept back to turn its margins into probabilities. Whole texts are scored in Arrow batches, straight
 from their bytes, against a fixed threshold.
 
 Null, empty and wordless texts have zero counts and fail on their words. Very long texts are scored whole.
-Repeated rows are judged each on its own. Without labels of both kinds, the probability is 1 for all texts.
+Repeated rows are judged each on its own. Without labels of both kinds, the probability is 1 for all texts. A
+probability of exactly the threshold is kept. An empty table gives an empty one. Only the id and the text are read, so
+extra columns may have any name. Null ids are ids.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ from pyspark.sql import functions as F
 from veritab.llm import _logistic
 from veritab.llm._core import SEPARATOR, buffer_of, mixed, slices, small_batches, window_hashes, word_hashes, words
 
-#: Bound of the sample; hashed columns for words and for byte runs; bytes in a run.
+#: Bound of the sample; hashed columns for words and for runs of characters; characters in a run.
 FIT_ROWS, WORD_COLUMNS, GRAM_COLUMNS, GRAM = 4_000, 1 << 15, 1 << 14, 3
 LEAST_WORDS, MOST_REPEATED_PERCENT, THRESHOLD = 50, 50, 0.5
 SCALE = 30.0
@@ -57,15 +59,17 @@ def duplicate_lines(text: str | None) -> int:
 
 
 def columns_of(raw: np.ndarray, offsets: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """For words and for byte runs: hashed columns of all occurrences, their rows' bounds, and each row's number of them."""
+    """For words and for runs of characters: hashed columns of all occurrences, their rows' bounds, and each row's number of them."""
     start, end, first = words(raw, offsets)
     by_word = (word_hashes(raw, start, end) & np.uint64(WORD_COLUMNS - 1)).astype(np.int64)
-    x = np.zeros(max(0, len(raw) - GRAM + 1), np.uint64)
+    points = np.frombuffer(raw.tobytes().decode().encode("utf-32-le"), "<u4")
+    x = np.zeros(max(0, len(points) - GRAM + 1), np.uint64)
     for i in range(GRAM):
-        x = (x << np.uint64(8)) | raw[i : len(raw) - GRAM + 1 + i].astype(np.uint64)
+        x = (x << np.uint64(21)) | points[i : len(points) - GRAM + 1 + i].astype(np.uint64)
     by_gram = WORD_COLUMNS + (mixed(x) & np.uint64(GRAM_COLUMNS - 1)).astype(np.int64)
-    # runs that begin in the last bytes of a row would leave it
-    bounds = np.minimum(np.stack([offsets[:-1], np.maximum(offsets[1:] - GRAM + 1, offsets[:-1])]), len(by_gram))
+    # runs that begin in the last characters of a row would leave it
+    own = np.append(0, np.cumsum((raw & 0xC0) != 0x80))[offsets]
+    bounds = np.minimum(np.stack([own[:-1], np.maximum(own[1:] - GRAM + 1, own[:-1])]), len(by_gram))
     return [(by_word, np.stack([first[:-1], first[1:]]), np.diff(first)), (by_gram, bounds, np.diff(bounds, axis=0)[0])]
 
 

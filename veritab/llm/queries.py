@@ -53,7 +53,7 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     dictionaries = language_id.learn(docs, ~language_id.held_out("doc_id"))
     made = language_id.language_id(docs, dictionaries)
-    return made.select("doc_id", language_id.held_out("doc_id").alias("held_out"), "lang_pred", "score", "margin")
+    return made.select("doc_id", language_id.held_out("doc_id").alias("held_out"), "lang_pred", "score", "margin", language_id.rejected().alias("rejected"))
 
 
 def op9_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:

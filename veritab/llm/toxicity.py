@@ -10,7 +10,9 @@ Around each hit a window of words tells quotation (quotation marks, or words of
 of address). A logistic regression on counts of hits, hits by context, and hits of each term gives the score.
 
 Null, empty and wordless texts get the score of a text without hits. Very long texts are read whole. Repeated
-rows are scored each on its own.
+rows are scored each on its own. Of several terms that one misspelled word is next to, the first in the lexicon counts.
+A score of exactly the threshold is predicted 1. An empty table gives an empty one; without labelled rows of both kinds
+the given terms alone decide. Only the id and the text are read, so extra columns may have any name.
 """
 
 from __future__ import annotations
@@ -215,7 +217,8 @@ def learn(sample: list[tuple[str, str, int]], most: int = MINED_TERMS) -> tuple[
 
 
 def held_out(id_column: str, parts: int = 5) -> Column:
-    return F.crc32(F.col(id_column).cast("string").cast("binary")) % parts == 0
+    """Null ids are not held out."""
+    return F.coalesce(F.crc32(F.col(id_column).cast("string").cast("binary")) % parts == 0, F.lit(False))
 
 
 _kept: dict[tuple, Lexicon] = {}
