@@ -8,13 +8,16 @@
    so the score of a line does not fall as the files grow in number. The whole line is compared, and each of its
    stretches of a template's length. A match has two different words of its template. A file's licence is its
    best match of at least ``least_cosine``; the match is a header if it lies in the first ``header_lines`` lines.
-3. A licence file stands for its directory: one named like LICENSE or COPYING, or one of which notices make up
-   at least half of the words. Each directory without one takes that of its nearest ancestor, by joins of
+3. A whole file is compared with whole licence texts in the same way; at ``whole_cosine`` it is that licence, and
+   that is its match whatever notices it has.
+4. A licence file stands for its directory: one named like LICENSE or COPYING, one that is a licence text, or one of
+   which notices make up at least half of the words. Each directory without one takes that of its nearest ancestor, by joins of
    directories with their ancestors; each file without a licence of its own takes its directory's.
 
 Null and empty texts have no licence of their own. Of equal scores, the template first in the alphabet counts,
 and of several licence files of a directory the best score, then the smallest path. Very long texts are read
-whole. Repeated rows are told each on its own. A null path has no directory and inherits nothing.
+whole. Repeated rows are told each on its own. A null path has no directory and inherits nothing. An empty table gives
+an empty one. Only id, text and what the path is made of are read, so extra columns may have any name.
 """
 
 from __future__ import annotations
@@ -29,7 +32,7 @@ from pyspark.sql import functions as F
 
 from veritab.llm._core import buffer_of, lowered, slices, small_batches, staged, word_hashes
 
-LEAST_COSINE, HEADER_LINES, FILE_SHARE = 0.6, 20, 0.5
+LEAST_COSINE, WHOLE_COSINE, HEADER_LINES, FILE_SHARE = 0.6, 0.8, 20, 0.5
 #: No word weighs more than one that none of a hundred files has, however many files there are.
 MOST_WEIGHT = float(np.log(101) + 1)
 #: Directories are broadcast if they are no more than these.
@@ -60,6 +63,32 @@ TEMPLATES = {
     "Unlicense": "This is free and unencumbered software released into the public domain.",
 }
 
+_AS_IS = "IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS"
+_BSD = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."""
+_BSD_END = """THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
+
+#: Whole licence texts by SPDX identifier.
+TEXTS = {
+    "MIT": f"""Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
+The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
+THE SOFTWARE {_AS_IS} OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.""",
+    "ISC": """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.""",
+    "BSD-2-Clause": f"{_BSD}\n{_BSD_END}",
+    "BSD-3-Clause": f"{_BSD}\nNeither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.\n{_BSD_END}",
+    "Zlib": """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.
+Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:
+The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required.
+Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software.
+This notice may not be removed or altered from any source distribution.""",
+    "Unlicense": f"""This is free and unencumbered software released into the public domain.
+Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.
+In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law.
+THE SOFTWARE {_AS_IS} BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.""",
+}
+
 PART = re.compile(r"[a-z0-9]+(?:\.[0-9]+)*")
 #: Separators of the parts above, as bytes; a dot counts as one unless digits follow and precede it.
 INSIDE = np.zeros(256, bool)
@@ -83,9 +112,13 @@ def parts_of(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 class Vocabulary:
-    def __init__(self, templates: dict[str, str] = TEMPLATES):
+    def __init__(self, templates: dict[str, str] = TEMPLATES, texts: dict[str, str] = TEXTS):
         self.templates = [(name.strip(), PART.findall(text.lower())) for name, text in sorted(templates.items())]
-        self.words = sorted({w for _, parts in self.templates for w in parts})
+        self.texts = [(name, PART.findall(text.lower())) for name, text in sorted(texts.items())]
+        notices = {w for _, parts in self.templates for w in parts}
+        # words of notices come first: on lines, others are words of no template
+        self.words = [*sorted(notices), *sorted({w for _, parts in self.texts for w in parts} - notices)]
+        self.notices = len(notices)
         raw, offsets = buffer_of(pa.array(self.words))
         hashes = word_hashes(raw, offsets[:-1], offsets[1:])
         order = np.argsort(hashes)
@@ -118,6 +151,30 @@ class Weights:
             if norm:
                 # the share of each word in the dot product
                 self.units.append((name, len(parts), np.append(vector / norm * self.idf, 0.0)))
+        self.wholes = []
+        for name, parts in vocabulary.texts:
+            vector = np.zeros(len(self.idf))
+            for w in parts:
+                vector[self.place[w]] += self.idf[self.place[w]]
+            if norm := np.sqrt((vector * vector).sum()):
+                self.wholes.append((name, vector / norm * self.idf))
+
+    def whole(self, found: np.ndarray, row: np.ndarray, rows: int) -> list[tuple[float, str]]:
+        """For each row the largest cosine of all its words with a licence text, and that text's name."""
+        best = [(0.0, "")] * rows
+        if not self.wholes or not len(found):
+            return best
+        v, known = len(self.idf), found >= 0
+        pairs, times = np.unique(row[known] * v + found[known], return_counts=True)
+        of, word = pairs // v, pairs % v
+        norm = np.bincount(of, (times * self.idf[word]) ** 2, rows) + np.bincount(row[~known], minlength=rows) * self.other**2
+        norm = np.sqrt(np.maximum(norm, 1e-300))
+        for name, pull in self.wholes:
+            cosine = np.bincount(of, times * pull[word], rows) / norm
+            for i in np.flatnonzero(cosine >= WHOLE_COSINE):
+                if cosine[i] > best[i][0] + 1e-12:
+                    best[i] = (float(cosine[i]), name)
+        return best
 
     def _exact(self, stretches: np.ndarray, pull: np.ndarray) -> np.ndarray:
         """Cosine of each row of words' indexes, 0 if fewer than two different words of the template are in it."""
@@ -204,21 +261,23 @@ def _scanned(batches: Iterator[pa.RecordBatch], weights: Weights, least_cosine:
             first = np.searchsorted(start, own)
             breaks = np.flatnonzero(low == 10)
             rows = high_row - low_row
-            best, covered = [(0.0, "", -1)] * rows, np.zeros(rows)
+            best, covered, wholes = [(0.0, "", -1)] * rows, np.zeros(rows), [(0.0, "")] * rows
             if len(start):
                 # a line is told by its row and the line breaks before it
                 row, broken = np.repeat(np.arange(rows), np.diff(first)), np.searchsorted(breaks, start)
+                wholes = weights.whole(found, row, rows)
+                found = np.where(found < weights.vocabulary.notices, found, -1)
                 begins = np.flatnonzero(np.append(True, (np.diff(row) > 0) | (np.diff(broken) > 0)))
                 for number, cosine, template, length in zip(*(x.tolist() for x in weights.best(found, np.append(begins, len(start)), least_cosine)), strict=True):
                     i = int(row[begins[number]])
                     covered[i] += length
                     if cosine > best[i][0] + 1e-12:
                         best[i] = (cosine, weights.units[template][0], int(broken[begins[number]] - np.searchsorted(breaks, own[i])))
-            for (score, name, at), part_of, size in zip(best, covered, np.diff(first), strict=True):
-                names.append(name or None)
-                scores.append(score)
-                lines_at.append(at)
-                shares.append(part_of / max(1, size))
+            for (score, name, at), (whole, text), part_of, size in zip(best, wholes, covered, np.diff(first), strict=True):
+                names.append(text or name or None)
+                scores.append(round(whole if text else score, 9))  # equal scores are equal, whatever the order of sums
+                lines_at.append(0 if text else at)
+                shares.append(1.0 if text else part_of / max(1, size))
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array([0 <= x < header_lines for x in lines_at], pa.bool_()), pa.array(shares, pa.float64())], names=["row", "license", "score", "in_header", "share"])
 
 
@@ -227,17 +286,17 @@ def directory_of(path: Column) -> Column:
     return F.regexp_replace(path, r"/?[^/]*$", "")
 
 
-def license_scan(frame: DataFrame, path: Column, id_column: str = "doc_id", text_column: str = "text", templates: dict[str, str] = TEMPLATES, least_cosine: float = LEAST_COSINE, common: float | None = None, header_lines: int = HEADER_LINES) -> DataFrame:
+def license_scan(frame: DataFrame, path: Column, id_column: str = "doc_id", text_column: str = "text", templates: dict[str, str] = TEMPLATES, texts: dict[str, str] = TEXTS, least_cosine: float = LEAST_COSINE, common: float | None = None, header_lines: int = HEADER_LINES) -> DataFrame:
     """Per row: the id, path, license, score, in_header, origin (own, inherited or none) and license_path."""
     spark = frame.sparkSession
     small_batches(spark)
-    vocabulary = Vocabulary(templates)
-    texts = frame.select(F.struct(F.col(id_column).alias("id"), path.cast("string").alias("path")).alias("row"), F.col(text_column).cast("string").alias("text"))
-    counted = texts.select("text").mapInArrow(lambda b: _counts(b, vocabulary), "word int, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    vocabulary = Vocabulary(templates, texts)
+    read = frame.select(F.struct(F.col(id_column).alias("id"), path.cast("string").alias("path")).alias("row"), F.col(text_column).cast("string").alias("text"))
+    counted = read.select("text").mapInArrow(lambda b: _counts(b, vocabulary), "word int, n long").groupBy("word").agg(F.sum("n").alias("n"))
     totals = {r["word"]: r["n"] for r in counted.collect()}  # one row for each word of the templates
     weights = Weights(vocabulary, totals.get(-1, 0), np.array([totals.get(i, 0) for i in range(len(vocabulary.words))], float), common)
-    kind = texts.schema["row"].dataType.simpleString()
-    scanned = texts.mapInArrow(lambda b: _scanned(b, weights, least_cosine, header_lines), f"row {kind}, license string, score double, in_header boolean, share double")
+    kind = read.schema["row"].dataType.simpleString()
+    scanned = read.mapInArrow(lambda b: _scanned(b, weights, least_cosine, header_lines), f"row {kind}, license string, score double, in_header boolean, share double")
     files = staged(scanned.select("row.id", "row.path", "license", "score", "in_header", "share", directory_of(F.col("row.path")).alias("dir")), "licenses")
 
     named = F.regexp_extract("path", r"[^/]*$", 0).rlike(LICENSE_FILE)
