@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -33,6 +33,25 @@ def second_difference(frame: DataFrame, method: str, operator: str, value: str,
     return joined.withColumn("second_difference", (v - F.col("r0")) - (F.col("m0") - F.col("r00"))).dropna(subset=["second_difference"])
 
 
+def one_to_one(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
+    """An inner join of sides that hold each key once; a key that one side holds twice is an error."""
+    n = F.count("*").over(Window.partitionBy(*on))
+    single = F.when(n == 1, True).otherwise(F.raise_error(F.lit("a key occurs more than once")))
+    return left.join(right, on).withColumn("_once", single).filter("_once").drop("_once")
+
+
+def aligned(tables: dict[str, DataFrame], key: str, value: str) -> DataFrame:
+    """One row for each key of all tables with their values in columns named after them; a key that one of them lacks, or holds twice, is an error."""
+    each = None
+    for name, t in tables.items():
+        part = t.select(F.col(key), F.lit(name).alias("_t"), F.col(value).alias("_v"))
+        each = part if each is None else each.unionByName(part)
+    columns = [F.first(F.when(F.col("_t") == n, F.col("_v")), ignorenulls=True).alias(n) for n in tables]
+    wide = each.groupBy(key).agg(F.count("*").alias("_n"), F.countDistinct("_t").alias("_d"), *columns)
+    whole = (F.col("_n") == len(tables)) & (F.col("_d") == len(tables))
+    return wide.filter(F.when(whole, True).otherwise(F.raise_error(F.lit("tables do not hold the same keys")))).drop("_n", "_d")
+
+
 def unordered_pairs(frame: DataFrame, on: list[str], member: str, carry: list[str]) -> DataFrame:
     """All pairs of members with the same key, each once: left_* and right_* columns."""
     left = frame.select(*on, *[F.col(c).alias(f"left_{c}") for c in (member, *carry)])

@@ -34,3 +34,22 @@ def value_ranks(frame: DataFrame, value: str, *keys: str) -> DataFrame:
     """keys, value, average_rank: one row for each distinct value; ties share their mean rank."""
     counts = frame.groupBy(*keys, value).agg(F.count("*").alias("_n"))
     return running_totals(counts, value, ["_n"], *keys).select(*keys, value, (F.col("cum__n") - (F.col("_n") - 1) / 2.0).alias("average_rank"))
+
+
+def quantiles(frame: DataFrame, value: str, points: dict[str, float], *keys: str) -> DataFrame:
+    """keys and, for each name, the exact quantile of that share, interpolated between its two neighbours.
+
+    Values are counted first; running totals of the counts tell between which values a quantile lies, so no task holds
+    all values of a key. Nulls don't count.
+    """
+    counts = frame.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_v")).agg(F.count("*").alias("_n"))
+    run = running_totals(counts, "_v", ["_n"], *keys)
+    totals = counts.groupBy(*keys).agg(F.sum("_n").alias("_total"))
+    run = run.join(totals, list(keys)) if keys else run.crossJoin(F.broadcast(totals))
+    parts = []
+    for name, share in points.items():
+        place = (F.col("_total") - 1) * F.lit(float(share))
+        low, high = F.floor(place), F.ceil(place)
+        parts += [F.min(F.when(F.col("cum__n") > low, F.col("_v"))).alias(f"_{name}_a"), F.min(F.when(F.col("cum__n") > high, F.col("_v"))).alias(f"_{name}_b"), F.max(place - low).alias(f"_{name}_f")]
+    out = run.groupBy(*keys).agg(*parts)
+    return out.select(*keys, *[(F.col(f"_{n}_a") + (F.col(f"_{n}_b") - F.col(f"_{n}_a")) * F.col(f"_{n}_f")).alias(n) for n in points])

@@ -1,5 +1,5 @@
 """The registered queries, by subject."""
 
-from veritab.plans import explanations, metrics, panels, relational, similarity
+from veritab.plans import explanations, metrics, panels, perturbations, relational, similarity
 
-ALL = (similarity, relational, metrics, explanations, panels)
+ALL = (similarity, relational, metrics, explanations, panels, perturbations)
