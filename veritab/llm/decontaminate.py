@@ -44,13 +44,14 @@ MARK, POINT, PRONOUN = "\u0001", "\u0002", "\u0002p"
 
 def tokens_of(text: Column) -> Column:
     """Tokens; a placeholder is the mark, its type (n, u, m) and its value."""
-    t = F.translate(F.coalesce(text, F.lit("")), MARK + POINT, "  ")
+    t = F.coalesce(text, F.lit(""))
+    t = F.when(t.contains(MARK) | t.contains(POINT), F.translate(t, MARK + POINT, "  ")).otherwise(t)
     n = F.regexp_replace(t, r"(?<=\d)[.,](?=\d)", POINT)
     n = F.regexp_replace(n, rf"(?<![\p{{L}}\d{POINT}])[\d{POINT}]+", f" {MARK}n$0 ")
     n = F.regexp_replace(n, rf"({MARK}n[\d{POINT}]+)\s+({UNITS})(?![\p{{L}}\d])", f"$1 {MARK}u$2 ")
     t = F.when(t.rlike(r"\d"), n).otherwise(t)
     t = F.regexp_replace(t, rf"(?<![\p{{L}}{MARK}])\p{{Lu}}\p{{Ll}}+", f" {MARK}m$0")
-    return F.filter(F.split(F.lower(t), rf"[^\p{{L}}\p{{M}}\p{{N}}{MARK}{POINT}]+", -1), lambda x: x != "")
+    return F.array_remove(F.split(F.lower(t), rf"[^\p{{L}}\p{{M}}\p{{N}}{MARK}{POINT}]+", -1), "")
 
 
 def is_slot(token: Column) -> Column:
@@ -70,9 +71,14 @@ def hashes_of(tokens: Column) -> Column:
     return F.transform(tokens, lambda x: F.xxhash64(x))
 
 
+def bound(value: Column, body) -> Column:
+    """body of a value that is made once: else the optimizer may move what makes it into the body's loops."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def windows_at(starts: Column, hashes: Column, kind: str, size: int) -> Column:
     """(place, h, kind) of the windows of ``size`` tokens that begin at these numbers, from 1."""
-    return F.transform(starts, lambda i: F.struct((i - 1).alias("place"), F.xxhash64(F.slice(hashes, i, size)).alias("h"), F.lit(kind).alias("kind")))
+    return bound(hashes, lambda held: F.transform(starts, lambda i: F.struct((i - 1).alias("place"), F.xxhash64(F.slice(held, i, size)).alias("h"), F.lit(kind).alias("kind"))))
 
 
 def starts_of(n: Column, size: int, step: int = 1) -> Column:
@@ -83,11 +89,10 @@ def starts_of(n: Column, size: int, step: int = 1) -> Column:
 def slotted_starts(tokens: Column, size: int) -> Column:
     """Starts of the windows of ``size`` tokens of which more than half are slots: from the slots' places alone."""
     least = size // 2 + 1
-    n = F.size(tokens)
     places = F.filter(F.transform(tokens, lambda x, i: F.when(is_slot(x), i + 1)), lambda i: i.isNotNull())
     dense = lambda p: F.filter(F.transform(p, lambda x, k: F.struct(x.alias("a"), F.get(p, k + (least - 1)).alias("b"))), lambda y: y["b"] - y["a"] < size)
-    lists = F.transform(dense(places), lambda y: F.sequence(F.greatest(F.lit(1), y["b"] - (size - 1)), y["a"]))
-    return F.filter(F.array_distinct(F.flatten(lists)), lambda i: i <= n - (size - 1))
+    lists = F.transform(bound(places, dense), lambda y: F.sequence(F.greatest(F.lit(1), y["b"] - (size - 1)), y["a"]))
+    return bound(F.size(tokens) - (size - 1), lambda last: F.filter(F.array_distinct(F.flatten(lists)), lambda i: i <= last))
 
 
 def item_windows(items: DataFrame, id_column: str, text_column: str, window: int, shortest: int) -> tuple[DataFrame, DataFrame]:
