@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veritab.llm._core import staged
+from veritab.llm._core import released, staged
 
 
 def _least(edges: DataFrame) -> DataFrame:
@@ -22,11 +22,13 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
         least = staged(_least(both), "least")
         # large star: each larger neighbour is tied to the smallest one
         large = both.filter("v > u").join(least, "u").filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = staged(large, "edges")
+        old, large = [edges, least], staged(large, "edges")
+        released(*old)
         # small star: a node and its smaller neighbours are tied to the smallest one
         least = staged(_least(large), "least")
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
         edges = staged(small.filter("u > v").distinct(), "edges")
+        released(large, least)
         now = edges.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0)).alias("h")).first()
         if before == now:
             break
@@ -34,4 +36,6 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     else:
         raise RuntimeError("the components did not settle")
     roots = edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
-    return staged(roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct()), "components")
+    out = staged(roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct()), "components")
+    released(edges)
+    return out

@@ -8,6 +8,9 @@ Arrow buffer of a whole batch at once, without creating Python strings.
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
+import gc
 import shutil
 import tempfile
 import uuid
@@ -19,17 +22,20 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text hashed in one go; a longer document is still hashed whole.
 SLICE_BYTES = 1 << 18
-#: Rows of an Arrow batch.
-BATCH_ROWS = 512
+#: Bytes of an Arrow batch, and rows that are read from Parquet at once.
+BATCH_BYTES, READ_ROWS = 1 << 21, 1024
 
 SEPARATOR = np.zeros(256, bool)
 SEPARATOR[[9, 10, 11, 12, 13, 32]] = True
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir, which driver and executors share; a temporary one where it is unset."""
+    """The folder of spark.checkpoint.dir, which driver and executors share; where it is unset, a temporary one in local
+    mode, and an error on a cluster, whose executors would each write to a disk of their own."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="veritab-")
         atexit.register(shutil.rmtree, found, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", found)
@@ -45,12 +51,43 @@ def staged(frame: DataFrame, label: str) -> DataFrame:
     spark = frame.sparkSession
     path = f"{shared_dir(spark)}/veritab-{label}-{uuid.uuid4().hex}"
     frame.write.parquet(path)
-    return spark.read.schema(frame.schema).parquet(path)
+    out = spark.read.schema(frame.schema).parquet(path)
+    out.staged_at = path
+    return out
+
+
+def released(*frames: DataFrame | None) -> None:
+    """Removes staged tables that nothing will read any more."""
+    for frame in frames:
+        if frame is not None and (path := frame.__dict__.pop("staged_at", None)):
+            spark = frame.sparkSession
+            place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def swept(spark: SparkSession) -> None:
+    """Lets the driver collect its garbage: Spark removes shuffle files and broadcasts of finished steps only then."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bounds the memory of workers and readers by bytes and rows, unless the session's own bounds are lower.
+
+    Python workers get Arrow batches of about BATCH_BYTES, and Parquet is decoded READ_ROWS rows at a time: texts of any
+    length are then a few megabytes at once, and small rows still come by the thousand.
+    """
+    for name, most in (("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES), ("spark.sql.parquet.columnarReaderBatchSize", READ_ROWS)):
+        now = spark.conf.get(name, None)
+        if now is None or not now.isdigit() or int(now) > most:
+            spark.conf.set(name, most)
 
 
-def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Bounds the memory of Python workers: texts arrive in batches of so many rows."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+def trimmed() -> None:
+    """Gives memory that a worker has freed back to the machine: workers are used again, for other work."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only where the C library can
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def buffer_of(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:

@@ -17,12 +17,12 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veritab.llm._core import mixed, signed, staged
+from veritab.llm._core import mixed, released, signed, staged, trimmed
 
 #: Rows of a shard on average, cells of each of its filters, and cells that a hash sets.
-SHARD_KEYS, CELLS, PROBES = 1 << 19, 1 << 23, 2
+SHARD_KEYS, CELLS, PROBES = 1 << 18, 1 << 22, 2
 #: Keys that a task compares with each other before it passes them on.
-HELD_KEYS = 1 << 19
+HELD_KEYS = 1 << 18
 #: A set of at most so many hashes (16 MB) is broadcast; a larger one is joined.
 BROADCAST_HASHES = 1 << 21
 
@@ -72,17 +72,32 @@ class Filters:
 
 
 def _passed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One shard: the rows of unknown kind whose hash may have been seen twice. Columns: h, kind, and others."""
+    """One shard: the rows of unknown kind whose hash may have been seen twice. Columns: h, kind, and others.
+
+    Rows that are equal in all columns, as several tasks may tell them, count once.
+    """
     held, filters = [], None
+    hashes = lambda b: np.asarray(b.column(0).to_numpy(zero_copy_only=False))
     for batch in batches:
         if batch.num_rows:
             filters = filters or Filters()
-            h, kind = (np.asarray(batch.column(i).to_numpy(zero_copy_only=False)) for i in range(2))
-            filters.add(h, kind == WITNESS)
-            held.append(batch.filter(pa.array(kind == UNKNOWN)))
+            kind = np.asarray(batch.column(1).to_numpy(zero_copy_only=False))
+            rest = batch.drop_columns(["kind"])
+            told = hashes(rest)[kind == WITNESS]
+            filters.add(told, np.ones(len(told), bool))
+            held.append(rest.filter(pa.array(kind == UNKNOWN)))
+    if filters is None:
+        return
+    rows = pa.Table.from_batches(held)
+    if not any(map(pa.types.is_nested, rows.schema.types)):
+        rows = rows.group_by(rows.column_names, use_threads=False).aggregate([])
+    held = rows.to_batches(max_chunksize=1 << 16)
+    for batch in held:
+        filters.add(hashes(batch), np.zeros(batch.num_rows, bool))
     for batch in held:
-        keep = pa.array(filters.suspects(np.asarray(batch.column(0).to_numpy(zero_copy_only=False))))
-        yield batch.drop_columns(["kind"]).filter(keep)
+        yield batch.filter(pa.array(filters.suspects(hashes(batch))))
+    del rows, held, filters, batch
+    trimmed()
 
 
 def twice_seen(keys: DataFrame) -> DataFrame:
@@ -112,6 +127,8 @@ def small_set(hashes: DataFrame, most: int | None = None) -> Broadcast | None:
     """A broadcast Chosen of the distinct values of the one column of longs; None if they are more than ``most``."""
     distinct = staged(hashes.distinct(), "hashes")
     if distinct.count() > (BROADCAST_HASHES if most is None else most):
+        released(distinct)
         return None
     held = [np.asarray(x.to_numpy(zero_copy_only=False), np.int64) for x in distinct.toArrow().column(0).chunks]
+    released(distinct)
     return hashes.sparkSession.sparkContext.broadcast(Chosen(np.concatenate([np.zeros(0, np.int64), *held])))

@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veritab.llm._components import components
-from veritab.llm._core import buffer_of, lowered, mixed, signed, slices, sequence_hashes, small_batches, staged, window_hashes, word_hashes, words
+from veritab.llm._core import buffer_of, lowered, mixed, released, sequence_hashes, signed, slices, small_batches, staged, swept, trimmed, window_hashes, word_hashes, words
 from veritab.llm._filters import HELD_KEYS, flat_longs, settled, small_set, twice_seen
 
 SHINGLE, PERCENT, MOST_MATCHES = 5, 80, 4
@@ -216,12 +216,16 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 told.clear()
     if held:
         yield flushed()
+    held, told = [], set()
+    trimmed()
 
 
 def _entries(prefixes: DataFrame) -> DataFrame:
     """Rows (t, e, n, m): prefix entries that a second document may have."""
     keys = staged(prefixes.select("e", "n", "m", "h").mapInArrow(_keys, "h long, kind int, e long, n long, m int"), "keys")
-    return twice_seen(keys).withColumnRenamed("h", "t")
+    out = staged(twice_seen(keys).withColumnRenamed("h", "t").distinct(), "entries")
+    released(keys)
+    return out
 
 
 def _sets(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
@@ -233,7 +237,7 @@ def _sets(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBat
 
 
 def _linked(pairs: DataFrame, rows: DataFrame, nodes: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of set hashes that link.
+    """The staged pairs (a, b) of set hashes that link.
 
     Their texts are found by the hashes of their ids: broadcast if they are few, else joined.
     """
@@ -252,11 +256,14 @@ def _linked(pairs: DataFrame, rows: DataFrame, nodes: DataFrame, size: int, perc
 
     found = hashed.mapInArrow(run, "e long, tokens array<long>")
     sets = staged(found.join(needed.select("e"), "e", "left_semi").dropDuplicates(["e"]), "sets")
+    released(needed)
     if seen is not None:
         seen.destroy()
     both = pairs.join(sets.select(F.col("e").alias("a"), F.col("tokens").alias("x")), "a").join(sets.select(F.col("e").alias("b"), F.col("tokens").alias("y")), "b")
     counted = both.select("a", "b", F.size("x").alias("i"), F.size("y").alias("j"), F.size(F.array_intersect("x", "y")).alias("c"))
-    return counted.filter(F.col("c") * 100 >= percent * (F.col("i") + F.col("j") - F.col("c"))).select("a", "b")
+    out = staged(counted.filter(F.col("c") * 100 >= percent * (F.col("i") + F.col("j") - F.col("c"))).select("a", "b"), "links")
+    released(sets)
+    return out
 
 
 def _demanded(an: str, am: str, bn: str, bm: str, percent: int) -> Column:
@@ -282,19 +289,23 @@ def jaccard_components(frame: DataFrame, id_column: str = "doc_id", text_column:
     kind = frame.schema[id_column].dataType.simpleString()
     rows = frame.select(F.col(id_column).alias("id"), F.col(text_column).cast("string").alias("text"))
     made = staged(rows.mapInArrow(lambda b: _profiles(b, shingle), f"id {kind}, n long, e long, counters binary"), "profiles")
-    profiles = made.filter("counters is null").select("id", "n", "e")
     counts = spark.sparkContext.broadcast(_summed(made))
+    profiles = staged(made.filter("counters is null").select("id", "n", "e"), "profiles")
+    released(made)
     nodes = profiles.filter("n > 0").groupBy("e").agg(F.min(F.struct(F.col("id"))).alias("least"), F.first("n").alias("n"))
     nodes = staged(nodes.select("e", "n", F.col("least.id").alias("id")), "nodes")
 
     prefixes = staged(rows.select("text").mapInArrow(lambda b: _prefixes(b, shingle, percent, most_matches, counts.value), "e long, n long, m int, h array<long>, bits array<long>"), "prefixes")
     counts.destroy()
-    entries = staged(_entries(prefixes).distinct(), "entries")
-    several = entries.groupBy("t").agg(F.count("*").alias("c")).filter("c > 1")
-    entries = staged(entries.join(several, "t"), "entries")
+    told = _entries(prefixes)
+    several = told.groupBy("t").agg(F.count("*").alias("c")).filter("c > 1")
+    shared = staged(told.join(several, "t"), "entries")
+    released(told)
     # the original of a group of near copies holds the entries that most others hold: the best pivot
-    weights = staged(entries.groupBy("e").agg(F.sum("c").alias("w")), "weights")
-    entries = staged(entries.join(weights, "e").select("t", "e", "n", "m", "w"), "entries")
+    weights = staged(shared.groupBy("e").agg(F.sum("c").alias("w")), "weights")
+    entries = staged(shared.join(weights, "e").select("t", "e", "n", "m", "w"), "entries")
+    released(shared, weights)
+    swept(spark)
 
     links, roots = None, None
     for step in range(PIVOT_ROUNDS + 1):
@@ -325,18 +336,23 @@ def jaccard_components(frame: DataFrame, id_column: str = "doc_id", text_column:
             pairs = pairs.groupBy("a").agg(F.max(F.struct("c", "b")).alias("best")).select("a", F.col("best.b").alias("b"))
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         pairs = staged(pairs, "pairs")
-        if pairs.isEmpty():
-            continue
-        new = staged(_linked(pairs, rows, nodes, shingle, percent), "links")
-        if new.isEmpty():
+        released(lists, *([placed] if roots is not None else []), *([rest] if step == PIVOT_ROUNDS else []))
+        new = None if pairs.isEmpty() else _linked(pairs, rows, nodes, shingle, percent)
+        released(pairs)
+        if new is None or new.isEmpty():
             continue
         links = new if links is None else links.unionByName(new)
+        released(roots)
         roots = components(links)
+        swept(spark)
+    released(prefixes, entries)
 
     if roots is not None:
         groups = nodes.join(roots, nodes["e"] == roots["node"], "left").select("e", "id", F.coalesce("root", "e").alias("root"))
         least = staged(groups.groupBy("root").agg(F.min(F.struct(F.col("id"))).alias("c")), "least-ids")
         named = staged(groups.join(least, "root").select("e", F.col("c.id").alias("c")), "named")
+        released(roots, least, nodes)
+        swept(spark)
     else:
         named = nodes.select("e", F.col("id").alias("c"))
     out = profiles.join(named, "e", "left").select("id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("c")).otherwise(F.col("id")).alias("component_id"))

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veritab.llm._core import SEPARATOR, buffer_of, lowered, signed, slices, small_batches, staged, word_hashes
+from veritab.llm._core import SEPARATOR, buffer_of, lowered, released, signed, slices, small_batches, staged, swept, trimmed, word_hashes
 from veritab.llm._filters import HELD_KEYS, Chosen, settled, small_set, twice_seen
 
 MIN_CHARS, MIN_DOCS = 40, 5
@@ -77,6 +77,8 @@ def _hashed(batches: Iterator[pa.RecordBatch], min_chars: int) -> Iterator[pa.Re
             held, n = [], 0
     if n:
         yield settled(np.concatenate([x for x, _ in held]), {"id": pa.concat_arrays([x for _, x in held])})
+    held = []
+    trimmed()
 
 
 def _lines(batches: Iterator[pa.RecordBatch], min_chars: int, chosen) -> Iterator[pa.RecordBatch]:
@@ -101,12 +103,14 @@ def shared_keys(rows: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN
     kind = rows.schema["id"].dataType.simpleString()
     hashed = staged(rows.mapInArrow(lambda b: _hashed(b, min_chars), f"h long, kind int, id {kind}"), "line-hashes")
     suspects = staged(twice_seen(hashed), "line-suspects")
+    released(hashed)
     chosen = small_set(suspects.select("h"), broadcast_hashes)
     texts = rows
     if chosen is None:
         ids = suspects.select(F.col("id").alias("suspect")).distinct()
         texts = rows.join(ids, F.col("id").eqNullSafe(F.col("suspect")), "left_semi")
     lines = staged(texts.mapInArrow(lambda b: _lines(b, min_chars, chosen), f"id {kind}, key string"), "lines")
+    released(suspects)
     if chosen is not None:
         chosen.destroy()
     # one row for each document and key, then sums that are combined before they are dealt out
@@ -175,9 +179,12 @@ def line_dedup(frame: DataFrame, id_column: str = "doc_id", text_column: str = "
     keepers = None
     if size["n"] <= broadcast_keys and size["bytes"] <= BROADCAST_BYTES:
         keepers = spark.sparkContext.broadcast({r["key"].encode(): r["keeper"] for r in shared.toLocalIterator()})
+        released(shared, lines)
     else:
         hit = lines.join(shared, "key").filter(~F.col("id").eqNullSafe(F.col("keeper")))
         gone = staged(hit.groupBy(F.col("id").alias("gone_id")).agg(F.collect_set("key").alias("keys")), "line-dropped")
+        released(shared, lines)
         rows = rows.join(gone, F.col("id").eqNullSafe(F.col("gone_id")), "left").select("row", "id", "text", "keys")
+    swept(spark)
     schema = f"row {rows.schema['row'].dataType.simpleString()}, n_lines long, n_dropped long, kept_sha256 string" + ", kept string" * with_text
     return rows.mapInArrow(lambda b: _applied(b, min_chars, keepers, with_text), schema)

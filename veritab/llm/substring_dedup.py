@@ -33,12 +33,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veritab.llm._core import buffer_of, gram_hashes, sequence_hashes, signed, slices, small_batches, staged, word_hashes, words
+from veritab.llm._core import buffer_of, gram_hashes, released, sequence_hashes, signed, slices, small_batches, staged, swept, trimmed, word_hashes, words
 from veritab.llm._filters import HELD_KEYS, Chosen, flat_longs, settled, small_set, twice_seen
 
 WINDOW, K = 35, 12
 #: Edges that a task compares with each other before it passes them on.
-HELD_EDGES = 1 << 19
+HELD_EDGES = 1 << 18
 GRAM_SEED, SOURCE_SEED = 1, 2
 
 
@@ -140,6 +140,8 @@ def _profiles(batches: Iterator[pa.RecordBatch], window: int, k: int) -> Iterato
             if len(told) > HELD_KEYS:
                 told.clear()
     yield from flushed()
+    told = set()
+    trimmed()
 
 
 def _flushed(h: np.ndarray, check: np.ndarray, source: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
@@ -196,6 +198,8 @@ def _edges(batches: Iterator[pa.RecordBatch], window: int, k: int, chosen) -> It
                 told.clear()
     if n:
         yield _flushed(*[np.concatenate(x) for x in zip(*held, strict=True)])
+    held, told = [], set()
+    trimmed()
 
 
 def _resolved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -253,17 +257,22 @@ def repeated_spans(texts: DataFrame, window: int, k: int, broadcast_hashes: int
     profiles = staged(texts.mapInArrow(lambda b: _profiles(b, window, k), "h long, kind int, source long, docs long"), "minimizers")
     copies = staged(profiles.filter("docs is not null").groupBy("source").agg(F.sum("docs").alias("copies")).filter("copies > 1"), "copies")
     suspects = staged(twice_seen(profiles.filter("docs is null").drop("docs")), "suspects")
+    released(profiles)
     chosen = small_set(suspects.select("h"), broadcast_hashes)
     if chosen is None:
         each = texts.mapInArrow(lambda b: (x.select(["text", "source"]) for x in _named(b, at=0)), "text string, source long").dropDuplicates(["source"])
         texts = each.join(suspects.groupBy("source").agg(F.collect_set("h").alias("hs")), "source").select("text", "hs")
     edges = staged(texts.mapInArrow(lambda b: _edges(b, window, k, chosen), "h long, check long, source long, at int, kind int"), "windows")
+    released(suspects)
     if chosen is not None:
         chosen.destroy()
+    swept(edges.sparkSession)
     dealt = edges.filter("kind < 2").repartition("h").sortWithinPartitions("h", "check", "source", "at")
     repeated = dealt.mapInArrow(_resolved, "source long, at int").unionByName(edges.filter("kind > 0").select("source", "at"))
     grouped = repeated.groupBy("source").agg(F.collect_set("at").alias("ats"))
-    return staged(grouped.mapInArrow(_paths, "source long, spans array<struct<at: int, length: int>>"), "spans"), copies
+    spans = staged(grouped.mapInArrow(_paths, "source long, spans array<struct<at: int, length: int>>"), "spans")
+    released(edges)
+    return spans, copies
 
 
 def _named(batches: Iterator[pa.RecordBatch], seen=None, at: int = 1) -> Iterator[pa.RecordBatch]:
@@ -321,6 +330,8 @@ def substring_dedup(frame: DataFrame, id_column: str = "doc_id", text_column: st
     kind = rows.schema["row"].dataType.simpleString()
     spans, copies = repeated_spans(rows.select("text"), window, k, broadcast_hashes)
     known = staged(spans.join(copies, "source", "full"), "known")
+    released(spans, copies)
+    swept(frame.sparkSession)
     # only texts that lose words are shuffled, or all if the sources that lose some are too many to be broadcast
     seen = small_set(known.select("source"), broadcast_hashes)
     schema = f"row {kind}, n_words long, n_removed long, kept_sha256 string" + ", kept string" * with_text
