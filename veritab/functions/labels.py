@@ -66,9 +66,25 @@ def format_decimal(value: Column, decimals: int) -> Column:
     return F.regexp_replace(F.format_string(f"%.{decimals}f", value), r"^(-?)0\.", "$1.")
 
 
-#: Patterns of secrets and personal paths.
-SENSITIVE = r"(?i)(-----BEGIN [A-Z ]*PRIVATE KEY-----|AKIA[0-9A-Z]{16}|api[_-]?key\s*[:=]|password\s*[:=]|/home/[a-z]|/Users/[A-Za-z])"
-
-
-def sensitive(line: Column) -> Column:
-    return line.rlike(SENSITIVE)
+#: Patterns of secrets and personal paths by rule.
+SENSITIVE = {
+    "provider_token": r"(?:gh[pousr]_[A-Za-z0-9]{20,}|github_pat_[A-Za-z0-9_]{20,})",
+    "cloud_key": r"AKIA[0-9A-Z]{16}",
+    "private_key": r"-----BEGIN (?:RSA |EC |OPENSSH )?PRIVATE KEY-----",
+    "credential_literal": r"""(?i)(?:api[_-]?key|access[_-]?token|client[_-]?secret|password)\s*[:=]\s*["'][^"']{12,}["']""",
+    "personal_absolute_path": r"""(?i)/(?:Users|home)/[^/\s"'<>]+""",
+    "windows_personal_path": r"""(?i)\b[A-Z]:\\Users\\[^\\\s"']+""",
+}
+
+
+def sensitive(text: Column) -> Column:
+    """The rules that a text breaks, in their order; texts are read whole, so no finding can straddle two blocks."""
+    return F.filter(F.array(*[F.when(text.rlike(p), F.lit(n)) for n, p in SENSITIVE.items()]), lambda x: x.isNotNull())
+
+
+def encoded(label: Column, classes: list[str]) -> Column:
+    """The place of a label in the list of classes; an unknown one is an error."""
+    out = F.raise_error(F.concat(F.lit("unknown class: "), F.coalesce(label, F.lit("null")))).cast("int")
+    for i, name in reversed(list(enumerate(classes))):
+        out = F.when(label == name, F.lit(i)).otherwise(out)
+    return out

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import hashlib
+import tempfile
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veritab.operators.prefix import value_ranks
@@ -49,6 +50,17 @@ def balanced_split(groups: DataFrame, group: str, label: str, size: str, proport
     return made.select(F.col("g").alias(group), F.col("l").alias(label), "split")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir; where it is unset, a temporary one in local mode and an error on a cluster."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not found:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        found = tempfile.mkdtemp(prefix="veritab-")
+    return found
+
+
 def connected_components(edges: DataFrame, rounds: int = 50) -> DataFrame:
     """edges: longs (a, b). Rows (node, component): the smallest node reachable.
 
@@ -57,9 +69,7 @@ def connected_components(edges: DataFrame, rounds: int = 50) -> DataFrame:
     """
     spark = edges.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp())
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct().checkpoint()
     labels = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("c")).select(F.col("a").alias("node"), "c").checkpoint()
     for _ in range(rounds):

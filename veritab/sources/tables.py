@@ -12,7 +12,7 @@ from veritab.functions.labels import safe_stem
 
 #: The form of an opaque identifier, and columns that link to a source.
 OPAQUE_ID = r"^rid_[0-9a-f]{32}$"
-LINKING = ("sample_order", "source_file", "source_row", "raw_fingerprint", "tensor_fingerprint_exact", "tensor_fingerprint_rounded")
+LINKING, LINKING_PREFIX = ("sample_order", "source_file", "source_row", "raw_fingerprint"), "tensor_fingerprint"
 
 
 def stripped(frame: DataFrame) -> DataFrame:
@@ -70,13 +70,28 @@ def predictions_snapshot(frame: DataFrame, keys: list[str], condition: list[str]
 
 
 def linkability_findings(frame: DataFrame, id_column: str = "flow_id") -> list[str]:
-    """Forbidden columns, and whether any id is not opaque; stops at the first such row."""
-    found = [f"direct_linkage_field:{c}" for c in frame.columns if c in LINKING]
-    if id_column in frame.columns and not frame.filter(~F.col(id_column).cast("string").rlike(OPAQUE_ID)).isEmpty():
-        found.append("nonopaque_flow_id")
+    """Forbidden columns, and whether any id is not opaque; stops at the first such row.
+
+    Names count without blanks around them and in lower case; a null or empty id is none.
+    """
+    names = {c: c.strip().lower() for c in frame.columns}
+    found = [f"direct_linkage_field:{n}" for n in names.values() if n in LINKING or n.startswith(LINKING_PREFIX)]
+    for c, n in names.items():
+        if n == id_column:
+            value = F.col(f"`{c}`").cast("string")
+            if not frame.filter((value != "") & ~value.rlike(OPAQUE_ID)).isEmpty():
+                found.append("nonopaque_flow_id")
     return found
 
 
+def csv_linkability(spark: SparkSession, path: str) -> list[str]:
+    """The findings of a CSV file, compressed or not; one that can't be read is a finding of its own."""
+    try:
+        return linkability_findings(spark.read.option("header", True).option("mode", "FAILFAST").csv(path))
+    except Exception:  # noqa: BLE001  whatever makes it unreadable
+        return ["unreadable_csv_for_linkability_check"]
+
+
 def write_splits(frame: DataFrame, path: str, split: str = "split") -> None:
     """One folder for each split; an existing table is an error (K1)."""
     frame.write.partitionBy(split).mode("errorifexists").parquet(path)
