@@ -36,8 +36,10 @@ from pyspark.sql import functions as F
 
 from veritab.llm._core import buffer_of, slices, small_batches, word_hashes, words
 
-#: Words and runs, their bytes, and pairs of tokens that a worker remembers before it starts anew.
-KEPT_ENTRIES, KEPT_BYTES, KEPT_PAIRS = 1_500_000, 1 << 25, 1_000_000
+#: Runs, bytes of runs, words and pairs of tokens that a worker remembers before it starts anew.
+KEPT_RUNS, KEPT_BYTES, KEPT_WORDS, KEPT_PAIRS = 1_500_000, 1 << 25, 200_000, 300_000
+#: Runs that are remembered one by one before they are sorted into the table.
+FRESH_RUNS = 1 << 16
 #: Bytes of text that are encoded in one go; words of more symbols are encoded without a trie.
 BATCH_BYTES, LONG_WORD = 1 << 20, 256
 WORD_END = "</w>"
@@ -89,8 +91,7 @@ class WordBpe:
         self.pairs: dict[int, bool] = {}
         #: What is remembered: packed ids of words, and of runs between white space as they stand in texts.
         self.of_word: dict[str, bytes] = {}
-        self.of_run: dict[bytes, bytes] = {}
-        self.held = 0
+        self.runs = Runs()
         #: The text of each token and a space, one after the other, and where each id's begin.
         shown = [f"{self.names.get(i, '')} ".encode() for i in range(max(self.names) + 1)]
         self.shown, self.shown_at = np.frombuffer(b"".join(shown), np.uint8), np.append(0, np.cumsum([len(x) for x in shown]))
@@ -196,10 +197,6 @@ class WordBpe:
         raw, offsets = buffer_of(texts)
         for _, _, part, own in slices(raw, offsets, BATCH_BYTES):
             yield from self._encoded(part, own)
-            if len(self.of_word) + len(self.of_run) > KEPT_ENTRIES or self.held > KEPT_BYTES:
-                self.of_word.clear()
-                self.of_run.clear()
-                self.held = 0
 
     def _encoded(self, raw: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[bytes, bytes]]:
         if self.plain:
@@ -210,57 +207,127 @@ class WordBpe:
         if not len(start):
             yield from ((b"", b"") for _ in offsets[1:])
             return
-        names, runs = distinct_runs(raw, start, end)
-        self._learn_runs([x for x in runs if x not in self.of_run])
-        known = [self.of_run[x] for x in runs]
-        bounds = np.append(0, np.cumsum([len(x) for x in known])) >> 2
-        ids, to_id = gathered(np.frombuffer(b"".join(known), "<u4"), bounds, names)
+        hashes = word_hashes(raw, start, end)
+        names, first_of = distinct_runs(raw, start, end, hashes)
+        a, b, own = start[first_of], end[first_of], hashes[first_of]
+        at = self.runs.find(own, raw, a, b)
+        new = np.flatnonzero(at < 0)
+        flat = raw.tobytes()
+        learned = self._learned(own[new].tolist(), [flat[x:y] for x, y in zip(a[new].tolist(), b[new].tolist(), strict=True)])
+        known = np.flatnonzero(at >= 0)
+        # ids of all distinct runs, the remembered ones first, and where those of each stand
+        held, bounds = gathered(self.runs.ids, self.runs.to_id, at[known])
+        sizes = np.array([len(x) for x in learned], np.int64) >> 2
+        begin, length = np.empty(len(at), np.int64), np.empty(len(at), np.int64)
+        begin[known], length[known] = bounds[:-1], np.diff(bounds)
+        begin[new], length[new] = len(held) + np.cumsum(sizes) - sizes, sizes
+        ids, to_id = spread(np.concatenate([held, np.frombuffer(b"".join(learned), "<u4")]), begin, length, names)
         shown, to_byte = gathered(self.shown, self.shown_at, ids)
-        packed, flat, to_id = ids.tobytes(), shown.tobytes(), to_id[first]
+        packed, text, to_id = ids.astype("<u4").tobytes(), shown.tobytes(), to_id[first]
         to_byte, to_id = to_byte[to_id], to_id * 4
         for a, b, c, d in zip(to_id[:-1].tolist(), to_id[1:].tolist(), to_byte[:-1].tolist(), to_byte[1:].tolist(), strict=True):
-            yield packed[a:b], flat[c : max(c, d - 1)]  # each token's text ends in a space
-
-    def _learn_runs(self, runs: list[bytes]) -> None:
-        parts = [self.pieces(x.decode()) for x in runs]
-        known = self.of_word
+            yield packed[a:b], text[c : max(c, d - 1)]  # each token's text ends in a space
+
+    def _learned(self, hashes: list[int], runs: list[bytes]) -> list[bytes]:
+        """Packed ids of runs that are not in the sorted table, which are remembered as fresh ones."""
+        fresh, known = self.runs.fresh, self.of_word
+        out = [f[1] if (f := fresh.get(h)) is not None and f[0] == x else None for h, x in zip(hashes, runs, strict=True)]
+        if len(known) > KEPT_WORDS:
+            known.clear()
         for x in self.special:
             known[x] = pack([self.special[x]])
+        new = [i for i, x in enumerate(out) if x is None]
+        parts = [self.pieces(runs[i].decode()) for i in new]
         self.learn({w for x in parts for w in x if w not in known})
-        for run, found in zip(runs, parts, strict=True):
-            made = self.of_run[run] = known[found[0]] if len(found) == 1 else b"".join([known[w] for w in found])
-            self.held += len(run) + len(made)
+        for i, x in zip(new, parts, strict=True):
+            out[i] = known[x[0]] if len(x) == 1 else b"".join([known[w] for w in x])
+            fresh[hashes[i]] = runs[i], out[i]
+        return out
 
     def decode(self, ids: bytes) -> str:
         return " ".join([self.names[t] for t in unpack(ids)])
 
 
-def distinct_runs(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
-    """For each span of bytes the number of its distinct contents, and these contents."""
-    flat, sizes = raw.tobytes(), end - start
-    names, found = pd.factorize(word_hashes(raw, start, end))
+class Runs:
+    """Runs and their ids in flat arrays, sorted by hash; the newest ones wait in lists until they are many."""
+
+    def __init__(self) -> None:
+        self.clear()
+
+    def clear(self) -> None:
+        self.hashes, self.raw, self.ids = np.zeros(0, np.uint64), np.zeros(0, np.uint8), np.zeros(0, np.uint32)
+        self.to_byte, self.to_id = np.zeros(1, np.int64), np.zeros(1, np.int64)
+        self.fresh: dict[int, tuple[bytes, bytes]] = {}
+
+    def find(self, hashes: np.ndarray, raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """The place of each run of bytes, or -1. Equal hashes count if the bytes are equal too."""
+        if len(self.fresh) > FRESH_RUNS:
+            self._sort_in()
+        if not len(self.hashes):
+            return np.full(len(hashes), -1)
+        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+        sizes = end - start
+        hit = np.flatnonzero((self.hashes[at] == hashes) & (self.to_byte[at + 1] - self.to_byte[at] == sizes))
+        mine, bounds = gathered(self.raw, self.to_byte, at[hit])
+        given, _ = spread(raw, start, sizes, hit)
+        same = np.ones(len(hit), bool)
+        if len(mine):
+            same = np.add.reduceat(mine != given, bounds[:-1]) == 0
+        out = np.full(len(hashes), -1)
+        out[hit[same]] = at[hit[same]]
+        return out
+
+    def _sort_in(self) -> None:
+        if len(self.hashes) + len(self.fresh) > KEPT_RUNS or len(self.raw) > KEPT_BYTES:
+            fresh = self.fresh
+            self.clear()
+            self.fresh = fresh
+        hashes = np.array(list(self.fresh), np.uint64)
+        runs, ids = zip(*self.fresh.values(), strict=True)
+        order = np.argsort(np.concatenate([self.hashes, hashes]), kind="stable")
+        all_hashes = np.concatenate([self.hashes, hashes])[order]
+        once = np.append(True, all_hashes[1:] != all_hashes[:-1])
+        order = order[once]
+        self.hashes = all_hashes[once]
+        lengths = lambda begin, new, width: np.append(0, np.cumsum(np.concatenate([np.diff(begin), np.array([len(x) for x in new], np.int64) // width])))
+        self.raw, self.to_byte = gathered(np.concatenate([self.raw, np.frombuffer(b"".join(runs), np.uint8)]), lengths(self.to_byte, runs, 1), order)
+        self.ids, self.to_id = gathered(np.concatenate([self.ids, np.frombuffer(b"".join(ids), "<u4")]), lengths(self.to_id, ids, 4), order)
+        self.fresh = {}
+
+
+def distinct_runs(raw: np.ndarray, start: np.ndarray, end: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each span of bytes the number of its distinct contents, and for each of these its first span."""
+    sizes = end - start
+    names, found = pd.factorize(hashes)
     example = np.zeros(len(found), np.int64)
     example[names[::-1]] = np.arange(len(names) - 1, -1, -1)
     same = bool((sizes == sizes[example][names]).all())
     if same:  # and byte by byte
-        at = np.repeat(np.cumsum(sizes) - sizes, sizes)
-        at = np.arange(len(at)) - at
-        same = bool((raw[at + np.repeat(start, sizes)] == raw[at + np.repeat(start[example][names], sizes)]).all())
+        own, _ = spread(raw, start, sizes, np.arange(len(start)))
+        other, _ = spread(raw, start[example], sizes[example], names)
+        same = bool((own == other).all())
     if not same:  # hashes that meet
+        flat = raw.tobytes()
         names, held = pd.factorize(np.array([flat[a:b] for a, b in zip(start.tolist(), end.tolist(), strict=True)], object))
-        return names, list(held)
-    return names, [flat[a:b] for a, b in zip(start[example].tolist(), end[example].tolist(), strict=True)]
+        example = np.zeros(len(held), np.int64)
+        example[names[::-1]] = np.arange(len(names) - 1, -1, -1)
+    return names, example
 
 
-def gathered(flat: np.ndarray, begin: np.ndarray, names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """flat[begin[name] : begin[name + 1]] for all names, one after the other, and where each name's begin (len + 1)."""
+def spread(flat: np.ndarray, begin: np.ndarray, sizes: np.ndarray, names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """flat[begin[name] : begin[name] + sizes[name]] for all names, one after the other, and where each name's begin (len + 1)."""
     names = names.astype(np.int64)
-    sizes = np.diff(begin)[names]
-    bounds = np.append(0, np.cumsum(sizes))
-    at = np.arange(bounds[-1]) + np.repeat(begin[names] - bounds[:-1], sizes)
+    each = sizes[names]
+    bounds = np.append(0, np.cumsum(each))
+    at = np.arange(bounds[-1]) + np.repeat(begin[names] - bounds[:-1], each)
     return flat[at], bounds
 
 
+def gathered(flat: np.ndarray, begin: np.ndarray, names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The same for parts that follow each other: begin has one entry more than there are names."""
+    return spread(flat, begin[:-1], np.diff(begin), names)
+
+
 def pack(ids: list[int]) -> bytes:
     packed = array("I", ids)
     if sys.byteorder == "big":
