@@ -72,3 +72,15 @@ def deduplicate_with_contract(frame: DataFrame, fingerprint: str, order: list[Co
         ok = ok & f
     numbered = frame.select("*", F.count("*").over(by).alias("multiplicity"), ok.alias("consistent"), F.row_number().over(by.orderBy(*order)).alias("_place"))
     return numbered.filter("_place = 1").drop("_place")
+
+
+def class_sets(frame: DataFrame, split: str, label: str, classes: list) -> DataFrame:
+    """The distinct classes of each split, sorted, and whether they are exactly those expected."""
+    found = frame.select(split, label).distinct().groupBy(split).agg(F.array_sort(F.collect_list(label)).alias("classes"))
+    return found.withColumn("complete", F.col("classes") == F.array(*map(F.lit, sorted(classes))))
+
+
+def collapsed(frame: DataFrame, keys: list[str], flags: dict[str, str], attributes: dict[str, str], order: str) -> DataFrame:
+    """One row for each key, nulls included: flags by or, attributes of the first row in order, and the number of rows."""
+    any_of = [F.coalesce(F.bool_or(c), F.lit(False)).alias(n) for n, c in flags.items()]
+    return frame.groupBy(*keys).agg(*any_of, *[F.min_by(c, order).alias(n) for n, c in attributes.items()], F.count("*").alias("n"))

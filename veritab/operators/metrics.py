@@ -167,3 +167,43 @@ def agreement(frame: DataFrame, truth: str, left: str, right: str, *keys: str) -
     flags = {"agree": a == b, "both_correct": (a == t) & (b == t), "both_wrong": (a != t) & (b != t), "left_only": (a == t) & (b != t), "right_only": (a != t) & (b == t)}
     out = frame.groupBy(*keys).agg(F.count("*").alias("n"), *[F.count_if(c).alias(f"n_{n}") for n, c in flags.items()])
     return out.select("*", *[(F.col(f"n_{n}") / F.col("n")).alias(f"{n}_rate") for n in flags])
+
+
+def prediction_table(frame: DataFrame, p: str, classes: list[str], truth: str, threshold: float) -> DataFrame:
+    """The frame with prob_<class> columns instead of the array, the decision, its confidence and margin.
+
+    Two classes are decided by the threshold, more by the largest probability, the first of equal ones.
+    """
+    two = len(classes) == 2
+    pred = F.when(F.get(p, F.lit(1)) >= threshold, 1).otherwise(0) if two else F.array_position(p, F.array_max(p)) - 1
+    out = frame.select("*", pred.cast("int").alias("pred"), *[F.get(p, F.lit(i)).alias(f"prob_{c}") for i, c in enumerate(classes)])
+    ranked = F.reverse(F.array_sort(p))
+    margin = F.get(ranked, F.lit(0)) - F.get(ranked, F.lit(1))
+    out = out.select("*", F.get(p, F.col("pred")).alias("confidence"), margin.alias("margin"), F.lit(threshold).alias("decision_threshold"), (F.col("pred") == F.col(truth)).alias("correct"))
+    return out.drop(p)
+
+
+def decision_counts(frame: DataFrame, truth: str, decision: str, weight: str, *keys: str) -> DataFrame:
+    """Weighted true positives, false positives and false negatives: what batches of a score add up."""
+    of = lambda t, d: F.sum(F.when((F.col(truth) == t) & (F.col(decision) == d), F.col(weight)).otherwise(0.0))
+    return frame.groupBy(*keys).agg(of(1, 1).alias("tp"), of(0, 1).alias("fp"), of(1, 0).alias("fn"))
+
+
+def f2_of(counts: DataFrame, *keys: str) -> DataFrame:
+    """F2 of counts summed over their batches; 0 where nothing is positive."""
+    summed = counts.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in ("tp", "fp", "fn")])
+    return summed.withColumn("f2", F.coalesce(F.try_divide(5 * F.col("tp"), 5 * F.col("tp") + 4 * F.col("fn") + F.col("fp")), F.lit(0.0)))
+
+
+def best_candidate(frame: DataFrame, order: list[tuple[str, bool]], *keys: str) -> DataFrame:
+    """The first candidate of each key by columns in turn, each with whether more is better (O7). Columns of the test split are an error."""
+    if bad := [c for c, _ in order if "test" in c.lower()]:
+        raise ValueError(f"selection may not look at the test split: {bad}")
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(*[F.desc(c) if more else F.asc(c) for c, more in order]))
+    return frame.withColumn("_k", place).filter("_k = 1").drop("_k")
+
+
+def class_eligibility(counts: DataFrame, label: str, model: str, models: int, ok: str, n: str) -> DataFrame:
+    """Classes that every model finds eligible on frozen validation counts, and whether the models agree."""
+    grouped = counts.groupBy(label).agg(F.bool_and(ok).alias("_all"), (F.bool_and(ok) == F.bool_or(ok)).alias("models_agree"), F.countDistinct(model).alias("_m"), F.min(n).alias("n_validation"))
+    return grouped.select(label, (F.col("_all") & (F.col("_m") == models)).alias("eligible"), "models_agree", "n_validation")

@@ -1,5 +1,5 @@
 """The registered queries, by subject."""
 
-from veritab.plans import explanations, metrics, panels, perturbations, relational, similarity, verdicts
+from veritab.plans import audit, explanations, metrics, panels, perturbations, relational, similarity, verdicts
 
-ALL = (similarity, relational, metrics, explanations, panels, perturbations, verdicts)
+ALL = (similarity, relational, metrics, explanations, panels, perturbations, verdicts, audit)

@@ -51,11 +51,11 @@ def train_val_test_precedence_guard(spark, sf_dir):
     return kept.groupBy("split").agg(F.count("*").alias("n"), F.countDistinct("fp").alias("n_fp"))
 
 
-@query("""WITH d AS (SELECT sha256(text) AS fp, quality FROM documents JOIN labels USING (doc_id))
-SELECT fp, count(DISTINCT quality)::BIGINT AS n_labels, count(*)::BIGINT AS n_rows FROM d GROUP BY fp HAVING count(DISTINCT quality) > 1""")
+@query("""WITH d AS (SELECT sha256(concat_ws('|', p_type, p_size::VARCHAR)) AS fp, p_brand FROM part)
+SELECT fp, count(DISTINCT p_brand)::BIGINT AS n_labels, count(*)::BIGINT AS n_rows FROM d GROUP BY fp HAVING count(DISTINCT p_brand) > 1""")
 def label_conflict_groups(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id").select(F.sha2("text", 256).alias("fp"), "quality")
-    return identity.conflicts(d, "fp", "quality")
+    d = table(spark, sf_dir, "part").select(F.sha2(F.concat_ws("|", "p_type", F.col("p_size").cast("string")), 256).alias("fp"), "p_brand")
+    return identity.conflicts(d, "fp", "p_brand")
 
 
 @query("""SELECT * FROM (VALUES ('quantity', 'quantity', false), ('price', 'price', false), ('quantity_copy', 'quantity', true), ('tax', 'tax', false), ('price_copy', 'price', true)) t(feature, representative, is_duplicate)""")
@@ -233,13 +233,6 @@ def session_key(spark, sf_dir):
     return e.groupBy(key.alias("session")).agg(F.count("*").alias("n"))
 
 
-@query("""SELECT doc_id, regexp_matches(text, '(?i)(-----BEGIN [A-Z ]*PRIVATE KEY-----|AKIA[0-9A-Z]{16}|api[_-]?key\\s*[:=]|password\\s*[:=]|/home/[a-z]|/Users/[A-Za-z])') AS sensitive,
-lower(lang) IN ('true', '1') AS truthy FROM documents WHERE regexp_matches(text, '(?i)(-----BEGIN [A-Z ]*PRIVATE KEY-----|AKIA[0-9A-Z]{16}|api[_-]?key\\s*[:=]|password\\s*[:=]|/home/[a-z]|/Users/[A-Za-z])')""")
-def sensitive_text_scan(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select("doc_id", labels.sensitive(F.col("text")).alias("sensitive"), labels.truthy(F.col("lang")).alias("truthy"))
-    return d.filter("sensitive")
-
-
 @query("""SELECT event_type, count(*)::BIGINT AS n, round(avg(json_extract_string(props, '$.k')::DOUBLE), 6) AS mean_k FROM events GROUP BY event_type""")
 def json_property_summary(spark, sf_dir):
     e = table(spark, sf_dir, "events")
