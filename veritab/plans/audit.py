@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from veritab.functions import accounts as A
 from veritab.functions import filters, labels
-from veritab.operators import aggregates, identity, joins, metrics, resampling, seeds
+from veritab.operators import aggregates, identity, joins, metrics, policies, resampling, seeds
 from veritab.plans._adapter import ACCOUNTS, PREDICTIONS, ROWS, SIMILARITY, accounts, predictions, r6, rows, similar, table
 from veritab.sources import tables
 
@@ -235,3 +235,46 @@ def condition_ranking(spark, sf_dir):
     p = predictions(spark, sf_dir).groupBy("seed", "event_type").agg(F.avg((F.col("d1") == F.col("truth")).cast("double")).alias("accuracy"))
     place = F.row_number().over(Window.partitionBy("seed").orderBy(F.desc("accuracy"), "event_type"))  # a handful of rows a seed
     return p.select("seed", "event_type", place.cast("long").alias("place"), r6("accuracy").alias("accuracy"))
+
+
+STATUSES = ["F", "O", "P"]
+POLICIES = {
+    "temporal": {"kind": "temporal", "order": "o_orderdate"},
+    "grouped": {"kind": "grouped", "group": "o_custkey"},
+    "grouped_disjoint": {"kind": "grouped", "group": "o_custkey", "drop_crossing": True},
+}
+
+
+def policy_rows(spark, sf_dir):
+    """Orders with a fingerprint that a few orders share."""
+    o = table(spark, sf_dir, "orders")
+    return o.select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate", F.concat_ws("|", F.floor(F.col("o_totalprice")).cast("string"), "o_orderpriority").alias("fp"))
+
+
+POLICY_SQL = """WITH o AS (SELECT o_orderkey, o_custkey AS g, o_orderstatus AS s, floor(o_totalprice)::BIGINT::VARCHAR || '|' || o_orderpriority AS fp FROM orders),
+k AS (SELECT * FROM o WHERE fp NOT IN (SELECT fp FROM o GROUP BY fp HAVING count(DISTINCT s) > 1)), x AS (SELECT * FROM k WHERE fp NOT IN (SELECT fp FROM k GROUP BY fp HAVING count(DISTINCT g) > 1)),
+n AS (SELECT (SELECT count(*) FROM o) AS total, (SELECT count(*) FROM k) AS kept, (SELECT count(*) FROM x) AS disjoint_)
+SELECT 'temporal' AS policy, kept::BIGINT AS n_kept, (total - kept)::BIGINT AS n_dropped, 0::BIGINT AS n_crossing, true AS feasible, '' AS reason FROM n
+UNION ALL SELECT 'grouped_disjoint', disjoint_::BIGINT, (total - disjoint_)::BIGINT, 0::BIGINT, true, '' FROM n"""
+
+
+@query(POLICY_SQL)
+def policy_splits(spark, sf_dir):
+    """Feasibility of split policies (G6, G10): rows kept and dropped, no group in two splits, all classes everywhere."""
+    o = policy_rows(spark, sf_dir)
+    total = F.lit(o.count())
+    out = None
+    for name in ("temporal", "grouped_disjoint"):
+        p = POLICIES[name]
+        split = policies.policy_split(o, p, "fp", "o_orderstatus", STATUSES)
+        one = policies.feasibility(split, total, "o_orderstatus", p.get("group", "fp"), STATUSES).select(F.lit(name).alias("policy"), "n_kept", "n_dropped", "n_crossing", "feasible", "reason")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query()
+def merged_group_split(spark, sf_dir):
+    """Groups merged over shared fingerprints: one component may hold most rows, which feasibility tells."""
+    o = policy_rows(spark, sf_dir)
+    split = policies.policy_split(o, POLICIES["grouped"], "fp", "o_orderstatus", STATUSES)
+    return policies.feasibility(split, F.lit(o.count()), "o_orderstatus", "o_custkey", STATUSES)
