@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from veritab.operators.prefix import value_ranks
+
 
 def quantile(value: Column | str, q: float | list[float]) -> Column:
     """Exact quantiles with linear interpolation."""
@@ -60,16 +62,11 @@ def common_support(frame: DataFrame, value: str, arm: str, left: str, right: str
     return joined.groupBy(*keys, "low", "high").agg(*counts)
 
 
-def average_rank(value: str, *keys: str) -> Column:
-    """Rank within the keys, ties sharing their mean."""
-    from pyspark.sql import Window
-
-    return F.rank().over(Window.partitionBy(*keys).orderBy(value)) + (F.count("*").over(Window.partitionBy(*keys, value)) - 1) / 2.0
-
-
 def spearman(frame: DataFrame, x: str, y: str, *keys: str) -> DataFrame:
-    """Rank correlation within the keys; null where a side is constant."""
-    ranked = frame.select(*keys, average_rank(x, *keys).alias("rx"), average_rank(y, *keys).alias("ry"))
+    """Rank correlation within the keys; null where a side is constant (W3, A24). Ranks are those of distinct values."""
+    ranked = frame.select(*keys, x, y)
+    for c, name in ((x, "rx"), (y, "ry")):
+        ranked = ranked.join(value_ranks(ranked.filter(F.col(c).isNotNull()), c, *keys).withColumnRenamed("average_rank", name), [*keys, c], "left")
     constant = (F.min("rx") == F.max("rx")) | (F.min("ry") == F.max("ry"))
     return ranked.groupBy(*keys).agg(F.when(~constant, F.corr("rx", "ry")).alias("spearman"), F.count("*").alias("n"))
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 import tempfile
 
 import numpy as np
@@ -10,42 +9,41 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from veritab.functions.hashing import unit
 from veritab.operators.prefix import value_ranks
 
 SPLITS = ("train", "validation", "test")
 
 
-def _seed(*parts) -> int:
-    return int.from_bytes(hashlib.sha256("|".join(map(str, parts)).encode()).digest()[:4], "little")
+#: Groups that one task assigns.
+BUCKET_GROUPS = 100_000
 
 
-def balanced_split(groups: DataFrame, group: str, label: str, size: str, proportions: tuple[float, float, float] = (0.7, 0.15, 0.15), seed: int = 42, buckets: int = 1) -> DataFrame:
-    """Largest groups first, each to the split that comes nearest to its target, every split non-empty (G1).
+def balanced_split(groups: DataFrame, group: str, label: str, size: str, proportions: tuple[float, float, float] = (0.7, 0.15, 0.15), salt: str = "balanced", buckets: int | None = None) -> DataFrame:
+    """Largest groups first, each to the split that lacks most rows, every split non-empty (G1).
 
-    groups: one row for each group and label. The order is sequential within a class; with ``buckets`` above 1,
-    classes are cut into hash buckets that are split each for itself, so no task holds a whole class.
+    groups: one row for each group and label. Groups of one size come in hash order. A class is cut into hash buckets of
+    about BUCKET_GROUPS groups that are split each for itself to the same proportions, so no task holds a whole class.
     """
-    target = np.array(proportions)
+    if buckets is None:
+        most = groups.groupBy(label).count().agg(F.coalesce(F.max("count"), F.lit(0)).alias("n")).first()["n"]
+        buckets = max(1, -(-most // BUCKET_GROUPS))
 
     def assign(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("g", kind="stable").reset_index(drop=True)
-        rng = np.random.default_rng(_seed(seed, part["l"].iloc[0], part["b"].iloc[0], "balanced"))
-        order = np.lexsort((rng.permutation(len(part)), -part["n"].to_numpy()))
-        want, have, count = target * part["n"].sum(), np.zeros(3), np.zeros(3, int)
-        out = np.empty(len(part), object)
-        for place, i in enumerate(order):
-            empty = np.flatnonzero(count == 0)
-            choice = empty if len(empty) > len(order) - place - 1 else np.arange(3)
-            n = part["n"].iloc[i]
-            # the squared deviation after adding n to a split differs by 2 n (have - want) only
-            best = choice[np.argmin((have - want)[choice])]
-            out[i] = SPLITS[best]
-            have[best] += n
-            count[best] += 1
+        part = part.sort_values(["n", "u", "g"], ascending=[False, True, True])
+        sizes = part["n"].to_numpy()
+        lacking, taken, out = np.array(proportions) * sizes.sum(), np.zeros(3, bool), []
+        for left, n in zip(range(len(sizes), 0, -1), sizes, strict=True):
+            bare = np.flatnonzero(~taken)
+            # the last groups go to splits that have none yet
+            best = bare[np.argmax(lacking[bare])] if len(bare) >= left else int(np.argmax(lacking))
+            lacking[best] -= n
+            taken[best] = True
+            out.append(SPLITS[best])
         return pd.DataFrame({"g": part["g"], "l": part["l"], "split": out})
 
     kinds = {f.name: f.dataType.simpleString() for f in groups.schema}
-    rows = groups.select(F.col(group).alias("g"), F.col(label).alias("l"), F.col(size).cast("long").alias("n"), F.pmod(F.xxhash64(group), F.lit(buckets)).alias("b"))
+    rows = groups.select(F.col(group).alias("g"), F.col(label).alias("l"), F.col(size).cast("long").alias("n"), unit(salt, F.col(group)).alias("u"), F.pmod(F.xxhash64(group), F.lit(buckets)).alias("b"))
     made = rows.groupBy("l", "b").applyInPandas(assign, f"g {kinds[group]}, l {kinds[label]}, split string")
     return made.select(F.col("g").alias(group), F.col("l").alias(label), "split")
 

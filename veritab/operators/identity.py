@@ -28,15 +28,19 @@ def overlap_status(n_exact: Column, rate: Column) -> Column:
 
 def precedence_guard(frame: DataFrame, split: str, *keys: str) -> DataFrame:
     """Drops validation rows that share a key with train, then test rows that share one with train or surviving validation (H7)."""
-    train = frame.filter(F.col(split) == "train")
-    seen, out = train, train
-    for name in ("validation", "test"):
-        part = frame.filter(F.col(split) == name)
-        for k in keys:
-            part = part.join(seen.select(k).distinct(), k, "left_anti")
-        part = part.select(*frame.columns)
-        out, seen = out.unionByName(part), seen.unionByName(part)
-    return out
+    narrow = frame.select(split, *keys)
+    blocked = {k: narrow.filter(F.col(split) == "train").select(k).distinct() for k in keys}
+    surviving = narrow.filter(F.col(split) == "validation").distinct()
+    for k in keys:
+        surviving = surviving.join(blocked[k], k, "left_anti")
+    # one row for each key that blocks: 2 of train (validation and test), 1 of surviving validation (test only)
+    out = frame
+    for k in keys:
+        strength = blocked[k].withColumn("_s", F.lit(2)).unionByName(surviving.select(k).distinct().withColumn("_s", F.lit(1))).groupBy(k).agg(F.max("_s").alias(f"_s_{k}"))
+        out = out.join(strength, k, "left")
+    strongest = F.greatest(*[F.coalesce(f"_s_{k}", F.lit(0)) for k in keys], F.lit(0))
+    kept = (F.col(split) == "train") | ((F.col(split) == "validation") & (strongest < 2)) | ((F.col(split) == "test") & (strongest < 1))
+    return out.filter(kept).select(*frame.columns)
 
 
 def keep_first(frame: DataFrame, order: list[Column], *keys: str) -> DataFrame:
@@ -50,8 +54,8 @@ def keep_first(frame: DataFrame, order: list[Column], *keys: str) -> DataFrame:
 def duplicate_columns(frame: DataFrame, row_key: str, columns: list[str]) -> DataFrame:
     """Columns that equal an earlier one on all rows: column, representative (H6).
 
-    Each column is one order-free digest: sums of row hashes and of their squares in the smaller range, so the
-    whole table is read once and nothing is collected by column.
+    Each column is one order-free digest, from one reading of the table. Columns of equal digests are then compared row by
+    row with the first of them, in one more aggregate, so that a column counts as equal only if it is.
     """
     digests = []
     for c in columns:
@@ -60,7 +64,12 @@ def duplicate_columns(frame: DataFrame, row_key: str, columns: list[str]) -> Dat
     one = frame.agg(*digests)
     rows = one.select(F.inline(F.array(*[F.struct(F.lit(i).alias("place"), F.lit(c).alias("feature"), F.col(f"{c}_a").alias("a"), F.col(f"{c}_b").alias("b")) for i, c in enumerate(columns)])))
     first = F.first("feature").over(Window.partitionBy("a", "b").orderBy("place"))
-    return rows.select("feature", first.alias("representative")).withColumn("is_duplicate", F.col("feature") != F.col("representative"))
+    found = rows.select("place", "feature", first.alias("representative")).orderBy("place").collect()  # one row for each column
+    pairs = [(r["feature"], r["representative"]) for r in found if r["feature"] != r["representative"]]
+    equal = frame.agg(F.lit(True).alias("_"), *[F.coalesce(F.bool_and(F.col(a).cast("double").eqNullSafe(F.col(b).cast("double"))), F.lit(True)).alias(f"{a}~{b}") for a, b in pairs])
+    same = equal.first().asDict()
+    sound = [(r["feature"], r["representative"] if same.get(f"{r['feature']}~{r['representative']}", True) else r["feature"]) for r in found]
+    return frame.sparkSession.createDataFrame([(a, b, a != b) for a, b in sound], "feature string, representative string, is_duplicate boolean")
 
 
 def deduplicate_with_contract(frame: DataFrame, fingerprint: str, order: list[Column], constant: list[str]) -> DataFrame:

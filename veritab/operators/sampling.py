@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veritab.functions.hashing import unit
-from veritab.operators.prefix import running_totals
+from veritab.operators.prefix import running_totals, value_ranks
 
 
 def capped(frame: DataFrame, cap: int, priority: Column, *keys: str, ties: list[Column] = ()) -> DataFrame:
@@ -35,20 +35,28 @@ def stratified(frame: DataFrame, most: int, classes: int, salt: str, key: Column
 
 
 def stratified_split(frame: DataFrame, sizes: tuple[float, float], salt: str, key: Column, label: str) -> DataFrame:
-    """train, validation or test by the hash rank within the class."""
-    by = Window.partitionBy(label)
-    share = (F.row_number().over(by.orderBy(unit(salt, key), key)) - 1) / F.count("*").over(by)
-    return frame.withColumn("split", F.when(share < sizes[0], "train").when(share < sizes[0] + sizes[1], "validation").otherwise("test"))
+    """train, validation or test by the hash rank within the class (G2). Ranks are running totals: a class has many tasks."""
+    hashed = frame.withColumn("_u", unit(salt, key)).withColumn("_k", key).withColumn("_one", F.lit(1))
+    ranked = running_totals(hashed, "_u", ["_one"], label, ties=("_k",))
+    totals = frame.groupBy(label).agg(F.count("*").alias("_n"))
+    share = (F.col("cum__one") - 1) / F.col("_n")
+    split = F.when(share < sizes[0], "train").when(share < sizes[0] + sizes[1], "validation").otherwise("test")
+    return ranked.join(totals, label).select(*frame.columns, split.alias("split"))
 
 
-def quantile_bins(value: str, bins: int, labels: list[str], *keys: str) -> Column:
-    """Bin of the average rank's share: tied values share a bin, non-finite ones have none."""
+def quantile_bins(frame: DataFrame, value: str, bins: int, labels: list[str], *keys: str) -> DataFrame:
+    """Adds bin, from the average rank's share: tied values share a bin, non-finite ones have none.
+
+    Ranks are those of distinct values, so no task holds the rows of a key.
+    """
     finite = F.col(value).isNotNull() & ~F.isnan(value) & (F.abs(value) != float("inf"))
-    group = [*keys, finite]
-    rank = F.rank().over(Window.partitionBy(*group).orderBy(value)) + (F.count("*").over(Window.partitionBy(*group, value)) - 1) / 2.0
-    share = rank / F.count("*").over(Window.partitionBy(*group))
-    place = F.least(F.greatest(F.ceil(F.round(share * bins, 9)), F.lit(1)), F.lit(len(labels))).cast("int")
-    return F.when(finite, F.element_at(F.array(*map(F.lit, labels)), place)).otherwise("")
+    kept = frame.filter(finite)
+    totals = kept.groupBy(*keys).agg(F.count("*").alias("_n"))
+    ranks = value_ranks(kept, value, *keys)
+    ranks = ranks.join(totals, list(keys)) if keys else ranks.crossJoin(F.broadcast(totals))
+    place = F.least(F.greatest(F.ceil(F.round(F.col("average_rank") / F.col("_n") * bins, 9)), F.lit(1)), F.lit(len(labels))).cast("int")
+    named = ranks.select(*keys, value, F.element_at(F.array(*map(F.lit, labels)), place).alias("bin"))
+    return frame.join(named, [*keys, value], "left").select(*frame.columns, F.coalesce("bin", F.lit("")).alias("bin"))
 
 
 def temporal_split(groups: DataFrame, order: str, size: str, cuts: tuple[float, float], *keys: str) -> DataFrame:

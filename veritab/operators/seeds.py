@@ -40,6 +40,14 @@ def coverage(frame: DataFrame, flag: str, *keys: str, seed: str = "seed", thresh
     return out.withColumn("coverage_sufficient", F.col("n_seeds") == seeds).withColumn("identification_coverage_sufficient", (F.col("n_seeds") == seeds) & (F.col("minimum_seed_fraction") >= threshold))
 
 
+def mean_and_coverage(frame: DataFrame, value: str, flag: str, *keys: str, seed: str = "seed", flow: str = "flow", threshold: float = 0.95, seeds: int = 5) -> DataFrame:
+    """equal_seed_mean and coverage of the same rows from one chain of aggregates."""
+    each = frame.groupBy(*keys, seed, flow).agg(F.avg(value).alias("v"), F.sum(F.col(flag).cast("double")).alias("hits"), F.count("*").alias("n"))
+    per = each.groupBy(*keys, seed).agg(F.avg("v").alias("v"), F.sum("hits").alias("hits"), F.sum("n").alias("n"))
+    out = per.groupBy(*keys).agg(F.avg("v").alias("estimate"), (F.sum("hits") / F.sum("n")).alias("coverage_fraction"), F.min(F.col("hits") / F.col("n")).alias("minimum_seed_fraction"), F.count("*").alias("n_seeds"))
+    return out.withColumn("coverage_sufficient", F.col("n_seeds") == seeds).withColumn("identification_coverage_sufficient", (F.col("n_seeds") == seeds) & (F.col("minimum_seed_fraction") >= threshold))
+
+
 def mean_and_sd(frame: DataFrame, value: str, *keys: str) -> DataFrame:
     """Mean and sample standard deviation over seeds."""
     return frame.groupBy(*keys).agg(F.avg(value).alias("mean"), F.stddev_samp(value).alias("sd"), F.count(value).alias("n_seeds"))

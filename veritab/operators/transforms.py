@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veritab.functions.hashing import unit
+from veritab.operators.prefix import quantiles, running_totals
 
 CLIP = 1e12
 
@@ -20,11 +21,21 @@ def finite(frame: DataFrame, columns: list[str], clip: float = CLIP) -> DataFram
 
 
 def reference_row(frame: DataFrame, columns: list[str], strategy: str = "median") -> DataFrame:
-    """One row with each column's median, mean or zero."""
-    f = {"median": lambda c: F.percentile(c, F.lit(0.5)), "mean": F.avg, "zero": lambda c: F.max(F.lit(0.0))}[strategy]
+    """One row with each column's exact median, mean or zero."""
+    if strategy == "median":
+        return one_row([quantiles(frame.select(c), c, {f"{c}_ref": 0.5}) for c in columns])
+    f = {"mean": F.avg, "zero": lambda c: F.max(F.lit(0.0))}[strategy]
     return frame.agg(*[f(c).alias(f"{c}_ref") for c in columns])
 
 
+def one_row(parts: list[DataFrame]) -> DataFrame:
+    """Frames of one row each side by side."""
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.crossJoin(F.broadcast(p))
+    return out
+
+
 def impute(frame: DataFrame, columns: list[str], strategy: str = "median") -> DataFrame:
     """Nulls become the column's reference; drop removes such rows (F1)."""
     if strategy == "drop":
@@ -35,9 +46,9 @@ def impute(frame: DataFrame, columns: list[str], strategy: str = "median") -> Da
 
 def clip_quantiles(frame: DataFrame, columns: list[str], low: float, high: float) -> DataFrame:
     """Values within each column's quantiles (F2)."""
-    bounds = frame.agg(*[F.percentile(c, F.array(F.lit(low), F.lit(high))).alias(f"{c}_q") for c in columns])
+    bounds = one_row([quantiles(frame.select(c), c, {f"{c}_low": low, f"{c}_high": high}) for c in columns])
     joined = frame.crossJoin(F.broadcast(bounds))
-    return joined.select(*[F.greatest(F.least(F.col(c), F.get(f"{c}_q", F.lit(1))), F.get(f"{c}_q", F.lit(0))).alias(c) if c in columns else F.col(c) for c in frame.columns])
+    return joined.select(*[F.greatest(F.least(F.col(c), F.col(f"{c}_high")), F.col(f"{c}_low")).alias(c) if c in columns else F.col(c) for c in frame.columns])
 
 
 def standardised(frame: DataFrame, columns: list[str], train, kind: str = "standard") -> DataFrame:
@@ -60,14 +71,15 @@ def varying(frame: DataFrame, columns: list[str], train, least: float = 0.0) ->
 
 
 def permuted(frame: DataFrame, column: str, key: str, salt: str) -> DataFrame:
-    """The column's values dealt out anew in hash order.
+    """The column's values dealt out anew over all rows: the n-th row by key gets the value of the n-th by hash.
 
-    Both orders are places within hash buckets of a fixed share of rows, so no task sorts the whole table.
+    key: a number that tells rows apart. Both ranks are running totals, so no task sorts the whole table.
     """
-    bucket = F.pmod(F.xxhash64(F.col(key)), F.lit(64))
-    own = frame.withColumn("_b", bucket).withColumn("_p", F.row_number().over(Window.partitionBy("_b").orderBy(key)))
-    other = frame.select(F.col(column).alias("_v"), bucket.alias("_b"), F.row_number().over(Window.partitionBy(bucket).orderBy(unit(salt, F.col(key)), key)).alias("_p"))
-    return own.join(other, ["_b", "_p"]).withColumn(column, F.col("_v")).drop("_b", "_p", "_v")
+    hashed = frame.select(F.col(key).alias("_k"), F.col(column).alias("_v"), unit(salt, F.col(key)).alias("_u"), F.lit(1).alias("_one"))
+    own = running_totals(hashed.select("_k", "_one"), "_k", ["_one"]).select("_k", "cum__one")
+    other = running_totals(hashed, "_u", ["_one"], ties=("_k",)).select("_v", "cum__one")
+    dealt = own.join(other, "cum__one").select("_k", "_v")
+    return frame.join(dealt, F.col(key) == F.col("_k")).withColumn(column, F.col("_v")).select(*frame.columns)
 
 
 def noisy(frame: DataFrame, column: str, key: str, level: float, salt: str) -> DataFrame:

@@ -7,10 +7,11 @@ arithmetic rules. rows: lineitem rows, named by a hash of all their columns.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veritab.functions import accounts as A
+from veritab.operators.prefix import running_totals
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,9 +27,13 @@ def accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def account_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """flow, label, seed, a, b, x, y: magnitudes x of the flow and y of the next flow of the class."""
-    line = Window.partitionBy("label").orderBy("flow")
     own = accounts(spark, sf_dir)
-    return own.select("flow", "label", "seed", "a", F.lead("a").over(line).alias("b"), F.col("m").alias("x"), F.lead("m").over(line).alias("y")).filter("y is not null")
+    # only flows are numbered, by running totals; their arrays are joined by flow, however few the classes
+    places = running_totals(own.select("flow", "label", F.lit(1).alias("one")), "flow", ["one"], "label").select("flow", "label", F.col("cum_one").alias("place"))
+    after = places.select(F.col("flow").alias("next"), "label", (F.col("place") - 1).alias("place"))
+    following = places.join(after, ["label", "place"]).select("flow", "next")
+    other = own.select(F.col("flow").alias("next"), F.col("a").alias("b"), F.col("m").alias("y"))
+    return own.join(following, "flow").join(other, "next").select("flow", "label", "seed", "a", "b", F.col("m").alias("x"), "y")
 
 
 ACCOUNTS = """

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from veritab.functions import accounts as A
 from veritab.functions.hashing import unit_sql
 from veritab.operators import explain, grouping, resampling, transforms
+from veritab.operators.prefix import quantiles
 from veritab.plans._adapter import ACCOUNTS, PREDICTIONS, ROWS, SIMILARITY, accounts, predictions, r6, rows, similar, table
 
 QUERIES, ORACLE_SQL = {}, {}
@@ -33,7 +34,7 @@ mg AS (SELECT flow, sum(x * w) + 0.1 AS m, sum(r * w) + 0.1 AS mr FROM lx JOIN m
 def with_reference(spark, sf_dir):
     """flow, label, x, reference: the median of each coordinate, one row, broadcast."""
     own = accounts(spark, sf_dir).select("flow", "label", F.col("a").alias("x"))
-    med = own.select(F.posexplode("x").alias("i", "v")).groupBy("i").agg(F.percentile("v", F.lit(0.5)).alias("r"))
+    med = quantiles(own.select(F.posexplode("x").alias("i", "v")), "v", {"r": 0.5}, "i")
     one = med.agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "r"))), lambda s: s["r"]).alias("reference"))
     return own.crossJoin(F.broadcast(one))
 

@@ -242,7 +242,7 @@ def json_property_summary(spark, sf_dir):
 @query("WITH" + ROWS + """, q AS (SELECT k, label, price, (rank() OVER (PARTITION BY label ORDER BY price) + (count(*) OVER (PARTITION BY label, price) - 1) / 2.0) / count(*) OVER (PARTITION BY label) AS s FROM rowset)
 SELECT label, CASE WHEN ceil(round(s * 3, 9)) <= 1 THEN 'low' WHEN ceil(round(s * 3, 9)) = 2 THEN 'mid' ELSE 'high' END AS bin, count(*)::BIGINT AS n, round(min(price), 2) AS lo, round(max(price), 2) AS hi FROM q GROUP BY ALL""")
 def quantile_bins(spark, sf_dir):
-    b = rows(spark, sf_dir).withColumn("bin", sampling.quantile_bins("price", 3, ["low", "mid", "high"], "label"))
+    b = sampling.quantile_bins(rows(spark, sf_dir), "price", 3, ["low", "mid", "high"], "label")
     return b.groupBy("label", "bin").agg(F.count("*").alias("n"), F.round(F.min("price"), 2).alias("lo"), F.round(F.max("price"), 2).alias("hi"))
 
 

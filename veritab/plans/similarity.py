@@ -55,9 +55,7 @@ gated AS (SELECT *, CASE WHEN NOT all_seeds THEN 'not_evaluable_seed_coverage' W
 
 def summary(spark, sf_dir, threshold: float = 0.95):
     """label, metric, estimate, minimum_seed_fraction and the coverage flags. The point estimate stands for both interval ends."""
-    cells = long_similarity(spark, sf_dir)
-    mean = seeds.equal_seed_mean(cells, "value", "label", "metric").drop("n_seeds")
-    return mean.join(seeds.coverage(cells, "identified", "label", "metric", threshold=threshold), ["label", "metric"])
+    return seeds.mean_and_coverage(long_similarity(spark, sf_dir), "value", "identified", "label", "metric", threshold=threshold)
 
 
 def verdicts(spark, sf_dir, threshold: float = 0.95):

@@ -47,10 +47,8 @@ def cells(spark, sf_dir, kind: str):
 def summarised(spark, sf_dir, kind: str):
     """label, metric, estimate, interval and coverage: what a gate is applied to."""
     c = cells(spark, sf_dir, kind)
-    mean = seeds.equal_seed_mean(c, "value", "label", "metric").drop("n_seeds")
-    cover = seeds.coverage(c, "identified", "label", "metric")
     interval = resampling.hash_interval(c, "value", "label", "metric", replicates=REPLICATES)
-    return mean.join(cover, ["label", "metric"]).join(interval, ["label", "metric"])
+    return seeds.mean_and_coverage(c, "value", "identified", "label", "metric").join(interval, ["label", "metric"])
 
 
 def verdicts(spark, sf_dir, kind: str):
