@@ -19,16 +19,15 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     before = None
     for _ in range(most_rounds):
         both = edges.unionByName(edges.select(F.col("u").alias("v"), F.col("v").alias("u")))
-        least = staged(_least(both), "least")
         # large star: each larger neighbour is tied to the smallest one
-        large = both.filter("v > u").join(least, "u").filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        old, large = [edges, least], staged(large, "edges")
-        released(*old)
+        large = both.filter("v > u").join(_least(both), "u").filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = staged(large, "edges")
+        released(edges)
         # small star: a node and its smaller neighbours are tied to the smallest one
-        least = staged(_least(large), "least")
+        least = _least(large)
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
         edges = staged(small.filter("u > v").distinct(), "edges")
-        released(large, least)
+        released(large)
         now = edges.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0)).alias("h")).first()
         if before == now:
             break

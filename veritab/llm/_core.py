@@ -42,15 +42,31 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+@contextlib.contextmanager
+def setting(spark: SparkSession, name: str, value: str):
+    """A setting of the session for a while."""
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
+
+
 def staged(frame: DataFrame, label: str) -> DataFrame:
     """The same rows, read from a table just written to the shared folder: the lineage ends here.
 
     A lost executor costs no recomputation of what lies behind, and a join of the result deals both sides
-    anew, so adaptive execution can split its skewed partitions.
+    anew, so adaptive execution can split its skewed partitions. Partitions have the advisory size, so that a small
+    table is a few files: on local file systems each file costs a process that Hadoop starts from the executor.
     """
     spark = frame.sparkSession
     path = f"{shared_dir(spark)}/veritab-{label}-{uuid.uuid4().hex}"
-    frame.write.parquet(path)
+    with setting(spark, "spark.sql.adaptive.coalescePartitions.parallelismFirst", "false"):
+        frame.write.parquet(path)
     out = spark.read.schema(frame.schema).parquet(path)
     out.staged_at = path
     return out
