@@ -77,7 +77,7 @@ def test_donor_pools_of_any_size(spark):
 def test_every_vector_has_a_donor(spark):
     rows = read(spark, "embeddings").orderBy("vec_id").collect()
     x, ids = np.array([r["embedding"] for r in rows], float), [r["vec_id"] for r in rows]
-    got = {r["vec_id"]: (r["donor"], r["distance"]) for r in catalog.QUERIES["nearest_donor_all"](spark, SF_DIR).collect()}
+    got = {r["vec_id"]: (r["donor"], r["distance"]) for r in catalog.QUERIES["nearest_donor"](spark, SF_DIR).collect()}
     assert sorted(got) == ids
     for i, k in enumerate(ids):
         d = ((x - x[i]) ** 2).sum(1)
@@ -90,12 +90,12 @@ def test_queries_of_whole_tables_leave_nothing_out(spark):
     run = lambda name: catalog.QUERIES[name](spark, SF_DIR).collect()
     orders, customers, suppliers = (read(spark, t).collect() for t in ("orders", "customer", "supplier"))
     nodes = {2 * o["o_custkey"] for o in orders} | {2 * o["o_orderkey"] + 1 for o in orders}
-    assert {r["node"] for r in run("connected_components_all")} == nodes
+    assert {r["node"] for r in run("connected_components")} == nodes
     keys = {c["c_nationkey"] for c in customers} | {s["s_nationkey"] for s in suppliers}
-    assert {r["k"] for r in run("full_outer_match_status_all")} == keys
-    assert sum(r["n_rows"] for r in run("inventory_completeness_all")) == len(customers)
+    assert {r["k"] for r in run("full_outer_match_status")} == keys
+    assert sum(r["n_rows"] for r in run("inventory_completeness")) == len(customers)
     known = {c["c_custkey"] for c in customers}
-    assert sum(r["n_matched"] for r in run("left_enrichment_all")) == sum(o["o_custkey"] in known for o in orders)
+    assert sum(r["n_matched"] for r in run("left_enrichment")) == sum(o["o_custkey"] in known for o in orders)
 
 
 @tables
@@ -113,7 +113,7 @@ def test_conditional_gaussian_uses_all_coordinates(spark):
 
 @tables
 def test_bootstraps_draw_as_often_as_the_reference(spark, monkeypatch):
-    assert catalog.QUERIES["bootstrap_crossed_hash_all"](spark, SF_DIR).first()["n_replicates"] == 5_000
+    assert catalog.QUERIES["bootstrap_crossed_hash"](spark, SF_DIR).first()["n_replicates"] == 5_000
     drawn = []
     monkeypatch.setattr(resampling, "crossed_bootstrap", lambda *a, resamples=5_000, **b: drawn.append(resamples))
     catalog.QUERIES["bootstrap_crossed_numpy"](spark, SF_DIR)

@@ -152,17 +152,9 @@ def correlation_groups(spark, sf_dir):
     return grouping.feature_groups(grouping.feature_distance(rows(spark, sf_dir), features), features)
 
 
-@query("""WITH RECURSIVE e AS (SELECT DISTINCT o_custkey % 400 AS a, 1000 + o_orderkey % 300 AS b FROM orders WHERE o_orderkey % 40 = 0), b AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
-r(node, c) AS (SELECT a, a FROM b UNION SELECT b.b, r.c FROM r JOIN b ON b.a = r.node)
-SELECT node::BIGINT AS node, min(c)::BIGINT AS component FROM r GROUP BY node""")
-def connected_components(spark, sf_dir):
-    o = table(spark, sf_dir, "orders").filter("o_orderkey % 40 = 0")
-    return grouping.connected_components(o.select((F.col("o_custkey") % 400).alias("a"), (1000 + F.col("o_orderkey") % 300).alias("b")))
-
-
 @query("""WITH m AS (SELECT o_custkey, least(2 * o_custkey, min(2 * o_orderkey + 1)) AS c FROM orders GROUP BY o_custkey)
 SELECT (2 * o_custkey)::BIGINT AS node, c::BIGINT AS component FROM m UNION SELECT (2 * o_orderkey + 1)::BIGINT, c::BIGINT FROM orders JOIN m USING (o_custkey)""")
-def connected_components_all(spark, sf_dir):
+def connected_components(spark, sf_dir):
     """The graph of all customers (even nodes) and their orders (odd nodes). As an order has one customer, SQL needs no recursion."""
     o = table(spark, sf_dir, "orders")
     return grouping.connected_components(o.select((F.col("o_custkey") * 2).cast("long").alias("a"), (F.col("o_orderkey") * 2 + 1).cast("long").alias("b")))
@@ -200,17 +192,11 @@ def bootstrap_crossed_numpy(spark, sf_dir):
     return resampling.crossed_bootstrap(similar(spark, sf_dir), "spearman", "label")
 
 
-@query("WITH" + SIMILARITY + f""", c AS (SELECT seed, flow, avg(normalized_mass_l1) AS v FROM simil GROUP BY ALL), e AS (SELECT *, {unit_sql('boot', 'replicate', 'flow')} / 4294967296.0::DOUBLE AS u FROM c, (SELECT unnest(range(0, 50)) AS replicate) r),
+@query("WITH" + SIMILARITY + f""", c AS (SELECT seed, flow, avg(normalized_mass_l1) AS v FROM simil GROUP BY ALL), e AS (SELECT *, {unit_sql('boot', 'replicate', 'flow')} / 4294967296.0::DOUBLE AS u FROM c, (SELECT unnest(range(0, 5000)) AS replicate) r),
 w AS (SELECT *, CASE WHEN u < 0.36787944117144233 THEN 0 WHEN u < 0.7357588823428847 THEN 1 WHEN u < 0.9196986029286058 THEN 2 ELSE 3 END AS w FROM e), p AS (SELECT replicate, seed, sum(w * v) / nullif(sum(w), 0) AS m FROM w GROUP BY ALL), d AS (SELECT replicate, avg(m) AS estimate FROM p GROUP BY replicate)
 SELECT round(quantile_cont(estimate, 0.025), 6) AS ci_low, round(quantile_cont(estimate, 0.975), 6) AS ci_high, count(estimate)::BIGINT AS n_replicates FROM d""")
 def bootstrap_crossed_hash(spark, sf_dir):
-    i = resampling.hash_interval(similar(spark, sf_dir), "normalized_mass_l1", replicates=50)
-    return i.select(r6("ci_low").alias("ci_low"), r6("ci_high").alias("ci_high"), "n_replicates")
-
-
-@query()
-def bootstrap_crossed_hash_all(spark, sf_dir):
-    """With the reference's 5,000 replicates, for which the SQL is too slow."""
+    """With the reference's 5,000 replicates."""
     i = resampling.hash_interval(similar(spark, sf_dir), "normalized_mass_l1", replicates=5_000)
     return i.select(r6("ci_low").alias("ci_low"), r6("ci_high").alias("ci_high"), "n_replicates")
 

@@ -146,32 +146,16 @@ def pivot_method_means(spark, sf_dir):
     return long_pred(spark, sf_dir).groupBy("seed").pivot("method", ["a", "b", "c"]).agg(r6(F.avg("value")))
 
 
-@query("""WITH a AS (SELECT c_nationkey AS k FROM customer WHERE c_custkey < 30), b AS (SELECT s_nationkey AS k FROM supplier WHERE s_suppkey < 12)
-SELECT coalesce(x.k, y.k) AS k, CASE WHEN x.k IS NULL THEN 'right_only' WHEN y.k IS NULL THEN 'left_only' ELSE 'both' END AS status FROM (SELECT DISTINCT k FROM a) x FULL JOIN (SELECT DISTINCT k FROM b) y ON x.k = y.k""")
-def full_outer_match_status(spark, sf_dir):
-    a = table(spark, sf_dir, "customer").filter("c_custkey < 30").select(F.col("c_nationkey").alias("k"))
-    b = table(spark, sf_dir, "supplier").filter("s_suppkey < 12").select(F.col("s_nationkey").alias("k"))
-    return joins.match_status(a, b, ["k"])
-
-
 @query("""SELECT coalesce(x.k, y.k) AS k, CASE WHEN x.k IS NULL THEN 'right_only' WHEN y.k IS NULL THEN 'left_only' ELSE 'both' END AS status
 FROM (SELECT DISTINCT c_nationkey AS k FROM customer) x FULL JOIN (SELECT DISTINCT s_nationkey AS k FROM supplier) y ON x.k = y.k""")
-def full_outer_match_status_all(spark, sf_dir):
+def full_outer_match_status(spark, sf_dir):
     """Of all customers and suppliers."""
     return joins.match_status(table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("k")), table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("k")), ["k"])
 
 
-@query("""SELECT o_custkey % 7 AS bucket, count(*)::BIGINT AS n, count(*) FILTER (WHERE c_custkey IS NOT NULL)::BIGINT AS n_matched, round(sum(c_acctbal), 2) AS balance
-FROM orders LEFT JOIN (SELECT * FROM customer WHERE c_custkey % 3 <> 0) c ON o_custkey = c_custkey GROUP BY ALL""")
-def left_enrichment(spark, sf_dir):
-    c = table(spark, sf_dir, "customer").filter("c_custkey % 3 <> 0").select(F.col("c_custkey").alias("o_custkey"), "c_acctbal")
-    e = joins.enrich(table(spark, sf_dir, "orders"), c, ["o_custkey"])
-    return e.groupBy((F.col("o_custkey") % 7).alias("bucket")).agg(F.count("*").alias("n"), F.count_if("matched").alias("n_matched"), F.round(F.sum("c_acctbal"), 2).alias("balance"))
-
-
 @query("""SELECT o_custkey % 7 AS bucket, count(*)::BIGINT AS n, count(*) FILTER (WHERE c_custkey IS NOT NULL)::BIGINT AS n_matched, round(sum(c_acctbal), 2) AS balance
 FROM orders LEFT JOIN customer ON o_custkey = c_custkey GROUP BY ALL""")
-def left_enrichment_all(spark, sf_dir):
+def left_enrichment(spark, sf_dir):
     """With all customers."""
     e = joins.enrich(table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_acctbal"), ["o_custkey"])
     return e.groupBy((F.col("o_custkey") % 7).alias("bucket")).agg(F.count("*").alias("n"), F.count_if("matched").alias("n_matched"), F.round(F.sum("c_acctbal"), 2).alias("balance"))
@@ -195,19 +179,9 @@ def shared_members_between_splits(spark, sf_dir):
     return joins.set_sizes(o, "status", "member").withColumn("n_shared", F.col("n_shared").cast("long"))
 
 
-@query("""WITH f AS (SELECT vec_id, embedding FROM embeddings WHERE vec_id % 10 = 0), d AS (SELECT vec_id AS donor, embedding AS e FROM embeddings WHERE vec_id % 10 <> 0),
-s AS (SELECT vec_id, donor, list_sum(list_transform(range(1, 65), lambda i: (embedding[i]::DOUBLE - e[i]::DOUBLE) * (embedding[i]::DOUBLE - e[i]::DOUBLE))) AS dist FROM f, d)
+@query("""WITH s AS (SELECT f.vec_id, d.vec_id AS donor, list_sum(list_transform(range(1, 65), lambda i: (f.embedding[i]::DOUBLE - d.embedding[i]::DOUBLE) * (f.embedding[i]::DOUBLE - d.embedding[i]::DOUBLE))) AS dist FROM embeddings f JOIN embeddings d ON f.vec_id <> d.vec_id)
 SELECT vec_id, donor, round(dist, 5) AS distance FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY dist, donor) AS n FROM s) t WHERE n = 1""")
 def nearest_donor(spark, sf_dir):
-    e = table(spark, sf_dir, "embeddings")
-    vector = F.transform("embedding", lambda x: x.cast("double"))
-    flows = e.filter("vec_id % 10 = 0").select("vec_id", vector.alias("x"))
-    donors = e.filter("vec_id % 10 <> 0").select(F.col("vec_id").alias("donor"), vector.alias("d"))
-    return joins.nearest_donor(flows, donors, "vec_id", "donor", "x", "d").select("vec_id", "donor", F.round("distance", 5).alias("distance"))
-
-
-@query()
-def nearest_donor_all(spark, sf_dir):
     """Each vector with the nearest of all others."""
     e = table(spark, sf_dir, "embeddings")
     vector = F.transform("embedding", lambda x: x.cast("double"))

@@ -25,7 +25,7 @@ def query(sql: str | None = None):
 
 #: The comparisons: how far a second account lies from the first, a shift of its draws, and the bounds it is held to.
 KINDS = {"repeatability": (1.1, 0, gates.REPEATABILITY), "cross_model": (1.6, 331, gates.EQUIVALENCE), "cross_probe": (1.35, 77, gates.EQUIVALENCE)}
-REPLICATES = 100
+REPLICATES = 1_000
 
 
 def second_account(kind: str):
