@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from veritab.functions import accounts as A
 from veritab.functions import filters, labels
-from veritab.operators import aggregates, identity, joins, metrics, policies, resampling, seeds
+from veritab.functions.hashing import unit_sql
+from veritab.operators import aggregates, identity, joins, metrics, policies, preparation, resampling, seeds
 from veritab.plans._adapter import ACCOUNTS, PREDICTIONS, ROWS, SIMILARITY, accounts, predictions, r6, rows, similar, table
 from veritab.sources import tables
 
@@ -278,3 +279,33 @@ def merged_group_split(spark, sf_dir):
     o = policy_rows(spark, sf_dir)
     split = policies.policy_split(o, POLICIES["grouped"], "fp", "o_orderstatus", STATUSES)
     return policies.feasibility(split, F.lit(o.count()), "o_orderstatus", "o_custkey", STATUSES)
+
+
+def raw_rows(spark, sf_dir):
+    """Lineitem rows as files by year would hold them: one feature as text, here and there no number."""
+    r = rows(spark, sf_dir)
+    return r.withColumn("quantity", F.when(F.col("quantity") == 13, "n/a").when(F.col("quantity") == 17, "Infinity").otherwise(F.col("quantity").cast("string"))).withColumn("k", F.concat_ws("|", "k", F.col("price").cast("string")))
+
+
+RAW_SQL = "WITH" + ROWS + f""", raw AS (SELECT *, quantity IN (13, 17) AS bad, k || '|' || price::VARCHAR AS kk FROM rowset),
+pr AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY {unit_sql('reservoir', 'kk')}, kk) AS place FROM raw WHERE NOT bad), kp AS (SELECT * FROM pr WHERE place <= 800)"""
+
+
+@query(RAW_SQL + """, a AS (SELECT source, label, count(*)::BIGINT AS n_read, count(*) FILTER (WHERE bad)::BIGINT AS n_dropped FROM raw GROUP BY ALL), b AS (SELECT source, label, count(*)::BIGINT AS n_kept FROM kp GROUP BY ALL)
+SELECT source, label, n_read, n_dropped, coalesce(n_kept, 0)::BIGINT AS n_kept FROM a LEFT JOIN b USING (source, label)""")
+def finite_capped_inventory(spark, sf_dir):
+    """Rows read, dropped and kept by file and class."""
+    r = raw_rows(spark, sf_dir)
+    kept = preparation.finite_capped(r, ["quantity", "price"], "label", "source", "k", 800)
+    return preparation.inventory(r, kept, ["quantity", "price"], "label", "source")
+
+
+@query(RAW_SQL + """, fp AS (SELECT quantity, price, min(label) AS l FROM kp GROUP BY quantity, price HAVING count(DISTINCT label) = 1)
+SELECT count(*)::BIGINT AS n_rows, 0::BIGINT AS n_shared, 0::BIGINT AS n_missing_classes, true AS train_mean_is_0, true AS near_target FROM fp""")
+def prepared_task(spark, sf_dir):
+    """A task prepared from raw rows to scaled splits, and what its invariants say."""
+    kept = preparation.finite_capped(raw_rows(spark, sf_dir), ["quantity", "price"], "label", "source", "k", 800)
+    p = preparation.prepared(kept, ["quantity", "price"], "label", "k", ["A", "N", "R"])
+    train = F.col("split") == "train"
+    one = p.agg(F.count("*").alias("n_rows"), (F.abs(F.avg(F.when(train, F.col("price")))) < 1e-6).alias("train_mean_is_0"), (F.abs(F.avg(train.cast("int")) - 0.7) < 0.02).alias("near_target"))
+    return one.crossJoin(preparation.invariants(p, "label", ["A", "N", "R"]))

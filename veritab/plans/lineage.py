@@ -59,3 +59,23 @@ def cached_stage(spark: SparkSession, path: str, stage: str, payload, compute: C
 def missing_records(required: DataFrame, known: DataFrame) -> DataFrame:
     """Required files of which no known record has the size and hash, wherever they lie."""
     return required.join(known.select("size", "sha256").distinct(), ["size", "sha256"], "left_anti")
+
+
+def load_verified(spark: SparkSession, path: str, sign: str, keys: list[str], expected: DataFrame | None = None) -> DataFrame:
+    """A stored table, only if the signature made it, its files are untouched, its keys are unique and, where given, are
+    exactly the expected ones; anything else is an error (S8-S10, S15, Q51)."""
+    if not is_hit(spark, path, sign):
+        raise ValueError(f"{path} is not what this signature made")
+    frame = spark.read.parquet(path)
+    if not frame.groupBy(*keys).count().filter("count > 1").isEmpty():
+        raise ValueError(f"keys of {path} repeat")
+    if expected is not None:
+        sides = frame.select(*keys, F.lit(1).alias("a")).join(expected.select(*keys, F.lit(1).alias("b")), keys, "full_outer")
+        if not sides.filter("a is null or b is null").isEmpty():
+            raise ValueError(f"keys of {path} are not those expected")
+    return frame
+
+
+def inventory_findings(spark: SparkSession, stages: dict[str, tuple[str, str]]) -> list[str]:
+    """Names of the stages (path, signature) whose stored table is missing or not the one of its signature; to be called before any is read."""
+    return sorted(name for name, (path, sign) in stages.items() if not is_hit(spark, path, sign))
