@@ -24,6 +24,14 @@ def test_splits_are_written_once_and_read_back(spark, tmp_path):
         tables.write_splits(f, f"{tmp_path}/t")
 
 
+def test_csv_is_replaced_or_removed(spark, tmp_path):
+    f = spark.createDataFrame([(1, "a"), (2, None)], "k long, v string")
+    path = tables.write_csv(f, f"{tmp_path}/out.csv")
+    tables.write_csv(f.filter("k = 1"), path)
+    assert [tuple(r) for r in tables.read_table(spark, path).collect()] == [(1, "a")]
+    assert tables.write_csv(f.select(), path) is None and tables.read_or_empty(spark, path, "k long", "csv").isEmpty()
+
+
 def test_directories_unite_columns_and_paths_tell_their_context(spark, tmp_path):
     base = f"{tmp_path}/dataset=one/model=m/xai=ig"
     spark.createDataFrame([(1, 2.0)], "a long, b double").coalesce(1).write.parquet(f"{base}/x.parquet")

@@ -309,3 +309,38 @@ def prepared_task(spark, sf_dir):
     train = F.col("split") == "train"
     one = p.agg(F.count("*").alias("n_rows"), (F.abs(F.avg(F.when(train, F.col("price")))) < 1e-6).alias("train_mean_is_0"), (F.abs(F.avg(train.cast("int")) - 0.7) < 0.02).alias("near_target"))
     return one.crossJoin(preparation.invariants(p, "label", ["A", "N", "R"]))
+
+
+#: Declared probe configurations: method, run, role.
+PROBES = [("gradient", "g64", "primary"), ("gradient", "g128", "sensitivity"), ("occlusion", "median", "primary"), ("occlusion", "mean", "reference"), ("surrogate", "run0", "primary"), ("surrogate", "run1", "replicate"), ("surrogate", "run2", "replicate")]
+
+
+@query("WITH p AS (SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{b}', '{c}')" for a, b, c in PROBES) + ") t(method, run, role)) SELECT a.method, a.run AS left_run, b.run AS right_run, CASE WHEN a.role = 'primary' THEN b.role || '_versus_primary' ELSE 'between_replicates' END AS comparison FROM p a JOIN p b ON a.method = b.method WHERE (a.role = 'primary' AND b.role <> 'primary') OR (a.role = 'replicate' AND b.role = 'replicate' AND a.run < b.run)")
+def probe_comparisons(spark, sf_dir):
+    """Pairs of declared probe runs by role (Q8, Q9)."""
+    specs = spark.createDataFrame(PROBES, "method string, run string, role string")
+    left, right = specs.toDF("method", "left_run", "left_role"), specs.toDF("method", "right_run", "right_role")
+    with_primary = (F.col("left_role") == "primary") & (F.col("right_role") != "primary")
+    replicates = (F.col("left_role") == "replicate") & (F.col("right_role") == "replicate") & (F.col("left_run") < F.col("right_run"))
+    pairs = left.join(F.broadcast(right), "method").filter(with_primary | replicates)  # a literal table of a few rows
+    return pairs.select("method", "left_run", "right_run", F.when(F.col("left_role") == "primary", F.concat("right_role", F.lit("_versus_primary"))).otherwise("between_replicates").alias("comparison"))
+
+
+@query("WITH" + PREDICTIONS + """, g AS (SELECT user_id, min(epoch_us(ts)) AS t, count(*) AS n FROM events GROUP BY user_id), c AS (SELECT user_id, (sum(n) OVER (ORDER BY t, user_id ROWS UNBOUNDED PRECEDING))::DOUBLE / sum(n) OVER () AS s FROM g),
+a AS (SELECT p.*, CASE WHEN s <= 0.7 THEN 'train' WHEN s <= 0.85 THEN 'validation' ELSE 'test' END AS policy_split, CASE WHEN flow % 20 < 14 THEN 'train' WHEN flow % 20 < 17 THEN 'validation' ELSE 'test' END AS base_split FROM pred p JOIN c ON p.user_id = c.user_id),
+m AS (SELECT 'temporal' AS policy, avg((d1 = truth)::INT) FILTER (WHERE policy_split = 'test') AS accuracy, avg((p1 - truth) * (p1 - truth)) FILTER (WHERE policy_split = 'test') AS brier, count(*) FILTER (WHERE policy_split = 'test')::BIGINT AS n FROM a UNION ALL SELECT 'baseline', avg((d1 = truth)::INT) FILTER (WHERE base_split = 'test'), avg((p1 - truth) * (p1 - truth)) FILTER (WHERE base_split = 'test'), count(*) FILTER (WHERE base_split = 'test')::BIGINT FROM a)
+SELECT policy, n, round(accuracy, 6) AS accuracy, round(brier, 6) AS brier, round(accuracy - (SELECT accuracy FROM m WHERE policy = 'baseline'), 6) AS accuracy_change FROM m""")
+def policy_versus_baseline(spark, sf_dir):
+    """Test metrics under a temporal split of whole users and under the baseline split (Q18, Q21)."""
+    from veritab.operators.sampling import temporal_split
+
+    p = predictions(spark, sf_dir)
+    groups = p.groupBy("user_id").agg(F.min("ts").alias("t"), F.count("*").alias("n"))
+    split = temporal_split(groups, "t", "n", (0.7, 0.85)).select("user_id", F.col("split").alias("policy_split"))
+    m = F.col("flow") % 20
+    a = p.join(split, "user_id").withColumn("base_split", F.when(m < 14, "train").when(m < 17, "validation").otherwise("test"))
+    sides = F.inline(F.array(F.struct(F.lit("temporal").alias("policy"), F.col("policy_split").alias("split")), F.struct(F.lit("baseline").alias("policy"), F.col("base_split").alias("split"))))
+    tested = a.select("d1", "truth", "p1", sides).filter("split = 'test'")
+    out = tested.groupBy("policy").agg(F.count("*").alias("n"), F.avg((F.col("d1") == F.col("truth")).cast("int")).alias("accuracy"), F.avg((F.col("p1") - F.col("truth")) * (F.col("p1") - F.col("truth"))).alias("brier"))
+    base = F.max(F.when(F.col("policy") == "baseline", F.col("accuracy"))).over(Window.partitionBy())  # two rows
+    return out.select("policy", "n", r6("accuracy").alias("accuracy"), r6("brier").alias("brier"), r6(F.col("accuracy") - base).alias("accuracy_change"))

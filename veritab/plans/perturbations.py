@@ -181,3 +181,56 @@ def positive_effect_counts(spark, sf_dir):
     cells = a.groupBy("operator", "label", "seed").agg(F.avg("area").alias("estimate"), F.avg("lower95").alias("ci_low"))
     out = aggregates.effect_counts(cells, "estimate", "ci_low", "operator", "label")
     return out.select("operator", "label", "n_conditions", "n_positive", *[r6(n).alias(n) for n in ("mean_effect", "min_ci_low", "mean_ci_low", "positive_fraction")])
+
+
+STEPS = (2, 4, 8, 16, 32)
+
+
+@query("WITH" + CONTEXT + f""", st AS (SELECT unnest([{', '.join(map(str, STEPS))}]) AS steps), sl AS (SELECT flow, steps, m, mr, sum(CASE WHEN t IN (0, steps) THEN 0.5 ELSE 1 END * p * (1 - p)) / steps AS slope FROM (SELECT flow, steps, t, m, mr, 1 / (1 + exp(-(mr + (m - mr) * t / steps::DOUBLE))) AS p FROM mg, st, (SELECT unnest(range(0, 33)) AS t) tt WHERE t <= steps) q GROUP BY flow, steps, m, mr),
+rs AS (SELECT flow, steps, abs((m - mr) * slope - (1 / (1 + exp(-m)) - 1 / (1 + exp(-mr)))) AS residual FROM sl), fs AS (SELECT flow, coalesce(min(steps) FILTER (WHERE residual <= 2e-8), 32) AS steps FROM rs GROUP BY flow)
+SELECT steps::INT AS steps, count(*)::BIGINT AS n, count(*) FILTER (WHERE residual > 2e-8)::BIGINT AS n_open FROM fs JOIN rs USING (flow, steps) GROUP BY steps""")
+def integration_steps(spark, sf_dir):
+    """The least number of steps, doubled from 2, at which each account's sum is the score's change; those open at the last (Q33, Q34)."""
+    from veritab.plans.explanations import with_reference
+
+    f = with_reference(spark, sf_dir).select("flow", "x", "reference")
+    p = MODEL.probability
+    change = p(F.col("x")) - p(F.col("reference"))
+    cells = [F.struct(F.lit(s).alias("steps"), F.abs(A.total(explain.integrated_gradients(MODEL, F.col("x"), F.col("reference"), s)) - change).alias("residual")) for s in STEPS]
+    levels = f.select("flow", F.array(*cells).alias("r"))
+    first = F.coalesce(F.array_min(F.transform(F.filter("r", lambda c: c["residual"] <= 2e-8), lambda c: c["steps"])), F.lit(STEPS[-1]))
+    chosen = levels.select(first.alias("steps"), F.element_at("r", -1)["residual"].alias("last"))
+    return chosen.groupBy("steps").agg(F.count("*").alias("n"), F.count_if((F.col("steps") == STEPS[-1]) & (F.col("last") > 2e-8)).alias("n_open"))
+
+
+@query("WITH" + ARMS + """, tk AS (SELECT flow, sum(i)::BIGINT AS top_sum, string_agg(i::VARCHAR, ',' ORDER BY i) AS top_k FROM rk WHERE pos <= 5 GROUP BY flow), uk AS (SELECT flow, string_agg(i::VARCHAR, ',' ORDER BY i) AS random_k FROM un WHERE rep = 0 AND pos <= 5 GROUP BY flow)
+SELECT flow, top_k, random_k FROM tk JOIN uk USING (flow)""")
+def feature_selections(spark, sf_dir):
+    """Sorted indices of the top five coordinates and of five at random (Q45)."""
+    f = flows_in_context(spark, sf_dir)
+    shown = lambda c: F.array_join(F.transform(F.array_sort(c), lambda i: i.cast("string")), ",")
+    return f.select("flow", shown(F.slice("ranking", 1, 5)).alias("top_k"), shown(replacement.uniform_selection(F.col("flow"), F.lit(0), WIDTH, F.lit(5))).alias("random_k"))
+
+
+@query("WITH" + CONTEXT + """, s AS (SELECT operator, (42 + flow % 5)::INT AS seed, avg(deletion) AS v FROM ef GROUP BY ALL), n AS (SELECT operator, seed, v, round(v, 3) AS stored FROM s)
+SELECT operator, seed, round(v, 6) AS recomputed, stored FROM n WHERE abs(v - stored) > 0.0003""")
+def functional_verification(spark, sf_dir):
+    """Recomputed means that differ from stored ones, here rounded to three digits, by more than a tolerance."""
+    from veritab.operators.panels import differences
+
+    now = seeds.seed_means(effects(spark, sf_dir, ("seed",)), "deletion", "operator").select("operator", "seed", F.col("estimate").alias("v"))
+    stored = now.withColumn("v", F.round("v", 3))
+    return differences(now, stored, ["operator", "seed"], "v", 0.0003).select("operator", "seed", r6("new_value").alias("recomputed"), F.col("old_value").alias("stored"))
+
+
+@query()
+def kernel_width_ablation(spark, sf_dir):
+    """Fit of the local surrogate by kernel width and ridge (Q14): mean and least r2 over all accounts."""
+    own = accounts(spark, sf_dir).select("flow", F.col("a").alias("x"))
+    out = None
+    for width in (0.5, 0.75, 1.0):
+        for ridge in (0.1, 1.0):
+            one = explain.lime(own, "flow", "x", MODEL, samples=200, width=width, ridge=ridge).agg(F.avg("r2").alias("mean_r2"), F.min("r2").alias("least_r2"), F.count("*").alias("n"))
+            one = one.select(F.lit(width).alias("width"), F.lit(ridge).alias("ridge"), "mean_r2", "least_r2", "n")
+            out = one if out is None else out.unionByName(one)
+    return out

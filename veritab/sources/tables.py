@@ -97,6 +97,17 @@ def write_splits(frame: DataFrame, path: str, split: str = "split") -> None:
     frame.write.partitionBy(split).mode("errorifexists").parquet(path)
 
 
+def write_csv(frame: DataFrame, path: str) -> str | None:
+    """One folder of CSV with a header, replaced as a whole when the job commits; a frame without columns removes it (K2, K5)."""
+    spark = frame.sparkSession
+    if not frame.columns:
+        place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+        return None
+    frame.write.mode("overwrite").option("header", True).csv(path)
+    return path
+
+
 def csv_to_parquet(spark: SparkSession, path: str, out: str, force: bool = False) -> str:
     """Header names stripped; an existing result is kept unless forced (S1). Returns the table's path."""
     target = f"{out.rstrip('/')}/{stem(path)}.parquet"
