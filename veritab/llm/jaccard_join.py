@@ -89,7 +89,7 @@ def counter_of(grams: np.ndarray) -> np.ndarray:
 
 
 def _profiles(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
-    """Rows (id, n, e) of documents and, at the end, one row with the task's counters."""
+    """Rows (id, n, e, bits) of documents and, at the end, one row with the task's counters."""
     import zlib
 
     counters = np.zeros(COUNTERS, np.uint32)
@@ -97,18 +97,19 @@ def _profiles(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.Recor
     for batch in batches:
         kind = batch.column(0).type
         raw, offsets = buffer_of(batch.column(1))
-        n, e = [], []
+        n, e, bits = [], [], []
         for _, _, part, own in slices(raw, offsets):
             grams, begin = shingle_sets(part, own, size)
+            bits.append(parity_bits(grams, begin))
             n.append(np.diff(begin))
             e.append(signed(set_hashes(grams, begin)))
             cells, more = np.unique(counter_of(grams), return_counts=True)
             counters[cells] += more.astype(np.uint32)
         if n:
             rows = sum(map(len, n))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(n), pa.int64()), pa.array(np.concatenate(e), pa.int64()), pa.nulls(rows, pa.binary())], names=["id", "n", "e", "counters"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(n), pa.int64()), pa.array(np.concatenate(e), pa.int64()), pa.ListArray.from_arrays(pa.array(range(0, WORDS * rows + 1, WORDS), pa.int32()), pa.array(signed(np.concatenate(bits).reshape(-1)))), pa.nulls(rows, pa.binary())], names=["id", "n", "e", "bits", "counters"])
     if kind is not None:
-        yield pa.RecordBatch.from_arrays([pa.nulls(1, kind), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([zlib.compress(counters.tobytes(), 1)], pa.binary())], names=["id", "n", "e", "counters"])
+        yield pa.RecordBatch.from_arrays([pa.nulls(1, kind), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.list_(pa.int64())), pa.array([zlib.compress(counters.tobytes(), 1)], pa.binary())], names=["id", "n", "e", "bits", "counters"])
 
 
 def _summed(frame: DataFrame) -> np.ndarray:
@@ -164,14 +165,13 @@ def choose_prefix(ordered: np.ndarray, cost: np.ndarray, n: int, percent: int, m
 
 
 def _prefixes(batches: Iterator[pa.RecordBatch], size: int, percent: int, most_matches: int, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Rows (e, n, m, h, bits): each document's prefix in the common order, the matches it demands, and parity bits."""
+    """Rows (e, n, m, h): each document's prefix in the common order and the matches it demands."""
     usual = 2 * float(counts.mean()) + 8  # what a counter holds of rare n-grams only
     for batch in batches:
         raw, offsets = buffer_of(batch.column(0))
-        e, n, m, lists, bits = [], [], [], [], []
+        e, n, m, lists = [], [], [], []
         for _, _, part, own in slices(raw, offsets):
             grams, begin = shingle_sets(part, own, size)
-            bits.append(parity_bits(grams, begin)[np.diff(begin) > 0])
             seen = counts[counter_of(grams)].astype(np.float64)
             level = np.where(seen > usual, seen, 0.0)
             own_hashes = signed(set_hashes(grams, begin))
@@ -188,7 +188,7 @@ def _prefixes(batches: Iterator[pa.RecordBatch], size: int, percent: int, most_m
         if e:
             flat = pa.array(np.concatenate(lists), pa.int64())
             places = pa.array(np.concatenate([[0], np.cumsum([len(x) for x in lists])]), pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.array(e, pa.int64()), pa.array(n, pa.int64()), pa.array(m, pa.int32()), pa.ListArray.from_arrays(places, flat), pa.ListArray.from_arrays(pa.array(range(0, WORDS * len(e) + 1, WORDS), pa.int32()), pa.array(signed(np.concatenate(bits).reshape(-1))))], names=["e", "n", "m", "h", "bits"])
+            yield pa.RecordBatch.from_arrays([pa.array(e, pa.int64()), pa.array(n, pa.int64()), pa.array(m, pa.int32()), pa.ListArray.from_arrays(places, flat)], names=["e", "n", "m", "h"])
 
 
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -220,9 +220,9 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     trimmed()
 
 
-def _entries(prefixes: DataFrame) -> DataFrame:
-    """Rows (t, e, n, m): prefix entries that a second document may have."""
-    keys = staged(prefixes.select("e", "n", "m", "h").mapInArrow(_keys, "h long, kind int, e long, n long, m int"), "keys")
+def _entries(texts: DataFrame, size: int, percent: int, most_matches: int, counts) -> DataFrame:
+    """Staged rows (t, e, n, m): prefix entries that a second document may have."""
+    keys = staged(texts.mapInArrow(lambda b: _keys(_prefixes(b, size, percent, most_matches, counts.value)), "h long, kind int, e long, n long, m int"), "keys")
     out = staged(twice_seen(keys).withColumnRenamed("h", "t").distinct(), "entries")
     released(keys)
     return out
@@ -288,16 +288,14 @@ def jaccard_components(frame: DataFrame, id_column: str = "doc_id", text_column:
     small_batches(spark)
     kind = frame.schema[id_column].dataType.simpleString()
     rows = frame.select(F.col(id_column).alias("id"), F.col(text_column).cast("string").alias("text"))
-    made = staged(rows.mapInArrow(lambda b: _profiles(b, shingle), f"id {kind}, n long, e long, counters binary"), "profiles")
+    made = staged(rows.mapInArrow(lambda b: _profiles(b, shingle), f"id {kind}, n long, e long, bits array<long>, counters binary"), "profiles")
     counts = spark.sparkContext.broadcast(_summed(made))
-    profiles = staged(made.filter("counters is null").select("id", "n", "e"), "profiles")
-    released(made)
+    profiles = made.filter("counters is null")
     nodes = profiles.filter("n > 0").groupBy("e").agg(F.min(F.struct(F.col("id"))).alias("least"), F.first("n").alias("n"))
     nodes = staged(nodes.select("e", "n", F.col("least.id").alias("id")), "nodes")
 
-    prefixes = staged(rows.select("text").mapInArrow(lambda b: _prefixes(b, shingle, percent, most_matches, counts.value), "e long, n long, m int, h array<long>, bits array<long>"), "prefixes")
+    told = _entries(rows.select("text"), shingle, percent, most_matches, counts)
     counts.destroy()
-    told = _entries(prefixes)
     several = told.groupBy("t").agg(F.count("*").alias("c")).filter("c > 1")
     shared = staged(told.join(several, "t"), "entries")
     released(told)
@@ -323,7 +321,7 @@ def jaccard_components(frame: DataFrame, id_column: str = "doc_id", text_column:
             each, share = left.join(lists, "t"), 0.5  # pairs with a pivot come early, not instead of others
         else:
             rest = left.join(lists.select("t"), "t")
-            bits = prefixes.join(rest.select(F.col("a").alias("e")).distinct(), "e", "left_semi").groupBy("e").agg(*[F.first(F.get("bits", F.lit(k))).alias(f"ab{k}") for k in range(WORDS)])
+            bits = profiles.filter("n > 0").join(rest.select(F.col("a").alias("e")).distinct(), "e", "left_semi").groupBy("e").agg(*[F.first(F.get("bits", F.lit(k))).alias(f"ab{k}") for k in range(WORDS)])
             rest = staged(rest.join(bits, rest["a"] == bits["e"]).drop("e"), "rest")
             other = rest.select("t", *[F.col(c).alias("b" + c[1:]) for c in rest.columns if c != "t"])
             apart = sum([F.bit_count(F.col(f"ab{k}").bitwiseXOR(F.col(f"bb{k}"))) for k in range(1, WORDS)], F.bit_count(F.col("ab0").bitwiseXOR(F.col("bb0"))))
@@ -345,7 +343,7 @@ def jaccard_components(frame: DataFrame, id_column: str = "doc_id", text_column:
         released(roots)
         roots = components(links)
         swept(spark)
-    released(prefixes, entries)
+    released(entries)
 
     if roots is not None:
         groups = nodes.join(roots, nodes["e"] == roots["node"], "left").select("e", "id", F.coalesce("root", "e").alias("root"))
