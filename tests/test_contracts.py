@@ -296,5 +296,12 @@ def test_conditional_gaussian_matches_numpy(spark):
     for r in explain.conditional_gaussian(f, "k", "x", "s", mean, cov).collect():
         gain = sigma[np.ix_([0, 2], [1, 3])] @ np.linalg.inv(sigma[np.ix_([1, 3], [1, 3])])
         assert np.allclose(r["values"], mean[[0, 2]] + gain @ (x[r["k"]][[1, 3]] - mean[[1, 3]]))
+    drawn = {r["k"]: r["values"] for r in explain.conditional_gaussian(f, "k", "x", "s", mean, cov, draw=True).collect()}
+    assert drawn == {r["k"]: r["values"] for r in explain.conditional_gaussian(f.coalesce(1), "k", "x", "s", mean, cov, draw=True).collect()}
+    gain = sigma[np.ix_([0, 2], [1, 3])] @ np.linalg.inv(sigma[np.ix_([1, 3], [1, 3])])
+    rest = np.array([drawn[i] - (mean[[0, 2]] + gain @ (x[i][[1, 3]] - mean[[1, 3]])) for i in range(200)])
+    assert np.allclose(np.cov(rest, rowvar=False), sigma[np.ix_([0, 2], [0, 2])] - gain @ sigma[np.ix_([1, 3], [0, 2])], rtol=0.5, atol=0.2)
+    one = spark.createDataFrame([([1.0, 2.0, 3.0, 4.0], [2, 0], [9.0, 8.0])], "x array<double>, s array<int>, v array<double>")
+    assert one.select(explain.with_values(F.col("x"), F.col("s"), F.col("v")).alias("z")).first()["z"] == [9.0, 2.0, 8.0, 4.0]
     w = A.total(F.array(F.lit(1.0), F.lit(2.0)))
     assert spark.range(1).select(w.alias("t")).first()["t"] == 3.0

@@ -177,27 +177,37 @@ def moments(frame: DataFrame, x: str) -> tuple[np.ndarray, np.ndarray]:
     return mean, scatter / max(n - 1, 1)
 
 
-def conditional_gaussian(frame: DataFrame, key: str, x: str, selected: str, mean: np.ndarray, covariance: np.ndarray, ridge: float = 1e-6) -> DataFrame:
-    """E[x_S | x_rest] for each row's selected coordinates, in ascending coordinate order.
+def conditional_gaussian(frame: DataFrame, key: str, x: str, selected: str, mean: np.ndarray, covariance: np.ndarray, ridge: float = 1e-6, draw: bool = False, seed: int = 42) -> DataFrame:
+    """E[x_S | x_rest] for each row's selected coordinates, in ascending coordinate order, or a draw around it.
 
-    mean and covariance have the width of a row. A solve is shared by the rows of a batch with equal selections.
+    mean and covariance have the width of a row. A solve is shared by the rows of a batch with equal selections. Draws
+    are seeded by row, so they don't depend on partitions.
     """
     sigma = covariance + ridge * np.eye(len(mean))
 
     def run(batches):
         for batch in batches:
             out = [None] * len(batch)
-            keys = batch[selected].map(lambda s: tuple(sorted(int(i) for i in s)))
-            for s, group in batch.groupby(keys, sort=False):
+            rows, names = np.stack(batch[x].to_numpy()).astype(float) if len(batch) else np.zeros((0, len(mean))), batch[key].to_numpy()
+            places: dict[tuple, list[int]] = {}
+            for i, s in enumerate(batch[selected]):
+                places.setdefault(tuple(sorted(int(c) for c in s)), []).append(i)
+            for s, at in places.items():
                 cols, rest = np.array(s, int), np.setdiff1d(np.arange(len(mean)), s)
-                rows = np.stack(group[x].to_numpy()).astype(float)
-                if len(rest):
-                    gain = np.linalg.solve(sigma[np.ix_(rest, rest)], sigma[np.ix_(rest, cols)])
-                    made = mean[cols] + (rows[:, rest] - mean[rest]) @ gain
-                else:
-                    made = np.repeat(mean[cols][None], len(rows), 0)
-                for i, v in zip(group.index, made, strict=True):
-                    out[batch.index.get_loc(i)] = v.tolist()
-            yield pd.DataFrame({key: batch[key], "values": out})
+                gain = np.linalg.solve(sigma[np.ix_(rest, rest)], sigma[np.ix_(rest, cols)]) if len(rest) else np.zeros((0, len(cols)))
+                made = mean[cols] + (rows[np.ix_(at, rest)] - mean[rest]) @ gain
+                if draw:
+                    spread = sigma[np.ix_(cols, cols)] - sigma[np.ix_(cols, rest)] @ gain
+                    value, vector = np.linalg.eigh((spread + spread.T) / 2)
+                    root = vector * np.sqrt(np.maximum(value, 0))
+                    made = made + np.stack([root @ np.random.default_rng([seed, int(names[i])]).standard_normal(len(cols)) for i in at])
+                for i, v in zip(at, made, strict=True):
+                    out[i] = v.tolist()
+            yield pd.DataFrame({key: names, "values": out})
 
     return frame.select(key, x, selected).mapInPandas(run, f"{key} long, values array<double>")
+
+
+def with_values(x: Column, selected: Column, values: Column) -> Column:
+    """x with its selected coordinates replaced by values that come in ascending coordinate order."""
+    return A.let(F.array_sort(selected), lambda s: F.transform(x, lambda v, i: F.when(F.array_contains(s, i), F.get(values, F.array_position(s, i).cast("int") - 1)).otherwise(v)))

@@ -234,3 +234,17 @@ def kernel_width_ablation(spark, sf_dir):
             one = one.select(F.lit(width).alias("width"), F.lit(ridge).alias("ridge"), "mean_r2", "least_r2", "n")
             out = one if out is None else out.unionByName(one)
     return out
+
+
+@query()
+def gaussian_operator_effects(spark, sf_dir):
+    """Deletion effects of the two conditional-Gaussian operators, the mean and a draw."""
+    f = flows_in_context(spark, sf_dir).select("flow", "x", F.slice("ranking", 1, TOP).alias("selected"))
+    mean, covariance = explain.moments(f, "x")
+    p, out = MODEL.probability, None
+    for name, draw in (("conditional_gaussian_mean", False), ("conditional_gaussian_draw", True)):
+        made = explain.conditional_gaussian(f, "flow", "x", "selected", mean, covariance, replacement.RIDGE, draw)
+        z = explain.with_values(F.col("x"), F.col("selected"), F.col("values"))
+        one = f.join(made, "flow").select("flow", F.lit(name).alias("operator"), r6(p(F.col("x")) - p(z)).alias("deletion"))
+        out = one if out is None else out.unionByName(one)
+    return out
