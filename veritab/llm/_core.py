@@ -24,6 +24,8 @@ from pyspark.sql import DataFrame, SparkSession
 SLICE_BYTES = 1 << 18
 #: Bytes of an Arrow batch, and rows that are read from Parquet at once.
 BATCH_BYTES, READ_ROWS = 1 << 21, 1024
+#: Bytes of input that one task reads at least, and rows of a staged file, where there are many.
+PACKED_BYTES, FILE_ROWS = 1 << 24, 1 << 18
 
 SEPARATOR = np.zeros(256, bool)
 SEPARATOR[[9, 10, 11, 12, 13, 32]] = True
@@ -56,15 +58,31 @@ def setting(spark: SparkSession, name: str, value: str):
             spark.conf.set(name, before)
 
 
-def staged(frame: DataFrame, label: str) -> DataFrame:
+def parallel(spark: SparkSession) -> int:
+    return 2 * spark.sparkContext.defaultParallelism
+
+
+def packed(texts: DataFrame) -> DataFrame:
+    """A scan of many small partitions in fewer tasks: of PACKED_BYTES each, but two for each core at least."""
+    size = int(str(texts._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    most = max(parallel(texts.sparkSession), -(-size // PACKED_BYTES))
+    return texts.coalesce(most) if texts.rdd.getNumPartitions() > most else texts
+
+
+def staged(frame: DataFrame, label: str, rows: int | None = None) -> DataFrame:
     """The same rows, read from a table just written to the shared folder: the lineage ends here.
 
     A lost executor costs no recomputation of what lies behind, and a join of the result deals both sides
     anew, so adaptive execution can split its skewed partitions. Partitions have the advisory size, so that a small
     table is a few files: on local file systems each file costs a process that Hadoop starts from the executor.
+
+    rows: about how many there can be, if that is known; then no more files than one for FILE_ROWS of them, or two for
+    each core, even where shuffles are dealt to many partitions.
     """
     spark = frame.sparkSession
     path = f"{shared_dir(spark)}/veritab-{label}-{uuid.uuid4().hex}"
+    if rows is not None:
+        frame = frame.coalesce(max(parallel(spark), -(-rows // FILE_ROWS)))
     with setting(spark, "spark.sql.adaptive.coalescePartitions.parallelismFirst", "false"):
         frame.write.parquet(path)
     out = spark.read.schema(frame.schema).parquet(path)

@@ -17,7 +17,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veritab.llm._core import mixed, released, signed, staged, trimmed
+from veritab.llm._core import mixed, parallel, released, signed, staged, trimmed
 
 #: Rows of a shard on average, cells of each of its filters, and cells that a hash sets.
 SHARD_KEYS, CELLS, PROBES = 1 << 18, 1 << 22, 2
@@ -107,7 +107,8 @@ def twice_seen(keys: DataFrame) -> DataFrame:
     shards = max(1, -(-dealt.count() // SHARD_KEYS))
     rest = keys.drop("kind")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rest.schema)
-    return dealt.repartition(shards, "h").mapInArrow(_passed, schema).unionByName(keys.filter(F.col("kind") > UNKNOWN).drop("kind"))
+    passed = dealt.repartition(shards, "h").mapInArrow(_passed, schema).coalesce(max(parallel(keys.sparkSession), shards))
+    return passed.unionByName(keys.filter(F.col("kind") > UNKNOWN).drop("kind"))
 
 
 class Chosen:
@@ -125,7 +126,7 @@ class Chosen:
 
 def small_set(hashes: DataFrame, most: int | None = None) -> Broadcast | None:
     """A broadcast Chosen of the distinct values of the one column of longs; None if they are more than ``most``."""
-    distinct = staged(hashes.distinct(), "hashes")
+    distinct = staged(hashes.distinct(), "hashes", hashes.count())
     if distinct.count() > (BROADCAST_HASHES if most is None else most):
         released(distinct)
         return None

@@ -28,7 +28,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veritab.llm._core import staged
+from veritab.llm._core import packed, staged
 
 WINDOW, SHORTEST, COVERAGE, RUN = 8, 5, 0.3, 20
 #: The items' windows are broadcast if they are no more than these, else both sides are dealt out.
@@ -136,7 +136,7 @@ def contaminated_pairs(docs: DataFrame, items: DataFrame, id_column: str = "doc_
     small = benchmark.count() <= BROADCAST_WINDOWS
     hinted = (lambda x: F.broadcast(x)) if small else (lambda x: x)
 
-    rows = docs.select(F.col(id_column).alias("doc"), F.col(text_column).cast("string").alias("text"))
+    rows = packed(docs).select(F.col(id_column).alias("doc"), F.col(text_column).cast("string").alias("text"))
     tokens = rows.select("doc", tokens_of(F.col("text")).alias("tokens"))
     hashed = tokens.select("doc", "tokens", hashes_of(template_of(F.col("tokens"))).alias("typed"), hashes_of(raw_of(F.col("tokens"))).alias("untyped"))
     lists = []
@@ -146,11 +146,12 @@ def contaminated_pairs(docs: DataFrame, items: DataFrame, id_column: str = "doc_
     known = benchmark.select("h", "kind").distinct()
     each = hashed.select("doc", F.inline(F.concat(*lists)))
     found = staged(each.join(hinted(known), ["h", "kind"]).select("doc", "place", "h", "kind"), "matches")
+    n = found.count()
     every = found.join(hinted(benchmark), ["h", "kind"]).select("doc", "item", "place", "at", "slots", "values", "size", "kind", (F.col("place") - F.col("at")).alias("diagonal"))
     matches = every.filter("kind = 't'")
     plain = matches.filter("slots = 0").select("doc", "item", "at", "kind", "slots")
     valued = every.filter("kind = 'v'").select("doc", "item", "at", "kind", "slots")
-    slotted, anchors = staged(matches.filter("slots > 0"), "slotted"), staged(every.filter("kind = 'a'").select("doc", "item", "diagonal").distinct(), "anchors")
+    slotted, anchors = staged(matches.filter("slots > 0"), "slotted", n), staged(every.filter("kind = 'a'").select("doc", "item", "diagonal").distinct(), "anchors", n)
 
     # only documents with a match whose tokens matter are read again
     wanted = slotted.select("doc").unionByName(anchors.select("doc")).distinct()

@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veritab.llm._components import components
-from veritab.llm._core import buffer_of, lowered, mixed, released, sequence_hashes, signed, slices, small_batches, staged, swept, trimmed, window_hashes, word_hashes, words
+from veritab.llm._core import buffer_of, lowered, mixed, packed, released, sequence_hashes, signed, slices, small_batches, staged, swept, trimmed, window_hashes, word_hashes, words
 from veritab.llm._filters import HELD_KEYS, flat_longs, settled, small_set, twice_seen
 
 SHINGLE, PERCENT, MOST_MATCHES = 5, 80, 4
@@ -223,7 +223,7 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _entries(texts: DataFrame, size: int, percent: int, most_matches: int, counts) -> DataFrame:
     """Staged rows (t, e, n, m): prefix entries that a second document may have."""
     keys = staged(texts.mapInArrow(lambda b: _keys(_prefixes(b, size, percent, most_matches, counts.value)), "h long, kind int, e long, n long, m int"), "keys")
-    out = staged(twice_seen(keys).withColumnRenamed("h", "t").distinct(), "entries")
+    out = staged(twice_seen(keys).withColumnRenamed("h", "t").distinct(), "entries", keys.count())
     released(keys)
     return out
 
@@ -241,7 +241,7 @@ def _linked(pairs: DataFrame, rows: DataFrame, nodes: DataFrame, size: int, perc
 
     Their texts are found by the hashes of their ids: broadcast if they are few, else joined.
     """
-    needed = staged(pairs.select(F.col("a").alias("e")).unionByName(pairs.select(F.col("b").alias("e"))).distinct().join(nodes.select("e", "id"), "e"), "needed")
+    needed = staged(pairs.select(F.col("a").alias("e")).unionByName(pairs.select(F.col("b").alias("e"))).distinct().join(nodes.select("e", "id"), "e"), "needed", 2 * pairs.count())
     seen = small_set(needed.select(F.xxhash64("id").alias("h")))
     hashed = rows.select(F.xxhash64("id").alias("h"), "text")
     if seen is None:
@@ -255,13 +255,13 @@ def _linked(pairs: DataFrame, rows: DataFrame, nodes: DataFrame, size: int, perc
             yield from _sets([pa.RecordBatch.from_arrays([texts], names=["text"])], size)
 
     found = hashed.mapInArrow(run, "e long, tokens array<long>")
-    sets = staged(found.join(needed.select("e"), "e", "left_semi").dropDuplicates(["e"]), "sets")
+    sets = staged(found.join(needed.select("e"), "e", "left_semi").dropDuplicates(["e"]), "sets", 16 * needed.count())
     released(needed)
     if seen is not None:
         seen.destroy()
     both = pairs.join(sets.select(F.col("e").alias("a"), F.col("tokens").alias("x")), "a").join(sets.select(F.col("e").alias("b"), F.col("tokens").alias("y")), "b")
     counted = both.select("a", "b", F.size("x").alias("i"), F.size("y").alias("j"), F.size(F.array_intersect("x", "y")).alias("c"))
-    out = staged(counted.filter(F.col("c") * 100 >= percent * (F.col("i") + F.col("j") - F.col("c"))).select("a", "b"), "links")
+    out = staged(counted.filter(F.col("c") * 100 >= percent * (F.col("i") + F.col("j") - F.col("c"))).select("a", "b"), "links", 16 * pairs.count())
     released(sets)
     return out
 
@@ -287,21 +287,22 @@ def jaccard_components(frame: DataFrame, id_column: str = "doc_id", text_column:
     spark = frame.sparkSession
     small_batches(spark)
     kind = frame.schema[id_column].dataType.simpleString()
-    rows = frame.select(F.col(id_column).alias("id"), F.col(text_column).cast("string").alias("text"))
+    rows = packed(frame).select(F.col(id_column).alias("id"), F.col(text_column).cast("string").alias("text"))
     made = staged(rows.mapInArrow(lambda b: _profiles(b, shingle), f"id {kind}, n long, e long, bits array<long>, counters binary"), "profiles")
     counts = spark.sparkContext.broadcast(_summed(made))
     profiles = made.filter("counters is null")
     nodes = profiles.filter("n > 0").groupBy("e").agg(F.min(F.struct(F.col("id"))).alias("least"), F.first("n").alias("n"))
-    nodes = staged(nodes.select("e", "n", F.col("least.id").alias("id")), "nodes")
+    nodes = staged(nodes.select("e", "n", F.col("least.id").alias("id")), "nodes", profiles.count())
 
     told = _entries(rows.select("text"), shingle, percent, most_matches, counts)
     counts.destroy()
     several = told.groupBy("t").agg(F.count("*").alias("c")).filter("c > 1")
-    shared = staged(told.join(several, "t"), "entries")
+    n = told.count()
+    shared = staged(told.join(several, "t"), "entries", n)
     released(told)
     # the original of a group of near copies holds the entries that most others hold: the best pivot
-    weights = staged(shared.groupBy("e").agg(F.sum("c").alias("w")), "weights")
-    entries = staged(shared.join(weights, "e").select("t", "e", "n", "m", "w"), "entries")
+    weights = staged(shared.groupBy("e").agg(F.sum("c").alias("w")), "weights", n)
+    entries = staged(shared.join(weights, "e").select("t", "e", "n", "m", "w"), "entries", n)
     released(shared, weights)
     swept(spark)
 
@@ -314,15 +315,15 @@ def jaccard_components(frame: DataFrame, id_column: str = "doc_id", text_column:
         order = -F.col("w") if step % 2 == 0 else F.xxhash64("e", F.lit(step))
         pivot = F.min(F.struct(order, "e", "n", "m", "root"))
         lists = placed.groupBy("t").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), pivot.alias("p")).filter("lo < hi")
-        placed = staged(placed, "placed") if roots is not None else placed
-        lists = staged(lists.select("t", F.col("p.e").alias("b"), F.col("p.n").alias("bn"), F.col("p.m").alias("bm"), F.col("p.root").alias("br")), "lists")
+        placed = staged(placed, "placed", n) if roots is not None else placed
+        lists = staged(lists.select("t", F.col("p.e").alias("b"), F.col("p.n").alias("bn"), F.col("p.m").alias("bm"), F.col("p.root").alias("br")), "lists", n)
         left = placed.select("t", F.col("e").alias("a"), F.col("n").alias("an"), F.col("m").alias("am"), F.col("root").alias("ar"))
         if step < PIVOT_ROUNDS:
             each, share = left.join(lists, "t"), 0.5  # pairs with a pivot come early, not instead of others
         else:
             rest = left.join(lists.select("t"), "t")
             bits = profiles.filter("n > 0").join(rest.select(F.col("a").alias("e")).distinct(), "e", "left_semi").groupBy("e").agg(*[F.first(F.get("bits", F.lit(k))).alias(f"ab{k}") for k in range(WORDS)])
-            rest = staged(rest.join(bits, rest["a"] == bits["e"]).drop("e"), "rest")
+            rest = staged(rest.join(bits, rest["a"] == bits["e"]).drop("e"), "rest", n)
             other = rest.select("t", *[F.col(c).alias("b" + c[1:]) for c in rest.columns if c != "t"])
             apart = sum([F.bit_count(F.col(f"ab{k}").bitwiseXOR(F.col(f"bb{k}"))) for k in range(1, WORDS)], F.bit_count(F.col("ab0").bitwiseXOR(F.col("bb0"))))
             allowed = F.col("an") + F.col("bn") - 2 * F.ceil((F.col("an") + F.col("bn")) * percent / (100 + percent) - 1e-9)
@@ -333,7 +334,7 @@ def jaccard_components(frame: DataFrame, id_column: str = "doc_id", text_column:
         if step < PIVOT_ROUNDS:  # of all pivots that a set meets, the one that shares most with it
             pairs = pairs.groupBy("a").agg(F.max(F.struct("c", "b")).alias("best")).select("a", F.col("best.b").alias("b"))
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        pairs = staged(pairs, "pairs")
+        pairs = staged(pairs, "pairs", n)
         released(lists, *([placed] if roots is not None else []), *([rest] if step == PIVOT_ROUNDS else []))
         new = None if pairs.isEmpty() else _linked(pairs, rows, nodes, shingle, percent)
         released(pairs)
@@ -347,8 +348,8 @@ def jaccard_components(frame: DataFrame, id_column: str = "doc_id", text_column:
 
     if roots is not None:
         groups = nodes.join(roots, nodes["e"] == roots["node"], "left").select("e", "id", F.coalesce("root", "e").alias("root"))
-        least = staged(groups.groupBy("root").agg(F.min(F.struct(F.col("id"))).alias("c")), "least-ids")
-        named = staged(groups.join(least, "root").select("e", F.col("c.id").alias("c")), "named")
+        least = staged(groups.groupBy("root").agg(F.min(F.struct(F.col("id"))).alias("c")), "least-ids", nodes.count())
+        named = staged(groups.join(least, "root").select("e", F.col("c.id").alias("c")), "named", nodes.count())
         released(roots, least, nodes)
         swept(spark)
     else:

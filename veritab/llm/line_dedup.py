@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veritab.llm._core import SEPARATOR, buffer_of, lowered, released, signed, slices, small_batches, staged, swept, trimmed, word_hashes
+from veritab.llm._core import SEPARATOR, buffer_of, lowered, packed, released, signed, slices, small_batches, staged, swept, trimmed, word_hashes
 from veritab.llm._filters import HELD_KEYS, Chosen, settled, small_set, twice_seen
 
 MIN_CHARS, MIN_DOCS = 40, 5
@@ -116,7 +116,7 @@ def shared_keys(rows: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN
     # one row for each document and key, then sums that are combined before they are dealt out
     each = lines.groupBy("key", "id").agg(F.lit(1).alias("one"))
     shared = each.groupBy("key").agg(F.count("*").alias("docs"), F.max("id").alias("keeper")).filter(F.col("docs") >= min_docs)
-    return staged(shared.select("key", "keeper"), "line-shared"), lines
+    return staged(shared.select("key", "keeper"), "line-shared", lines.count()), lines
 
 
 def _applied(batches: Iterator[pa.RecordBatch], min_chars: int, keepers, with_text: bool) -> Iterator[pa.RecordBatch]:
@@ -173,7 +173,7 @@ def line_dedup(frame: DataFrame, id_column: str = "doc_id", text_column: str = "
     spark = frame.sparkSession
     small_batches(spark)
     others = [F.col(f"`{c}`") for c in frame.columns if c != text_column]
-    rows = frame.select(F.struct(*others).alias("row"), F.col(id_column).alias("id"), F.col(text_column).cast("string").alias("text"))
+    rows = packed(frame).select(F.struct(*others).alias("row"), F.col(id_column).alias("id"), F.col(text_column).cast("string").alias("text"))
     shared, lines = shared_keys(rows.select("id", "text"), min_chars, min_docs, broadcast_hashes)
     size = shared.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("key")), F.lit(0)).alias("bytes")).first()
     keepers = None

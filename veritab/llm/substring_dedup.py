@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veritab.llm._core import buffer_of, gram_hashes, released, sequence_hashes, signed, slices, small_batches, staged, swept, trimmed, word_hashes, words
+from veritab.llm._core import buffer_of, gram_hashes, packed, released, sequence_hashes, signed, slices, small_batches, staged, swept, trimmed, word_hashes, words
 from veritab.llm._filters import HELD_KEYS, Chosen, flat_longs, settled, small_set, twice_seen
 
 WINDOW, K = 35, 12
@@ -255,7 +255,8 @@ def repeated_spans(texts: DataFrame, window: int, k: int, broadcast_hashes: int
     """texts: a string column. Rows (source, spans): for each source its repeated spans of windows (at, length); and
     rows (source, copies) of the sources with several documents."""
     profiles = staged(texts.mapInArrow(lambda b: _profiles(b, window, k), "h long, kind int, source long, docs long"), "minimizers")
-    copies = staged(profiles.filter("docs is not null").groupBy("source").agg(F.sum("docs").alias("copies")).filter("copies > 1"), "copies")
+    n = profiles.filter("docs is not null").count()
+    copies = staged(profiles.filter("docs is not null").groupBy("source").agg(F.sum("docs").alias("copies")).filter("copies > 1"), "copies", n)
     suspects = staged(twice_seen(profiles.filter("docs is null").drop("docs")), "suspects")
     released(profiles)
     chosen = small_set(suspects.select("h"), broadcast_hashes)
@@ -270,7 +271,7 @@ def repeated_spans(texts: DataFrame, window: int, k: int, broadcast_hashes: int
     dealt = edges.filter("kind < 2").repartition("h").sortWithinPartitions("h", "check", "source", "at")
     repeated = dealt.mapInArrow(_resolved, "source long, at int").unionByName(edges.filter("kind > 0").select("source", "at"))
     grouped = repeated.groupBy("source").agg(F.collect_set("at").alias("ats"))
-    spans = staged(grouped.mapInArrow(_paths, "source long, spans array<struct<at: int, length: int>>"), "spans")
+    spans = staged(grouped.mapInArrow(_paths, "source long, spans array<struct<at: int, length: int>>"), "spans", n)
     released(edges)
     return spans, copies
 
@@ -326,10 +327,10 @@ def _applied(batches: Iterator[pa.RecordBatch], window: int, with_text: bool) ->
 def substring_dedup(frame: DataFrame, id_column: str = "doc_id", text_column: str = "text", window: int = WINDOW, k: int = K, with_text: bool = True, broadcast_hashes: int | None = None) -> DataFrame:
     """Per row: the id, n_words, n_removed, kept_sha256 and, on request, the kept words joined by one space."""
     small_batches(frame.sparkSession)
-    rows = frame.select(F.struct(F.col(id_column).alias("id")).alias("row"), F.col(text_column).cast("string").alias("text"))
+    rows = packed(frame).select(F.struct(F.col(id_column).alias("id")).alias("row"), F.col(text_column).cast("string").alias("text"))
     kind = rows.schema["row"].dataType.simpleString()
     spans, copies = repeated_spans(rows.select("text"), window, k, broadcast_hashes)
-    known = staged(spans.join(copies, "source", "full"), "known")
+    known = staged(spans.join(copies, "source", "full"), "known", spans.count() + copies.count())
     released(spans, copies)
     swept(frame.sparkSession)
     # only texts that lose words are shuffled, or all if the sources that lose some are too many to be broadcast
