@@ -45,10 +45,10 @@ def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -
     keyed = docs.select(*COLUMNS, key.alias("key"))
     made = staged(jaccard_join.jaccard_components(keyed, id_column="key"), "components")
     first = F.col("key").eqNullSafe(F.col("component_id"))
-    gone = staged(made.filter(~first).select(F.col("key").alias("gone")).distinct(), "copies")
+    gone = staged(made.filter(~first).select(F.col("key").alias("gone")).distinct(), "copies", made.count())
     kept = keyed.join(gone, F.col("key").eqNullSafe(F.col("gone")), "left_anti")
     # rows alike in id and text are copies too, and have one key
-    twins = staged(made.filter(first & (F.col("n_shingles") > 0)).groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("key").alias("twin")), "twins")
+    twins = staged(made.filter(first & (F.col("n_shingles") > 0)).groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("key").alias("twin")), "twins", made.count())
     if not twins.isEmpty():
         same = F.col("key").eqNullSafe(F.col("twin"))
         kept = kept.join(twins, same, "left_anti").unionByName(kept.join(twins, same, "left_semi").dropDuplicates(["key"]))
