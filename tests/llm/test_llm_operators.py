@@ -265,6 +265,37 @@ def test_token_counts_and_splices_match_the_library(spark):
         assert all(r["over_limit"] == (r["n_tokens"] > 100) for r in got.collect())
 
 
+def test_long_texts_are_counted_whole_with_the_defaults(spark):
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    rng = random.Random(12)
+    words = ["".join(rng.choice(POOL) for _ in range(rng.randint(1, 12))) for _ in range(400)]
+    texts = [" ".join(rng.choice(words) for _ in range(12_000)), "x" * 40_000, "ab " * 20_000 + "é" * 9_000, None]
+    assert all(len(t) > token_counts.CHUNK_CHARS for t in texts[:3])
+    rows = [(i, t, "clash", "clash", 1, "s") for i, t in enumerate(texts)] * 2
+    got = token_counts.token_counts(spark.createDataFrame(rows, SCHEMA), public_tokenizers.path("byte_bpe_50k.tiktoken")).collect()
+    expected = [(i, len((t or "").encode()), len(library.encode(t or "", add_special_tokens=False).ids)) for i, t in enumerate(texts)]
+    assert sorted((r["doc_id"], r["n_bytes"], r["n_tokens"]) for r in got) == sorted(expected * 2)
+
+
+def test_bpe_remembers_within_bounds(monkeypatch):
+    """Results don't depend on what a worker remembers, or on how many runs it sorts in at once."""
+    texts = pa.array([f"{x} w{i % 97} <|startoftext|>q{i}" for i, x in enumerate(t or "" for t in odd_texts())])
+    with open(public_tokenizers.path("word_bpe_49k.json"), "rb") as f:
+        vocabulary = f.read()
+    whole = list(bpe.WordBpe(vocabulary).encode_batch(texts))
+    for name, value in (("FRESH_RUNS", 50), ("KEPT_RUNS", 120), ("KEPT_WORDS", 30), ("BATCH_BYTES", 400)):
+        monkeypatch.setattr(bpe, name, value)
+    small = bpe.WordBpe(vocabulary)
+    assert list(small.encode_batch(texts)) == whole == list(small.encode_batch(texts))
+    clash = np.zeros(7, np.uint64)  # all hashes alike
+    raw, offsets = _core.buffer_of(pa.array(["a bb a cc bb a d"]))
+    start, end, _ = _core.words(raw, offsets)
+    names, first = bpe.distinct_runs(raw, start, end, clash)
+    assert names.tolist() == [0, 1, 0, 2, 1, 0, 3] and first.tolist() == [0, 1, 3, 6]
+
+
 def test_bpe_matches_the_library(spark):
     from tokenizers import Tokenizer
 

@@ -216,7 +216,7 @@ class WordBpe:
         learned = self._learned(own[new].tolist(), [flat[x:y] for x, y in zip(a[new].tolist(), b[new].tolist(), strict=True)])
         known = np.flatnonzero(at >= 0)
         # ids of all distinct runs, the remembered ones first, and where those of each stand
-        held, bounds = gathered(self.runs.ids, self.runs.to_id, at[known])
+        held, bounds = spread(self.runs.ids, self.runs.id_begin, self.runs.id_size, at[known])
         sizes = np.array([len(x) for x in learned], np.int64) >> 2
         begin, length = np.empty(len(at), np.int64), np.empty(len(at), np.int64)
         begin[known], length[known] = bounds[:-1], np.diff(bounds)
@@ -256,7 +256,8 @@ class Runs:
 
     def clear(self) -> None:
         self.hashes, self.raw, self.ids = np.zeros(0, np.uint64), np.zeros(0, np.uint8), np.zeros(0, np.uint32)
-        self.to_byte, self.to_id = np.zeros(1, np.int64), np.zeros(1, np.int64)
+        # where the bytes and the ids of each run lie: these stay in the order in which they came
+        self.begin = self.size = self.id_begin = self.id_size = np.zeros(0, np.int32)
         self.fresh: dict[int, tuple[bytes, bytes]] = {}
 
     def find(self, hashes: np.ndarray, raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -267,8 +268,8 @@ class Runs:
             return np.full(len(hashes), -1)
         at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
         sizes = end - start
-        hit = np.flatnonzero((self.hashes[at] == hashes) & (self.to_byte[at + 1] - self.to_byte[at] == sizes))
-        mine, bounds = gathered(self.raw, self.to_byte, at[hit])
+        hit = np.flatnonzero((self.hashes[at] == hashes) & (self.size[at] == sizes))
+        mine, bounds = spread(self.raw, self.begin, self.size, at[hit])
         given, _ = spread(raw, start, sizes, hit)
         same = np.ones(len(hit), bool)
         if len(mine):
@@ -287,11 +288,17 @@ class Runs:
         order = np.argsort(np.concatenate([self.hashes, hashes]), kind="stable")
         all_hashes = np.concatenate([self.hashes, hashes])[order]
         once = np.append(True, all_hashes[1:] != all_hashes[:-1])
-        order = order[once]
-        self.hashes = all_hashes[once]
-        lengths = lambda begin, new, width: np.append(0, np.cumsum(np.concatenate([np.diff(begin), np.array([len(x) for x in new], np.int64) // width])))
-        self.raw, self.to_byte = gathered(np.concatenate([self.raw, np.frombuffer(b"".join(runs), np.uint8)]), lengths(self.to_byte, runs, 1), order)
-        self.ids, self.to_id = gathered(np.concatenate([self.ids, np.frombuffer(b"".join(ids), "<u4")]), lengths(self.to_id, ids, 4), order)
+        order, self.hashes = order[once], all_hashes[once]
+
+        def placed(begin: np.ndarray, size: np.ndarray, after: int, new: tuple, width: int) -> tuple[np.ndarray, np.ndarray]:
+            sizes = np.array([len(x) // width for x in new], np.int64)
+            begins = after + np.cumsum(sizes) - sizes
+            return np.concatenate([begin, begins])[order].astype(np.int32), np.concatenate([size, sizes])[order].astype(np.int32)
+
+        self.begin, self.size = placed(self.begin, self.size, len(self.raw), runs, 1)
+        self.id_begin, self.id_size = placed(self.id_begin, self.id_size, len(self.ids), ids, 4)
+        self.raw = np.concatenate([self.raw, np.frombuffer(b"".join(runs), np.uint8)])
+        self.ids = np.concatenate([self.ids, np.frombuffer(b"".join(ids), "<u4").astype(np.uint32)])
         self.fresh = {}
 
 

@@ -21,7 +21,9 @@ component_id, the smallest id reachable by links.
    components is missed. Only the texts of documents in such pairs are read again.
 
 Comparisons count common hashes of 64 bits; a false one would need colliding n-grams. Rows with the same id are
-rows of their own. Null ids compare as the smallest id. Empty tables give empty results.
+rows of their own. Null ids compare as the smallest id. Empty tables give empty results. Very long texts are read
+whole; a set may have any size. Among equal pivots and equal counts the smaller set hash goes first, which decides the
+order of comparisons, not the result. Only the id and the text are read, so extra columns may have any name.
 """
 
 from __future__ import annotations

@@ -8,7 +8,8 @@ encoding of every text that holds these two characters has a token boundary ther
 depend on what comes before. Both encodings must show that boundary in their offsets; where the overlap has
 none, or they disagree, the overlap doubles, up to the whole rest of the text.
 
-Null and empty texts have 0 bytes and 0 tokens. Repeated rows are counted each on its own.
+Null and empty texts have 0 bytes and 0 tokens. Repeated rows, and rows with one id, are counted each on its own; no
+tie can arise. An empty table gives an empty one. Only the id and the text are read, so extra columns may have any name.
 """
 
 from __future__ import annotations
