@@ -96,6 +96,18 @@ def test_sets_of_hashes(spark):
     assert not _filters.small_set(f.limit(0)).value.has(np.array([1], np.int64)).any()
 
 
+def test_tiny_partitions_are_read_together(spark, monkeypatch, tmp_path):
+    spark.range(4000).selectExpr("id", "cast(id as string) text").repartition(40).write.parquet(f"{tmp_path}/t")
+    monkeypatch.setattr(_core, "parallel", lambda _: 3)
+    with _core.setting(spark, "spark.sql.files.openCostInBytes", "1"), _core.setting(spark, "spark.sql.files.maxPartitionBytes", "2048"):
+        f = spark.read.parquet(f"{tmp_path}/t")
+        assert f.rdd.getNumPartitions() > 3 and _core.packed(f).rdd.getNumPartitions() == 3 and _core.packed(f).count() == 4000
+        monkeypatch.setattr(_core, "PACKED_BYTES", 1)
+        assert _core.packed(f).rdd.getNumPartitions() == f.rdd.getNumPartitions()
+    shuffled = f.groupBy("text").count()
+    assert _core.packed(shuffled) is shuffled
+
+
 def thue_morse(n, flip=0):
     return [(i.bit_count() + flip) % 2 for i in range(n)]
 

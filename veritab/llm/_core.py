@@ -63,9 +63,14 @@ def parallel(spark: SparkSession) -> int:
 
 
 def packed(texts: DataFrame) -> DataFrame:
-    """A scan of many small partitions in fewer tasks: of PACKED_BYTES each, but two for each core at least."""
-    size = int(str(texts._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    most = max(parallel(texts.sparkSession), -(-size // PACKED_BYTES))
+    """A scan of many small partitions in fewer tasks: of PACKED_BYTES each, but two for each core at least.
+
+    Anything that has to shuffle first is left as it is: its partitions are not known before it runs.
+    """
+    plan = texts._jdf.queryExecution()
+    if plan.executedPlan().nodeName() == "AdaptiveSparkPlan":
+        return texts
+    most = max(parallel(texts.sparkSession), -(-int(str(plan.optimizedPlan().stats().sizeInBytes())) // PACKED_BYTES))
     return texts.coalesce(most) if texts.rdd.getNumPartitions() > most else texts
 
 
