@@ -305,3 +305,48 @@ def test_conditional_gaussian_matches_numpy(spark):
     assert one.select(explain.with_values(F.col("x"), F.col("s"), F.col("v")).alias("z")).first()["z"] == [9.0, 2.0, 8.0, 4.0]
     w = A.total(F.array(F.lit(1.0), F.lit(2.0)))
     assert spark.range(1).select(w.alias("t")).first()["t"] == 3.0
+
+
+def test_local_surrogate_matches_weighted_ridge(spark):
+    model = explain.Logit((0.4, -0.2, 0.7))
+    f = spark.createDataFrame([(7, [1.0, 2.0, -1.0]), (8, [0.0, 0.5, 0.3])], "k long, x array<double>")
+    for r in explain.lime(f, "k", "x", model, samples=400, width=0.75, ridge=0.5).collect():
+        x = np.array({7: [1.0, 2.0, -1.0], 8: [0.0, 0.5, 0.3]}[r["k"]])
+        z = np.random.default_rng([42, r["k"]]).standard_normal((400, 3))
+        y = 1 / (1 + np.exp(-((x + z) @ np.array(model.weights) + model.bias)))
+        d = np.exp(-(z * z).sum(1) / (2 * 0.75**2 * 3))
+        design = np.column_stack([np.ones(400), z])  # with an intercept that carries no penalty
+        penalty = np.diag([0.0, 0.5, 0.5, 0.5])
+        coef = np.linalg.solve(design.T @ (d[:, None] * design) + penalty, design.T @ (d * y))
+        rest, mean = y - design @ coef, np.average(y, weights=d)
+        assert np.allclose(r["weights"], coef[1:]) and np.isclose(r["r2"], 1 - (d * rest**2).sum() / (d * (y - mean) ** 2).sum())
+        assert np.sign(r["weights"]).tolist() == [1, -1, 1]
+
+
+def test_feature_groups_match_clustering_by_hand(spark):
+    """Clusters merged two at a time by mean distance, with names instead of places."""
+    from veritab.operators import grouping
+
+    rng = np.random.default_rng(4)
+    base = rng.normal(size=(300, 3))
+    columns = {"a": base[:, 0], "b": base[:, 0] + 0.1 * base[:, 1], "c": -base[:, 0] ** 3, "d": base[:, 1], "e": base[:, 1] + 0.3 * base[:, 2], "f": base[:, 2], "g": np.round(base[:, 2], 1), "h": rng.normal(size=300)}
+    f = spark.createDataFrame([tuple(map(float, r)) for r in zip(*columns.values(), strict=True)], ", ".join(f"{c} double" for c in columns))
+
+    def ranks(v):
+        return np.array([(v < x).sum() + ((v == x).sum() + 1) / 2 for x in v])
+
+    far = {frozenset((p, q)): 1 - abs(np.corrcoef(ranks(columns[p]), ranks(columns[q]))[0, 1]) for p in columns for q in columns if p < q}
+    distances = grouping.feature_distance(f, list(columns))
+    assert all(np.isclose(r["distance"], far[frozenset((r["left_feature"], r["right_feature"]))]) for r in distances.collect())
+    clusters = [{c} for c in columns]
+    while len(clusters) > 1:
+        mean, p, q = min((np.mean([far[frozenset((u, v))] for u in a for v in b]), i, j) for i, a in enumerate(clusters) for j, b in enumerate(clusters) if i < j)
+        if mean > 0.3:
+            break
+        clusters[p] = clusters[p] | clusters.pop(q)
+    got = collections.defaultdict(set)
+    for r in grouping.feature_groups(distances, list(columns), 0.3, 0.5).collect():
+        got[r["group"]].add(r["feature"])
+    assert sorted(map(sorted, got.values())) == sorted(map(sorted, clusters)) and {"a", "b", "c"} in clusters
+    small = grouping.feature_groups(distances, list(columns), 0.3, 0.25).toPandas().groupby("group").size()
+    assert small.max() <= 2 or small.max() == 3
