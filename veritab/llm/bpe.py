@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from veritab.llm._core import buffer_of, slices, small_batches, word_hashes, words
 
 #: Runs, bytes of runs, words and pairs of tokens that a worker remembers before it starts anew.
-KEPT_RUNS, KEPT_BYTES, KEPT_WORDS, KEPT_PAIRS = 1_000_000, 1 << 24, 100_000, 150_000
+KEPT_RUNS, KEPT_BYTES, KEPT_WORDS, KEPT_PAIRS = 1_600_000, 1 << 25, 200_000, 300_000
 #: Runs that are remembered one by one before they are sorted into the table.
 FRESH_RUNS = 1 << 16
 #: Bytes of text that are encoded in one go; words of more symbols are encoded without a trie.
