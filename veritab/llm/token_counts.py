@@ -8,6 +8,10 @@ encoding of every text that holds these two characters has a token boundary ther
 depend on what comes before. Both encodings must show that boundary in their offsets; where the overlap has
 none, or they disagree, the overlap doubles, up to the whole rest of the text.
 
+A run of white space that would exhaust the pre-tokenizer's stack is one piece, without its last character if something
+other than white space follows in the same stretch between special strings; such pieces are cut out before the pattern
+sees them and encoded on their own.
+
 Null and empty texts have 0 bytes and 0 tokens. Repeated rows, and rows with one id, are counted each on its own; no
 tie can arise. An empty table gives an empty one. Only the id and the text are read, so extra columns may have any name.
 """
@@ -33,50 +37,75 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 SPECIAL = {"<|endoftext|>": 50256}
 
 STABLE = re.compile(r"[^\W\d_](?=\s)")
+#: Longer runs of white space (a fixed set of characters) are kept from the pattern, which backtracks over each of them.
+LONG_RUN = 100_000
+LONG_SPACE = re.compile(rf"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{{{LONG_RUN},}}")
 
 
 class Counter:
-    """Counts tokens with the ranks of a vocabulary file (lines of base64 bytes and rank)."""
+    """Counts and lists tokens with the ranks of a vocabulary file (lines of base64 bytes and rank).
+
+    special: whether special strings inside texts are tokens; else they are text like any other.
+    """
 
-    def __init__(self, ranks: bytes, chunk_chars: int = CHUNK_CHARS, overlap_chars: int = OVERLAP_CHARS):
+    def __init__(self, ranks: bytes, chunk_chars: int = CHUNK_CHARS, overlap_chars: int = OVERLAP_CHARS, special: bool = True):
         import tiktoken
 
         table = {base64.b64decode(a): int(b) for a, b in (x.split() for x in ranks.splitlines() if x)}
-        self.encoding = tiktoken.Encoding("byte_bpe", pat_str=PATTERN, mergeable_ranks=table, special_tokens=SPECIAL)
+        self.special = SPECIAL if special else {}
+        self.encoding = tiktoken.Encoding("byte_bpe", pat_str=PATTERN, mergeable_ranks=table, special_tokens=self.special)
+        self.piece = tiktoken.Encoding("byte_bpe_piece", pat_str="(?s:.+)", mergeable_ranks=table, special_tokens={})
         self.lengths = np.zeros(max([*table.values(), *SPECIAL.values()]) + 1, np.int64)
-        for token, rank in table.items():
-            self.lengths[rank] = len(token)
-        for token, rank in SPECIAL.items():
+        for token, rank in [*table.items(), *self.special.items()]:
             self.lengths[rank] = len(token)
         self.chunk, self.overlap = chunk_chars, overlap_chars
 
-    def ids(self, text: str) -> list[int]:
-        return self.encoding.encode(text, allowed_special="all")
-
-    def ends(self, ids: list[int]) -> np.ndarray:
+    def ids(self, text: str) -> np.ndarray:
+        """Ids of a text, encoded in one go."""
+        if len(text) < LONG_RUN or not LONG_SPACE.search(text):
+            return self.encoding.encode_to_numpy(text, allowed_special="all")
+        found = []
+        for part in re.split("(" + "|".join(map(re.escape, self.special)) + ")", text) if self.special else [text]:
+            at = 0
+            if part not in self.special:
+                for run in LONG_SPACE.finditer(part):
+                    to = run.end() if run.end() == len(part) else run.end() - 1
+                    found += [self.encoding.encode_to_numpy(part[at : run.start()], allowed_special="all"), self.piece.encode_to_numpy(part[run.start() : to])]
+                    at = to
+            found.append(self.encoding.encode_to_numpy(part[at:], allowed_special="all"))
+        return np.concatenate(found)
+
+    def ends(self, ids: np.ndarray) -> np.ndarray:
         """Byte offsets after 0, 1, 2 ... tokens."""
         return np.concatenate([[0], np.cumsum(self.lengths[ids])])
 
     def count(self, text: str) -> int:
-        if len(text) <= self.chunk:
-            return len(self.ids(text))
-        done, start = 0, 0  # tokens before the character at which the text still has to be encoded
-        while True:
-            if len(text) - start <= self.chunk:
-                return done + len(self.ids(text[start:]))
+        return sum(map(len, self.parts(text)))
+
+    def encode(self, text: str) -> np.ndarray:
+        """Ids of a whole text of any length."""
+        return np.concatenate([np.zeros(0, np.uint32), *self.parts(text)])
+
+    def parts(self, text: str) -> Iterator[np.ndarray]:
+        """The ids of a whole text, chunk by chunk."""
+        start = 0  # the character at which the text still has to be encoded
+        while len(text) - start > self.chunk:
             end = start + self.chunk
-            ends = self.ends(self.ids(text[start:end]))
-            overlap, joined = self.overlap, None
-            while joined is None:
-                joined = self._splice(text, start, end, ends, overlap)
+            ids, overlap, joined = self.ids(text[start:end]), self.overlap, None
+            while joined is None and end < len(text):
+                joined = self._splice(text, start, end, self.ends(ids), overlap)
                 if joined is None and overlap >= end - start:  # nothing stable in the chunk: encode a longer one
                     end = min(len(text), start + 2 * (end - start))
-                    if end == len(text):
-                        return done + len(self.ids(text[start:]))
-                    ends, overlap = self.ends(self.ids(text[start:end])), self.overlap
+                    ids, overlap = self.ids(text[start:end]), self.overlap
                 elif joined is None:
                     overlap = min(2 * overlap, end - start)
-            done, start = done + joined[0], joined[1]
+            if joined is None:
+                yield ids
+                return
+            yield ids[: joined[0]]
+            start = joined[1]
+        if start < len(text):
+            yield self.ids(text[start:])
 
     def _splice(self, text: str, start: int, end: int, ends: np.ndarray, overlap: int) -> tuple[int, int] | None:
         """Tokens of text[start:end] before a stable boundary in its last ``overlap`` characters, and that boundary.
