@@ -1,5 +1,3 @@
-import itertools
-import math
 
 import numpy as np
 import pytest
@@ -61,16 +59,6 @@ def test_kernel_shap_is_exact_for_an_additive_margin(spark):
     assert np.allclose(r["values"], [0.4, -0.4, -0.7, 0.05], atol=1e-9)
 
 
-def test_assignment_is_optimal():
-    rng = np.random.default_rng(1)
-    for n in range(1, 7):
-        c = rng.random((n, n))
-        got = resampling.hungarian(c)
-        assert math.isclose(c[np.arange(n), got].sum(), min(sum(c[i, p[i]] for i in range(n)) for p in itertools.permutations(range(n))))
-    pairs = resampling.match_pairs(np.array([[0.1, 0.2], [0.15, 9.0]]), 0.35)
-    assert [(i, j) for i, j, _ in pairs] == [(0, 1), (1, 0)]
-
-
 def test_threshold_without_a_valid_end_lies_above_all_scores(spark):
     f = spark.createDataFrame([(0, 0.9), (1, 0.9), (0, 0.1)], "truth int, score double")
     r = metrics.threshold_at_fpr(f, 0.05).first()

@@ -17,41 +17,6 @@ def read(spark, name):
     return spark.read.parquet(f"{SF_DIR}/{name}.parquet")
 
 
-def test_sparse_matching_is_as_good_as_the_full_matrix():
-    rng = np.random.default_rng(6)
-    for case in range(60):
-        a, b = (rng.normal(size=(int(rng.integers(0, 40)), 2)) * rng.choice([0.2, 0.6, 2.0]) for _ in range(2))
-        if case % 3 == 0:
-            a, b = np.round(a, 1), np.round(b, 1)
-        full = resampling.match_pairs(np.sqrt(np.mean((a[:, None] - b[None]) ** 2, axis=2)), 0.35)
-        got = resampling.near_pairs(a, b, 0.35)
-        assert len(got) == len(full) and np.isclose(sum(x for *_, x in got), sum(x for *_, x in full), atol=1e-6)
-        assert len({i for i, *_ in got}) == len({j for _, j, _ in got}) == len(got)
-        assert all(np.isclose(x, np.sqrt(np.mean((a[i] - b[j]) ** 2))) and x <= 0.35 for i, j, x in got)
-
-
-@tables
-def test_caliper_matching_takes_all_events(spark):
-    from veritab.plans._adapter import predictions
-
-    p = predictions(spark, SF_DIR).select("flow", "seed", "p1", "value", (F.col("truth") == F.col("d1")).alias("ok")).toPandas()
-    got = catalog.QUERIES["caliper_matching"](spark, SF_DIR).groupBy("seed").agg(F.count("*").alias("n"), F.sum("distance").alias("d")).collect()
-    assert len(got) == p["seed"].nunique()
-    for r in got:
-        part = p[p["seed"] == r["seed"]]
-        z = part[["p1", "value"]].to_numpy()
-        z = (z - z.mean(0)) / z.std(0, ddof=1)
-        ok = part["ok"].to_numpy()
-        full = resampling.match_pairs(np.sqrt(np.mean((z[ok][:, None] - z[~ok][None]) ** 2, axis=2)), 0.35)
-        assert r["n"] == len(full) and np.isclose(r["d"], sum(x for *_, x in full), atol=1e-5)
-
-
-def test_groups_beyond_the_full_matrix_are_matched(spark):
-    f = spark.createDataFrame([(i, 1, i % 2, float(i // 2), 0.0) for i in range(1000)], "k long, g int, arm int, x double, y double")
-    got = resampling.caliper_matching(f, "arm", 1, 0, ["x", "y"], "k", "g").collect()
-    assert len(got) == 500 and all(r["left"] == r["right"] + 1 and r["distance"] == 0 for r in got)
-
-
 @tables
 @pytest.mark.parametrize("name", ["lime_ridge", "kernel_shap_logit"])
 def test_every_account_is_explained(spark, name):

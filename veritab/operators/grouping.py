@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veritab.functions.hashing import unit
+from veritab.operators.graph import connected_components as connected_components
 from veritab.operators.prefix import value_ranks
 
 SPLITS = ("train", "validation", "test")
@@ -48,41 +47,6 @@ def balanced_split(groups: DataFrame, group: str, label: str, size: str, proport
     return made.select(F.col("g").alias(group), F.col("l").alias(label), "split")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; where it is unset, a temporary one in local mode and an error on a cluster."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        master = spark.sparkContext.master
-        if not master.startswith("local") or master.startswith("local-cluster"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        found = tempfile.mkdtemp(prefix="veritab-")
-    return found
-
-
-def connected_components(edges: DataFrame, rounds: int = 50) -> DataFrame:
-    """edges: longs (a, b). Rows (node, component): the smallest node reachable.
-
-    The smallest label travels along edges and then jumps to the label of that label, so rounds grow with the
-    logarithm of a component's width. checkpoint() ends each round's lineage in the shared folder.
-    """
-    spark = edges.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(shared_folder(spark))
-    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct().checkpoint()
-    labels = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("c")).select(F.col("a").alias("node"), "c").checkpoint()
-    for _ in range(rounds):
-        near = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("c").alias("m"))
-        stepped = labels.join(near, labels["node"] == near["a"], "left").select("node", F.least("c", F.coalesce("m", "c")).alias("c"))
-        up = stepped.select(F.col("node").alias("k"), F.col("c").alias("up"))
-        jumped = stepped.join(up, stepped["c"] == up["k"], "left").select("node", F.least("c", F.coalesce("up", "c")).alias("c")).checkpoint()
-        changed = jumped.join(labels.withColumnRenamed("c", "old"), "node").filter("c <> old")
-        done = changed.isEmpty()
-        labels = jumped
-        if done:
-            return labels.select("node", F.col("c").alias("component"))
-    raise RuntimeError("the components did not settle")
-
-
 def split_diagnostics(rows: DataFrame, split: str, time: str, group: str, label: str) -> DataFrame:
     """Share, groups, classes and time range of each split."""
     n = rows.count()

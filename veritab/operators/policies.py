@@ -31,17 +31,19 @@ def without_conflicts(frame: DataFrame, key: str, value: str) -> DataFrame:
 
 
 def merged(frame: DataFrame, keys: list[str]) -> DataFrame:
-    """The frame with a component: rows that share a value of any key are in one."""
+    """The frame with a component: rows that share a value of any key are in one.
+
+    A null joins nothing; a row whose keys are all null is a component of its own, together with its exact copies.
+    """
+    alone = F.concat(F.lit("row "), F.xxhash64(*frame.columns).cast("string"))
     if len(keys) == 1:
-        return frame.withColumn("component", F.col(keys[0]).cast("string"))
-    node = lambda k: F.xxhash64(F.lit(k), F.col(k).cast("string"))
-    edges = None
-    for k in keys[1:]:
-        part = frame.select(node(keys[0]).alias("a"), node(k).alias("b")).distinct()
-        edges = part if edges is None else edges.unionByName(part)
+        return frame.withColumn("component", F.coalesce(F.col(keys[0]).cast("string"), alone))
+    nodes = F.array_compact(F.array(*[F.when(F.col(k).isNotNull(), F.xxhash64(F.lit(k), F.col(k).cast("string"))) for k in keys]))
+    rows = frame.withColumn("_nodes", nodes)
+    edges = rows.select(F.get("_nodes", F.lit(0)).alias("a"), F.explode("_nodes").alias("b")).distinct()
     found = connected_components(edges)
-    joined = frame.withColumn("_node", node(keys[0])).join(found, F.col("_node") == found["node"])
-    return joined.select(*frame.columns, F.col("component").cast("string").alias("component"))
+    joined = rows.join(found, F.get("_nodes", F.lit(0)) == found["node"], "left")
+    return joined.select(*frame.columns, F.coalesce(F.col("component").cast("string"), alone).alias("component"))
 
 
 def class_counts(frame: DataFrame, label: str) -> DataFrame:

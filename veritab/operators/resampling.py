@@ -1,4 +1,4 @@
-"""Crossed source by seed resampling, run-pair statistics and optimal caliper matching."""
+"""Crossed source by seed resampling and run-pair statistics."""
 
 from __future__ import annotations
 
@@ -90,148 +90,3 @@ def run_pair_statistic(pairs: DataFrame, value: str, *keys: str, left: str = "le
     n = F.count("*").over(Window.partitionBy(*keys))
     pseudo = (2 * (n - 1) * F.col("p") - n * F.col("u")) / F.nullif(n - 2, F.lit(0))
     return joined.withColumn("v", pseudo).groupBy(*keys).agg(F.first("u").alias("estimate"), (F.stddev_samp("v") / F.sqrt(F.count("*"))).alias("jackknife_se"), F.count("*").alias("n_runs"), F.first("n_pairs").alias("n_pairs"))
-
-
-def hungarian(cost: np.ndarray) -> np.ndarray:
-    """Column of each row in a cheapest complete assignment of a square matrix, by shortest augmenting paths."""
-    n = len(cost)
-    u, v, owner = np.zeros(n), np.zeros(n), np.full(n, -1)
-    for i in range(n):
-        slack, origin, done = np.full(n, np.inf), np.full(n, -1), np.zeros(n, bool)
-        row, last = i, -1
-        while True:
-            reduced = cost[row] - u[row] - v
-            better = ~done & (reduced < slack)
-            slack[better], origin[better] = reduced[better], last
-            j = int(np.argmin(np.where(done, np.inf, slack)))
-            step = slack[j]
-            u[i] += step
-            u[owner[done]] += step
-            v[done] -= step
-            slack[~done] -= step
-            done[j] = True
-            last = j
-            if owner[j] < 0:
-                break
-            row = owner[j]
-        while last >= 0:
-            back = origin[last]
-            owner[last] = owner[back] if back >= 0 else i
-            last = back
-    out = np.empty(n, int)
-    out[owner] = np.arange(n)
-    return out
-
-
-def match_pairs(distance: np.ndarray, caliper: float) -> list[tuple[int, int, float]]:
-    """As many pairs within the caliper as possible, and among those the least total distance (M1)."""
-    a, b = distance.shape
-    if not a or not b:
-        return []
-    cost = np.zeros((a + b, a + b))
-    cost[:a, :b] = np.where(distance <= caliper, distance, 1e12)
-    cost[:a, b:] = 1e6
-    cost[a:, :b] = 1e6
-    to = hungarian(cost)
-    return [(i, int(to[i]), float(distance[i, to[i]])) for i in range(a) if to[i] < b and distance[i, to[i]] <= caliper]
-
-
-def near_edges(a: np.ndarray, b: np.ndarray, caliper: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Pairs of rows within the caliper in RMS distance, by row of a: where each row's pairs begin, rows of b, distances."""
-    reach = caliper * np.sqrt(a.shape[1]) * (1 + 1e-9)
-    order = np.argsort(b[:, 0], kind="stable")
-    line = b[order, 0]
-    low, high = np.searchsorted(line, a[:, 0] - reach, "left"), np.searchsorted(line, a[:, 0] + reach, "right")
-    counts, to, far = np.zeros(len(a) + 1, np.int64), [], []
-    for i in range(len(a)):
-        near = order[low[i] : high[i]]
-        d = np.sqrt(np.mean((b[near] - a[i]) ** 2, axis=1))
-        near, d = near[d <= caliper], d[d <= caliper]
-        counts[i + 1] = len(near)
-        to.append(near)
-        far.append(d)
-    return np.cumsum(counts), np.concatenate([np.zeros(0, np.int64), *to]), np.concatenate([np.zeros(0), *far])
-
-
-def near_pairs(a: np.ndarray, b: np.ndarray, caliper: float) -> list[tuple[int, int, float]]:
-    """What ``match_pairs`` gives for the RMS distances of all rows of a and b, from the pairs within the caliper only.
-
-    Shortest augmenting paths over those pairs. Each row may also stay alone, at a price above the sum of all
-    distances, so as many rows as possible are matched first. Memory is that of the pairs within the caliper.
-    """
-    if len(a) > len(b):
-        return sorted((i, j, d) for j, i, d in near_pairs(b, a, caliper))
-    begin, to, far = near_edges(a, b, caliper)
-    alone = (caliper + 1e-9) * (len(a) + 1)
-    u, v = np.full(len(a), alone), np.zeros(len(b))
-    column, owner = np.full(len(a), -1), np.full(len(b), -1)
-    rest = []
-    for i in np.flatnonzero(np.diff(begin)):
-        k = begin[i] + int(np.argmin(far[begin[i] : begin[i + 1]]))
-        u[i] = far[k]
-        if owner[to[k]] < 0:
-            column[i], owner[to[k]] = to[k], i
-        else:
-            rest.append(int(i))
-    for root in rest:
-        # reached: the least reduced distance of open columns, infinite for closed ones
-        reached, origin = np.full(len(b), np.inf), np.full(len(b), -1)
-        rows, rows_at, closed, closed_at = [], [], [], []
-        row, at, give_up, quitter = root, 0.0, np.inf, -1
-        seen = np.zeros(len(b), bool)
-        while True:
-            rows.append(row)
-            rows_at.append(at)
-            if at + alone - u[row] < give_up:
-                give_up, quitter = at + alone - u[row], row
-            near = to[begin[row] : begin[row + 1]]
-            d = (at - u[row]) + far[begin[row] : begin[row + 1]] - v[near]
-            better = (d < reached[near]) & ~seen[near]
-            near = near[better]
-            reached[near], origin[near] = d[better], row
-            j = int(np.argmin(reached))
-            if reached[j] >= give_up:
-                at, last = give_up, -1
-                break
-            at = max(at, float(reached[j]))
-            reached[j], seen[j] = np.inf, True
-            closed.append(j)
-            closed_at.append(at)
-            if owner[j] < 0:
-                last = j
-                break
-            row = int(owner[j])
-        u[rows] += at - np.array(rows_at)
-        v[closed] -= at - np.array(closed_at)
-        if last < 0:
-            # the quitter stays alone, and its column goes back along the path
-            last, column[quitter] = int(column[quitter]), -1
-        while last >= 0:
-            row = int(origin[last])
-            owner[last] = row
-            column[row], last = last, int(column[row])
-    return [(int(i), int(column[i]), float(np.sqrt(np.mean((a[i] - b[column[i]]) ** 2)))) for i in np.flatnonzero(column >= 0)]
-
-
-def caliper_matching(frame: DataFrame, arm: str, left, right, features: list[str], key: str, *keys: str, caliper: float = 0.35, most: int = 400) -> DataFrame:
-    """Matched pairs of two arms by RMS distance of pooled z-scores (M2, M3): keys, left, right, distance.
-
-    Both ways are exact: groups of at most ``most`` rows by a full matrix, larger ones by the pairs within the caliper.
-    """
-    kinds = {f.name: f.dataType.simpleString() for f in frame.schema}
-
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.drop_duplicates(key).sort_values(key, kind="stable")
-        z = part[features].to_numpy(float)
-        sd = z.std(0, ddof=1) if len(z) > 1 else np.ones(z.shape[1])
-        z = (z - z.mean(0)) / np.where(sd > 1e-12, sd, 1.0)
-        a, b = (part[arm] == left).to_numpy(), (part[arm] == right).to_numpy()
-        if len(part) > most:
-            pairs = near_pairs(z[a], z[b], caliper)
-        else:
-            pairs = match_pairs(np.sqrt(np.mean((z[a][:, None] - z[b][None]) ** 2, axis=2)), caliper)
-        names, left_names, right_names = [part[k].iloc[0] for k in keys], part[key].to_numpy()[a], part[key].to_numpy()[b]
-        rows = [[*names, left_names[i], right_names[j], x] for i, j, x in pairs]
-        return pd.DataFrame(rows, columns=[*keys, "left", "right", "distance"])
-
-    return frame.groupBy(*keys).applyInPandas(run, ", ".join([*[f"{k} {kinds[k]}" for k in keys], f"left {kinds[key]}, right {kinds[key]}, distance double"]))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from veritab.functions import accounts as A
 from veritab.functions.hashing import unit_sql
-from veritab.operators import explain, grouping, resampling, transforms
+from veritab.operators import explain, grouping, matching, resampling, transforms
 from veritab.operators.prefix import quantiles
 from veritab.plans._adapter import ACCOUNTS, PREDICTIONS, ROWS, SIMILARITY, accounts, predictions, r6, rows, similar, table
 
@@ -219,7 +219,7 @@ def run_pair_u_statistic(spark, sf_dir):
 @query()
 def caliper_matching(spark, sf_dir):
     p = predictions(spark, sf_dir).withColumn("correct", (F.col("truth") == F.col("d1")).cast("int"))
-    return resampling.caliper_matching(p, "correct", 1, 0, ["p1", "value"], "flow", "seed")
+    return matching.caliper_matching(p, "correct", 1, 0, ["p1", "value"], "flow", "seed")
 
 
 @query()
