@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from veritab.functions import accounts as A
 from veritab.functions.hashing import unit_sql
-from veritab.operators import explain, grouping, matching, resampling, transforms
+from veritab.operators import explain, gates, grouping, matching, resampling, seeds, transforms
 from veritab.operators.prefix import quantiles
 from veritab.plans._adapter import ACCOUNTS, PREDICTIONS, ROWS, SIMILARITY, accounts, predictions, r6, rows, similar, table
 
@@ -216,6 +216,46 @@ def run_pair_u_statistic(spark, sf_dir):
     return u.select("label", r6("estimate").alias("estimate"), r6("jackknife_se").alias("jackknife_se"), "n_runs", "n_pairs")
 
 
+def run_panel(spark, sf_dir):
+    """seed, flow, run, q: magnitudes as shares of their sum, four runs of each flow and seed; incomplete panels are left out."""
+    a = accounts(spark, sf_dir).select("seed", F.floor(F.col("flow") / 20).alias("source"), (F.floor(F.col("flow") / 5) % 4).alias("run"), F.transform("m", lambda x: x / A.total("m")).alias("q"))
+    whole = a.groupBy("seed", "source").agg(F.count("*").alias("n")).filter("n = 4").select("seed", "source")
+    return a.join(whole, ["seed", "source"]).withColumnRenamed("source", "flow")
+
+
+def run_pairs(spark, sf_dir):
+    from veritab.operators.joins import unordered_pairs
+
+    pairs = unordered_pairs(run_panel(spark, sf_dir).withColumn("part", F.col("flow") % 2), ["part", "seed", "flow"], "run", ["q"])
+    return pairs.withColumn("v", A.total(F.zip_with("left_q", "right_q", lambda x, y: F.abs(x - y))) / 2)
+
+
+@query("WITH" + ACCOUNTS + f""", a AS (SELECT seed, flow // 20 AS source, (flow // 5) % 4 AS run, list_transform(m, lambda x: x / list_sum(m)) AS q FROM acc), w AS (SELECT seed, source FROM a GROUP BY ALL HAVING count(*) = 4),
+p AS (SELECT x.source % 2 AS part, x.seed, x.source, x.run AS l, y.run AS r, list_sum(list_transform(range(1, 65), lambda i: abs(x.q[i] - y.q[i]))) / 2 AS v FROM a x JOIN a y ON x.seed = y.seed AND x.source = y.source AND x.run < y.run JOIN w ON w.seed = x.seed AND w.source = x.source),
+j AS (SELECT part, seed, source, run, avg(v) AS p FROM (SELECT part, seed, source, l AS run, v FROM p UNION ALL SELECT part, seed, source, r, v FROM p) t GROUP BY ALL), reps AS (SELECT unnest(range(0, 1000)) AS rep),
+h AS (SELECT source, rep, {unit_sql('boot', 'rep', 'source')} / 4294967296.0::DOUBLE AS u FROM (SELECT DISTINCT source FROM j) d, reps), g AS (SELECT source, rep, CASE WHEN u < 0.36787944117144233 THEN 0 WHEN u < 0.7357588823428847 THEN 1 WHEN u < 0.9196986029286058 THEN 2 ELSE 3 END AS w FROM h),
+m AS (SELECT part, rep, seed, run, sum(w * p) / nullif(sum(w), 0) AS m FROM j JOIN g ON j.source = g.source GROUP BY ALL), pseudo AS (SELECT *, (2 * 3 * m - 4 * avg(m) OVER (PARTITION BY part, rep, seed)) / 2 AS z FROM m),
+picks AS (SELECT rep, seed, k, {unit_sql('boot run', 'rep', 'seed', 'k')} * 4 // 4294967296 AS run FROM reps, (SELECT DISTINCT seed FROM j) s, (SELECT unnest(range(0, 4)) AS k) kk),
+draws AS (SELECT part, rep, avg(v) AS d FROM (SELECT part, rep, seed, avg(z) AS v FROM pseudo JOIN picks USING (rep, seed, run) GROUP BY ALL) t GROUP BY ALL),
+e AS (SELECT part, avg(s) AS estimate, count(*)::BIGINT AS n_seeds FROM (SELECT part, seed, avg(p) AS s FROM j GROUP BY ALL) t GROUP BY part),
+i AS (SELECT part, quantile_cont(d, 0.025) AS lo, quantile_cont(d, 0.975) AS hi FROM draws GROUP BY part)
+SELECT e.part, 'normalized_mass_l1' AS metric, round(estimate, 6) AS estimate, round(lo, 6) AS ci_low, round(hi, 6) AS ci_high, n_seeds, 4::BIGINT AS n_runs, n_seeds = 5 AS coverage_sufficient, true AS identification_coverage_sufficient,
+CASE WHEN n_seeds <> 5 THEN 'not_evaluable_seed_coverage' WHEN hi <= 0.2 THEN 'pass' ELSE 'fail' END AS gate_status FROM e JOIN i ON e.part = i.part""")
+def lime_u_intervals(spark, sf_dir):
+    """Intervals of run-pair statistics with coverage and gate, under hashed draws."""
+    pairs = run_pairs(spark, sf_dir)
+    i = resampling.run_pair_hash_interval(pairs, "v", "part").withColumn("metric", F.lit("normalized_mass_l1"))
+    c = seeds.coverage(pairs.withColumn("identified", F.col("v").isNotNull()), "identified", "part").drop("n_seeds")
+    g = gates.apply_gates(i.join(c, "part"))
+    return g.select("part", "metric", *[r6(x).alias(x) for x in ("estimate", "ci_low", "ci_high")], "n_seeds", "n_runs", "coverage_sufficient", "identification_coverage_sufficient", "gate_status")
+
+
+@query()
+def lime_u_bootstrap(spark, sf_dir):
+    """The same statistics under the reference's law: seeds, sources and shared runs drawn 5,000 times."""
+    return resampling.run_pair_bootstrap(run_pairs(spark, sf_dir), "v", "part")
+
+
 @query()
 def caliper_matching(spark, sf_dir):
     p = predictions(spark, sf_dir).withColumn("correct", (F.col("truth") == F.col("d1")).cast("int"))
