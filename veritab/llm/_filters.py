@@ -2,9 +2,10 @@
 
 Tasks settle what recurs among the keys that they hold, so a hash that a third of all rows have becomes one witness
 a task. The other hashes, 8 bytes and what belongs to them, are dealt out once to shards of about ``SHARD_KEYS``
-rows. A shard sets the cells of each hash in its once-seen filter; where they were set before, in its twice-seen
-filter; then it lets pass the rows that the twice-seen filter can't rule out. The filters have a fixed size and
-live as long as their task: the number of shards follows the input, the error rate doesn't, and texts are read once.
+rows; where these are more than ``MOST_PARTITIONS``, a partition holds several, one after the other. A shard sets the
+cells of each hash in its once-seen filter; where they were set before, in its twice-seen filter; then it lets pass
+the rows that the twice-seen filter can't rule out. The filters have a fixed size and live as long as their shard: the
+number of shards follows the input, the error rate and the number of partitions don't, and texts are read once.
 """
 
 from __future__ import annotations
@@ -17,10 +18,12 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veritab.llm._core import mixed, parallel, released, signed, staged, trimmed
+from veritab.llm._core import mixed, released, signed, staged, trimmed
 
 #: Rows of a shard on average, cells of each of its filters, and cells that a hash sets.
 SHARD_KEYS, CELLS, PROBES = 1 << 18, 1 << 22, 2
+#: Partitions that keys are dealt to at most, at any size.
+MOST_PARTITIONS = 1 << 13
 #: Keys that a task compares with each other before it passes them on.
 HELD_KEYS = 1 << 18
 #: A set of at most so many hashes (16 MB) is broadcast; a larger one is joined.
@@ -100,6 +103,24 @@ def _passed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     trimmed()
 
 
+def _by_shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The shards of a partition, one after the other: rows come sorted by their last column, the shard's number."""
+    held, now = [], None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        number = np.asarray(batch.column(batch.num_columns - 1).to_numpy(zero_copy_only=False))
+        cuts = [0, *(np.flatnonzero(np.diff(number)) + 1).tolist(), len(number)]
+        rest = batch.drop_columns([batch.schema.names[-1]])
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            if held and number[a] != now:
+                yield from _passed(iter(held))
+                held = []
+            held.append(rest.slice(a, b - a))
+            now = number[a]
+    yield from _passed(iter(held))
+
+
 def twice_seen(keys: DataFrame) -> DataFrame:
     """keys: a staged table (h long, kind int, other columns) as ``settled`` makes it. Its rows without the kind
     whose hash occurs twice, and few others."""
@@ -107,7 +128,12 @@ def twice_seen(keys: DataFrame) -> DataFrame:
     shards = max(1, -(-dealt.count() // SHARD_KEYS))
     rest = keys.drop("kind")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rest.schema)
-    passed = dealt.repartition(shards, "h").mapInArrow(_passed, schema).coalesce(max(parallel(keys.sparkSession), shards))
+    each = -(-shards // MOST_PARTITIONS)
+    if each == 1:
+        passed = dealt.repartition(shards, "h").mapInArrow(_passed, schema)
+    else:  # xxhash64 and the hash that deals rows to partitions don't hang together
+        numbered = dealt.repartition(MOST_PARTITIONS, "h").withColumn("_shard", F.pmod(F.xxhash64("h"), F.lit(each)).cast("int"))
+        passed = numbered.sortWithinPartitions("_shard").mapInArrow(_by_shard, schema)
     return passed.unionByName(keys.filter(F.col("kind") > UNKNOWN).drop("kind"))
 
 

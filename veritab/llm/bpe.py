@@ -11,6 +11,8 @@ The runs between white space of a slice of texts are found in its bytes, named b
 byte with the first run of that name, so each distinct run is looked up once. Ids and decoded texts of all runs
 are then gathered in NumPy.
 
+Words with characters that are newer than this Python's Unicode are lower-cased and split by the vocabulary's own library.
+
 Null and empty texts, and texts of white space, encode to no ids and decode to an empty text. Any text is encoded
 whole; a very long word costs time in proportion to its length times the longest token, and no trie. Repeated rows
 and rows with equal ids are encoded each on its own, and no tie can arise. An empty table gives an empty one. Extra
@@ -19,6 +21,7 @@ columns are left out, whatever their names.
 
 from __future__ import annotations
 
+import functools
 import gc
 import hashlib
 import json
@@ -61,6 +64,7 @@ class WordBpe:
     """vocabulary: JSON of a tokenizer with the parts normalizer, splitting pattern, BPE model and added tokens."""
 
     def __init__(self, vocabulary: bytes | str):
+        self.vocabulary, self.library = vocabulary, None
         parts = json.loads(vocabulary)
         model = parts["model"]
         self.tokens: dict[str, int] = model["vocab"]
@@ -189,9 +193,21 @@ class WordBpe:
     def _words(self, text: str) -> list[str]:
         if text.isascii():
             return self.split.findall(text.lower())
+        if newer_characters().search(text):
+            return self._words_by_library(text)
         # lower() alone would treat a final sigma by its neighbours; the vocabulary lowers each character alone
         return self.split.findall(unicodedata.normalize("NFC", text).replace("Σ", "σ").lower())
 
+    def _words_by_library(self, text: str) -> list[str]:
+        """The words of a text some of whose characters Python, regex and the vocabulary's library may class differently."""
+        if self.library is None:
+            import tokenizers
+
+            held = self.vocabulary
+            self.library = tokenizers.Tokenizer.from_str(held.decode() if isinstance(held, bytes) else held)
+        text = self.library.normalizer.normalize_str(text)
+        return [text[a:b] for _, (a, b) in self.library.pre_tokenizer.pre_tokenize_str(text)]
+
     def encode_batch(self, texts: pa.Array) -> Iterator[tuple[bytes, bytes]]:
         """Per text: its ids as little-endian unsigned 32-bit integers, and the decoded text (tokens joined by a space)."""
         raw, offsets = buffer_of(texts)
@@ -350,6 +366,14 @@ def unpack(ids: bytes) -> array:
     return packed
 
 
+@functools.cache
+def newer_characters() -> regex.Pattern:
+    """Any character that this Python's Unicode doesn't have, while other libraries may."""
+    new = np.array([unicodedata.category(chr(i)) == "Cn" for i in range(sys.maxunicode + 1)])
+    edges = np.flatnonzero(np.diff(np.concatenate([[False], new, [False]]).astype(int)))
+    return regex.compile("[" + "".join(f"\\U{a:08x}-\\U{b - 1:08x}" for a, b in edges.reshape(-1, 2).tolist()) + "]")
+
+
 _kept: dict[bytes, WordBpe] = {}
 
 

@@ -19,8 +19,9 @@
 
 Null and empty texts match nothing. Items of fewer than ``shortest`` tokens are found by verbatim copies. Rows of
 documents with the same id are taken as one document, items with the same id as one item. Each document and item is
-told once, so there are no ties. A document with a null id is in no pair. Very long texts are read whole. Empty tables
-give no pair. Extra columns of either table may have any name.
+told once, so there are no ties. A document with a null id is in no pair. ``decontaminated`` tells rows by id and text
+together, so rows with a null id, or with the id of another, stay or go by their own text. Very long texts are read
+whole. Empty tables give no pair. Extra columns of either table may have any name.
 """
 
 from __future__ import annotations
@@ -180,7 +181,12 @@ def contaminated_pairs(docs: DataFrame, items: DataFrame, id_column: str = "doc_
     return scored.select(F.col("doc").alias(id_column), F.col("item").alias(item_column), n_windows.alias("n_windows"), n_matched.alias("n_matched"), "coverage", "n_slots")
 
 
-def decontaminated(docs: DataFrame, items: DataFrame, id_column: str = "doc_id", **options) -> DataFrame:
-    """The documents, with all their columns, that no item contaminates. Rows with a null id are kept."""
-    bad = staged(contaminated_pairs(docs, items, id_column, **options).select(F.col(id_column).alias("bad_id")).distinct(), "contaminated")
-    return docs.join(bad, docs[id_column] == bad["bad_id"], "left_anti")
+def decontaminated(docs: DataFrame, items: DataFrame, id_column: str = "doc_id", text_column: str = "text", **options) -> DataFrame:
+    """The documents, with all their columns, that no item contaminates.
+
+    A row is told by its id and a hash of its text, so of rows with one id, or with a null id, those stay that are clean.
+    """
+    key = F.struct(F.col(id_column).alias("id"), F.xxhash64(F.col(text_column).cast("string")).alias("h"))
+    keyed = docs.select(key.alias("key"), F.col(text_column).alias("text"), F.struct("*").alias("row"))
+    bad = staged(contaminated_pairs(keyed, items, "key", "text", **options).select(F.col("key").alias("bad")).distinct(), "contaminated")
+    return keyed.join(bad, F.col("key").eqNullSafe(F.col("bad")), "left_anti").select("row.*")

@@ -22,7 +22,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import zstandard
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veritab.llm._core import small_batches
@@ -109,10 +109,12 @@ def build(samples: dict[str, list[list[str]]], dictionary_bytes: int = DICTIONAR
 
 
 def learn(frame: DataFrame, usable: Column, id_column: str = "doc_id", text_column: str = "text", label_column: str = "lang", sample_docs: int = SAMPLE_DOCS) -> dict[str, bytes]:
-    """Dictionaries from rows that are ``usable`` and have a label: about ``sample_docs`` of each label, by a hash of the id.
+    """Dictionaries from rows that are ``usable`` and have a label: about ``sample_docs`` of each label, by a hash of id
+    and text.
 
     One pass counts the rows of each label; a second one reads the chosen rows and brings PIECES pieces each of at most
-    2 * sample_docs texts a label to the driver, from all over the text.
+    2 * sample_docs texts a label to the driver, from all over the text: those of the smallest hashes, however many rows
+    share an id.
     """
     rows = frame.select(F.col(id_column).cast("string").alias("i"), F.col(label_column).alias("l"), F.col(text_column).cast("string").alias("t"), F.coalesce(usable, F.lit(False)).alias("u")).filter("u and l is not null")
     counts = {r["l"]: r["n"] for r in rows.groupBy("l").agg(F.count("*").alias("n")).collect()}
@@ -122,11 +124,14 @@ def learn(frame: DataFrame, usable: Column, id_column: str = "doc_id", text_colu
     share = F.lit(unit)
     for name, n in counts.items():
         share = F.when(F.col("l") == name, F.lit(min(unit, unit * 3 * sample_docs // (2 * n) + 1))).otherwise(share)
-    chosen = rows.filter("t is not null").filter(F.pmod(F.xxhash64("i"), F.lit(unit)) < share).select("l", F.coalesce("i", F.lit("")).alias("i"), pieces_of(F.col("t")).alias("t"))
+    # copies have one hash: no more of them than the sample's size pass, task by task
+    order = F.pmod(F.xxhash64("i", "t"), F.lit(unit))
+    chosen = rows.filter("t is not null").withColumn("o", order).filter(F.col("o") < share).select("l", "o", F.coalesce("i", F.lit("")).alias("i"), pieces_of(F.col("t")).alias("t"))
+    place = F.row_number().over(Window.partitionBy("l").orderBy("o", "i", "t"))
+    chosen = chosen.withColumn("place", place).filter(F.col("place") <= 2 * sample_docs)
     samples: dict[str, list[list[str]]] = {}
-    for r in sorted(chosen.toLocalIterator(), key=lambda r: (r["l"], len(r["i"]), r["i"], r["t"])):
-        if len(held := samples.setdefault(r["l"], [])) < 2 * sample_docs:
-            held.append(r["t"])
+    for r in sorted(chosen.select("l", "i", "t").toLocalIterator(), key=lambda r: (r["l"], len(r["i"]), r["i"], r["t"])):
+        samples.setdefault(r["l"], []).append(r["t"])
     ordered = sorted(samples, key=lambda name: (-counts[name], name))
     return build({name: samples[name] for name in ordered})
 
