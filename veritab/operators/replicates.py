@@ -109,7 +109,7 @@ def multinomial_sums(cells: DataFrame, *keys: str, replicates: int, seed: int, l
         return pd.DataFrame(made | {"column": columns, "_leaf": leaf, "sums": [sums[:, i].tobytes() for i in range(len(columns))], "weights": [weights[:, i].tobytes() for i in range(len(columns))]})
 
     schema = ", ".join([*[f"`{k}` {kinds[k]}" for k in keys], f"column {kinds['column']}", "_leaf long", "sums binary", "weights binary"])
-    drawn = placed.join(way, ["_cell", "_leaf"]).groupBy("_cell", "_leaf").applyInPandas(draw, schema)
+    drawn = dealt(placed.join(way, ["_cell", "_leaf"]), "_cell", "_leaf").groupBy("_cell", "_leaf").applyInPandas(draw, schema)
     return _added(drawn, list(keys), "_leaf")
 
 
@@ -117,6 +117,13 @@ def multinomial_sums(cells: DataFrame, *keys: str, replicates: int, seed: int, l
 WEIGHTS = np.array([0.36787944117144233, 0.7357588823428847, 0.9196986029286058])
 
 
+def dealt(frame: DataFrame, *by: str) -> DataFrame:
+    """Rows dealt to as many tasks as the session's shuffles have, or as can run at once: few bytes may be much work, so
+    partitions are not to be joined by their size."""
+    spark = frame.sparkSession
+    return frame.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), *by)
+
+
 def hashed_weights(source, replicates: int, salt: str) -> np.ndarray:
     """The weight of a source in each replicate, from the first 32 bits of an MD5."""
     tail = f"|{source}".encode()
@@ -133,7 +140,7 @@ def hashed_sums(cells: DataFrame, *keys: str, replicates: int, salt: str) -> Dat
     """The same rows as ``multinomial_sums`` under hashed weights, which one source has in all cells."""
     kinds = {f.name: f.dataType.simpleString() for f in cells.schema}
     names = [*keys, "column"]
-    sources = cells.groupBy(F.col("source").cast("string").alias("source")).agg(F.collect_list(F.struct(*names, "x", "n")).alias("cells"))
+    sources = dealt(cells.withColumn("source", F.col("source").cast("string")), "source").groupBy("source").agg(F.collect_list(F.struct(*names, "x", "n")).alias("cells"))
 
     def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: dict[tuple, list] = {}

@@ -311,19 +311,25 @@ def prepared_task(spark, sf_dir):
     return one.crossJoin(preparation.invariants(p, "label", ["A", "N", "R"]))
 
 
-#: Declared probe configurations: method, run, role.
-PROBES = [("gradient", "g64", "primary"), ("gradient", "g128", "sensitivity"), ("occlusion", "median", "primary"), ("occlusion", "mean", "reference"), ("surrogate", "run0", "primary"), ("surrogate", "run1", "replicate"), ("surrogate", "run2", "replicate")]
-
-
-@query("WITH p AS (SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{b}', '{c}')" for a, b, c in PROBES) + ") t(method, run, role)) SELECT a.method, a.run AS left_run, b.run AS right_run, CASE WHEN a.role = 'primary' THEN b.role || '_versus_primary' ELSE 'between_replicates' END AS comparison FROM p a JOIN p b ON a.method = b.method WHERE (a.role = 'primary' AND b.role <> 'primary') OR (a.role = 'replicate' AND b.role = 'replicate' AND a.run < b.run)")
+@query("""WITH p AS (SELECT event_type AS method, 'run' || (event_id % 4) AS run, CASE event_id % 4 WHEN 0 THEN 'primary' WHEN 1 THEN 'reference' ELSE 'replicate' END AS role, user_id FROM events),
+s AS (SELECT method, run, role, count(DISTINCT user_id)::BIGINT AS n FROM p GROUP BY ALL), both_ AS (SELECT a.method, a.run AS l, b.run AS r, count(DISTINCT a.user_id)::BIGINT AS n_shared FROM p a JOIN p b ON a.method = b.method AND a.user_id = b.user_id GROUP BY ALL)
+SELECT a.method, a.run AS left_run, b.run AS right_run, CASE WHEN a.role = 'primary' THEN b.role || '_versus_primary' ELSE 'between_replicates' END AS comparison, a.n AS n_left, b.n AS n_right, coalesce(n_shared, 0)::BIGINT AS n_shared
+FROM s a JOIN s b ON a.method = b.method LEFT JOIN both_ ON both_.method = a.method AND l = a.run AND both_.r = b.run WHERE (a.role = 'primary' AND b.role <> 'primary') OR (a.role = 'replicate' AND b.role = 'replicate' AND a.run < b.run)""")
 def probe_comparisons(spark, sf_dir):
-    """Pairs of declared probe runs by role (Q8, Q9)."""
-    specs = spark.createDataFrame(PROBES, "method string, run string, role string")
-    left, right = specs.toDF("method", "left_run", "left_role"), specs.toDF("method", "right_run", "right_role")
+    """Pairs of a method's runs by role, with the sources that each run has and that both share (Q8, Q9)."""
+    m = F.col("event_id") % 4
+    role = F.when(m == 0, "primary").when(m == 1, "reference").otherwise("replicate")
+    p = table(spark, sf_dir, "events").select(F.col("event_type").alias("method"), F.concat(F.lit("run"), m.cast("string")).alias("run"), role.alias("role"), "user_id").distinct()
+    sizes = p.groupBy("method", "run", "role").agg(F.count("*").alias("n"))
+    left, right = sizes.toDF("method", "left_run", "left_role", "n_left"), sizes.toDF("method", "right_run", "right_role", "n_right")
     with_primary = (F.col("left_role") == "primary") & (F.col("right_role") != "primary")
     replicates = (F.col("left_role") == "replicate") & (F.col("right_role") == "replicate") & (F.col("left_run") < F.col("right_run"))
-    pairs = left.join(F.broadcast(right), "method").filter(with_primary | replicates)  # a literal table of a few rows
-    return pairs.select("method", "left_run", "right_run", F.when(F.col("left_role") == "primary", F.concat("right_role", F.lit("_versus_primary"))).otherwise("between_replicates").alias("comparison"))
+    pairs = left.join(right, "method").filter(with_primary | replicates)  # a row for each method and run
+    # runs of one source meet: four at most
+    runs = p.groupBy("method", "user_id").agg(F.collect_set("run").alias("runs")).select("method", F.explode("runs").alias("left_run"), "runs")
+    shared = runs.select("method", "left_run", F.explode("runs").alias("right_run")).groupBy("method", "left_run", "right_run").agg(F.count("*").alias("n_shared"))
+    named = F.when(F.col("left_role") == "primary", F.concat("right_role", F.lit("_versus_primary"))).otherwise("between_replicates")
+    return pairs.join(shared, ["method", "left_run", "right_run"], "left").select("method", "left_run", "right_run", named.alias("comparison"), "n_left", "n_right", F.coalesce("n_shared", F.lit(0).cast("long")).alias("n_shared"))
 
 
 @query("WITH" + PREDICTIONS + """, g AS (SELECT user_id, min(epoch_us(ts)) AS t, count(*) AS n FROM events GROUP BY user_id), c AS (SELECT user_id, (sum(n) OVER (ORDER BY t, user_id ROWS UNBOUNDED PRECEDING))::DOUBLE / sum(n) OVER () AS s FROM g),
