@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -21,6 +25,39 @@ def rounded_fingerprint(decimals: int, *columns: Column) -> Column:
     return row_fingerprint(*[canonical_zero(F.bround(c.cast("double"), decimals)) for c in columns])
 
 
+def bytes_fingerprint(values: Column, dtype: str = "<f8", decimals: int | None = None) -> Column:
+    """SHA-256 (hex) of the little-endian bytes of an array of numbers, as ``<f4`` or ``<f8`` (H1-H4).
+
+    Zeros lose their sign, before and after rounding to decimals (half to even, in the type itself). A value that is not
+    finite in that type, a null among the values included, is an error; a null array has no fingerprint. The numbers of
+    a batch are one buffer, of which each row's bytes are a view.
+    """
+    if dtype not in ("<f4", "<f8"):
+        raise ValueError("fingerprints are of <f4 or <f8")
+
+    @F.arrow_udf("string")
+    def run(rows: pa.Array) -> pa.Array:
+        # values under a null row lie outside of flatten(), so rows are told by their lengths
+        flat = rows.flatten().to_numpy(zero_copy_only=False)
+        with np.errstate(over="ignore"):
+            flat = np.asarray(flat, np.dtype(dtype))
+        if not np.isfinite(flat).all():
+            raise ValueError("Cannot fingerprint non-finite values")
+        flat = flat + flat.dtype.type(0)
+        if decimals is not None:
+            flat = np.round(flat, decimals).astype(flat.dtype, copy=False) + flat.dtype.type(0)
+        data, made, start = memoryview(flat.tobytes()), [], 0
+        for n in rows.value_lengths().to_pylist():
+            if n is None:
+                made.append(None)
+                continue
+            made.append(hashlib.sha256(data[start : start + n * flat.itemsize]).hexdigest())
+            start += n * flat.itemsize
+        return pa.array(made, pa.string())
+
+    return run(values.cast("array<double>"))
+
+
 def unit(salt: str, *keys: Column) -> Column:
     """A number in [0, 2 ** 32) that depends on salt and keys only: uniform, the same on any cluster."""
     text = F.concat_ws("|", F.lit(salt), *[k.cast("string") for k in keys])
