@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from veritab.operators.nearest import nearest_rows
+
 
 def check_pairing(frame: DataFrame, variant: str, variants: list, *keys: str) -> DataFrame:
     """Keys that don't occur exactly once in each variant; a contract holds if there are none."""
@@ -81,15 +83,17 @@ def replace_matching_rows(frame: DataFrame, new: DataFrame, match: dict[str, obj
 def nearest_donor(flows: DataFrame, donors: DataFrame, key: str, donor_key: str, x: str, d: str, block: int = 4_096) -> DataFrame:
     """The nearest row of a donor pool for each flow by squared distance of arrays x and d, the smaller donor key among equals.
 
-    Rows without a vector are left out, and no flow is its own donor. Pools have any size: flows and donors are
-    dealt into blocks of about ``block`` rows, each pair of blocks is a group, and a flow's minima over the blocks
-    are combined. Within a pair of blocks, distances from a matrix product name the candidates and are then
-    taken again by differences.
+    Rows without a vector are left out, and no flow is its own donor. A pool of at most ``block`` rows is compared whole
+    with blocks of flows; larger ones go through the metric index. Within a block, distances from a matrix product name
+    the candidates and are then taken again by differences.
     """
+    nf, nd = flows.count(), donors.count()
+    if nd > block:
+        return nearest_rows(flows, donors, key, donor_key, x, d, block).select(key, donor_key, "distance")
     flows, donors = flows.select(F.col(key).alias("f"), F.col(x).alias("v")).dropna(), donors.select(F.col(donor_key).alias("f"), F.col(d).alias("v")).dropna()
-    nf, nd = (max(1, -(-t.count() // block)) for t in (flows, donors))
-    pieces = lambda t, own, n, other, m: t.withColumn(own, F.pmod(F.xxhash64("f"), F.lit(n))).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(m - 1)).cast("array<long>")))
-    left, right = pieces(flows, "fb", nf, "db", nd), pieces(donors, "db", nd, "fb", nf)
+    blocks = max(1, -(-nf // block))
+    left = flows.withColumn("b", F.pmod(F.xxhash64("f"), F.lit(blocks)))
+    right = donors.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<long>")))
     kinds = [t.schema["f"].dataType.simpleString() for t in (flows, donors)]
 
     def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
@@ -114,8 +118,8 @@ def nearest_donor(flows: DataFrame, donors: DataFrame, key: str, donor_key: str,
                 rows.append((fk[at + i], dk[near[k]], float(exact[k])))
         return pd.DataFrame(rows, columns=names)
 
-    each = left.groupBy("fb", "db").cogroup(right.groupBy("fb", "db")).applyInPandas(run, f"f {kinds[0]}, donor {kinds[1]}, distance double")
-    return each.groupBy("f").agg(F.min(F.struct("distance", "donor")).alias("b")).select(F.col("f").alias(key), F.col("b.donor").alias(donor_key), F.col("b.distance").alias("distance"))
+    each = left.groupBy("b").cogroup(right.groupBy("b")).applyInPandas(run, f"f {kinds[0]}, donor {kinds[1]}, distance double")
+    return each.select(F.col("f").alias(key), F.col("donor").alias(donor_key), "distance")
 
 
 def set_sizes(frame: DataFrame, split: str, member: str) -> DataFrame:
