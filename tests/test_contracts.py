@@ -216,8 +216,8 @@ def test_balanced_assignment_and_repair(spark, monkeypatch):
     rng = np.random.default_rng(5)
     rows = [(f"c{i}", c, int(n)) for i in range(300) for c, n in zip("xy", rng.integers(0, 9, 2), strict=True) if n] + [("rare1", "z", 1), ("rare2", "z", 2), ("rare3", "z", 3)]
     counts = spark.createDataFrame(rows, "component string, label string, n long")
-    for size in (50_000, 40):
-        monkeypatch.setattr(policies, "BUCKET_COMPONENTS", size)
+    for size in (50_000, 0):
+        monkeypatch.setattr(policies, "BROADCAST_RUNS", size)
         split = policies.repaired(policies.balanced(counts, ["x", "y", "z"], (0.7, 0.15, 0.15)), counts, ["x", "y", "z"])
         got = {r["component"]: r["split"] for r in split.collect()}
         assert set(got) == {r[0] for r in rows}
