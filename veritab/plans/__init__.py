@@ -1,5 +1,5 @@
 """The registered queries, by subject."""
 
-from veritab.plans import audit, explanations, metrics, networks, panels, perturbations, relational, similarity, verdicts
+from veritab.plans import audit, explanations, metrics, networks, panels, perturbations, relational, similarity, sweeps, verdicts
 
-ALL = (similarity, relational, metrics, explanations, networks, panels, perturbations, verdicts, audit)
+ALL = (similarity, relational, metrics, explanations, networks, panels, perturbations, verdicts, sweeps, audit)
