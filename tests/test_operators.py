@@ -132,3 +132,12 @@ def test_incremental_ingest(spark, tmp_path):
     spark.sql("SELECT timestamp'2024-01-01 09:30:00' AS ts, 'a' AS event_type, 1.0D AS value").write.mode("append").parquet(str(tmp_path / "in"))
     ingest(spark, str(tmp_path / "in"), schema, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out")).count() >= 1
+
+
+def test_moments_of_many_partitions(spark):
+    x = np.random.default_rng(6).normal(size=(300, 3)) + 1e4
+    f = spark.createDataFrame([(v.tolist(),) for v in x] + [(None,)], "x array<double>").repartition(70)
+    mean, sigma = explain.moments(f, "x")
+    assert np.allclose(mean, x.mean(0), rtol=1e-13) and np.allclose(sigma, np.cov(x.T), atol=1e-8)
+    with pytest.raises(ValueError, match="no rows"):
+        explain.moments(f.filter(F.lit(False)), "x")

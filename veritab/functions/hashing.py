@@ -42,7 +42,7 @@ def bytes_fingerprint(values: Column, dtype: str = "<f8", decimals: int | None =
         with np.errstate(over="ignore"):
             flat = np.asarray(flat, np.dtype(dtype))
         if not np.isfinite(flat).all():
-            raise ValueError("Cannot fingerprint non-finite values")
+            raise ValueError("values that are not finite have no fingerprint")
         flat = flat + flat.dtype.type(0)
         if decimals is not None:
             flat = np.round(flat, decimals).astype(flat.dtype, copy=False) + flat.dtype.type(0)

@@ -10,6 +10,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -157,21 +158,44 @@ def area_with_error(frame: DataFrame, fraction: str, value: str, se: str, *keys:
     return out.withColumn("lower95", F.col("area") - 1.96 * F.col("area_se"))
 
 
+#: Partial moments that reach the driver at most, whatever the number of partitions.
+MOMENT_PARTS = 32
+
+
+def merged_moments(parts) -> tuple[int, np.ndarray, np.ndarray]:
+    """Count, mean and scatter of disjoint parts (n, mean, flat or square scatter), about their common mean."""
+    n, mean, scatter = 0, 0.0, 0.0
+    for m, part, own in parts:
+        part = np.asarray(part, float)
+        d = part - mean
+        scatter = scatter + np.asarray(own, float).reshape(len(part), len(part)) + np.outer(d, d) * (n * m / (n + m))
+        mean, n = mean + d * (m / (n + m)), n + m
+    return n, mean, scatter
+
+
 def moments(frame: DataFrame, x: str) -> tuple[np.ndarray, np.ndarray]:
-    """Mean and sample covariance of an array column: one row of sums for each batch, merged about their means."""
+    """Mean and sample covariance of an array column: one row of sums for each partition, merged about their means in
+    MOMENT_PARTS groups, which the driver merges.
+    """
+    schema = "part int, n long, mean array<double>, scatter array<double>"
+
+    def of(batch: pd.DataFrame) -> tuple[int, np.ndarray, np.ndarray]:
+        rows = np.stack(batch[x].to_numpy()).astype(float)
+        mean = rows.mean(0)
+        return len(rows), mean, (rows - mean).T @ (rows - mean)
+
+    def row(part: int, parts) -> pd.DataFrame:
+        n, mean, scatter = merged_moments(parts)
+        return pd.DataFrame({"part": [part], "n": [n], "mean": [mean.tolist()], "scatter": [scatter.ravel().tolist()]} if n else {"part": [], "n": [], "mean": [], "scatter": []})
 
     def run(batches):
-        for batch in batches:
-            rows = np.stack(batch[x].to_numpy()).astype(float) if len(batch) else np.zeros((0, 0))
-            if len(rows):
-                mean = rows.mean(0)
-                yield pd.DataFrame({"n": [len(rows)], "mean": [mean.tolist()], "scatter": [((rows - mean).T @ (rows - mean)).ravel().tolist()]})
+        yield row(TaskContext.get().partitionId() % MOMENT_PARTS, (of(b) for b in batches if len(b)))
 
-    n, mean, scatter = 0, 0.0, 0.0
-    for r in frame.select(x).dropna().mapInPandas(run, "n long, mean array<double>, scatter array<double>").toLocalIterator():
-        m, d = np.array(r["mean"]), np.array(r["mean"]) - mean
-        scatter = scatter + np.array(r["scatter"]).reshape(len(m), len(m)) + np.outer(d, d) * n * r["n"] / (n + r["n"])
-        mean, n = mean + d * r["n"] / (n + r["n"]), n + r["n"]
+    def merge(rows: pd.DataFrame) -> pd.DataFrame:
+        return row(int(rows["part"].iloc[0]), zip(rows["n"], rows["mean"], rows["scatter"], strict=True))
+
+    found = frame.select(x).dropna().mapInPandas(run, schema).groupBy("part").applyInPandas(merge, schema).collect()
+    n, mean, scatter = merged_moments((r["n"], r["mean"], r["scatter"]) for r in sorted(found, key=lambda r: r["part"]))
     if not n:
         raise ValueError("no rows to take moments of")
     return mean, scatter / max(n - 1, 1)
