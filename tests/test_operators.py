@@ -141,3 +141,10 @@ def test_moments_of_many_partitions(spark):
     assert np.allclose(mean, x.mean(0), rtol=1e-13) and np.allclose(sigma, np.cov(x.T), atol=1e-8)
     with pytest.raises(ValueError, match="no rows"):
         explain.moments(f.filter(F.lit(False)), "x")
+
+
+def test_moments_with_empty_partitions(spark):
+    f = spark.range(0, 40, 1, 4).filter("id < 10").select(F.array(F.col("id").cast("double"), (F.col("id") * F.col("id")).cast("double")).alias("x"))
+    mean, sigma = explain.moments(f, "x")
+    rows = np.array([[i, i * i] for i in range(10)], float)
+    assert np.allclose(mean, rows.mean(0)) and np.allclose(sigma, np.cov(rows.T))

@@ -184,15 +184,16 @@ def moments(frame: DataFrame, x: str) -> tuple[np.ndarray, np.ndarray]:
         mean = rows.mean(0)
         return len(rows), mean, (rows - mean).T @ (rows - mean)
 
-    def row(part: int, parts) -> pd.DataFrame:
-        n, mean, scatter = merged_moments(parts)
-        return pd.DataFrame({"part": [part], "n": [n], "mean": [mean.tolist()], "scatter": [scatter.ravel().tolist()]} if n else {"part": [], "n": [], "mean": [], "scatter": []})
+    def row(part: int, n: int, mean: np.ndarray, scatter: np.ndarray) -> pd.DataFrame:
+        return pd.DataFrame({"part": [part], "n": [n], "mean": [mean.tolist()], "scatter": [scatter.ravel().tolist()]})
 
     def run(batches):
-        yield row(TaskContext.get().partitionId() % MOMENT_PARTS, (of(b) for b in batches if len(b)))
+        n, mean, scatter = merged_moments(of(b) for b in batches if len(b))
+        if n:  # a partition without rows has no row of sums: Arrow takes no empty column for arrays
+            yield row(TaskContext.get().partitionId() % MOMENT_PARTS, n, mean, scatter)
 
     def merge(rows: pd.DataFrame) -> pd.DataFrame:
-        return row(int(rows["part"].iloc[0]), zip(rows["n"], rows["mean"], rows["scatter"], strict=True))
+        return row(int(rows["part"].iloc[0]), *merged_moments(zip(rows["n"], rows["mean"], rows["scatter"], strict=True)))
 
     found = frame.select(x).dropna().mapInPandas(run, schema).groupBy("part").applyInPandas(merge, schema).collect()
     n, mean, scatter = merged_moments((r["n"], r["mean"], r["scatter"]) for r in sorted(found, key=lambda r: r["part"]))
