@@ -83,3 +83,17 @@ def test_bootstraps_draw_as_often_as_the_reference(spark, monkeypatch):
     monkeypatch.setattr(resampling, "crossed_bootstrap", lambda *a, resamples=5_000, **b: drawn.append(resamples))
     catalog.QUERIES["bootstrap_crossed_numpy"](spark, SF_DIR)
     assert drawn == [5_000]
+
+
+@tables
+def test_gaussian_operators_with_empty_partitions(spark):
+    small = {"spark.sql.files.maxPartitionBytes": "16k", "spark.sql.files.openCostInBytes": "1k"}
+    before = {k: spark.conf.get(k) for k in small}
+    for k, v in small.items():
+        spark.conf.set(k, v)
+    try:
+        assert read(spark, "embeddings").rdd.glom().filter(lambda p: not p).count()
+        assert catalog.QUERIES["gaussian_operator_effects"](spark, SF_DIR).count() == 2 * read(spark, "embeddings").count()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
