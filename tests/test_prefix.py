@@ -22,3 +22,23 @@ def test_value_ranks_share_ties(spark):
     f = spark.createDataFrame([(1.0,), (2.0,), (2.0,), (5.0,)], "x double")
     assert {r["x"]: r["average_rank"] for r in value_ranks(f, "x").collect()} == {1.0: 1.0, 2.0: 2.5, 5.0: 4.0}
     assert running_totals(f.filter("x > 9").withColumn("n", F.lit(1)), "x", ["n"]).isEmpty()
+
+
+def test_running_totals_of_rows_in_any_order(spark):
+    n = 400_000
+
+    def shuffled(batches):
+        import pandas as pd
+
+        yield pd.concat(batches).sample(frac=1)  # another order whenever Spark computes the rows
+
+    f = spark.range(0, n, 1, 2).select(F.col("id").cast("double").alias("x"), F.lit(1).alias("one"))
+    f = f.mapInPandas(shuffled, f.schema)
+    # as on a cluster, where Spark may compute the cuts for each side
+    spark.conf.set("spark.sql.exchange.reuse", "false")
+    try:
+        run = running_totals(f, "x", ["one"])
+        wrong = F.count_if(F.col("cum_one") != F.col("x") + 1)
+        assert tuple(run.agg(F.count("*"), wrong).first()) == (n, 0)
+    finally:
+        spark.conf.unset("spark.sql.exchange.reuse")
