@@ -77,3 +77,17 @@ def test_both_routes_agree(spark):
     x = np.round(clustered(300, 5, 4), 1)
     f, d = frame(spark, range(300), x), frame(spark, range(100, 400), x, ("donor", "d"))
     assert got(joins.nearest_donor(f, d, "k", "donor", "x", "d", 300)) == got(joins.nearest_donor(f, d, "k", "donor", "x", "d", 64))
+
+
+def test_visits_are_told_in_blocks(spark):
+    class Watched(nearest.Index):
+        def open(self, distances, bound):
+            assert distances.size <= 1 << 20
+            return distances >= 0
+
+    index = Watched(np.arange(600, dtype=float).reshape(300, 2))
+    q = spark.range(0, 5_000, 1, 1).select(F.col("id").alias("q"), F.array(F.col("id").cast("double"), F.lit(0.0)).alias("v"), F.lit(float("inf")).alias("bound"))
+    visits = nearest._visits(q, index, True)
+    assert visits.columns == ["q", "v", "bound", "cell", "d"]
+    n, cells, far = visits.agg(F.count("*"), F.sum("cell"), F.count_if(F.abs(F.col("d") - F.sqrt(F.pow(F.col("q") - 2 * F.col("cell"), 2) + F.pow(2 * F.col("cell") + 1, 2))) > 1e-6)).first()
+    assert (n, cells, far) == (5_000 * 300, 5_000 * 299 * 150, 0)

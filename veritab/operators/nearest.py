@@ -74,15 +74,18 @@ def _assigned(pool: DataFrame, pivots: np.ndarray) -> DataFrame:
 def _visits(queries: DataFrame, index: Index, later: bool) -> DataFrame:
     """q, v, bound, cell and the query's distance from the cell's pivot, for each cell to look into."""
 
-    @F.pandas_udf("array<struct<cell:int,d:double>>")
-    def run(v: pd.Series, bound: pd.Series) -> pd.Series:
-        if not len(v):
-            return pd.Series([], dtype=object)
-        d = from_pivots(np.stack(v.to_numpy()), index.pivots)
-        flags = index.open(d, bound.to_numpy()) if later else index.first(d)
-        return pd.Series([[{"cell": int(c), "d": float(row[c])} for c in np.flatnonzero(f)] for row, f in zip(d, flags, strict=True)])
-
-    return queries.select("q", "v", "bound", F.explode(run("v", "bound")).alias("c")).select("q", "v", "bound", "c.*")
+    def run(batches):
+        for batch in batches:
+            # blocks of rows, and arrays instead of objects: a row may visit every cell
+            for s in in_blocks(len(batch), len(index.pivots)):
+                part = batch.iloc[s]
+                d = from_pivots(np.stack(part["v"].to_numpy()), index.pivots)
+                flags = index.open(d, part["bound"].to_numpy()) if later else index.first(d)
+                cells = [np.flatnonzero(f).astype("int32") for f in flags]
+                yield part.assign(cells=pd.Series(cells, index=part.index, dtype=object), ds=pd.Series([row[c] for row, c in zip(d, cells, strict=True)], index=part.index, dtype=object))
+
+    made = queries.select("q", "v", "bound").mapInPandas(run, "q long, v array<double>, bound double, cells array<int>, ds array<double>")
+    return made.select("q", "v", "bound", F.explode(F.arrays_zip(F.col("cells").alias("cell"), F.col("ds").alias("d"))).alias("c")).select("q", "v", "bound", "c.*")
 
 
 def _compared(visits: DataFrame, pool: DataFrame, index: Index, block: int) -> DataFrame:
