@@ -1,5 +1,7 @@
 """Replicate sums against the laws they follow, and intervals against direct draws in NumPy."""
 
+import os
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -137,3 +139,13 @@ def test_run_inventories_are_checked(spark, fault):
         rows = [r for r in rows if r[3] == 0 and r[4] == 1]
     with pytest.raises(Exception, match="runs"):
         resampling.run_pair_bootstrap(spark.createDataFrame(rows, SCHEMA), "v", "k").collect()
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test tables")
+def test_inventories_share_the_weights_of_a_source(spark, monkeypatch):
+    from veritab import catalog
+
+    calls, of = [], resampling.hash_interval
+    monkeypatch.setattr(resampling, "hash_interval", lambda *a, **k: calls.append(a) or of(*a, **k))
+    assert catalog.QUERIES["audit_rollup"](spark, "/root/testdata/sf0.001").columns[:2] == ["inventory", "metric"]
+    assert len(calls) == 1

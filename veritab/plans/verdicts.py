@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import functools
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veritab.functions import accounts as A
 from veritab.functions.hashing import unit_sql
 from veritab.operators import gates, joins, resampling, seeds
+from veritab.operators.staging import staged
 from veritab.plans._adapter import ACCOUNTS, PAIRS, SIMILARITY, accounts, r6
 from veritab.plans.similarity import LONG, METRICS, SUMMARY
 
@@ -116,7 +120,13 @@ def union_sql(body) -> str:
 @query(union_sql(lambda kind: f"SELECT '{kind}' AS inventory, metric, count(*) FILTER (WHERE gate_status = 'pass')::BIGINT AS n_pass, count(*) FILTER (WHERE gate_status = 'fail')::BIGINT AS n_fail, count(*) FILTER (WHERE gate_status LIKE 'not_evaluable%')::BIGINT AS n_open, count(*) FILTER (WHERE gate_status = 'not_predeclared')::BIGINT AS n_undeclared, count(*)::BIGINT AS n_cells, bool_and(gate_status = 'pass') AS all_pass FROM verdict GROUP BY metric"))
 def audit_rollup(spark, sf_dir):
     """All inventories' verdicts in one table (Q1, Q12): counts of each status, and whether all cells pass."""
-    named = joins.union_tagged({kind: verdicts(spark, sf_dir, kind).select("label", "metric", "gate_status", "gate_pass") for kind in KINDS}, "inventory")
+    # a source weighs the same in all inventories, so its weights are drawn once for all of them
+    keys = ["inventory", "label", "metric"]
+    c = joins.union_tagged({kind: cells(spark, sf_dir, kind) for kind in KINDS}, "inventory")
+    interval = resampling.hash_interval(c, "value", *keys, replicates=REPLICATES)
+    summary = staged(seeds.mean_and_coverage(c, "value", "identified", *keys).join(interval, keys), "summary")
+    gated = {kind: gates.apply_gates(summary.filter(F.col("inventory") == kind), bounds) for kind, (_, _, bounds) in KINDS.items()}
+    named = functools.reduce(DataFrame.unionByName, [g.select("inventory", "label", "metric", "gate_status", "gate_pass") for g in gated.values()])
     s = F.col("gate_status")
     return named.groupBy("inventory", "metric").agg(F.count_if(s == "pass").alias("n_pass"), F.count_if(s == "fail").alias("n_fail"), F.count_if(s.startswith("not_evaluable")).alias("n_open"), F.count_if(s == "not_predeclared").alias("n_undeclared"), F.count("*").alias("n_cells"), F.bool_and(s == "pass").alias("all_pass"))
 
