@@ -84,3 +84,22 @@ def test_line_dedup_with_one_partition_of_many_shards(spark, monkeypatch):
             holders[x.strip().lower()].add(i)
     gone = {i: sum(len(holders[x.strip().lower()]) >= 5 and max(holders[x.strip().lower()]) != i for x in t.split("\n")) for i, t in rows}
     assert {r["row"]["doc_id"]: r["n_dropped"] for r in made.collect()} == gone and sum(gone.values()) > 20
+
+
+def test_workers_keep_nothing_for_other_operators(spark):
+    """What the last stage has learned stays in its workers, but not while they serve the first stages again."""
+    docs = spark.createDataFrame([(i, f"{ITEM} number {i}") for i in range(40)], "doc_id long, text string").repartition(8)
+
+    def holding(batches):
+        from veritab.llm import _core, bpe
+
+        for _ in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([len(getattr(bpe, "_kept", ())) + len(getattr(_core, "_kept", ()))])], names=["n"])
+
+    held = lambda of: max(r["n"] for r in of.mapInArrow(holding, "n long").collect())
+    path = public_tokenizers.path("word_bpe_49k.json")
+    made = bpe.bpe_round_trip(docs, path, outputs=False).select("n_tokens").collect()
+    assert len(made) == 40 and held(docs) > 0
+    for _ in range(3):  # eight tasks on four cores, so that every worker gets some
+        language_id.language_id(docs, {"en": CLEAN.encode()}).select("score").collect()
+    assert held(docs) == 0

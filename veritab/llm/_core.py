@@ -14,7 +14,8 @@ import gc
 import shutil
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -129,6 +130,37 @@ def trimmed() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
+_kept: dict[Any, Any] = {}
+
+
+def kept(key: Any, make: Callable[[], Any]) -> Any:
+    """What this worker keeps from task to task, or now makes: one thing at a time, whichever operator asks."""
+    if key not in _kept:
+        _kept.clear()
+        _kept[key] = make()
+    return _kept[key]
+
+
+def let_go() -> None:
+    """Forgets what another operator has kept in this worker."""
+    if _kept:
+        _kept.clear()
+        trimmed()
+
+
+def lean(work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], keeps: bool = False) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A task's work in a worker that first lets go of what another operator has kept in it, unless this one keeps
+    something itself, and in the end gives back what memory it doesn't use."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:  # sent by value: the module's functions know its state
+        if not keeps:
+            let_go()
+        yield from work(batches)
+        trimmed()
+
+    return run
+
+
 def buffer_of(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of a string column and the len + 1 offsets of its rows; nulls are empty."""
     if isinstance(column, pa.ChunkedArray):

@@ -18,7 +18,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veritab.llm._core import mixed, released, signed, staged, trimmed
+from veritab.llm._core import lean, mixed, released, signed, staged, trimmed
 
 #: Rows of a shard on average, cells of each of its filters, and cells that a hash sets.
 SHARD_KEYS, CELLS, PROBES = 1 << 18, 1 << 22, 2
@@ -130,10 +130,10 @@ def twice_seen(keys: DataFrame) -> DataFrame:
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rest.schema)
     each = -(-shards // MOST_PARTITIONS)
     if each == 1:
-        passed = dealt.repartition(shards, "h").mapInArrow(_passed, schema)
+        passed = dealt.repartition(shards, "h").mapInArrow(lean(_passed), schema)
     else:  # xxhash64 and the hash that deals rows to partitions don't hang together
         numbered = dealt.repartition(MOST_PARTITIONS, "h").withColumn("_shard", F.pmod(F.xxhash64("h"), F.lit(each)).cast("int"))
-        passed = numbered.sortWithinPartitions("_shard").mapInArrow(_by_shard, schema)
+        passed = numbered.sortWithinPartitions("_shard").mapInArrow(lean(_by_shard), schema)
     return passed.unionByName(keys.filter(F.col("kind") > UNKNOWN).drop("kind"))
 
 

@@ -37,7 +37,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veritab.llm._core import buffer_of, slices, small_batches, word_hashes, words
+from veritab.llm._core import buffer_of, kept, lean, slices, small_batches, word_hashes, words
 
 #: Runs, bytes of runs, words and pairs of tokens that a worker remembers before it starts anew.
 KEPT_RUNS, KEPT_BYTES, KEPT_WORDS, KEPT_PAIRS = 1_600_000, 1 << 25, 200_000, 300_000
@@ -374,16 +374,9 @@ def newer_characters() -> regex.Pattern:
     return regex.compile("[" + "".join(f"\\U{a:08x}-\\U{b - 1:08x}" for a, b in edges.reshape(-1, 2).tolist()) + "]")
 
 
-_kept: dict[bytes, WordBpe] = {}
-
-
 def kept_model(vocabulary: bytes) -> WordBpe:
     """The model that this process has already built, with the words it remembers, or a new one."""
-    key = hashlib.sha256(vocabulary).digest()
-    if key not in _kept:
-        _kept.clear()
-        _kept[key] = WordBpe(vocabulary)
-    return _kept[key]
+    return kept(("bpe", hashlib.sha256(vocabulary).digest()), lambda: WordBpe(vocabulary))
 
 
 def bpe_round_trip(frame: DataFrame, vocabulary: str, id_column: str = "doc_id", text_column: str = "text", outputs: bool = True) -> DataFrame:
@@ -416,4 +409,4 @@ def bpe_round_trip(frame: DataFrame, vocabulary: str, id_column: str = "doc_id",
     kind = frame.schema[id_column].dataType.simpleString()
     schema = f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids binary, decoded string" * outputs
     texts = frame.select(F.col(id_column).alias("id"), F.col(text_column).cast("string").alias("text"))
-    return texts.mapInArrow(run, schema).withColumnRenamed("id", id_column)
+    return texts.mapInArrow(lean(run, keeps=True), schema).withColumnRenamed("id", id_column)

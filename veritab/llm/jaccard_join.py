@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veritab.llm._components import components
-from veritab.llm._core import buffer_of, lowered, mixed, packed, released, sequence_hashes, signed, slices, small_batches, staged, swept, trimmed, window_hashes, word_hashes, words
+from veritab.llm._core import buffer_of, lean, lowered, mixed, packed, released, sequence_hashes, signed, slices, small_batches, staged, swept, trimmed, window_hashes, word_hashes, words
 from veritab.llm._filters import HELD_KEYS, flat_longs, settled, small_set, twice_seen
 
 SHINGLE, PERCENT, MOST_MATCHES = 5, 80, 4
@@ -138,7 +138,7 @@ def _summed(frame: DataFrame) -> np.ndarray:
             total += np.frombuffer(zlib.decompress(packed), np.uint64)
         return pd.DataFrame({"piece": parts["piece"].iloc[:1], "part": [zlib.compress(np.minimum(total, 2**32 - 1).astype(np.uint32).tobytes(), 1)]})
 
-    cutter = frame.filter("counters is not null").select("counters").mapInArrow(cut, "piece int, part binary")
+    cutter = frame.filter("counters is not null").select("counters").mapInArrow(lean(cut), "piece int, part binary")
     found = np.zeros(COUNTERS, np.uint32)
     for r in cutter.groupBy("piece").applyInPandas(add, "piece int, part binary").collect():  # 16 rows of a fixed size
         found[r["piece"] * width : (r["piece"] + 1) * width] = np.frombuffer(zlib.decompress(r["part"]), np.uint32)
@@ -224,7 +224,7 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _entries(texts: DataFrame, size: int, percent: int, most_matches: int, counts) -> DataFrame:
     """Staged rows (t, e, n, m): prefix entries that a second document may have."""
-    keys = staged(texts.mapInArrow(lambda b: _keys(_prefixes(b, size, percent, most_matches, counts.value)), "h long, kind int, e long, n long, m int"), "keys")
+    keys = staged(texts.mapInArrow(lean(lambda b: _keys(_prefixes(b, size, percent, most_matches, counts.value))), "h long, kind int, e long, n long, m int"), "keys")
     out = staged(twice_seen(keys).withColumnRenamed("h", "t").distinct(), "entries", keys.count())
     released(keys)
     return out
@@ -256,7 +256,7 @@ def _linked(pairs: DataFrame, rows: DataFrame, nodes: DataFrame, size: int, perc
                 texts = texts.filter(pa.array(seen.value.has(np.asarray(batch.column(0).to_numpy(zero_copy_only=False)))))
             yield from _sets([pa.RecordBatch.from_arrays([texts], names=["text"])], size)
 
-    found = hashed.mapInArrow(run, "e long, tokens array<long>")
+    found = hashed.mapInArrow(lean(run), "e long, tokens array<long>")
     sets = staged(found.join(needed.select("e"), "e", "left_semi").dropDuplicates(["e"]), "sets", 16 * needed.count())
     released(needed)
     if seen is not None:
@@ -290,7 +290,7 @@ def jaccard_components(frame: DataFrame, id_column: str = "doc_id", text_column:
     small_batches(spark)
     kind = frame.schema[id_column].dataType.simpleString()
     rows = packed(frame).select(F.col(id_column).alias("id"), F.col(text_column).cast("string").alias("text"))
-    made = staged(rows.mapInArrow(lambda b: _profiles(b, shingle), f"id {kind}, n long, e long, bits array<long>, counters binary"), "profiles")
+    made = staged(rows.mapInArrow(lean(lambda b: _profiles(b, shingle)), f"id {kind}, n long, e long, bits array<long>, counters binary"), "profiles")
     counts = spark.sparkContext.broadcast(_summed(made))
     profiles = made.filter("counters is null")
     nodes = profiles.filter("n > 0").groupBy("e").agg(F.min(F.struct(F.col("id"))).alias("least"), F.first("n").alias("n"))

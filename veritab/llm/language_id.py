@@ -25,7 +25,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from veritab.llm._core import small_batches
+from veritab.llm._core import lean, small_batches
 
 #: Bounds of the sample that dictionaries are made of: documents of each language, pieces of each document and their
 #: characters, bytes of a dictionary.
@@ -151,7 +151,7 @@ def language_id(frame: DataFrame, dictionaries: dict[str, bytes], id_column: str
     with_text = text_column in carry  # once, beside the others
     row = F.struct(F.col(id_column).alias("id"), *[F.col(c).alias(f"c{i}") for i, c in enumerate(carry) if c != text_column])
     texts = frame.select(row.alias("row"), F.col(text_column).cast("string").alias("text"))
-    made = texts.mapInArrow(run, f"row {texts.schema['row'].dataType.simpleString()}, lang_pred string, score double, margin double" + ", text string" * with_text)
+    made = texts.mapInArrow(lean(run), f"row {texts.schema['row'].dataType.simpleString()}, lang_pred string, score double, margin double" + ", text string" * with_text)
     carried = [F.col("text" if c == text_column else f"row.c{i}").alias(c) for i, c in enumerate(carry)]
     return made.select(F.col("row.id").alias(id_column), "lang_pred", "score", "margin", *carried)
 

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veritab.llm._core import SEPARATOR, buffer_of, lowered, packed, released, signed, slices, small_batches, staged, swept, trimmed, word_hashes
+from veritab.llm._core import SEPARATOR, buffer_of, lean, lowered, packed, released, signed, slices, small_batches, staged, swept, trimmed, word_hashes
 from veritab.llm._filters import HELD_KEYS, Chosen, settled, small_set, twice_seen
 
 MIN_CHARS, MIN_DOCS = 40, 5
@@ -101,7 +101,7 @@ def _lines(batches: Iterator[pa.RecordBatch], min_chars: int, chosen) -> Iterato
 def shared_keys(rows: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, broadcast_hashes: int | None = None) -> tuple[DataFrame, DataFrame]:
     """rows: (id, text). The staged table (key, keeper) of the keys that lose lines, and that of suspected lines (id, key)."""
     kind = rows.schema["id"].dataType.simpleString()
-    hashed = staged(rows.mapInArrow(lambda b: _hashed(b, min_chars), f"h long, kind int, id {kind}"), "line-hashes")
+    hashed = staged(rows.mapInArrow(lean(lambda b: _hashed(b, min_chars)), f"h long, kind int, id {kind}"), "line-hashes")
     suspects = staged(twice_seen(hashed), "line-suspects")
     released(hashed)
     chosen = small_set(suspects.select("h"), broadcast_hashes)
@@ -109,7 +109,7 @@ def shared_keys(rows: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN
     if chosen is None:
         ids = suspects.select(F.col("id").alias("suspect")).distinct()
         texts = rows.join(ids, F.col("id").eqNullSafe(F.col("suspect")), "left_semi")
-    lines = staged(texts.mapInArrow(lambda b: _lines(b, min_chars, chosen), f"id {kind}, key string"), "lines")
+    lines = staged(texts.mapInArrow(lean(lambda b: _lines(b, min_chars, chosen)), f"id {kind}, key string"), "lines")
     released(suspects)
     if chosen is not None:
         chosen.destroy()
@@ -187,4 +187,4 @@ def line_dedup(frame: DataFrame, id_column: str = "doc_id", text_column: str = "
         rows = rows.join(gone, F.col("id").eqNullSafe(F.col("gone_id")), "left").select("row", "id", "text", "keys")
     swept(spark)
     schema = f"row {rows.schema['row'].dataType.simpleString()}, n_lines long, n_dropped long, kept_sha256 string" + ", kept string" * with_text
-    return rows.mapInArrow(lambda b: _applied(b, min_chars, keepers, with_text), schema)
+    return rows.mapInArrow(lean(lambda b: _applied(b, min_chars, keepers, with_text)), schema)
