@@ -2,11 +2,15 @@
 
 A context is one row that is broadcast: means, deviations and medians of each coordinate, and a pool of donors, which
 is a hash sample of at most ``cap`` rows whatever the input. Everything else is an expression on a flow's arrays, so
-no operator shuffles flows.
+no operator shuffles flows. Only the search for the nearest donor, which compares a flow with the whole pool, is NumPy.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -39,13 +43,14 @@ def donor_pool(frame: DataFrame, key: str, x: str, label: str, cap: int = POOL_R
 
 
 def operator_context(frame: DataFrame, key: str, x: str, label: str, cap: int = POOL_ROWS, ridge: float = RIDGE) -> DataFrame:
-    """One row: mean, sd (of the ridged variance; 1 where there is none) and median of each coordinate, and the pool."""
+    """One row: mean, sd (of the ridged variance; 1 where there is none) and median of each coordinate, the pool and its mean."""
     cells = frame.select(F.posexplode(x).alias("i", "v"))
     moments = cells.groupBy("i").agg(F.avg("v").alias("mean"), F.sqrt(F.coalesce(F.var_samp("v"), F.lit(0.0)) + ridge).alias("sd"))
     moments = moments.join(quantiles(cells, "v", {"median": 0.5}, "i"), "i")
     sd = F.when(F.col("sd") > 1e-12, F.col("sd")).otherwise(1.0)
     arrays = as_array(moments, "i", {"mean": F.col("mean"), "sd": sd, "median": F.col("median")})
-    return arrays.crossJoin(F.broadcast(donor_pool(frame, key, x, label, cap)))  # one row with one row
+    both = arrays.crossJoin(F.broadcast(donor_pool(frame, key, x, label, cap)))  # one row with one row
+    return both.withColumn("pool_mean", F.transform(F.col("median"), lambda _, i: A.total(F.transform(F.col("pool"), lambda d: F.get(d["x"], i))) / F.size("pool")))
 
 
 def expanded(selected: Column, groups: list[int]) -> Column:
@@ -59,20 +64,41 @@ def picked(pool: Column, salt: str, key: Column) -> Column:
     return F.get(pool, F.pmod(unit(salt, key), F.size(pool).cast("long")).cast("int"))
 
 
-def nearest(x: Column, sd: Column, pool: Column, selected: Column) -> Column:
-    """The donor closest in the coordinates that aren't selected, in units of their deviations; the first of equal ones."""
-    free = F.transform(x, lambda _, i: F.when(F.array_contains(selected, i), 0.0).otherwise(1.0))
-
-    def distance(d: Column, mask: Column) -> Column:
-        parts = F.arrays_zip(x.alias("a"), d.alias("b"), sd.alias("s"), mask.alias("m"))
-        return A.total(F.transform(parts, lambda p: p["m"] * (p["a"] - p["b"]) * (p["a"] - p["b"]) / (p["s"] * p["s"])))
+def nearest_places(context: DataFrame) -> Callable[[Column, Column], Column]:
+    """For x and its selected coordinates, the place in the pool of the donor that is closest in the other coordinates, in
+    units of their deviations; the first of equal ones. A null distance is the smallest, one that is no number the largest.
 
-    ranked = A.let(free, lambda mask: F.array_min(F.transform(pool, lambda d, i: F.struct(distance(d["x"], mask).alias("d"), i.alias("i")))))
-    return F.get(pool, ranked["i"])["x"]
+    The context's one row, of a fixed size, goes to the tasks with the function. Terms are added in the order of coordinates.
+    """
+    row = context.select("sd", F.transform("pool", lambda d: d["x"]).alias("donors")).first()
+    sd, donors = (row["sd"], row["donors"]) if row else ([], [])
+    usable = np.array([d is not None and len(d) == len(sd) and None not in d for d in donors], bool)
+    pool = np.array([d if ok else [0.0] * len(sd) for d, ok in zip(donors, usable, strict=True)], float).reshape(len(donors), len(sd))
+
+    def places(x: pd.Series, selected: pd.Series) -> pd.Series:
+        out = np.zeros(len(x), np.int32)
+        whole = [i for i, v in enumerate(x) if v is not None and len(v) == len(sd) and not any(c is None for c in v)]
+        for at in (whole[i : i + 1024] for i in range(0, len(whole), 1024)):
+            rows, free = np.stack([x.iloc[i] for i in at]).astype(float), np.ones((len(at), len(sd)))
+            for j, i in enumerate(at):
+                if (chosen := selected.iloc[i]) is not None:
+                    free[j, [c for c in chosen if c is not None and 0 <= c < len(sd)]] = 0.0
+            d = np.zeros((len(at), len(pool)))
+            with np.errstate(all="ignore"):
+                for c, s in enumerate(sd):
+                    moved = rows[:, c, None] - pool[None, :, c]
+                    d += free[:, c, None] * moved * moved / (s * s)
+            d = np.where(np.isnan(d), np.inf, np.minimum(d, np.finfo(float).max))
+            d[:, ~usable] = -np.inf
+            out[at] = d.argmin(1)
+        return pd.Series(out)
+
+    return lambda x, selected: F.when(F.size("pool") > 0, F.pandas_udf(places, "int")(x, selected))
 
 
 def replacement_row(operator: str, key: Column, x: Column, target: Column, selected: Column) -> Column:
-    """The row whose selected coordinates replace those of x (X11). Columns of the context and class_median are at hand.
+    """The row whose selected coordinates replace those of x (X11). Columns of the context and class_median are at hand, and
+    for the nearest donor its place.
 
     A class without donors takes them from the whole pool.
     """
@@ -87,14 +113,14 @@ def replacement_row(operator: str, key: Column, x: Column, target: Column, selec
         own = F.filter(pool, lambda d: d["label"] == target)
         return A.let(F.when(F.size(own) > 0, own).otherwise(pool), lambda p: picked(p, "class-donor", key)["x"])
     if operator == "nearest_neighbour_donor":
-        return nearest(x, F.col("sd"), pool, selected)
+        return F.get(pool, F.col("nearest"))["x"]
     raise ValueError(f"no such operator: {operator}")
 
 
 def complete_row(operator: str, key: Column, x: Column, target: Column) -> Column:
     """What all coordinates become, the origin of insertions (X13): of the nearest neighbour, the pool's mean."""
     if operator == "nearest_neighbour_donor":
-        return F.transform(F.col("median"), lambda _, i: A.total(F.transform(F.col("pool"), lambda d: F.get(d["x"], i))) / F.size("pool"))
+        return F.col("pool_mean")
     return replacement_row(operator, key, x, target, F.array().cast("array<int>"))
 
 
@@ -103,20 +129,21 @@ def with_context(frame: DataFrame, context: DataFrame, medians: DataFrame, label
     return frame.join(F.broadcast(medians), label, "left").crossJoin(F.broadcast(context))
 
 
-def operator_effects(frame: DataFrame, key: str, x: str, target: str, ranking: str, model: Logit, groups: list[int], k: int, operators: tuple[str, ...] = OPERATORS, carry: tuple[str, ...] = ()) -> DataFrame:
+def operator_effects(frame: DataFrame, key: str, x: str, target: str, ranking: str, model: Logit, groups: list[int], k: int, context: DataFrame, operators: tuple[str, ...] = OPERATORS, carry: tuple[str, ...] = ()) -> DataFrame:
     """key, operator, n_selected, deletion and insertion of the ranking's first k coordinates.
 
-    Operators named correlation_group_* replace the whole groups of these. The frame has a context.
+    Operators named correlation_group_* replace the whole groups of these. The frame has this context.
     """
-    cells = []
+    p, cells = model.probability, []
+    if "nearest_neighbour_donor" in operators:
+        frame = frame.withColumn("nearest", nearest_places(context)(F.col(x), F.slice(ranking, 1, k)))
     for name in operators:
         top = F.slice(ranking, 1, k)
         selected = expanded(top, groups) if name.startswith("correlation_group") else top
         z, origin = replacement_row(name, F.col(key), F.col(x), F.col(target), selected), complete_row(name, F.col(key), F.col(x), F.col(target))
         cells.append(F.struct(F.lit(name).alias("operator"), selected.alias("selected"), z.alias("z"), origin.alias("origin")))
-    each = frame.select(key, x, *carry, F.inline(F.array(*cells)))
-    p = model.probability
-    deletion = p(F.col(x)) - p(A.replace_selected(F.col(x), F.col("z"), F.col("selected")))
+    each = frame.withColumn("_p", p(F.col(x))).select(key, x, "_p", *carry, F.inline(F.array(*cells)))
+    deletion = F.col("_p") - p(A.replace_selected(F.col(x), F.col("z"), F.col("selected")))
     insertion = p(A.insert_selected(F.col(x), F.col("origin"), F.col("selected"))) - p(F.col("origin"))
     return each.select(key, *carry, "operator", F.size("selected").alias("n_selected"), deletion.alias("deletion"), insertion.alias("insertion"))
 

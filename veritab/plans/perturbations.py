@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from veritab.functions import accounts as A
 from veritab.functions.hashing import unit_sql
 from veritab.operators import aggregates, explain, gates, joins, replacement, resampling, seeds
+from veritab.operators.staging import staged
 from veritab.plans._adapter import accounts, r6
 from veritab.plans.explanations import MODEL, OCC
 
@@ -57,16 +58,24 @@ ef AS (SELECT z.flow, any_value(lx.label) AS label, z.operator, count(s.i)::BIGI
        FROM z JOIN lx ON lx.flow = z.flow AND lx.i = z.i JOIN mg ON mg.flow = z.flow LEFT JOIN sel s ON s.operator = z.operator AND s.flow = z.flow AND s.i = z.i GROUP BY z.flow, z.operator)"""
 
 
-def flows_in_context(spark, sf_dir):
-    """flow, label, seed, x, ranking by occlusion against the medians, and the context."""
+def context_of(spark, sf_dir):
+    """The accounts and their context."""
     own = accounts(spark, sf_dir).select("flow", "label", "seed", F.col("a").alias("x"))
-    context = replacement.operator_context(own, "flow", "x", "label", POOL)
+    return own, replacement.operator_context(own, "flow", "x", "label", POOL)
+
+
+def flows_in_context(spark, sf_dir, held=None):
+    """flow, label, seed, x, ranking by occlusion against the medians, and the context."""
+    own, context = held or context_of(spark, sf_dir)
     joined = replacement.with_context(own, context, replacement.class_medians(own, "x", "label"), "label")
     return joined.withColumn("ranking", A.top_k(explain.occlusion(MODEL, F.col("x"), F.col("median")), WIDTH))
 
 
 def effects(spark, sf_dir, carry=()):
-    return replacement.operator_effects(flows_in_context(spark, sf_dir), "flow", "x", "label", "ranking", MODEL, GROUPS, TOP, carry=carry)
+    own, context = context_of(spark, sf_dir)
+    context = staged(context, "context")  # one row, which the search for donors reads too
+    flows = flows_in_context(spark, sf_dir, (own, context))
+    return replacement.operator_effects(flows, "flow", "x", "label", "ranking", MODEL, GROUPS, TOP, context, carry=carry)
 
 
 @query("WITH" + CONTEXT + f""" SELECT i AS coordinate, round(mean, 6) AS mean, round(sd, 6) AS sd, round(med, 6) AS median, (SELECT count(*) FROM pool)::BIGINT AS pool_rows, (SELECT sum(donor) FROM pool)::BIGINT AS donors FROM cx""")
