@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from veritab.functions import accounts as A
 from veritab.functions import hashing, labels
-from veritab.operators import explain, gates, grouping, identity, joins, metrics, resampling, sampling
+from veritab.operators import explain, gates, grouping, identity, joins, metrics, replacement, resampling, sampling
 from veritab.plans import lineage
 from veritab.sources import tables
 
@@ -148,3 +148,30 @@ def test_moments_with_empty_partitions(spark):
     mean, sigma = explain.moments(f, "x")
     rows = np.array([[i, i * i] for i in range(10)], float)
     assert np.allclose(mean, rows.mean(0)) and np.allclose(sigma, np.cov(rows.T))
+
+
+def test_quantile_bins_deal_no_rows_by_value(spark):
+    nan, inf = float("nan"), float("inf")
+    rows = [(k, v) for k in ("a", "b", None) for v in (0.0, -0.0, 1.0, 1.0, 1.0, 2.5, 7.0, 7.0, None, nan, inf, -inf)] + [("c", nan)]
+    frame = spark.createDataFrame(rows, "k string, v double")
+    made = sampling.quantile_bins(frame, "v", 3, ["low", "mid", "high"], "k")
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert not [x for x in plan.splitlines() if "Join" in x and "(v#" in x]
+    want = {0.0: "low", 1.0: "mid", 2.5: "high", 7.0: "high"}
+    found = made.collect()
+    assert len(found) == len(rows)
+    assert all(r["bin"] == (want.get(r["v"], "") if r["k"] in ("a", "b") else "") for r in found)
+    alone = sampling.quantile_bins(frame.filter("k = 'a'"), "v", 3, ["low", "mid", "high"]).collect()
+    assert len(alone) == 12 and all(r["bin"] == want.get(r["v"], "") for r in alone)
+    assert sampling.quantile_bins(frame.filter("false"), "v", 3, ["low", "mid", "high"], "k").count() == 0
+
+
+def test_nearest_donor_of_odd_rows(spark):
+    nan = float("nan")
+    donors = [[0.0, 0.0], [1.0, 5.0], [1.0, 5.0], [9.0, nan]]
+    pool = F.array(*[F.struct(F.array(*map(F.lit, d)).alias("x")) for d in donors])
+    rows = spark.createDataFrame([(0, [1.0, 4.0], [0]), (1, [9.0, 4.9], []), (2, None, [0]), (3, [None, 5.0], [0]), (4, [8.0, 0.0], [1]), (5, [nan, 1.0], None)], "n int, x array<double>, s array<int>")
+    context = spark.range(1).select(F.array(F.lit(2.0), F.lit(1.0)).alias("sd"), pool.alias("pool"))
+    made = rows.crossJoin(context).withColumn("place", replacement.nearest_places(context)(F.col("x"), F.col("s")))
+    # equal donors: the first; a null coordinate: all distances are null; NaN is larger than any distance
+    assert {r["n"]: r["place"] for r in made.collect()} == {0: 1, 1: 1, 2: 0, 3: 0, 4: 1, 5: 0}

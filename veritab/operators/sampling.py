@@ -55,8 +55,13 @@ def quantile_bins(frame: DataFrame, value: str, bins: int, labels: list[str], *k
     ranks = value_ranks(kept, value, *keys)
     ranks = ranks.join(totals, list(keys)) if keys else ranks.crossJoin(F.broadcast(totals))
     place = F.least(F.greatest(F.ceil(F.round(F.col("average_rank") / F.col("_n") * bins, 9)), F.lit(1)), F.lit(len(labels))).cast("int")
-    named = ranks.select(*keys, value, F.element_at(F.array(*map(F.lit, labels)), place).alias("bin"))
-    return frame.join(named, [*keys, value], "left").select(*frame.columns, F.coalesce("bin", F.lit("")).alias("bin"))
+    # a bin is a range of values, so its highest one is all that rows have to know: they aren't dealt out by value
+    tops = ranks.select(*keys, value, place.alias("_place")).groupBy(*keys, "_place").agg(F.max(value).alias("_top"))
+    tops = tops.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_top", "_place"))).alias("_tops"))
+    placed = frame.join(tops, list(keys), "left") if keys else frame.crossJoin(F.broadcast(tops))
+    own = F.get(F.filter("_tops", lambda t: F.col(value) <= t["_top"]), F.lit(0))["_place"]
+    found = F.when(finite & F.col("_tops").isNotNull(), F.element_at(F.array(*map(F.lit, labels)), own))
+    return placed.select(*frame.columns, F.coalesce(found, F.lit("")).alias("bin"))
 
 
 def temporal_split(groups: DataFrame, order: str, size: str, cuts: tuple[float, float], *keys: str) -> DataFrame:
