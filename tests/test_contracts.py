@@ -212,6 +212,29 @@ def test_precedence_guard_matches_brute_force(spark):
     assert sorted(r["i"] for r in identity.precedence_guard(f, "split", "a", "b").collect()) == sorted(r[0] for r in train + validation + test)
 
 
+def test_precedence_guard_shuffles_no_rows_by_keys_that_are_few(spark, monkeypatch):
+    rows = [(i, ("train", "validation", "test", "other", None)[i % 5], i % 7, i % 3000) for i in range(6000)]
+    f = spark.createDataFrame(rows, "i int, split string, few int, many int")
+    settings = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        made = identity.precedence_guard(f, "split", "few")
+        plan = made._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan
+        few = sorted(r["i"] for r in made.collect())
+        both = sorted(r["i"] for r in identity.precedence_guard(f, "split", "few", "many").collect())
+        monkeypatch.setattr(identity, "BROADCAST_KEYS", 0)
+        made = identity.precedence_guard(f, "split", "few")
+        assert "SortMergeJoin" in made._jdf.queryExecution().executedPlan().toString()
+        assert sorted(r["i"] for r in made.collect()) == few == [i for i in range(6000) if i % 5 == 0]
+        assert sorted(r["i"] for r in identity.precedence_guard(f, "split", "few", "many").collect()) == both
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def test_balanced_assignment_and_repair(spark, monkeypatch):
     rng = np.random.default_rng(5)
     rows = [(f"c{i}", c, int(n)) for i in range(300) for c, n in zip("xy", rng.integers(0, 9, 2), strict=True) if n] + [("rare1", "z", 1), ("rare2", "z", 2), ("rare3", "z", 3)]

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SPLITS = ("train", "validation", "test")
+#: Distinct keys that are broadcast at most; of 64 characters each, some 30 MB.
+BROADCAST_KEYS = 1 << 18
 
 
 def conflicts(frame: DataFrame, fingerprint: str, label: str) -> DataFrame:
@@ -27,20 +29,26 @@ def overlap_status(n_exact: Column, rate: Column) -> Column:
 
 
 def precedence_guard(frame: DataFrame, split: str, *keys: str) -> DataFrame:
-    """Drops validation rows that share a key with train, then test rows that share one with train or surviving validation (H7)."""
-    narrow = frame.select(split, *keys)
-    blocked = {k: narrow.filter(F.col(split) == "train").select(k).distinct() for k in keys}
-    surviving = narrow.filter(F.col(split) == "validation").distinct()
-    for k in keys:
-        surviving = surviving.join(blocked[k], k, "left_anti")
-    # one row for each key that blocks: 2 of train (validation and test), 1 of surviving validation (test only)
-    out = frame
-    for k in keys:
-        strength = blocked[k].withColumn("_s", F.lit(2)).unionByName(surviving.select(k).distinct().withColumn("_s", F.lit(1))).groupBy(k).agg(F.max("_s").alias(f"_s_{k}"))
-        out = out.join(strength, k, "left")
-    strongest = F.greatest(*[F.coalesce(f"_s_{k}", F.lit(0)) for k in keys], F.lit(0))
-    kept = (F.col(split) == "train") | ((F.col(split) == "validation") & (strongest < 2)) | ((F.col(split) == "test") & (strongest < 1))
-    return out.filter(kept).select(*frame.columns)
+    """Drops validation rows that share a key with train, then test rows that share one with train or surviving validation (H7).
+
+    Train is kept as it is, so none of its rows shuffle, only its distinct keys. Keys of which train and validation have
+    few (BROADCAST_KEYS at most, by an estimate of a few per cent) go first and are broadcast; what these leave of the
+    later splits is joined with the other keys.
+    """
+    of = lambda rows, name: rows.filter(F.col(split) == name)
+    sides = {f"{i}{name}": F.approx_count_distinct(F.when(F.col(split) == name, F.col(k))) for i, k in enumerate(keys) for name in SPLITS[:2]}
+    counts = frame.filter(F.col(split).isin(*SPLITS[:2])).agg(F.lit(0).alias("_"), *[n.alias(c) for c, n in sides.items()]).first()
+    most = {k: max(counts[f"{i}{name}"] for name in SPLITS[:2]) for i, k in enumerate(keys)}
+
+    def without(rows: DataFrame, taken: DataFrame) -> DataFrame:
+        for k in sorted(keys, key=lambda k: most[k]):
+            known = taken.select(k).distinct()
+            rows = rows.join(F.broadcast(known) if most[k] <= BROADCAST_KEYS else known, k, "left_anti")
+        return rows.select(*frame.columns)
+
+    train = of(frame, "train")
+    validation, test = without(of(frame, "validation"), train), without(of(frame, "test"), train)
+    return train.unionByName(validation).unionByName(without(test, validation))
 
 
 def keep_first(frame: DataFrame, order: list[Column], *keys: str) -> DataFrame:
