@@ -9,10 +9,11 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from veritab.llm import _filters, bpe, decontaminate, language_id, line_dedup
+from veritab.llm import _core, _filters, bpe, decontaminate, language_id, line_dedup
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 tokenizers = pytest.importorskip("tokenizers")
+corpus_pipeline = pytest.importorskip("corpus_pipeline")
 
 
 def test_every_character_encodes_as_the_library_does():
@@ -45,6 +46,33 @@ def test_rows_are_judged_by_their_own_text(spark):
     assert decontaminate.decontaminated(docs.limit(0), items).count() == 0
 
 
+def test_whole_texts_are_not_shuffled_to_meet_few_documents(spark, monkeypatch, tmp_path):
+    """Neither where a stage drops documents nor where it reads some of them again, whatever Spark broadcasts by itself."""
+    rows = [(i, f"number {i} " + (ITEM if i % 4 == 0 else CLEAN if i % 4 == 1 else " ".join(f"w{i}x{j}" for j in range(60))), "en", "web", 0) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    spark.createDataFrame([(1, ITEM)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    plan = lambda f: f._jdf.queryExecution().executedPlan().toString()
+    again, write = [], decontaminate.staged
+    monkeypatch.setattr(decontaminate, "staged", lambda f, label, *n: again.append(plan(f)) or write(f, label, *n) if label == "tokens" else write(f, label, *n))
+    settings = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        found = []
+        for most in (_core.BROADCAST_DOCS, 0):
+            monkeypatch.setattr(_core, "BROADCAST_DOCS", most)
+            for stage in (corpus_pipeline.keep_one_of_near_copies, corpus_pipeline.drop_contaminated):
+                made = stage(spark, docs, str(tmp_path))
+                assert ("SortMergeJoin" in plan(made)) == (most == 0)
+                found.append(sorted(r["doc_id"] for r in made.collect()))
+        assert ["SortMergeJoin" in p for p in again] == [False, True]
+        assert found[:2] == found[2:] and found[1] == [i for i in range(40) if i % 4] and 0 < len(found[0]) < 40
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 @pytest.mark.parametrize("ids", ["null", "one", "own"])
 def test_samples_are_bounded(spark, monkeypatch, ids):
     """However many rows share an id or have none, each language brings at most twice the sample's size."""

@@ -20,6 +20,7 @@ from typing import Any
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of text hashed in one go; a longer document is still hashed whole.
 SLICE_BYTES = 1 << 18
@@ -27,6 +28,8 @@ SLICE_BYTES = 1 << 18
 BATCH_BYTES, READ_ROWS = 1 << 21, 1024
 #: Bytes of input that one task reads at least, and rows of a staged file, where there are many.
 PACKED_BYTES, FILE_ROWS = 1 << 24, 1 << 18
+#: Rows that name documents and are broadcast at most; of an id and a hash each, some 120 MB.
+BROADCAST_DOCS = 1 << 20
 
 SEPARATOR = np.zeros(256, bool)
 SEPARATOR[[9, 10, 11, 12, 13, 32]] = True
@@ -96,6 +99,11 @@ def staged(frame: DataFrame, label: str, rows: int | None = None) -> DataFrame:
     return out
 
 
+def named(frame: DataFrame) -> DataFrame:
+    """A staged table that names documents, broadcast if it has few rows, so that whole texts need no shuffle to meet it."""
+    return F.broadcast(frame) if frame.count() <= BROADCAST_DOCS else frame
+
+
 def released(*frames: DataFrame | None) -> None:
     """Removes staged tables that nothing will read any more."""
     for frame in frames:

@@ -29,7 +29,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veritab.llm._core import packed, staged
+from veritab.llm._core import named, packed, released, staged
 
 WINDOW, SHORTEST, COVERAGE, RUN = 8, 5, 0.3, 20
 #: The items' windows are broadcast if they are no more than these, else both sides are dealt out.
@@ -155,8 +155,10 @@ def contaminated_pairs(docs: DataFrame, items: DataFrame, id_column: str = "doc_
     slotted, anchors = staged(matches.filter("slots > 0"), "slotted", n), staged(every.filter("kind = 'a'").select("doc", "item", "diagonal").distinct(), "anchors", n)
 
     # only documents with a match whose tokens matter are read again
-    wanted = slotted.select("doc").unionByName(anchors.select("doc")).distinct()
-    again = staged(rows.join(wanted, "doc", "left_semi").select("doc", tokens_of(F.col("text")).alias("tokens")), "tokens")
+    wanted = staged(slotted.select("doc").unionByName(anchors.select("doc")).filter("doc is not null").select(F.xxhash64("doc").alias("h")).distinct(), "wanted", n)
+    # hashes tell which texts may matter; the joins by doc tell which do
+    again = staged(rows.withColumn("h", F.xxhash64("doc")).join(named(wanted), "h", "left_semi").select("doc", tokens_of(F.col("text")).alias("tokens")), "tokens")
+    released(wanted)
     sided = slotted.join(again, "doc").withColumn("own", F.slice("tokens", F.col("place") + 1, F.col("size")))
     # rows of one id are tried each; only the row that has the window there counts
     sided = sided.filter(template_of(F.col("own")) == template_of(F.col("values")))
@@ -189,4 +191,4 @@ def decontaminated(docs: DataFrame, items: DataFrame, id_column: str = "doc_id",
     key = F.struct(F.col(id_column).alias("id"), F.xxhash64(F.col(text_column).cast("string")).alias("h"))
     keyed = docs.select(key.alias("key"), F.col(text_column).alias("text"), F.struct("*").alias("row"))
     bad = staged(contaminated_pairs(keyed, items, "key", "text", **options).select(F.col("key").alias("bad")).distinct(), "contaminated")
-    return keyed.join(bad, F.col("key").eqNullSafe(F.col("bad")), "left_anti").select("row.*")
+    return keyed.join(named(bad), F.col("key").eqNullSafe(F.col("bad")), "left_anti").select("row.*")
