@@ -91,3 +91,45 @@ def test_visits_are_told_in_blocks(spark):
     assert visits.columns == ["q", "v", "bound", "cell", "d"]
     n, cells, far = visits.agg(F.count("*"), F.sum("cell"), F.count_if(F.abs(F.col("d") - F.sqrt(F.pow(F.col("q") - 2 * F.col("cell"), 2) + F.pow(2 * F.col("cell") + 1, 2))) > 1e-6)).first()
     assert (n, cells, far) == (5_000 * 300, 5_000 * 299 * 150, 0)
+
+
+def test_a_query_goes_once_to_each_group_of_cells(spark):
+    """Where every cell is open, copies of the queries are those of groups, which hold many cells."""
+    rng = np.random.default_rng(3)
+    index = nearest.Index(rng.normal(size=(100, 16)))
+    index.rows, index.most = np.full(100, 20), np.full(100, 50.0)
+    index.rows[[0, 40]] = 0, 170
+    place, parts = nearest._places(index.rows, 80)
+    dealt = [(p + i, rows / k) for p, k, rows in zip(place, parts, index.rows, strict=True) for i in range(k)]
+    sizes = np.bincount([g for g, _ in dealt], [rows for _, rows in dealt])
+    assert sizes.max() <= 80 and parts.sum() == 102 and (np.diff(place) >= 0).all() and place[41] == place[40] + parts[40]
+    n = 300
+    q = frame(spark, range(n), rng.normal(size=(n, 16)), ("q", "v")).withColumn("bound", F.lit(1e3))
+    visits = nearest._group_visits(q, index, place, parts)
+    groups = len(sizes)
+    assert groups < 30 and visits.count() == visits.select("q", "group").distinct().count() <= groups * n
+    # each open cell once, in every group that it is dealt to; the nearest one was looked into before
+    opened = visits.agg(F.sum(F.size("cells")), F.countDistinct("group")).first()
+    nearest_cells = nearest.from_pivots(np.array([r["v"] for r in q.collect()]), index.pivots)
+    first = np.flatnonzero(index.first(nearest_cells).ravel()) % 100
+    assert tuple(opened) == (n * (98 + 3) - parts[first].sum(), groups)
+    assert nearest._group_visits(q, index, place, parts, False).groupBy("group").count().collect() == visits.groupBy("group").count().collect()
+
+
+def test_shuffled_copies_are_few_without_clusters(spark):
+    n = 1_200
+    x = np.random.default_rng(5).normal(size=(n, 32))
+    f, d = frame(spark, range(n), x), frame(spark, range(n), x, ("donor", "d"))
+    made = []
+
+    class Watched:
+        def __call__(self, visits, asked, *rest):
+            made.append(sum(asked.values()))
+            return compared(visits, asked, *rest)
+
+    compared, nearest._compared = nearest._compared, Watched()
+    try:
+        assert got(nearest.nearest_rows(f, d, "k", "donor", "x", "d", 512, 150)) == brute(list(enumerate(x)), list(enumerate(x)))
+    finally:
+        nearest._compared = compared
+    assert sum(made) < 10 * n

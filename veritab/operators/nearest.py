@@ -5,24 +5,32 @@ pivot. A query looks into the nearest cells first. What it finds there bounds it
 then tells which other cells, and which distances from their pivots, can hold anything nearer. Only those are compared.
 
 Equal vectors are searched once, and of a pool's equal vectors only the two smallest keys are kept, as a row is never
-its own neighbour: a group of copies costs one vector, however large it is. Cells and the queries that visit them are
-dealt into blocks, so no task holds a whole cell. Where distances tell little (many dimensions, no clusters) most cells
-are visited and the work is that of all pairs, in blocks.
+its own neighbour: a group of copies costs one vector, however large it is. Cells are packed into groups (large ones are
+dealt over several) and a query goes once to each group with a cell that it visits, so what is shuffled is a copy of the
+queries for each group at most. Where distances tell little (many dimensions, no clusters) most cells are visited and the
+work is that of all pairs, in matrix products.
 """
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from veritab.operators.networks import in_blocks
+from veritab.operators.replicates import dealt
 from veritab.operators.staging import released, staged
 
 #: Pivots at most (they go to tasks with their code), and rows that a cell holds on average below that.
 MOST_PIVOTS, CELL_ROWS = 4_096, 512
 SLACK = 1e-9
+#: Blocks of rows, of the pool and of queries, that a task holds at most, and queries that it compares at once.
+HELD_BLOCKS, QUERIES_AT_ONCE = 8, 256
+EMPTY = pd.DataFrame({"q": [], "donor": pd.Series([], dtype=object), "distance": [], "n": []})
 
 
 def two_smallest(frame: DataFrame, by: list[str], *order: str) -> DataFrame:
@@ -88,46 +96,105 @@ def _visits(queries: DataFrame, index: Index, later: bool) -> DataFrame:
     return made.select("q", "v", "bound", F.explode(F.arrays_zip(F.col("cells").alias("cell"), F.col("ds").alias("d"))).alias("c")).select("q", "v", "bound", "c.*")
 
 
-def _compared(visits: DataFrame, pool: DataFrame, index: Index, block: int) -> DataFrame:
-    """The two nearest donors of each query in each block that it visits, and how many rows were compared."""
-    asked = dict(visits.groupBy("cell").count().collect())  # one row a cell
-    at = lambda sizes: F.create_map(*[F.lit(int(x)) for p in sizes.items() for x in p])[F.col("cell")]
-    parts = {c: -(-int(index.rows[c]) // block) for c in asked}
-    turns = {c: -(-n // block) for c, n in asked.items()}
-    if not asked:
-        parts = turns = {0: 1}
-    spread = lambda f, key, own, n, other, m: f.withColumn(own, F.pmod(F.xxhash64(key), at(n))).withColumn(other, F.explode(F.sequence(F.lit(0), at(m) - 1).cast("array<long>")))
-    left = spread(visits, "q", "turn", turns, "part", parts)
-    right = spread(pool.filter(at(parts).isNotNull()), "donor", "part", parts, "turn", turns)
-    kind = pool.schema["donor"].dataType.simpleString()
+def _places(rows: np.ndarray, held: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first group of each cell, and over how many it is dealt: a group holds some ``held`` rows, of several cells or of one."""
+    place, parts, group, room = np.zeros(len(rows), int), np.ones(len(rows), int), -1, 0
+    for c, n in enumerate(rows.tolist()):
+        if n > held:
+            place[c], parts[c], room = group + 1, -(-n // held), 0
+            group += parts[c]
+        elif n:
+            group, room = (group, room - n) if n <= room else (group + 1, held - n)
+            place[c] = group
+    return place, parts
+
 
-    def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        made = {"q": [], "donor": [], "distance": [], "n": []}
-        if len(a) and len(b):
-            b = b.sort_values("r", kind="stable")
-            r, names, vb = b["r"].to_numpy(), b["donor"].to_numpy(), np.stack(b["v"].to_numpy())
-            sb, repeated = (vb * vb).sum(1), b["donor"].duplicated().any()
-            for q, v, bound, d in zip(a["q"], a["v"], a["bound"], a["d"], strict=True):
-                reach = bound + SLACK * (bound + d)
-                low, high = np.searchsorted(r, d - reach, "left"), np.searchsorted(r, d + reach, "right")
-                if low == high:
+def _group_visits(queries: DataFrame, index: Index, place: np.ndarray, parts: np.ndarray, told: bool = True) -> DataFrame:
+    """q, v, bound, cells, group: one row for each group that holds any of the open cells, or, untold, the group alone."""
+    names = ["q", "v", "bound", "cells", "place", "n"] if told else ["place", "n"]
+
+    def run(batches):
+        for batch in batches:
+            for s in in_blocks(len(batch), len(index.pivots)):
+                part = batch.iloc[s]
+                d = from_pivots(np.stack(part["v"].to_numpy()), index.pivots)
+                row, cell = np.nonzero(index.open(d, part["bound"].to_numpy()))
+                if not len(row):
                     continue
-                # a product names the candidates, which are taken again by differences
-                near = np.arange(low, high)
-                if not repeated and len(near) > 2:
-                    rough = sb[low:high] - 2 * vb[low:high] @ v
-                    slack = SLACK * (v @ v + sb[low:high].max()) + 1e-300
-                    near = near[rough <= np.partition(rough, 1)[1] + slack]
-                exact = ((vb[near] - v) ** 2).cumsum(1)[:, -1]
-                place = sorted(zip(exact.tolist(), names[near].tolist(), strict=True))
-                other = next((p for p in place if p[1] != place[0][1]), None)
-                for i, (distance, donor) in enumerate([place[0], *([other] if other else [])]):
-                    for name, value in zip(made, (q, donor, distance, 0 if i else high - low), strict=True):
-                        made[name].append(value)
-        # as objects, since pandas' own strings may come in several chunks
-        return pd.DataFrame({**made, "donor": pd.Series(made["donor"], dtype=object)})
-
-    return left.groupBy("cell", "part", "turn").cogroup(right.groupBy("cell", "part", "turn")).applyInPandas(run, f"q long, donor {kind}, distance double, n long")
+                at = place[cell]
+                starts = np.append(0, np.flatnonzero((row[1:] != row[:-1]) | (at[1:] != at[:-1])) + 1)
+                made = part.iloc[row[starts]].assign(place=at[starts], n=parts[cell[starts]])
+                if told:
+                    cells = np.split(cell.astype("int32"), starts[1:])
+                    made["cells"] = pd.Series(cells, index=made.index, dtype=object)
+                yield made[names]
+
+    kinds = {"q": "long", "v": "array<double>", "bound": "double", "cells": "array<int>", "place": "int", "n": "int"}
+    made = queries.select("q", "v", "bound").mapInPandas(run, ", ".join(f"{n} {kinds[n]}" for n in names))
+    return made.withColumn("group", F.explode(F.sequence("place", F.col("place") + F.col("n") - 1))).drop("place", "n")
+
+
+def _compared(visits: DataFrame, asked: dict[int, int], pool: DataFrame, index: Index, block: int) -> DataFrame:
+    """The nearest donors of each visit to a group, two at least if there are two within its bound, and in a row without a
+    donor how many rows were compared. asked: visits of each group."""
+    turns = {g: -(-n // block) for g, n in asked.items()} or {0: 1}
+    at = F.create_map(*[F.lit(int(x)) for p in turns.items() for x in p])[F.col("group")]
+    left = visits.withColumn("turn", F.pmod(F.xxhash64("q"), at))
+    right = pool.withColumn("turn", F.explode(F.sequence(F.lit(0), at - 1).cast("array<long>")))
+    kind = pool.schema["donor"].dataType.simpleString()
+    pivots = index.pivots
+
+    def run(a: pd.DataFrame, b: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        if not len(a) or not len(b):
+            return
+        b = b.sort_values(["cell", "r"], kind="stable")
+        cell, r, names, vb = b["cell"].to_numpy(), b["r"].to_numpy(), b["donor"].to_numpy(), np.stack(b["v"].to_numpy())
+        sb, repeated = (vb * vb).sum(1), b["donor"].duplicated().any()
+        held = np.unique(cell)
+        begin, end = np.searchsorted(cell, held, "left"), np.searchsorted(cell, held, "right")
+        for p in range(0, len(a), QUERIES_AT_ONCE):
+            part = a.iloc[p : p + QUERIES_AT_ONCE]
+            va, bound, q = np.stack(part["v"].to_numpy()), part["bound"].to_numpy(), part["q"].to_numpy()
+            sa = (va * va).sum(1)
+            looked = np.concatenate(part["cells"].to_numpy())
+            asking = np.repeat(np.arange(len(part)), part["cells"].map(len))
+            order = np.argsort(looked, kind="stable")
+            looked, asking = looked[order], asking[order]
+            n, found = np.zeros(len(part), int), []
+            # products name the candidates: what may be as near as the second of those seen; they are taken again by differences
+            seen, slack = np.full((len(part), 2), np.inf), SLACK * (sa + sb.max()) + 1e-300
+            most = bound * bound * (1 + SLACK) - sa
+            for c, i, j in zip(held.tolist(), begin.tolist(), end.tolist(), strict=True):
+                rows = asking[np.searchsorted(looked, c, "left") : np.searchsorted(looked, c, "right")]
+                if not len(rows):
+                    continue
+                d = np.sqrt(((va[rows] - pivots[c]) ** 2).sum(-1))
+                reach = bound[rows] + SLACK * (bound[rows] + d)
+                low, high = np.searchsorted(r[i:j], d - reach, "left"), np.searchsorted(r[i:j], d + reach, "right")
+                n[rows] += high - low
+                rough = sb[i:j] - 2 * va[rows] @ vb[i:j].T
+                if low.any() or (high < j - i).any():
+                    places = np.arange(j - i)
+                    rough[(places < low[:, None]) | (places >= high[:, None])] = np.inf
+                if not repeated:
+                    two = np.concatenate([seen[rows], rough if j - i < 2 else np.partition(rough, 1, axis=1)[:, :2]], 1)
+                    two.sort(1)
+                    seen[rows] = two[:, :2]
+                limit = np.minimum(seen[rows, 1], most[rows]) + slack[rows]
+                x, y = np.nonzero((rough <= limit[:, None]) & (rough < np.inf))
+                found.append((rows[x], i + y, rough[x, y]))
+            yield pd.DataFrame({"q": q, "donor": pd.Series([None] * len(q), dtype=object), "distance": None, "n": n})
+            x, y, rough = map(np.concatenate, zip(*found, strict=True)) if found else (np.zeros(0, int),) * 3
+            near = rough <= (np.minimum(seen[:, 1], most) + slack)[x] if len(x) else []
+            x, y = x[near], y[near]
+            exact = [((vb[y[s]] - va[x[s]]) ** 2).cumsum(1)[:, -1] for s in in_blocks(len(x), vb.shape[1])]
+            # as objects, since pandas' own strings may come in several chunks
+            best = pd.DataFrame({"q": x, "donor": pd.Series(names[y], dtype=object), "distance": np.concatenate([*exact, np.zeros(0)]), "n": 0})
+            best = best.sort_values(["q", "distance", "donor"], kind="stable").drop_duplicates(["q", "donor"]).groupby("q").head(2)
+            yield best.assign(q=q[best["q"].to_numpy(int)])
+
+    both = (dealt(x, "group", "turn").groupBy("group", "turn") for x in (left, right))
+    return next(both).cogroup(next(both)).applyInPandas(lambda a, b: pd.concat([EMPTY, *run(a, b)]), f"q long, donor {kind}, distance double, n long")
 
 
 def nearest_rows(flows: DataFrame, donors: DataFrame, key: str, donor_key: str, x: str, d: str, block: int = 4_096, pivots: int | None = None) -> DataFrame:
@@ -149,15 +216,26 @@ def nearest_rows(flows: DataFrame, donors: DataFrame, key: str, donor_key: str,
     for c in cells.groupBy("cell").agg(F.count("*").alias("n"), F.min("r").alias("a"), F.max("r").alias("b")).collect():
         index.rows[c["cell"]], index.least[c["cell"]], index.most[c["cell"]] = c["n"], c["a"], c["b"]
 
+    # a task holds a group of cells, and a query goes to a group once: few copies of either are shuffled
+    sides = math.ceil(math.sqrt(4 * flows.sparkSession.sparkContext.defaultParallelism))
+    share = lambda rows: min(HELD_BLOCKS * block, max(block, -(-rows // sides)))
+    place, parts = _places(index.rows, share(n))
+    told = lambda values: F.get(F.array(*[F.lit(int(x)) for x in values]), F.col("cell"))
+    grouped = cells.withColumn("group", (told(place) + F.pmod(F.xxhash64("donor"), told(parts))).cast("int"))
+    turn = share(queries.count())
+
     nobody = queries.limit(0) if n == 0 else queries
-    first = staged(_compared(_visits(nobody, index, False), cells, index, block), "first")
-    best = two_smallest(first.groupBy("q", "donor").agg(F.min("distance").alias("distance")), ["q"], "distance", "donor")
+    own = _visits(nobody, index, False).withColumn("group", F.explode(F.sequence(told(place), told(place) + told(parts) - 1)))
+    own = own.select("q", "v", "bound", F.array("cell").alias("cells"), "group")
+    first = staged(_compared(own, dict(own.groupBy("group").count().collect()), grouped, index, turn), "first")
+    best = two_smallest(first.filter("donor is not null").groupBy("q", "donor").agg(F.min("distance").alias("distance")), ["q"], "distance", "donor")
     bounds = best.groupBy("q").agg(F.when(F.count("*") == 2, F.sqrt(F.max("distance"))).otherwise(float("inf")).alias("bound"))
     rest = staged(nobody.drop("bound").join(bounds, "q"), "bounds")
-    later = staged(_compared(_visits(rest, index, True), cells, index, block), "later")
+    asked = dict(_group_visits(rest, index, place, parts, False).groupBy("group").count().collect())
+    later = staged(_compared(_group_visits(rest, index, place, parts), asked, grouped, index, turn), "later")
 
     found = first.unionByName(later)
-    best = two_smallest(found.groupBy("q", "donor").agg(F.min("distance").alias("distance")), ["q"], "distance", "donor")
+    best = two_smallest(found.filter("donor is not null").groupBy("q", "donor").agg(F.min("distance").alias("distance")), ["q"], "distance", "donor")
     pick = lambda i: F.max(F.when(F.col("_n") == i, F.struct("donor", "distance"))).alias(f"b{i}")
     wide = queries.select("q", "v").join(best.groupBy("q").agg(pick(1), pick(2)), "q").join(found.groupBy("q").agg(F.sum("n").alias("n_compared")), "q")
     own = asking.join(wide, "v").withColumn("b", F.when(F.col("b1.donor").eqNullSafe(F.col("f")), F.col("b2")).otherwise(F.col("b1"))).filter("b is not null")
