@@ -96,9 +96,21 @@ def nearest_places(context: DataFrame) -> Callable[[Column, Column], Column]:
     return lambda x, selected: F.when(F.size("pool") > 0, F.pandas_udf(places, "int")(x, selected))
 
 
-def replacement_row(operator: str, key: Column, x: Column, target: Column, selected: Column) -> Column:
-    """The row whose selected coordinates replace those of x (X11). Columns of the context and class_median are at hand, and
-    for the nearest donor its place.
+def nearest_place(x: Column, selected: Column) -> Column:
+    """The same place as an expression on the context's columns, for frames without their context at hand."""
+    free = F.transform(x, lambda _, i: F.when(F.array_contains(selected, i), 0.0).otherwise(1.0))
+
+    def distance(d: Column, mask: Column) -> Column:
+        parts = F.arrays_zip(x.alias("a"), d.alias("b"), F.col("sd").alias("s"), mask.alias("m"))
+        return A.total(F.transform(parts, lambda p: p["m"] * (p["a"] - p["b"]) * (p["a"] - p["b"]) / (p["s"] * p["s"])))
+
+    ranked = A.let(free, lambda mask: F.array_min(F.transform(F.col("pool"), lambda d, i: F.struct(distance(d["x"], mask).alias("d"), i.alias("i")))))
+    return ranked["i"]
+
+
+def replacement_row(operator: str, key: Column, x: Column, target: Column, selected: Column, nearest: Column | None = None) -> Column:
+    """The row whose selected coordinates replace those of x (X11). Columns of the context and class_median are at hand;
+    nearest is the place of the nearest donor, where it is known already.
 
     A class without donors takes them from the whole pool.
     """
@@ -113,7 +125,7 @@ def replacement_row(operator: str, key: Column, x: Column, target: Column, selec
         own = F.filter(pool, lambda d: d["label"] == target)
         return A.let(F.when(F.size(own) > 0, own).otherwise(pool), lambda p: picked(p, "class-donor", key)["x"])
     if operator == "nearest_neighbour_donor":
-        return F.get(pool, F.col("nearest"))["x"]
+        return F.get(pool, nearest_place(x, selected) if nearest is None else nearest)["x"]
     raise ValueError(f"no such operator: {operator}")
 
 
@@ -140,7 +152,7 @@ def operator_effects(frame: DataFrame, key: str, x: str, target: str, ranking: s
     for name in operators:
         top = F.slice(ranking, 1, k)
         selected = expanded(top, groups) if name.startswith("correlation_group") else top
-        z, origin = replacement_row(name, F.col(key), F.col(x), F.col(target), selected), complete_row(name, F.col(key), F.col(x), F.col(target))
+        z, origin = replacement_row(name, F.col(key), F.col(x), F.col(target), selected, F.col("nearest")), complete_row(name, F.col(key), F.col(x), F.col(target))
         cells.append(F.struct(F.lit(name).alias("operator"), selected.alias("selected"), z.alias("z"), origin.alias("origin")))
     each = frame.withColumn("_p", p(F.col(x))).select(key, x, "_p", *carry, F.inline(F.array(*cells)))
     deletion = F.col("_p") - p(A.replace_selected(F.col(x), F.col("z"), F.col("selected")))
